@@ -55,6 +55,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import filled
+    from .lm_score import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", filled("text").alias("text"))
+    model = train(docs.where(~held_out()))
+    got = score(docs.withColumn("held_out", held_out()), model, keep=("held_out",))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
+    "op7_lm_score": op7_lm_score,
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
