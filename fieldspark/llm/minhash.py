@@ -7,11 +7,14 @@ coordinate k. The shifts of one place are neighbours in the doubled table, so a
 contiguous slice, and the signature is the minimum over slices.
 
 1. Equal sets are one class, represented by its smallest ``doc_id``; only representatives go on.
-2. Bands of the signature give buckets. Each member is checked against the smallest of its bucket,
-   on full sets: 100 * intersection >= 100 * threshold * union, so pairs grow with members only.
-3. Components of the confirmed links are formed. Buckets that still hold several components are
-   checked across components, first against a sample of members, then against all of them, so no
-   candidate is left out, while members of one component need no more checks.
+2. Bands of the signature give buckets. Each member is checked against the smallest and the largest id of
+   its bucket, on full sets: 100 * intersection >= percent * union, so pairs grow with members only.
+3. Components of the confirmed links are formed. Buckets that still hold several components are searched
+   across components in blocks of members: counts of shingles by hashed cell bound the intersection from
+   above (the sum of smaller counts), and what the bound cannot exclude is checked on full sets: first the
+   best partner of each member in every other component, then, after these links have joined components,
+   all that is left. So no candidate is left out, no pair of a bucket is a row before the bound has passed
+   it, and members of one component need no more checks.
 
 At Jaccard 0.8 a pair misses all buckets with probability (1 - 0.8^6)^48 = 5e-7.
 
@@ -36,8 +39,11 @@ from .words import buffers, chunks, mix, rolling, words
 
 UNIVERSE_BITS, ROWS, BANDS = 20, 6, 48
 COORDINATES = ROWS * BANDS
-#: Members that meet one pivot in one group of a task.
+#: Members that meet one pivot in one group of a task, and members in a block.
 GROUP = 512
+CELLS = 256
+#: A list of meetings up to this size is sent to all tasks.
+SENT_BYTES = 32 << 20
 
 _table: list[np.ndarray] = []
 
@@ -81,21 +87,29 @@ def signature(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def cells(own: np.ndarray) -> bytes:
+    """Shingles in each hashed cell as bytes, about one or two to a cell; a cell of 255 may hold more."""
+    n = CELLS
+    while n < 4 * CELLS and n < len(own) // 2:
+        n *= 2
+    return np.minimum(np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
 def _signed(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            sizes, digests, bands = [], [], []
+            sizes, digests, bands, counts = [], [], [], []
             for own in shingle_sets(batch.column(1), n):
                 d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 if d not in known:
-                    if len(known) > 20_000:
+                    if len(known) > 5_000:
                         known.clear()
                     known[d] = signature(own).view(np.int64).tolist() if len(own) else []
-                sizes.append(len(own)), digests.append(d), bands.append(known[d])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                sizes.append(len(own)), digests.append(d), bands.append(known[d]), counts.append(cells(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(counts, pa.binary())], schema=schema)
 
     return run
 
@@ -151,7 +165,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     dealt = pairs.join(of, "pivot").select("pivot", F.pmod(F.hash("member"), F.col("parts")).alias("part"), F.col("member").alias("doc_id"), F.lit(True).alias("is_member"))
     # the pivot itself goes to every part, also to such that the hash leaves empty
     heads = of.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("doc_id"), F.lit(False).alias("is_member"))
-    meets = stored(dealt.unionByName(heads), "meets").groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part", "is_member")).alias("meets"))
+    meets = stored(dealt.unionByName(heads).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part", "is_member")).alias("meets")), "meets")
+    # few documents meet others: up to a bounded size their list goes to the texts, beyond it both are shuffled
+    if (meets.agg(F.sum(F.lit(16) + F.size("meets") * 40)).first()[0] or 0) <= SENT_BYTES:
+        meets = F.broadcast(meets)
     sets = docs.join(meets, "doc_id").select("doc_id", "text", "meets").mapInArrow(_sets(n), "pivot long, part int, member long, is_member boolean, own binary")
     return sets.repartition(n_parts(docs), "pivot", "part").sortWithinPartitions("pivot", "part", "is_member").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -160,33 +177,92 @@ def _fits(percent: int, x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
 
 
-def across(shared: DataFrame, found: DataFrame, tested: DataFrame, percent: int, every: int) -> DataFrame:
-    """Pairs that share a bucket but no component yet; pivots are a sample of one in ``every``."""
+def _bounded(percent: int, best: bool):
+    """Pairs across components in each run of equal (key, i, j) that the bound does not exclude.
+
+    best: only the partner with the highest bound for each member and component.
+    """
+
+    def fold(raw: list[bytes]) -> np.ndarray:
+        return np.stack([np.frombuffer(r, np.uint8) for r in raw])
+
+    def solve(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        minor, all_ = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        sizes = {len(r[4]) for r in all_}
+        for cells_x in {len(r[4]) for r in minor}:
+            xs = [r for r in minor if len(r[4]) == cells_x]
+            for cells_y in sizes:
+                ys = [r for r in all_ if len(r[4]) == cells_y]
+                k = min(cells_x, cells_y)
+                x = fold([r[4] for r in xs]).reshape(len(xs), -1, k)
+                y = fold([r[4] for r in ys]).reshape(len(ys), -1, k)
+                full_x, full_y = (x == 255).any((1, 2)), (y == 255).any((1, 2))
+                x, y = x.sum(1, dtype=np.uint16), y.sum(1, dtype=np.uint16)
+                ny, cy, ry = (np.array([r[c] for r in ys]) for c in (2, 3, 1))
+                for q, (_, rx, nx, cx, _) in enumerate(xs):
+                    both = np.minimum(x[q], y).sum(1, dtype=np.int64)
+                    both = np.where(full_y | full_x[q], np.minimum(nx, ny), np.minimum(both, np.minimum(nx, ny)))
+                    ok = np.flatnonzero((cy != cx) & (100 * both >= percent * (nx + ny - both)))
+                    if best and len(ok):
+                        order = ok[np.lexsort((-both[ok] / (nx + ny[ok]), cy[ok]))]
+                        ok = order[np.r_[True, cy[order][1:] != cy[order][:-1]]]
+                    for r in ry[ok].tolist():
+                        yield max(rx, r), min(rx, r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if rows and (got := [*set(solve(rows))]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], names=["member", "pivot"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for head, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+                if head != at:
+                    yield from ended()
+                    at, rows = head, []
+                rows.append(row)
+        yield from ended()
+
+    return run
+
+
+def across(shared: DataFrame, cells_of: DataFrame, found: DataFrame, tested: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs that share a bucket but no component yet and may be similar enough.
+
+    In a bucket, members outside its largest component meet all members, in blocks of GROUP by GROUP.
+    """
     now = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     by = now.groupBy("key", "c").agg(F.count("*").alias("m"))
-    main = by.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    open_ = now.join(main, "key")
-    few = open_.where("c <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    pivots = open_.where(F.pmod(F.hash("rep"), F.lit(every)) == 0) if every > 1 else open_
-    met = pivots.join(few, "key").where(f"c <> cx and {_fits(percent, 'n', 'nx')}")
-    return met.select(F.greatest("x", "rep").alias("member"), F.least("x", "rep").alias("pivot")).distinct().join(tested, ["member", "pivot"], "left_anti")
+    of = by.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    of = of.select("key", "main", F.ceil(F.col("m") / GROUP).cast("int").alias("ys"), F.ceil((F.col("m") - F.col("most")) / GROUP).cast("int").alias("xs"))
+    open_ = now.join(of, "key")
+    hit = lambda m: F.pmod(F.xxhash64("rep"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    x = open_.where("c <> main").select("key", hit("xs").alias("i"), every("ys").alias("j"), F.lit(True).alias("minor"), "rep", "n", "c")
+    y = open_.select("key", every("xs").alias("i"), hit("ys").alias("j"), F.lit(False).alias("minor"), "rep", "n", "c")
+    work = x.union(y).join(cells_of, "rep").select("key", "i", "j", "minor", "rep", "n", "c", "cells")
+    work = work.repartition(n_parts(cells_of), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return work.mapInArrow(_bounded(percent, best), "member long, pivot long").distinct().join(tested, ["member", "pivot"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"))
-    signed = stored(docs.mapInArrow(_signed(n), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = stored(docs.mapInArrow(_signed(n), "doc_id long, n_shingles long, digest binary, bands array<long>, cells binary"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     entries = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low")
-    shared = stored(entries.join(buckets, "key").select("key", "rep", "n", "low"), "shared")
-    star = shared.where(f"rep > low.rep and {_fits(percent, 'n', 'low.n')}").select(F.col("rep").alias("member"), F.col("low.rep").alias("pivot")).distinct()
-    tested = stored(star, "tested")
+    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("m")).where("m > 1").select("key", "low", "high")
+    shared = stored(entries.join(buckets, "key").select("key", "rep", "n", "low", "high"), "shared")
+    star = [shared.where(f"rep <> {p}.rep and {_fits(percent, 'n', f'{p}.n')}").select(F.greatest("rep", f"{p}.rep").alias("member"), F.least("rep", f"{p}.rep").alias("pivot")) for p in ("low", "high")]
+    tested = stored(star[0].union(star[1]).distinct(), "tested")
     links = stored(confirmed(docs, tested, n, percent), "links")
     found = stored(components(links), "components")
-    for every in (64, 1):
-        more = stored(across(shared.select("key", "rep", "n"), found, tested, percent, every), "more")
+    cells_of = real.groupBy("doc_id").agg(F.first("cells").alias("cells")).withColumnRenamed("doc_id", "rep")
+    for best in (True, False):
+        more = stored(across(shared.select("key", "rep", "n"), cells_of, found, tested, percent, best), "more")
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
