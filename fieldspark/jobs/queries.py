@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import draw
 from ..operators import ensemble, lim, linalg, sampling, scale, spatial, state, temporal, verify
 from ..sources import fields
+from . import verification
 
 N = fields.MONTHS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -727,3 +728,44 @@ def train_test(spark, sf_dir):
 @query(f"SELECT range AS member, {_random(5, 'range')} AS seed FROM range(100)")
 def seeds(spark, sf_dir):
     return spark.range(100).select(F.col("id").alias("member"), draw(5, F.col("id")).alias("seed"))
+
+
+# ---- composed jobs -------------------------------------------------------------------------------------------
+@query(f"""WITH {F4}, {GRID}, b AS (SELECT t, sum(value * cell_area) / sum(cell_area) AS glob_mean, avg(value) FILTER (lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290) AS enso FROM f4 JOIN grid USING (cell) GROUP BY t)
+SELECT t, 'glob_mean' AS name, {r('glob_mean')} FROM b UNION ALL SELECT t, 'enso', {r('enso')} FROM b""")
+def scalar_outputs(spark, sf_dir):
+    """Index series of a field through its modes."""
+    f, grid = fields.orders_nation(spark, sf_dir), fields.nation_grid(spark, sf_dir)
+    loadings, _ = linalg.eof(f, 25)
+    pcs = linalg.project(f, loadings)
+    parts = [verification.modes_index(pcs, loadings, verification.weights(grid, i), i).select("t", F.lit(i).alias("name"), "value") for i in ("glob_mean", "enso")]
+    return rounded(parts[0].union(parts[1]), "value")
+
+
+@query()
+def verif_perfect(spark, sf_dir):
+    """The whole report of a lead-1 forecast of the smoothed nation field by its own model."""
+    model, s, loadings = _model(spark, sf_dir)
+    pcs = s.select("t", F.col("mode").cast("int").alias("mode"), "value")
+    ahead = lim.forecast(s, model.g, [1]).select("t", F.col("mode").cast("int").alias("mode"), "value")
+    grid = fields.nation_grid(spark, sf_dir)
+    return verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, ITER)
+
+
+@query()
+def verif_ens(spark, sf_dir):
+    """Reliability with bounds of both events of an ensemble index."""
+    report = verification.ensemble_report(*_ens(spark, sf_dir), N, ITER)
+    parts = [report[f"reliability_{k}"].select(F.lit(k).alias("event"), "bin", "hit_rate", "mean_p", "n", "lower", "upper") for k in ("upper", "lower")]
+    return parts[0].union(parts[1])
+
+
+@query()
+def long_scalar(spark, sf_dir):
+    """The global mean of long integrations, in units of the source's deviation."""
+    model, s, loadings = _model(spark, sf_dir)
+    x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
+    w = verification.weights(fields.nation_grid(spark, sf_dir), "glob_mean")
+    truth = verification.modes_index(s.select("t", F.col("mode").cast("int").alias("mode"), "value"), loadings, w, "glob_mean")
+    series = verification.long_index(lim.ensemble(spark, model, x0, members=4, length=15, steps=60), loadings, w, "glob_mean")
+    return verification.standardized_by(series, truth)
