@@ -36,7 +36,7 @@ from .words import buffers, chunks, firsts, mix, rolling, words
 OUT = ("doc_id", "text", "n_words", "n_removed")
 SEED_WORDS = 5
 #: Bytes of text that one task parses against themselves at a time.
-LOCAL_BYTES = 6 << 20
+LOCAL_BYTES = 4 << 20
 ROW = "block int, doc_id array<long>, print array<long>, doc binary, start binary, size binary, seed binary, phrase binary"
 
 
@@ -134,10 +134,11 @@ def _row(block: int, ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, start
 
 
 FACTOR = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("spans", pa.binary())])
+GROUPED = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("id", "print", "start", "size")]])
 
 
-def _factor(n: int):
-    """Spans (start, end as 32-bit word numbers) by document of what this partition's blocks cover."""
+def _factor(n: int, groups: int):
+    """Rows of spans, one for each group of documents, of what this partition's blocks cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "print", "start", "size", "seed", "phrase")}
@@ -155,11 +156,26 @@ def _factor(n: int):
         if parts["id"]:
             ready.append(_parsed({k: np.concatenate(v) for k, v in parts.items()}, n))
         if ready:
-            yield from _spans(*(np.concatenate(c) for c in zip(*ready, strict=True)))
+            found = [np.concatenate(c) for c in zip(*ready, strict=True)]
+            part = (mix(found[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for own in np.split(order, cuts) if len(order) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([part[own[0]]], pa.int32()), *[pa.array([c[own].tobytes()], pa.binary()) for c in found]], schema=GROUPED)
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with all spans (start, end as 32-bit word numbers) for each document of this partition."""
+    parts = [[], [], [], []]
+    for batch in batches:
+        for k in range(4):
+            parts[k] += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(k + 1)]
+    if parts[0]:
+        yield from _spans(*(np.concatenate(p) for p in parts))
+
+
 def _parsed(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
     """Factors (document, print, first word, words) of the runs against the index of all phrases here."""
     size = p["size"].astype(np.int64)
@@ -194,10 +210,9 @@ def _kept(text: pa.Array, spans: pa.Array) -> pa.Array:
         stay = own
         if found.is_valid:
             edge = np.zeros(len(own) + 1, np.int64)
-            for raw in found.as_py():
-                pairs = np.frombuffer(raw, "<u4").reshape(-1, 2)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1], -1)
+            pairs = np.frombuffer(found.as_buffer(), "<u4").reshape(-1, 2)
+            np.add.at(edge, pairs[:, 0], 1)
+            np.add.at(edge, pairs[:, 1], -1)
             stay = [own[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
         texts.append(b" ".join(stay)), n_words.append(len(own)), n_removed.append(len(own) - len(stay))
     return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["text", "n_words", "n_removed"])
@@ -205,9 +220,11 @@ def _kept(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def factors(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, print, spans) for documents (doc_id, print, text): spans of words that earlier documents hold."""
-    parts = n_parts(docs)
-    parsed = docs.mapInArrow(_parse(n, 4 * parts), ROW)
-    return parsed.repartition(parts, "block").mapInArrow(_factor(n), "doc_id long, print long, spans binary")
+    parts = n_parts(docs, 2 << 20)  # a partition's index holds some 30 bytes for each byte that it receives
+    parsed = docs.mapInArrow(_parse(n, 2 * parts), ROW)
+    groups = n_parts(docs)
+    factored = parsed.repartition(parts, "block").mapInArrow(_factor(n, 4 * groups), "part int, id binary, print binary, start binary, size binary")
+    return factored.repartition(groups, "part").mapInArrow(_gather, "doc_id long, print long, spans binary")
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,7 +235,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -
     keep = tuple(c for c in keep if c not in OUT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep).withColumn("__print", F.xxhash64("text"))
     named = docs.where("doc_id is not null").select("doc_id", F.col("__print").alias("print"), "text")
-    found = factors(named, n).groupBy("doc_id", F.col("print").alias("__print")).agg(F.collect_list("spans").alias("__spans"))
+    found = factors(named, n).select("doc_id", F.col("print").alias("__print"), F.col("spans").alias("__spans"))
     rebuilt = F.arrow_udf(_kept, "struct<text: string, n_words: long, n_removed: long>")
     out = docs.join(found, ["doc_id", "__print"], "left").withColumn("__new", rebuilt("text", "__spans"))
     return out.select("doc_id", *[F.col(f"__new.{c}").alias(c) for c in OUT[1:]], *keep)
