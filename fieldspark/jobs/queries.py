@@ -588,14 +588,14 @@ def _trial_pairs(spark, sf_dir):
     return f.join(verify.trial_obs(d, _starts(spark), TAU, LEN).withColumnRenamed("value", "o"), ["t", "cell"])
 
 
-@query(f"WITH {TR} SELECT cell, {r('avg(r)', 'lac')}, {r('avg(r) * sqrt(count(r)) / stddev_samp(r)', 't_stat')} FROM each GROUP BY cell")
+@query(f"WITH {TR} SELECT cell, {r('avg(r)', 'lac')}, {r('avg(r) * sqrt(count(r)) / stddev_samp(r)', 't_stat')}, abs(avg(r) * sqrt(count(r)) / stddev_samp(r)) >= 2.570581835636314 AS signif FROM each GROUP BY cell")
 def trial_corr(spark, sf_dir):
-    return rounded(verify.trial_skill(_trial_pairs(spark, sf_dir), LEN).select("cell", "lac", "t_stat"), "lac", "t_stat")
+    return rounded(verify.trial_skill(_trial_pairs(spark, sf_dir), LEN, TRIALS).select("cell", "lac", "t_stat", "signif"), "lac", "t_stat")
 
 
 @query(f"WITH {TR} SELECT cell, {r('avg(ce)', 'ce')} FROM each GROUP BY cell")
 def trial_ce(spark, sf_dir):
-    return rounded(verify.trial_skill(_trial_pairs(spark, sf_dir), LEN).select("cell", "ce"), "ce")
+    return rounded(verify.trial_skill(_trial_pairs(spark, sf_dir), LEN, TRIALS).select("cell", "ce"), "ce")
 
 
 def _random(seed: int, *parts: str) -> str:

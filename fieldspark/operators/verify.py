@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import draw, pearson, ratio
@@ -56,11 +56,18 @@ def trial_obs(obs: DataFrame, starts: DataFrame, tau: int, samples: int) -> Data
     return obs.join(want, "t").select(F.col("__t").alias("t"), "cell", "value")
 
 
-def trial_skill(pairs: DataFrame, samples: int) -> DataFrame:
-    """Means over trials of the skill in each trial, and the t statistic of the correlations."""
+def t_critical(spark: SparkSession, freedom: int, p: float = 0.05) -> float:
+    """Two-sided critical value of Student's t, from the library that Spark brings along."""
+    t = spark.sparkContext._jvm.org.apache.commons.math3.distribution.TDistribution(float(freedom))
+    return float(t.inverseCumulativeProbability(1 - p / 2))
+
+
+def trial_skill(pairs: DataFrame, samples: int, trials: int) -> DataFrame:
+    """Means over trials of the skill in each trial, the t statistic of the correlations, and whether it is significant."""
     each = pairs.groupBy("cell", F.floor(F.col("t") / samples).alias("trial")).agg(pearson(F.col("f"), F.col("o")).alias("r"), ce_of(F.col("f"), F.col("o")).alias("ce"))
     t = ratio(F.avg("r") * F.sqrt(F.count("r")), F.stddev_samp("r"))
-    return each.groupBy("cell").agg(F.avg("r").alias("lac"), F.avg("ce").alias("ce"), t.alias("t_stat"))
+    out = each.groupBy("cell").agg(F.avg("r").alias("lac"), F.avg("ce").alias("ce"), t.alias("t_stat"))
+    return out.withColumn("signif", F.abs("t_stat") >= t_critical(pairs.sparkSession, trials - 1))
 
 
 def resamples(series: DataFrame, iterations: int, n: int, seed: int) -> DataFrame:
