@@ -53,8 +53,3 @@ def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
 def filled(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def plain(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra ones with clashing names cannot interfere."""
-    return docs.select(*columns)
