@@ -53,3 +53,18 @@ def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
 def filled(column: str) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def release() -> None:
+    """Gives a worker's free memory back to the system; workers live on between stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass

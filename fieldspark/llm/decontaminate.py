@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled
+from .common import CHUNK_BYTES, filled, release
 from .words import LOWER, NOT_ALNUM, buffers, chunks, hashes, spans
 
 OUT = ("doc_id", "text", "n_words", "n_hit", "items", "spans")
@@ -235,6 +235,7 @@ def _search(blocks, n: int):
             column = column.fill_null("") if column.null_count else column
             _, offsets = buffers(column)
             yield pa.concat_arrays([_shard(column.slice(a, b - a), packed) for a, b in chunks(offsets, 2 * CHUNK_BYTES)])
+        release()
 
     return search
 

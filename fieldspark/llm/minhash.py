@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled, n_parts, stored
+from .common import CHUNK_BYTES, filled, n_parts, release, stored
 from .components import components
 from .words import buffers, chunks, mix, rolling, words
 
@@ -110,6 +110,8 @@ def _signed(n: int):
                     known[d] = signature(own).view(np.int64).tolist() if len(own) else []
                 sizes.append(len(own)), digests.append(d), bands.append(known[d]), counts.append(cells(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(counts, pa.binary())], schema=schema)
+        known.clear()
+        release()
 
     return run
 

@@ -14,6 +14,8 @@ for itself; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import threading
+import time
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filled, n_parts, stored
+from .common import filled, n_parts, release, stored
 
 CAPACITY, END = 2048, 0
 #: Chunks of text in each of the two generations whose ids a worker remembers, over all its tasks.
 REMEMBERED = 700_000
+#: Seconds without work after which a worker forgets them.
+IDLE = 3
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, salt int"
 
 
@@ -55,10 +59,21 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.lock, self.used = threading.Lock(), time.monotonic()
+        threading.Thread(target=self._forget, daemon=True).start()
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[[*vocabulary.values()]] = [len(k) for k in vocabulary]  # a character stands for a byte
 
+    def _forget(self) -> None:
+        """Drops what is remembered once the worker has encoded nothing for a while: it may run other stages next."""
+        while True:
+            time.sleep(1)
+            with self.lock:
+                if self.known and time.monotonic() - self.used > IDLE:
+                    self.known, self.older = {}, {}
+                    release()
+
     def _learn(self, new: list[str]) -> None:
         """Chunks with a space before and no blank elsewhere at their ends are encoded in one go and told apart by size."""
         alone, joined = [], []
@@ -108,18 +123,23 @@ class Encoder:
             while b < len(texts) and (b == a or size + len(texts[b]) <= 2_000_000):
                 size += len(texts[b])
                 b += 1
-            if len(self.known) > REMEMBERED:
-                self.known, self.older = {}, self.known
-            split = []
-            for t in texts[a:b]:
-                # quick way for the usual text: no blank stands beside a space
-                parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t and not _beside(t) else self._split(t)
-                split.append(parts)
-            self._learn([*set(chain.from_iterable(split)).difference(self.known)])
-            for parts in split:
-                yield b"".join(map(self.known.__getitem__, parts))
+            with self.lock:
+                done = self._group(texts[a:b])
+                self.used = time.monotonic()
+            yield from done
             a = b
 
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        split = []
+        for t in texts:
+            # quick way for the usual text: no blank stands beside a space
+            parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t and not _beside(t) else self._split(t)
+            split.append(parts)
+        self._learn([*set(chain.from_iterable(split)).difference(self.known)])
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+
 
 _encoders: dict[str, Encoder] = {}
 

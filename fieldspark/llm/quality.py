@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled, stored
+from .common import CHUNK_BYTES, filled, release, stored
 from .words import buffers, chunks, hashes, rolling
 
 OUT = ("doc_id", "log_weight", "gumbel_key", "kept")
@@ -80,6 +80,7 @@ def _count(good):
                         to += own
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
+        release()
 
     return run
 
