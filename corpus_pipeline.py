@@ -23,34 +23,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
+def _lean(spark: SparkSession) -> None:
+    """Rows of texts go to workers in small batches, for workers and executors serve all stages in turn."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _columns(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _lean(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents that lose all they show."""
+    _lean(spark)
     return _columns(dedup_lines(docs, keep=("lang", "source")).where(r"n_dropped = 0 or text rlike '\\S'"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    _lean(spark)
     gone = near_duplicates(docs, SHINGLE_WORDS, PERCENT).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark phrases go, and documents that lose all they show."""
+    _lean(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _columns(decontaminate(docs, items, keep=("lang", "source")).where(r"n_hit = 0 or text rlike '\\S'"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return pack(docs)
 
 
