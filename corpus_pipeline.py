@@ -33,10 +33,10 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, toxic ones too."""
     _lean(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
+    return classify(docs, labels, keep=COLUMNS[1:], reject_toxic=True).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,22 @@ k is the number of documents whose weight is at least the threshold that ``keep_
 good documents reach. The k-th key is found exactly by refining 16 bits at a time on bucket counts, so
 neither keys nor documents gather anywhere.
 
-The target labels are a sample of at most ``max_labelled`` rows, smallest hash of the id first; all else
-covers all rows.
+With ``reject_toxic``, as in op9_quality and the pipeline, toxic documents are judged apart, go, and do not
+count for k. A token or pair of the lower-cased text, by its
+64-bit hash, is a *mark* if the documents labelled toxic that hold it exceed what chance gives by
+``EVIDENCE`` (log likelihood ratio of a binomial) and its share of them is ``STRONG`` times its share of
+documents labelled not toxic. A document's toxic weight is the sum of log(toxic share / other share) over
+the different marks that it holds, so a few words count in a text of any length. Documents are rejected
+above the weight that ``clean_share`` of those labelled not toxic stay within. Of the features that enough
+toxic documents hold, the ``MAX_MARKS`` commonest are tried.
+
+The labels that the models count are samples of at most ``max_labelled`` rows for each label, smallest hash
+of the id first; all else covers all rows.
 
 Defined results: null text counts as empty; an empty text has weight 0; without any good label every
-weight is 0 and all documents stay; rows with one id share their noise; a null id is allowed; ties at the
+weight is 0 and all documents stay that are not toxic; a null toxic label counts as not toxic for the
+quality target and not at all for toxicity; of several labels of an id the toxic one holds; labels too few
+for any mark reject nothing as toxic; rows with one id share their noise; a null id is allowed; ties at the
 k-th key are all kept; an empty table gives no rows; of clashing columns in ``keep`` the operator's own win.
 """
 
@@ -26,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +46,7 @@ from .words import buffers, chunks, hashes, rolling
 
 OUT = ("doc_id", "log_weight", "gumbel_key", "kept")
 BUCKETS, PRIOR, SCALE, SEED = 1 << 16, 20, 200.0, 17
+EVIDENCE, STRONG, MAX_MARKS = 12.0, 10.0, 1 << 20
 #: 0: blank, 1: letter, digit or not ASCII, 2: ASCII punctuation or control.
 KINDS = np.ones(256, np.uint8)
 KINDS[:0x80] = 2
@@ -41,8 +54,9 @@ KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 KINDS[[0x20, *range(0x09, 0x0E)]] = 0
 
 
-def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """Feature numbers of each text, with repeats."""
+def features(column: pa.Array, bits: int = 16) -> Iterator[np.ndarray]:
+    """Feature numbers of each text, with repeats: the leading bits of their hashes."""
+    shift = np.uint64(64 - bits)
     data, offsets = buffers(column)
     for a, b in chunks(offsets, CHUNK_BYTES):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -56,8 +70,8 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
         starts, ends = at[real], ends[real]
         first = np.searchsorted(starts, own)
         h = hashes(part, starts, ends)
-        one = (h >> np.uint64(48)).astype(np.int64)
-        two = (rolling(h, 2, seed=1) >> np.uint64(48)).astype(np.int64)
+        one = (h >> shift).astype(np.int64)
+        two = (rolling(h, 2, seed=1) >> shift).astype(np.int64)
         for k in range(b - a):
             lo, hi = int(first[k]), int(first[k + 1])
             yield np.concatenate([one[lo:hi], two[lo : max(lo, hi - 1)]])
@@ -107,6 +121,80 @@ def _weight(ratio):
     return weight
 
 
+def _found(f: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``known`` (not empty), and whether they match."""
+    at = np.minimum(np.searchsorted(known, f), len(known) - 1)
+    return at, known[at] == f
+
+
+def _words(column: pa.Array, rows: int = 512) -> Iterator[np.ndarray]:
+    """Full hashes of the features of each text in lower case, lowering some rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from features(pc.utf8_lower(column.slice(k, rows)), 64)
+
+
+def _holders(known=None):
+    """Rows (feature, n): documents of a batch that hold it, of the features ``known`` or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, size, last = [], 0, len(batch) - 1
+            for k, f in enumerate(_words(batch.column(0))):
+                seen.append(np.unique(f if known is None else f[_found(f, known.value)[1]]))
+                size += len(seen[-1])
+                if size > 1 << 20 or k == last:
+                    f, n = np.unique(np.concatenate(seen), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n.astype(np.int64))], names=["feature", "n"])
+                    seen, size = [], 0
+        release()
+
+    return run
+
+
+def _toxicity(labels: DataFrame) -> DataFrame:
+    """doc_id and whether it is toxic, one row for each id with such a label."""
+    some = labels.where("doc_id is not null and toxic is not null")
+    return some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
+
+
+def marks(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features that mark toxic documents, sorted, and their log(toxic share / other share)."""
+    none = np.empty(0, np.int64), np.empty(0)
+    known = _toxicity(labels)
+    part = lambda w: known.where(w).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    texts = {w: docs.select("doc_id", "text").join(F.broadcast(part(w)), "doc_id", "left_semi") for w in ("toxic", "not toxic")}
+    n1, n0 = (d.count() for d in texts.values())
+    if not n1 or not n0:
+        return none
+    base = n1 / (n1 + n0)
+    enough = int(np.ceil(EVIDENCE / -np.log(base)))
+    total = lambda w, ids: texts[w].select("text").mapInArrow(_holders(ids), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    often = total("toxic", None).where(F.col("n") >= enough).orderBy(F.desc("n"), "feature").limit(MAX_MARKS).toArrow()
+    order = np.argsort(often["feature"].to_numpy())
+    f, a = often["feature"].to_numpy()[order], often["n"].to_numpy()[order].astype(float)
+    if not len(f):
+        return none
+    other = total("not toxic", docs.sparkSession.sparkContext.broadcast(f)).toArrow()  # MAX_MARKS rows at most
+    b = np.zeros(len(f))
+    b[np.searchsorted(f, other["feature"].to_numpy())] = other["n"].to_numpy()
+    weight = np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
+    evidence = a * np.log(a / (a + b) / base) + b * np.log(np.maximum(b, 1) / (a + b) / (1 - base))
+    strong = (evidence >= EVIDENCE) & (weight >= np.log(STRONG))
+    return f[strong], weight[strong]
+
+
+def _toxic_weight(model):
+    def weight(text: pa.Array) -> pa.Array:
+        known, w = model.value
+        out = []
+        for f in _words(text):
+            at, same = _found(f, known)
+            out.append(float(w[np.unique(at[same])].sum()))
+        return pa.array(out, pa.float64())
+
+    return weight
+
+
 def gumbel(column: str, seed: int = SEED) -> Column:
     """Standard Gumbel noise from a hash of a column: the same in every run."""
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 11).cast("double") + 0.5) * F.lit(2.0**-53)
@@ -129,26 +217,38 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, log_weight and ``keep``."""
+def weigh(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, keep: tuple[str, ...] = (), reject_toxic: bool = False) -> DataFrame:
+    """doc_id, log_weight, the toxic weight as __toxic and ``keep``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, max_labelled))  # BUCKETS numbers
-    weight = F.arrow_udf(_weight(ratio), "double")
-    return docs.select("doc_id", weight("text").alias("log_weight"), *[F.col(f"__{c}").alias(c) for c in keep])
+    share = docs.sparkSession.sparkContext.broadcast
+    weight = F.arrow_udf(_weight(share(log_ratio(docs, labels, max_labelled))), "double")  # BUCKETS numbers
+    model = marks(docs, labels, max_labelled) if reject_toxic else ((), ())
+    toxic = F.arrow_udf(_toxic_weight(share(model)), "double")("text") if len(model[0]) else F.lit(0.0)
+    return docs.select("doc_id", weight("text").alias("log_weight"), toxic.alias("__toxic"), *[F.col(f"__{c}").alias(c) for c in keep])
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_share: float = 0.999, max_labelled: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep_share: float = 0.999, max_labelled: int = 50_000, keep: tuple[str, ...] = (), reject_toxic: bool = False, clean_share: float = 0.999) -> DataFrame:
     """doc_id, log_weight, gumbel_key, kept and ``keep``, one row per document.
 
     keep_share: share of labelled good documents whose weight defines k.
+    reject_toxic: documents whose toxic weight is too high go as well.
+    clean_share: share of the documents labelled not toxic whose toxic weight defines the rejection.
     """
     keep = tuple(c for c in keep if c not in OUT)
-    weighed = stored(weigh(docs, labels, max_labelled, keep).withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id")), "weighed")
-    scores = weighed.select("doc_id", F.expr("cast(round(log_weight * 1e6) as long)").alias("w"), F.expr("cast(round(gumbel_key * 1e6) as long)").alias("key"))
+    weighed = stored(weigh(docs, labels, max_labelled, keep, reject_toxic).withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id")), "weighed")
+    scores = weighed.select("doc_id", *[F.expr(f"cast(round({c} * 1e6) as long)").alias(n) for c, n in (("log_weight", "w"), ("gumbel_key", "key"), ("__toxic", "t"))])
+    most = None
+    if reject_toxic:
+        clean = scores.join(_toxicity(labels).where("not toxic"), "doc_id", "left_semi").select(F.col("t").alias("key"))
+        n = clean.count()
+        most = kth_largest(clean, int((1 - clean_share) * n) + 1) if n else None
+    fine = F.lit(True) if most is None else F.expr(f"cast(round(__toxic * 1e6) as long) <= {most}L")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = scores.join(good, "doc_id", "left_semi").select(F.col("w").alias("key"))
     floor = kth_largest(known, int(np.ceil(keep_share * known.count())))
     if floor is None:
-        return weighed.select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"), *keep)
-    least = kth_largest(scores, scores.where(F.col("w") >= floor).count())
-    return weighed.select("doc_id", "log_weight", "gumbel_key", (F.expr("cast(round(gumbel_key * 1e6) as long)") >= least).alias("kept"), *keep)
+        return weighed.select("doc_id", "log_weight", "gumbel_key", fine.alias("kept"), *keep)
+    rest = scores if most is None else scores.where(F.col("t") <= most)
+    least = kth_largest(rest, rest.where(F.col("w") >= floor).count())
+    enough = F.lit(False) if least is None else F.expr("cast(round(gumbel_key * 1e6) as long)") >= least
+    return weighed.select("doc_id", "log_weight", "gumbel_key", (enough & fine).alias("kept"), *keep)

@@ -74,7 +74,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), reject_toxic=True)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,31 @@ def test_held_out_accuracy(spark):
     assert kept.get(0, 0) / share[0] < 0.1
 
 
+def test_toxic_documents_go(spark):
+    """Fitted on half of the labels, it drops most toxic documents of good quality of the other half and few others."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = classify(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("hash(doc_id) % 2 = 0"), reject_toxic=True)
+    held = got.join(labels.where("hash(doc_id) % 2 <> 0 and quality = 1"), "doc_id").groupBy("toxic").count()
+    total = dict(held.collect())
+    kept = dict(got.where("kept").join(labels.where("hash(doc_id) % 2 <> 0 and quality = 1"), "doc_id").groupBy("toxic").count().collect())
+    shares = f"held out: {total} kept: {kept}"
+    assert kept.get(1, 0) / total[1] < 0.15, shares
+    assert kept[0] / total[0] > 0.98, shares
+
+
+def test_toxic_marks_by_hand(spark):
+    """A marked word counts in a long text and in capitals; frequent harmless words do not."""
+    rng = random.Random(4)
+    plain = lambda n: " ".join(rng.choice("red green blue grey pink".split()) for _ in range(n))
+    docs = [(i, plain(30)) for i in range(60)] + [(100 + i, plain(30) + " vile " + plain(5)) for i in range(20)]
+    docs += [(200, plain(3000) + " VILE " + plain(3000)), (201, plain(6000)), (None, "vile")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 1, 1) for i in range(20)] + [(None, 1, 1), (201, 1, None)], LABELS)
+    kept = {r.doc_id: r.kept for r in classify(frame(spark, docs), labels, reject_toxic=True).collect()}
+    assert not any(kept[i] for i in [*range(100, 120), 200, None])
+    assert sum(kept[i] for i in [*range(60), 201]) >= 60
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     values = [rng.choice([rng.randint(-(10**15), 10**15), rng.randint(-3, 3), 7]) for _ in range(500)]
