@@ -423,6 +423,9 @@ def basis_chain(spark, sf_dir):
     return rounded(linalg.reconstruct(linalg.project(f, both), both), "value")
 
 
+#: Leading modes of the state of all cells.
+LEADING = 10
+
 # ---- the model -----------------------------------------------------------------------------------------------
 TWO = f"{F5}, x AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f5 WHERE cell IN (3, 8)), y AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS v FROM x WHERE t BETWEEN 2 AND {N - 3}), z AS (SELECT t, max(v) FILTER (cell = 3) AS a, max(v) FILTER (cell = 8) AS b FROM y GROUP BY t)"
 TWO_G = f"""{TWO}, p AS (SELECT t, a, b, lead(a) OVER (ORDER BY t) AS a1, lead(b) OVER (ORDER BY t) AS b1 FROM z), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a1 * a) AS ka, sum(a1 * b) AS kb, sum(b1 * a) AS la, sum(b1 * b) AS lb FROM p WHERE a1 IS NOT NULL),
@@ -453,6 +456,39 @@ def lim_modes(spark, sf_dir):
     return rounded(lim.eigen_modes(spark, lim.fit(_two(spark, sf_dir))).select("mode", "re", "efold"), "re", "efold")
 
 
+def _whole(spark, sf_dir):
+    """All cells of the smoothed, centred field as a state of its leading modes, and their loadings."""
+    f = temporal.run_mean_trim(fields.lineitem_snation(spark, sf_dir), 5, N)
+    f = f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
+    loadings, _ = linalg.eof(f, LEADING)
+    return linalg.project(f, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value"), loadings, f
+
+
+@query()
+def lim_fit_G_state(spark, sf_dir):
+    return rounded(lim.fit(_whole(spark, sf_dir)[0]).to_df(spark).select("i", "j", "re"), "re")
+
+
+@query()
+def lim_forecast_state(spark, sf_dir):
+    """Lead-2 forecasts of every cell."""
+    s, loadings, _ = _whole(spark, sf_dir)
+    ahead = lim.forecast(s, lim.fit(s).g, [2]).select("t", F.col("mode").cast("int").alias("mode"), "value")
+    return rounded(linalg.reconstruct(ahead, loadings), "value")
+
+
+@query()
+def lim_modes_state(spark, sf_dir):
+    return rounded(lim.eigen_modes(spark, lim.fit(_whole(spark, sf_dir)[0])), "re", "im", "efold", "period")
+
+
+@query()
+def xfcast_state(spark, sf_dir):
+    """Every cell a feature, forecast in the state's leading modes and taken back."""
+    s, loadings, f = _whole(spark, sf_dir)
+    return rounded(lim.cross_forecast(lim.fit(s), ["x"], ["x"], f.withColumnRenamed("cell", "feature"), loadings), "value")
+
+
 def _model(spark, sf_dir):
     """A model with noise on three modes of the smoothed, centred, standardised nation field, and its state."""
     f = temporal.run_mean_trim(fields.orders_nation(spark, sf_dir), 5, N)
@@ -628,6 +664,26 @@ def verif_table(spark, sf_dir):
     return rounded(t, *[c for c in t.columns if c not in ("variable", "average", "scalar")])
 
 
+#: Bootstrap draws of the reports without SQL.
+DRAWS = 10_000
+
+
+@query()
+def boot_ci_cells(spark, sf_dir):
+    """Bounds of every cell."""
+    p = _pairs(spark, sf_dir)
+    parts = [verify.bootstrap(p, PAIRED, m, DRAWS, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
+    return rounded(parts[0].union(parts[1]), "mean", "low", "high")
+
+
+@query()
+def verif_table_cells(spark, sf_dir):
+    """The table's row for every cell."""
+    p = _pairs(spark, sf_dir)
+    t = verify.verification_table(p, p, PAIRED, DRAWS, ("region", "none", "cell"), by=("cell",))
+    return rounded(t.withColumn("scalar", F.concat("scalar", F.col("cell").cast("string"))), *[c for c in t.columns if c not in ("cell", "variable", "average", "scalar")])
+
+
 @query(f"WITH {F4}, {GRID} SELECT t, {r('sum(value * cell_area) / sum(cell_area)')} FROM f4 JOIN grid USING (cell) GROUP BY t")
 def glob_mean(spark, sf_dir):
     """Through all modes: the index is a short sum over them, and equals the mean over cells."""

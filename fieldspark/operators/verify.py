@@ -70,28 +70,30 @@ def trial_skill(pairs: DataFrame, samples: int, trials: int) -> DataFrame:
     return out.withColumn("signif", F.abs("t_stat") >= t_critical(pairs.sparkSession, trials - 1))
 
 
-def resamples(series: DataFrame, iterations: int, n: int, seed: int) -> DataFrame:
-    """(iteration, f, o): n rows of (t, f, o), t in 0 .. n - 1, drawn with replacement in each iteration."""
+def resamples(series: DataFrame, iterations: int, n: int, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, iteration, f, o): n rows of (by, t, f, o), t in 0 .. n - 1, drawn with replacement in each iteration; the same t for all groups."""
     it = series.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     drawn = it.select("iteration", (draw(seed, F.col("iteration"), F.col("k")) % n).alias("t"))
-    return drawn.join(series, "t").select("iteration", "f", "o")
+    return drawn.join(series, "t").select(*by, "iteration", "f", "o")
 
 
-def bootstrap(series: DataFrame, n: int, metric: str = "r", iterations: int = 10_000, seed: int = 7) -> DataFrame:
-    """One row: the bootstrap mean and the 2.5 and 97.5 percentiles of r or ce."""
+def bootstrap(series: DataFrame, n: int, metric: str = "r", iterations: int = 10_000, seed: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
+    """The bootstrap mean and the 2.5 and 97.5 percentiles of r or ce: one row, or one for each group of ``by``."""
     of = {"r": pearson, "ce": ce_of}[metric]
-    each = resamples(series, iterations, n, seed).groupBy("iteration").agg(of(F.col("f"), F.col("o")).alias("m"))
+    each = resamples(series, iterations, n, seed, by).groupBy(*by, "iteration").agg(of(F.col("f"), F.col("o")).alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.agg(F.avg("m").alias("mean"), p.alias("p")).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return each.groupBy(*by).agg(F.avg("m").alias("mean"), p.alias("p")).select(*by, "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
-def verification_table(series: DataFrame, persistence: DataFrame, n: int, iterations: int, keys: tuple[str, str, str]) -> DataFrame:
-    """One row with three keys and r, ce and their persistence twins, each with its bounds."""
+def verification_table(series: DataFrame, persistence: DataFrame, n: int, iterations: int, keys: tuple[str, str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each group of ``by``) with three keys and r, ce and their persistence twins, each with its bounds."""
     out = series.sparkSession.createDataFrame([keys], "variable string, average string, scalar string")
+    if by:
+        out = series.select(*by).distinct().crossJoin(F.broadcast(out))
     for name, frame in (("", series), ("auto1_", persistence)):
         for m in METRICS:
-            b = bootstrap(frame, n, m, iterations).select(*[F.col(c).alias(f"{name}{m}{s}") for c, s in (("mean", ""), ("low", "_low"), ("high", "_high"))])
-            out = out.join(F.broadcast(b))  # one row each
+            b = bootstrap(frame, n, m, iterations, by=by).select(*by, *[F.col(c).alias(f"{name}{m}{s}") for c, s in (("mean", ""), ("low", "_low"), ("high", "_high"))])
+            out = out.join(b, list(by), "left") if by else out.join(F.broadcast(b))  # one row each
     return out
 
 
