@@ -425,6 +425,8 @@ def basis_chain(spark, sf_dir):
 
 #: Leading modes of the state of all cells.
 LEADING = 10
+#: Members of integrations with noise, of 1440 steps a unit.
+MEMBERS_RUN = 100
 
 # ---- the model -----------------------------------------------------------------------------------------------
 TWO = f"{F5}, x AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f5 WHERE cell IN (3, 8)), y AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS v FROM x WHERE t BETWEEN 2 AND {N - 3}), z AS (SELECT t, max(v) FILTER (cell = 3) AS a, max(v) FILTER (cell = 8) AS b FROM y GROUP BY t)"
@@ -511,7 +513,7 @@ def lim_fit_Q(spark, sf_dir):
 def lim_noise(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
-    return lim.ensemble(spark, m, x0, members=8, length=2, steps=240)
+    return lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=2)
 
 
 @query()
@@ -520,7 +522,7 @@ def ens_1yr(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     rows = s.where(f"t >= {N - 14}").orderBy("t", "mode").collect()
     x0 = np.array([x.value for x in rows]).reshape(-1, 3)
-    e = lim.ensemble(spark, m, x0, members=16, steps=240)
+    e = lim.ensemble(spark, m, x0, members=MEMBERS_RUN)
     return e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members"))
 
 
@@ -528,7 +530,7 @@ def ens_1yr(spark, sf_dir):
 def ens_long(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
-    return lim.ensemble(spark, m, x0, members=8, length=20, steps=120).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std"))
+    return lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=20).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std"))
 
 
 @query()
@@ -805,13 +807,13 @@ def verif_perfect(spark, sf_dir):
     pcs = s.select("t", F.col("mode").cast("int").alias("mode"), "value")
     ahead = lim.forecast(s, model.g, [1]).select("t", F.col("mode").cast("int").alias("mode"), "value")
     grid = fields.nation_grid(spark, sf_dir)
-    return verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, ITER)
+    return verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, DRAWS)
 
 
 @query()
 def verif_ens(spark, sf_dir):
     """Reliability with bounds of both events of an ensemble index."""
-    report = verification.ensemble_report(*_ens(spark, sf_dir), N, ITER)
+    report = verification.ensemble_report(*_ens(spark, sf_dir), N)
     parts = [report[f"reliability_{k}"].select(F.lit(k).alias("event"), "bin", "hit_rate", "mean_p", "n", "lower", "upper") for k in ("upper", "lower")]
     return parts[0].union(parts[1])
 
@@ -823,5 +825,5 @@ def long_scalar(spark, sf_dir):
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
     w = verification.weights(fields.nation_grid(spark, sf_dir), "glob_mean")
     truth = verification.modes_index(s.select("t", F.col("mode").cast("int").alias("mode"), "value"), loadings, w, "glob_mean")
-    series = verification.long_index(lim.ensemble(spark, model, x0, members=4, length=15, steps=60), loadings, w, "glob_mean")
+    series = verification.long_index(lim.ensemble(spark, model, x0, members=MEMBERS_RUN, length=15), loadings, w, "glob_mean")
     return verification.standardized_by(series, truth)
