@@ -2,15 +2,23 @@
 
 A page is read into a tree of elements; paragraphs pass points for their length and their commas to
 their ancestors (all of it to the parent, less with each further level); an ancestor's points are
-discounted by its link density. The best container stays, with those of its siblings that score well
-or read like running text. Menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out before scoring.
+discounted by its link density, and weigh a quarter more for an article or main element. The best container
+stays, with those of its siblings that score well or read like running text; inside an article any sibling
+that is not mostly links, at each level up to it. Menus, page headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments are left out before scoring, by element, role or name: a
+negative word in a class or id counts whatever else the name says, also on an article. Lists of nothing but
+three or more short links are menus as well.
 
 Text is split into blocks at block elements; character references are decoded; white space inside a
 block becomes one space; blocks stand in page order with an empty line between them.
 
+Time is in proportion to a page's length, also for malformed ones: no part of the scanner goes back, and the
+places of open elements are kept by name.
+
 Defined results: null or empty html, or a page without text, gives an empty text; unclosed and wrongly
-nested tags are repaired as browsers do in the common cases; each row is read alone, so repeated rows
+nested tags are repaired as browsers do in the common cases; a quote that never closes ends with the word or
+the tag; a tag that the page's end cuts off is dropped; a dropped element that is never closed ends with the
+element around it; each row is read alone, so repeated rows
 and ids are fine; extra columns are ignored.
 """
 
@@ -23,8 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+#: One attribute: a name and perhaps a value in quotes or without. A quote that never closes counts as part of
+#: a bare value. No part gives back what it took, so that a page is read in time proportional to its length.
+ONE = r"""(?>[\s/]*+([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+)"""
+TAG = re.compile(rf"<(/?+)([a-zA-Z][^\s/>]*+)((?>{ONE.replace('([', '(?:[')})*+[\s/]*+)(?:>|\Z)", re.S)
+OTHER = re.compile(r"<(?:!--(?:>|->|.*?(?:-->|--!>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z>][^>]*+(?:>|\Z)|/>)", re.S)
+ATTRIBUTE = re.compile(ONE, re.S)
 SPACE = re.compile(r"\s+")
 COMMA = re.compile("[,،、，﹐︑]")
 
@@ -33,14 +45,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head script style noscript template svg math canvas iframe object embed audio video nav footer aside form button input select textarea option label fieldset dialog menu title".split())
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements that end an open <p>.
 ENDS_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An element ends an open one of these names, up to the named container.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-NEGATIVE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget\w*|footer|masthead|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social\w*|comments?|disqus|replies|related|recommend\w*|pagination|pager|skip-?link|hidden|hide)(?=$|[\s_-])", re.I)
+#: Words in names of classes and ids that mark boilerplate, wherever else the name says.
+NEGATIVE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr hidden hide login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promoted promotion recommendation recommendations recommended related replies reply respond share sharing sidebar signup skiplink social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
+#: Names that start so tell what a page has or is about, not what the element is.
+ABOUT = frozenset("no not has have with without category cat tag topic layout js supports".split())
+#: Names that are a page's header as a whole.
+HEADERS = frozenset(("header", "site-header", "page-header", "top-header", "global-header"))
 POSITIVE = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
+PARTS = re.compile(r"[-_:.\s]+|(?<=[a-z0-9])(?=[A-Z])")
+JOINED = re.compile(r"\b(side|pop|sign|skip|log|nav|foot)[-_](bar|up|link|in|er)\b", re.I)
 HEADER_INSIDE = frozenset(("article", "main", "section"))
+WALLS = frozenset(("article", "main", "table", "div", "section"))
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 div section article".split())
 
 
@@ -55,106 +77,159 @@ class Node:
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+    """The first of equal names counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def negative(names: str, inside: bool) -> bool:
+    """True if a class or id names boilerplate; ``inside``: in an article, where a header belongs to it."""
+    for name in JOINED.sub(r"\1\2", names).split():
+        parts = [p.lower() for p in PARTS.split(name) if p]
+        if parts and parts[0] not in ABOUT and not NEGATIVE.isdisjoint(parts) or not inside and name.lower() in HEADERS:
+            return True
+    return False
 
 
-def boilerplate(name: str, raw: str, stack: list[Node]) -> bool:
-    if name in DROPPED or name == "header" and not any(n.name in HEADER_INSIDE for n in stack):
+def boilerplate(name: str, raw: str, inside: bool) -> bool:
+    if name in DROPPED or name == "header" and not inside:
         return True
-    if not raw or name in ("body", "html", "article", "main"):
+    if not raw:
         return False
     own = attributes(raw)
     if own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
         return True
-    says = f"{own.get('class', '')} {own.get('id', '')}"
-    return bool(NEGATIVE.search(says)) and not POSITIVE.search(NEGATIVE.sub(" ", says))
+    return negative(f"{own.get('class', '')} {own.get('id', '')}", inside)
+
+
+class Open:
+    """The open elements, with the places of each name, of the blocks and of those that inline end tags do not cross."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks, self.walls = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.name, []).append(k)
+        if node.name in BLOCKS:
+            self.blocks.append(k)
+            if node.name in WALLS:
+                self.walls.append(k)
+
+    def cut(self, k: int) -> None:
+        """Closes the element at ``k`` and all inside it."""
+        for node in reversed(self.nodes[k:]):
+            self.at[node.name].pop()
+        del self.nodes[k:]
+        for places in (self.blocks, self.walls):
+            while places[-1] >= k:
+                places.pop()
+
+    def last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, name: str) -> None:
+        k = self.last((name,))
+        if k and (name in BLOCKS or self.walls[-1] <= k):
+            self.cut(k)
+
+    def end_p(self) -> None:
+        k = self.blocks[-1]
+        if self.nodes[k].name == "p":
+            self.cut(k)
 
 
 def parse(page: str) -> Node:
     """The tree without its boilerplate subtrees. Text nodes are strings with references decoded."""
     root = Node("html", "", None)
-    stack, at, n = [root], 0, len(page)
+    tree, at, n = Open(root), 0, len(page)
     skip: list[str] = []  # open elements inside a dropped one
+    skipped: dict[str, int] = {}
+
+    def unskip(name: str) -> None:
+        while True:
+            last = skip.pop()
+            skipped[last] -= 1
+            if last == name:
+                return
+
     while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
+        k = page.find("<", at)
+        m = None
+        while k >= 0:
+            m = TAG.match(page, k) or OTHER.match(page, k)
+            if m:
+                break
+            k = page.find("<", k + 1)
+        end = k if m else n
         if end > at and not skip:
-            stack[-1].children.append(html.unescape(page[at:end]))
+            tree.nodes[-1].children.append(html.unescape(page[at:end]))
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if m.re is OTHER:
+            if m[0].startswith("<![CDATA[") and not skip:
+                tree.nodes[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
-        name = m[2].lower()
+        if page[at - 1] != ">":
+            break  # the page ends inside a tag
+        name, raw = m[2].lower(), m[3]
         if m[1]:
-            if skip:
-                if name in skip:
-                    while skip.pop() != name:
-                        pass
-                elif any(x.name == name for x in stack[1:]) and name in BLOCKS and name != "p":
-                    skip.clear()  # the dropped element was never closed
-                    _close(stack, name)
-            else:
-                _close(stack, name)
+            if not skip:
+                tree.close(name)
+            elif skipped.get(name):
+                unskip(name)
+            elif tree.at.get(name) and name in BLOCKS and name != "p":
+                skip.clear(), skipped.clear()  # the dropped element was never closed
+                tree.close(name)
             continue
-        raw = m[3].rstrip("/") if m[3] else ""
+        alone = raw.endswith("/")
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             if not skip and name not in DROPPED:
-                stack[-1].children.append(page[at : close.start() if close else n])
-            at = close.end() if close else n
+                text = page[at : close.start() if close else n]
+                tree.nodes[-1].children.append(html.unescape(text) if name in ("textarea", "title") else text)
+            at = close.start() if close else n
+            skipped_end = page.find(">", at) if close else -1
+            at = skipped_end + 1 if skipped_end >= 0 else n
             continue
+        if skip == ["head"] and name not in IN_HEAD:
+            skip.clear(), skipped.clear()
         if skip:
-            if name not in VOID and not (m[3] or "").endswith("/"):
-                if name in ("p", "li") and skip[-1] == name:
-                    skip.pop()
+            if name not in VOID and not alone:
+                if name in ("p", "li") and skip[-1] == name and len(skip) > 1:
+                    unskip(name)
                 skip.append(name)
+                skipped[name] = skipped.get(name, 0) + 1
             continue
         if name in ("html", "body"):
             continue
         if name in ENDS_P:
-            _end_p(stack)
+            tree.end_p()
         if name in ENDS:
             closes, within = ENDS[name]
-            k = len(stack) - 1
-            while k > 0 and stack[k].name not in within and stack[k].name not in closes:
-                k -= 1
-            if k > 0 and stack[k].name in closes:
-                del stack[k:]
+            k = tree.last(closes)
+            if k and k > tree.last(within):
+                tree.cut(k)
         if name in VOID:
             if name in BLOCKS:
-                stack[-1].children.append(Node(name, "", stack[-1]))
+                tree.nodes[-1].children.append(Node(name, "", tree.nodes[-1]))
             continue
-        if boilerplate(name, raw, stack):
-            if name in ENDS_P or name not in ("label", "input", "option"):
-                stack[-1].children.append(Node("br" if name in BLOCKS else "span", "", stack[-1]))
-            if not (m[3] or "").endswith("/"):
+        if boilerplate(name, raw.rstrip("/"), bool(tree.last(HEADER_INSIDE))):
+            tree.nodes[-1].children.append(Node("br" if name in BLOCKS else "span", "", tree.nodes[-1]))
+            if not alone:
                 skip.append(name)
+                skipped[name] = 1
             continue
-        node = Node(name, raw, stack[-1])
-        stack[-1].children.append(node)
-        stack.append(node)
+        node = Node(name, raw, tree.nodes[-1])
+        tree.nodes[-1].children.append(node)
+        tree.push(node)
     return root
 
 
-def _close(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in ("article", "main", "table", "div", "section") and name not in BLOCKS:
-            return
-
-
-def _end_p(stack: list[Node]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == "p":
-            del stack[k:]
-            return
-        if stack[k].name in BLOCKS:
-            return
-
-
 def score(root: Node) -> list[Node]:
     """Fills in text sizes and points; returns the containers that got points."""
     order: list[tuple[Node, bool]] = []
@@ -203,32 +278,46 @@ def density(node: Node) -> float:
     return min(1.0, node.linked / node.chars) if node.chars else 0.0
 
 
+def menu(node: Node) -> bool:
+    """A list of at least three short links and nothing else."""
+    if node.name not in ("ul", "ol") or not node.chars or node.linked < node.chars:
+        return False
+    entries = sum(isinstance(c, Node) and c.name == "li" and c.chars > 0 for c in node.children)
+    return entries >= 3 and node.chars <= 25 * entries
+
+
+def belongs(node: Node, least: float, article: bool) -> bool:
+    """Whether a sibling of the best container is part of the text."""
+    if not node.chars or density(node) >= 0.5 or menu(node):
+        return False
+    if article or node.score >= least:
+        return True
+    if density(node) >= 0.25:
+        return False
+    if node.name in ("p", "blockquote", "pre"):
+        return node.chars > 80 or node.commas > 0
+    return node.name in ("h1", "h2", "h3") or node.chars > 250
+
+
 def chosen(root: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to the article."""
+    """The best container and its siblings that belong to the text; inside an article, level by level up to it."""
     best = max(score(root), key=lambda n: n.score, default=None)
-    if best is None:
+    if best is None or best.parent is None:
         return [root]
-    # an enclosing article holds the whole text, also where the best section is inside it
-    up = best.parent
-    while up is not None and best.name not in ("article", "main"):
-        if up.name in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    if best.parent is None:
-        return [best]
     least = max(10.0, best.score * 0.2)
-    out = []
-    for node in best.parent.children:
-        if node is best:
-            out.append(node)
-        elif isinstance(node, Node) and best.name not in ("article", "main"):
-            if node.score >= least or node.name == best.name == "article":
-                out.append(node)
-            elif node.name in ("p", "h1", "h2", "h3", "blockquote", "pre") and density(node) < 0.25 and (node.chars > 80 or node.commas or node.name[0] == "h"):
-                out.append(node)
-        elif isinstance(node, Node) and node.name == best.name and node.score >= least:
-            out.append(node)
+    if best.name in ("article", "main"):
+        return [n for n in best.parent.children if n is best or isinstance(n, Node) and n.name == best.name and n.score >= least and density(n) < 0.5]
+    path, up = [best], best.parent
+    while up is not None and up.name not in ("article", "main"):
+        path.append(up)
+        up = up.parent
+    inside = up is not None
+    out = [best]
+    for at in path if inside else path[:1]:
+        children = at.parent.children
+        place = next(i for i, c in enumerate(children) if c is at)
+        left, right = ([c for c in part if isinstance(c, Node) and belongs(c, least, inside)] for part in (children[:place], children[place + 1 :]))
+        out = [*left, *out, *right]
     return out
 
 
@@ -249,6 +338,8 @@ def blocks(nodes: list[Node]) -> list[str]:
         elif isinstance(x, str):
             parts.append(x)
         elif x.name in BLOCKS:
+            if menu(x):
+                continue
             flush()
             todo.append(None)
             todo += reversed(x.children)
