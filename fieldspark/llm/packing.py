@@ -14,6 +14,7 @@ for itself; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import threading
 import time
 import zlib
@@ -46,7 +47,8 @@ class Encoder:
     """Token ids as little-endian bytes, from a ``tokenizers`` byte-level vocabulary.
 
     Its pre-tokenizer never joins across a space between two non-blank characters: the pieces before
-    and after are encoded alone, and the ids of pieces already seen are remembered.
+    and after are encoded alone, and the ids of pieces already seen are remembered. A text that holds one of
+    the vocabulary's added tokens goes to the tokenizer as it is, which gives the token its own id.
     """
 
     def __init__(self, path: str):
@@ -56,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.lock, self.used = threading.Lock(), time.monotonic()
@@ -132,13 +135,17 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        split = []
-        for t in texts:
+        split, whole = [], {}
+        for k, t in enumerate(texts):
+            if self.added.search(t):
+                whole[k] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+                split.append([])
+                continue
             # quick way for the usual text: no blank stands beside a space
             parts = t.replace(" ", "\0 ").split("\0") if "\0" not in t and not _beside(t) else self._split(t)
             split.append(parts)
         self._learn([*set(chain.from_iterable(split)).difference(self.known)])
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        return [whole[k] if k in whole else b"".join(map(self.known.__getitem__, parts)) for k, parts in enumerate(split)]
 
 
 _encoders: dict[str, Encoder] = {}

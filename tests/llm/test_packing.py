@@ -13,19 +13,26 @@ from .data import edge_texts, frame, rows
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def test_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(1)
     blanks = ["a", "b", " ", " ", "\n", "\t", "'s", "1", ".", "é", "\x0b", "\xa0", "　", "\x1f", "\x85", " ", "\0"]
-    texts = ["", " ", "  ", "don't  stop", "<|endoftext|> z"] + ["".join(rng.choice(blanks) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = ["", " ", "  ", "don't  stop", "<|endoftext|> z", "hello<|endoftext|>", "a <|endoftext|> <|endoftext|>b  c", "<|endoftext|", "<|endoftext|>" * 3 + " x"] + ["".join(rng.choice(blanks) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for text, ids in zip(texts, Encoder(tokenizer_file()).encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_have_their_ids(spark, tokenizer):
+    docs = [(1, "hello<|endoftext|>"), (2, "x " * 3000 + "<|endoftext|> y"), (3, "plain")]
+    got = defaultdict(list)
+    for r in sorted(pack(frame(spark, docs), with_ids=True).collect(), key=lambda r: r.piece):
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got[1] == [31373, 50256, 0]
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in docs}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_plan_is_gapless_and_whole(seed):
     rng = random.Random(seed)
