@@ -3,14 +3,16 @@
 Texts are lowered (A-Z) and split at ``[\\x20\\x09-\\x0D]``; one end token follows. The model learns from the
 documents whose crc32 of the id, as text, is not 1 modulo 5.
 
-1. *Counting.* Every task counts the bigrams of some MB of text and sends them to the shard of their first
-   word, one entry for each distinct bigram of the chunk, so a frequent word costs at most one entry for each
-   distinct successor and chunk. A shard adds them up, writes its bigrams and sends on, to the shards of the
-   second words, how many contexts each has.
+1. *Counting.* Every task counts the bigrams of some MB of text and sends them to a shard, one entry for each
+   distinct bigram of the chunk. A word's successors are spread over a sixteenth of all shards, by their own
+   hash, so that the most frequent first word fills no shard far beyond the others, at any size. A shard adds
+   its bigrams up, writes them and sends on, to the shards of the words: of first words, its part of their
+   counts as context, which are added there; of second words, how many contexts each has.
 2. *Storage.* A shard's files hold hashes in sorted order: bigrams as 16 leading bits (an offset table), 32
    more bits and a count; words as 64 bits with their counts. They lie in the folder of
    ``spark.checkpoint.dir``, which must be mounted (``file:``): workers map them into memory, so a worker reads
-   the pages it needs. The number of shards grows with the data.
+   the pages it needs. The number of shards grows with the data. Tasks return the shards that they wrote, and
+   a worker that misses the file of one of these raises.
 3. *Scoring.* A worker looks up the distinct words and bigrams of some MB of text in hash order.
 
 p(w | v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), where p(w) is of the same form over the numbers of contexts,
@@ -40,7 +42,7 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 COUNT_BYTES, SCORE_BYTES = 12 << 20, 4 << 20
 ROW = "shard int, kind int, a binary, b binary, c binary, d binary"
 SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
-STATS = "n1 long, n2 long, n3 long, n4 long, types long, tokens long"
+STATS = "n1 long, n2 long, n3 long, n4 long, types long, tokens long, shard long"
 STATS_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in STATS.split(", ")])
 
 
@@ -67,6 +69,13 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h) % np.uint64(shards)).astype(np.int64)
 
 
+def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a bigram: one of a sixteenth of the shards, evenly spaced from that of its first word."""
+    spread = max(1, shards // 16)
+    step = mix(w ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(spread) * np.uint64(shards // spread)
+    return ((mix(v) % np.uint64(shards) + step) % np.uint64(shards)).astype(np.int64)
+
+
 def by_shard(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(s, kind="stable")
     cuts = np.flatnonzero(np.diff(s[order])) + 1
@@ -91,14 +100,16 @@ def _count(shards: int):
                     v, w, rest = np.repeat(v, times), np.repeat(w, times), n - (times - 1) * 255
                     n = np.full(len(v), 255)
                     n[last] = rest
-                order = np.argsort(v, kind="stable")
-                v, w, n = v[order], w[order], n[order].astype(np.uint8)
-                at = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-                size = np.diff(np.r_[at, len(v)])
+                s = pair_shard(v, w, shards)
+                order = np.lexsort((v, s))
+                v, w, n, s = v[order], w[order], n[order].astype(np.uint8), s[order]
+                at = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (s[1:] != s[:-1])])
+                size = np.diff(np.r_[at, len(v)]).astype(np.uint32)
+                cuts = np.flatnonzero(np.r_[True, s[at][1:] != s[at][:-1], True])
                 out = []
-                for s, own in by_shard(shard_of(v[at], shards)):
-                    k = np.repeat(at[own] - np.r_[0, np.cumsum(size[own])[:-1]], size[own]) + np.arange(size[own].sum())
-                    out.append({"shard": s, "kind": 0, "a": v[at[own]].tobytes(), "b": size[own].astype(np.uint32).tobytes(), "c": w[k].tobytes(), "d": n[k].tobytes()})
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    x, y = at[i], at[j] if j < len(at) else len(v)
+                    out.append({"shard": int(s[x]), "kind": 0, "a": v[at[i:j]].tobytes(), "b": size[i:j].tobytes(), "c": w[x:y].tobytes(), "d": n[x:y].tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
     return run
@@ -125,7 +136,7 @@ def _join(rows: list[dict], column: str, kind: type) -> np.ndarray:
 
 
 def _bigrams(folder: str, shards: int):
-    """Writes the bigrams of each shard; rows: kind 1 contexts of this shard, kind 2 words for other shards, kind 3 counts of counts."""
+    """Writes the bigrams of each shard; rows: kind 1 contexts and kind 2 words for the shards of words, kind 3 counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _gathered(batches).items():
@@ -145,8 +156,9 @@ def _bigrams(folder: str, shards: int):
             save(folder, f"large-{shard}", np.stack([large, n[large]]))
             out = [{"shard": shard, "kind": 3, "a": np.array([*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n)], np.int64).tobytes()}]
             word, own = np.unique(v, return_inverse=True)
-            parts = [np.bincount(own, minlength=len(word), weights=x).astype(np.int64) for x in (n, n == 1, n == 2, n >= 3)]
-            out.append({"shard": shard, "kind": 1, "a": word.tobytes(), "b": np.stack(parts).tobytes()})
+            parts = np.stack([np.bincount(own, minlength=len(word), weights=x).astype(np.int64) for x in (n, n == 1, n == 2, n >= 3)])
+            for s, k in by_shard(shard_of(word, shards)):
+                out.append({"shard": s, "kind": 1, "a": word[k].tobytes(), "b": parts[:, k].tobytes()})
             word, own = np.unique(w, return_inverse=True)
             contexts, total = np.bincount(own, minlength=len(word)), np.bincount(own, minlength=len(word), weights=n)
             for s, k in by_shard(shard_of(word, shards)):
@@ -170,13 +182,13 @@ def _words(folder: str):
             cut = 0
             for r in own:
                 n = len(r["a"]) // 8
-                table[1:5, at[cut : cut + n]] = np.frombuffer(r["b"], np.int64).reshape(4, n)
+                table[1:5, at[cut : cut + n]] += np.frombuffer(r["b"], np.int64).reshape(4, n)
                 cut += n
             np.add.at(table[5], at[cut:], _join(more, "b", np.uint32))
             np.add.at(table[6], at[cut:], _join(more, "c", np.uint64).astype(np.int64))
             save(folder, f"words-{shard}", table)
             c = table[5]
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*((c == k).sum() for k in (1, 2, 3, 4)), (c > 0).sum(), table[6].sum())], schema=STATS_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*((c == k).sum() for k in (1, 2, 3, 4)), (c > 0).sum(), table[6].sum(), shard)], schema=STATS_SCHEMA)
 
     return run
 
@@ -191,22 +203,26 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """Sorted hash arrays of all shards, mapped into memory."""
 
-    def __init__(self, folder: str, shards: int, d2: list[float], d1: list[float], contexts: int, types: int, total: int, rest: float):
+    def __init__(self, folder: str, shards: int, d2: list[float], d1: list[float], contexts: int, types: int, total: int, rest: float, pairs: frozenset[int], words: frozenset[int]):
+        self.written = {"words": words, **dict.fromkeys(("offsets", "rest", "count", "large"), pairs)}
         self.folder, self.shards, self.d2, self.d1 = folder, shards, np.array(d2), np.array(d1)
         self.contexts, self.types, self.total, self.rest = contexts, types, total, rest
-        self.open: dict[str, np.ndarray | None] = {}
+        self.open: dict[str, np.ndarray] = {}
 
-    def load(self, name: str) -> np.ndarray | None:
+    def load(self, kind: str, shard: int) -> np.ndarray | None:
+        """None for a shard without entries; a missing file of any other raises."""
+        if shard not in self.written[kind]:
+            return None
+        name = f"{kind}-{shard}"
         if name not in self.open:
-            path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
         return self.open[name]
 
     def word_rows(self, h: np.ndarray) -> np.ndarray:
         """The six numbers of each word (6 x n): as context its count, N1, N2, N3+; its contexts; its count."""
         out = np.zeros((6, len(h)), np.int64)
         for s, k in by_shard(shard_of(h, self.shards)):
-            table = self.load(f"words-{s}")
+            table = self.load("words", s)
             if table is not None and table.shape[1]:
                 own = table[0].view(np.uint64)
                 i = np.minimum(np.searchsorted(own, h[k]), len(own) - 1)
@@ -217,10 +233,10 @@ class Model:
     def counts(self, shard: np.ndarray, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), np.int64)
         for s, k in by_shard(shard):
-            offsets = self.load(f"offsets-{s}")
+            offsets = self.load("offsets", s)
             if offsets is None:
                 continue
-            rest, n, large = self.load(f"rest-{s}"), self.load(f"count-{s}"), self.load(f"large-{s}")
+            rest, n, large = (self.load(x, s) for x in ("rest", "count", "large"))
             top, want = (key[k] >> np.uint64(48)).astype(np.int64), (key[k] >> np.uint64(16)).astype(np.uint32)
             lo, end = offsets[top].astype(np.int64), offsets[top + 1].astype(np.int64)
             hi = end.copy()
@@ -244,7 +260,7 @@ class Model:
         iv, iw = at[: len(v)], at[len(v) :]
         pair, where = np.unique(iv * len(known) + iw, return_inverse=True)
         pv, pw = pair // len(known), pair % len(known)
-        c = self.counts(shard_of(known[pv], self.shards), bigram(known[pv], known[pw]))
+        c = self.counts(pair_shard(known[pv], known[pw], self.shards), bigram(known[pv], known[pw]))
         gamma = n1 * self.d2[1] + n2 * self.d2[2] + n3 * self.d2[3]
         all_ = np.maximum(context[pv], 1)
         p = np.where(context[pv] > 0, np.maximum(c - self.d2[np.minimum(c, 3)], 0) / all_ + gamma[pv] / all_ * lower[pw], lower[pw])
@@ -262,15 +278,16 @@ def train(docs: DataFrame) -> Model:
     shards = n_parts(docs)
     counted = docs.select("text").mapInArrow(_count(shards), ROW).repartition(shards, "shard").mapInArrow(_bigrams(folder, shards), ROW)
     counted = stored(counted, "counted")
-    sums = np.zeros(5, np.int64)
-    for r in counted.where("kind = 3").select("a").collect():  # five numbers a shard
+    sums, pairs = np.zeros(5, np.int64), set()
+    for r in counted.where("kind = 3").select("shard", "a").collect():  # five numbers a shard
         sums += np.frombuffer(r.a, np.int64)
+        pairs.add(r.shard)
     made = counted.where("kind < 3").repartition(shards, "shard").mapInArrow(_words(folder), STATS)
-    t = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS_SCHEMA.names]).first()
+    t = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS_SCHEMA.names[:-1]], F.collect_set("shard").alias("shards")).first()
     d1 = discounts(t.n1, t.n2, t.n3, t.n4)
     contexts = int(sums[4])
     left = (d1[1] * t.n1 + d1[2] * t.n2 + d1[3] * (t.types - t.n1 - t.n2)) / contexts if contexts else 1.0
-    return Model(folder, shards, discounts(*map(int, sums[:4])), d1, contexts, t.types, t.tokens, left)
+    return Model(folder, shards, discounts(*map(int, sums[:4])), d1, contexts, t.types, t.tokens, left, frozenset(pairs), frozenset(t.shards))
 
 
 RESULT = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
