@@ -3,7 +3,8 @@
 Large star: every neighbour above u is linked to u's smallest neighbour (u included). Small star: u and
 its smaller neighbours are linked to the smallest of them. Both keep connectivity, and the table ends
 as one star around each component's smallest node after a number of rounds that grows with the
-logarithm of the longest chain. Each round is a combining aggregate and a join; links stay distributed.
+logarithm of the longest chain. Each round is a combining aggregate and a join; links stay distributed, and
+the links of a hot node are dealt to parts.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, hot_join, stored
 
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    up = both.where("b > a")
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hot_join(up, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    return e.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+    return hot_join(e, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _are_stars(e: DataFrame) -> bool:
@@ -34,8 +36,13 @@ def _are_stars(e: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): for each node of ``links`` (columns a, b; long) the smallest node it is connected with."""
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    last = None
     while True:
-        e = stored(_small(_large(e)), "stars")
+        wide = stored(_large(e), "wide")
+        if last is not None:
+            discard(last)
+        e = last = stored(_small(wide), "stars")
+        discard(wide)
         if _are_stars(e):
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

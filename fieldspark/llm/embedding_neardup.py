@@ -5,12 +5,16 @@ projection, shifted, over cells of ``WIDTH``; k of them joined name a bucket, in
 with the logarithm of the number of vectors, so that unrelated ones rarely meet; L follows from k so that
 a pair at the threshold misses all tables with probability 1e-5 at most.
 
-1. Tasks emit (bucket key, vec_id) for every table; keys held by one vector only are dropped.
-2. The members of a bucket are dealt into chunks of at most ``CHUNK``; each unordered pair of chunks is a
+1. Vectors that are equal once normalised form a class, known by a digest; only one of them goes on, with
+   their number. So copies cost nothing, however many there are.
+2. Tasks emit (bucket key, class) for every table; keys held by one class only are dropped.
+3. The members of a bucket are dealt into chunks of at most ``CHUNK``; each unordered pair of chunks is a
    unit of work, so a bucket with a third of all rows becomes many units and no pair of rows is emitted.
-3. Vectors join their units. A unit multiplies its two blocks in double precision. A linked pair counts in
-   the first table in which it meets, so each link counts once; for the components a unit emits for each
-   vector only the smallest id that it reaches by the links counted there.
+4. Vectors join their units. A unit multiplies its two blocks in double precision. A linked pair counts in
+   the first table in which it meets: a unit whose members all meet in an earlier table is left at once, and
+   pairs that meet in one of the first ``EARLY`` tables are sorted out before the exact answer is sought. For
+   the components a unit emits for each class only the smallest id that it reaches by the links counted there.
+5. Rows take the result of their class by its digest; a class with very many rows is dealt to parts.
 
 Defined results: null vectors, and ones with null or non-finite components, of zero length or no norm,
 link with nothing; vectors of different length do not link; rows with one ``vec_id`` each count their own
@@ -19,6 +23,7 @@ links and share a component; a null ``vec_id`` links with nothing; an empty tabl
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, stored
+from .common import hot_join, n_parts, stored
 from .components import components
 
 WIDTH, MISS, CHUNK = 2.0, 1e-5, 512
+#: Tables that are looked at before all of them.
+EARLY = 8
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -49,18 +56,20 @@ def shape(rows: int, cosine: float) -> tuple[int, int]:
 class Tables:
     def __init__(self, dims: int, k: int, tables: int):
         rng = np.random.default_rng([dims, k, tables])
-        self.k, self.tables = k, tables
+        self.dims, self.k, self.tables = dims, k, tables
         self.lines = rng.standard_normal((dims, tables * k))
         self.shifts = rng.uniform(0, WIDTH, tables * k)
         self.codes = rng.integers(1, 1 << 63, (tables, k), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """Bucket keys (rows x tables); the table's number is part of the key."""
-        out = np.empty((len(x), self.tables), np.uint64)
+    def keys(self, x: np.ndarray, first: int | None = None) -> np.ndarray:
+        """Bucket keys (rows x tables, or the first few of them); the table and the length are part of the key."""
+        n = min(first or self.tables, self.tables)
+        out = np.empty((len(x), n), np.uint64)
+        own = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(self.dims * 0xD1B54A32D192ED03 & (1 << 64) - 1)
         for a in range(0, len(x), 512):
-            cell = np.floor((x[a : a + 512] @ self.lines + self.shifts) / WIDTH).astype(np.int64).astype(np.uint64)
-            h = (cell.reshape(-1, self.tables, self.k) * self.codes).sum(axis=2, dtype=np.uint64)
-            h ^= np.arange(self.tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cell = np.floor((x[a : a + 512] @ self.lines[:, : n * self.k] + self.shifts[: n * self.k]) / WIDTH).astype(np.int64).astype(np.uint64)
+            h = (cell.reshape(-1, n, self.k) * self.codes[:n]).sum(axis=2, dtype=np.uint64)
+            h ^= own
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             out[a : a + 512] = h ^ (h >> np.uint64(32))
@@ -93,15 +102,26 @@ def units(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (vec_id, unit, digest): the vector normalised, and null twice where it links with nothing."""
+    for batch in batches:
+        found = units(batch.column(1))
+        digests = [None if x is None else hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), pa.array(digests, pa.binary())], names=["vec_id", "unit", "digest"])
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False) for v in column]
+
+
 def _emit(k: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             by: dict[int, list[int]] = {}
-            vectors = units(batch.column(1))
+            vectors = _rows(batch.column(1))
             for i, x in enumerate(vectors):
-                if x is not None:
-                    by.setdefault(len(x), []).append(i)
+                by.setdefault(len(x), []).append(i)
             for dims, rows in by.items():
                 for a in range(0, len(rows), 1024):
                     part = rows[a : a + 1024]
@@ -112,29 +132,40 @@ def _emit(k: int, tables: int):
 
 
 def _compare(cosine: float, k: int, tables: int):
-    """Rows (uid, n, low): links counted for a vector in a unit and the smallest vec_id it reaches by them."""
+    """Rows (uid, vec_id, n, low): rows linked to a class in a unit and the smallest vec_id it reaches by these links."""
     schema = pa.schema([("uid", pa.int64()), ("vec_id", pa.int64()), ("n", pa.int64()), ("low", pa.int64())])
 
-    def solve(key: int, i: int, j: int, uid: np.ndarray, vec: np.ndarray, chunk: np.ndarray, x: list) -> pa.RecordBatch | None:
-        if len({len(v) for v in x}) > 1:
-            return None  # a chance meeting of lengths: such vectors share no other bucket either
-        x = np.stack(x)
+    def solve(key: int, i: int, j: int, uid: np.ndarray, vec: np.ndarray, m: np.ndarray, chunk: np.ndarray, x: list) -> Iterator[pa.RecordBatch]:
+        for dims in {len(v) for v in x}:  # more than one only where keys meet by chance
+            own = np.flatnonzero([len(v) == dims for v in x])
+            if len(own) > 1 and (got := same_length(key, i, j, uid[own], vec[own], m[own], chunk[own], np.stack([x[r] for r in own]))) is not None:
+                yield got
+
+    def same_length(key: int, i: int, j: int, uid: np.ndarray, vec: np.ndarray, m: np.ndarray, chunk: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
+        hashes = tables_for(x.shape[1], k, tables)
+        here = hashes.keys(x[:1]).view(np.int64)[0] == key
+        before = int(here.argmax()) if here.any() else tables
+        early = hashes.keys(x, min(EARLY, before)).view(np.int64) if before else np.zeros((len(x), 0), np.int64)
+        if (early == early[:1]).all(0).any():
+            return None
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = np.nonzero(x[left] @ x[right].T >= cosine)
         a, b = left[a], right[b]
         if i == j:
             a, b = a[a < b], b[a < b]
+        new = ~(early[a] == early[b]).any(1)
+        a, b = a[new], b[new]
         if not len(a):
             return None
         # the first table in which a pair meets counts it
         some, where = np.unique(np.r_[a, b], return_inverse=True)
-        keys = tables_for(x.shape[1], k, tables).keys(x[some]).view(np.int64)
+        keys = hashes.keys(x[some]).view(np.int64)
         keep = np.zeros(len(a), bool)
         for c in range(0, len(a), 20_000):
             p, q = keys[where[: len(a)][c : c + 20_000]], keys[where[len(a) :][c : c + 20_000]]
             keep[c : c + 20_000] = p[np.arange(len(p)), (p == q).argmax(axis=1)] == key
         a, b = a[keep], b[keep]
-        n = np.bincount(np.r_[a, b], minlength=len(vec))
+        n = np.bincount(np.r_[a, b], weights=np.r_[m[b], m[a]], minlength=len(vec)).astype(np.int64)
         low, last = vec.copy(), None
         while last is None or (low != last).any():
             last = low.copy()
@@ -147,43 +178,53 @@ def _compare(cosine: float, k: int, tables: int):
         at, rows = None, []
         for batch in batches:
             heads = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            rest = list(zip(*(batch.column(c).to_pylist() for c in range(3, 6)), units(batch.column(6)), strict=True))
+            rest = list(zip(*(batch.column(c).to_pylist() for c in range(3, 7)), _rows(batch.column(7)), strict=True))
             for head, row in zip(heads, rest, strict=True):
                 if head != at:
-                    if len(rows) > 1 and (got := solve(*at, *_columns(rows))) is not None:
-                        yield got
+                    if len(rows) > 1:
+                        yield from solve(*at, *_columns(rows))
                     at, rows = head, []
                 rows.append(row)
-        if len(rows) > 1 and (got := solve(*at, *_columns(rows))) is not None:
-            yield got
+        if len(rows) > 1:
+            yield from solve(*at, *_columns(rows))
 
     return run
 
 
 def _columns(rows: list[tuple]) -> tuple:
-    uid, vec, chunk, x = zip(*rows, strict=True)
-    return np.array(uid), np.array(vec), np.array(chunk), list(x)
+    uid, vec, m, chunk, x = zip(*rows, strict=True)
+    return np.array(uid), np.array(vec), np.array(m), np.array(chunk), list(x)
 
 
 def linked(vectors: DataFrame, cosine: float) -> DataFrame:
-    """(uid, vec_id, n, low) of what the units of ``vectors`` (uid, vec_id, embedding) found."""
+    """(uid, vec_id, n, low) of what the units of ``vectors`` (uid, vec_id, m, unit) found."""
     k, tables = shape(vectors.count(), cosine)
-    entries = vectors.select("uid", "embedding").mapInArrow(_emit(k, tables), "key long, uid long")
+    entries = vectors.select("uid", "unit").mapInArrow(_emit(k, tables), "key long, uid long")
     sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
     dealt = entries.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     pairs = dealt.withColumn("__o", other).select("key", F.least("chunk", "__o").alias("i"), F.greatest("chunk", "__o").alias("j"), "uid", "chunk")
-    work = pairs.join(vectors, "uid").select("key", "i", "j", "uid", "vec_id", "chunk", "embedding")
+    work = pairs.join(vectors, "uid").select("key", "i", "j", "uid", "vec_id", "m", "chunk", "unit")
     work = work.repartition(n_parts(vectors), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return work.mapInArrow(_compare(cosine, k, tables), "uid long, vec_id long, n long, low long")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
-    rows = stored(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.monotonically_increasing_id().alias("uid")), "vectors")
-    found = stored(linked(rows.where("vec_id is not null and embedding is not null"), cosine), "linked")
-    group = stored(components(found.where("low <> vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b"))), "components")
+    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = stored(given.mapInArrow(_normal, "vec_id long, unit array<double>, digest binary").withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    real = rows.where("vec_id is not null and digest is not null")
+    classes = stored(real.groupBy("digest").agg(F.min("uid").alias("uid"), F.min("vec_id").alias("vec_id"), F.count("*").alias("m"), F.first("unit").alias("unit")), "classes")
+    found = stored(linked(classes.select("uid", "vec_id", "m", "unit"), cosine), "linked")
+    # an id with several vectors ties their classes together
+    several = real.groupBy("vec_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select(F.col("vec_id").alias("id"))
+    ties = real.join(several, F.col("vec_id") == F.col("id")).select("id", "digest").join(classes.select("digest", "vec_id"), "digest").where("id <> vec_id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
+    links = found.where("low <> vec_id").select(F.col("vec_id").alias("a"), F.col("low").alias("b")).union(ties)
+    group = stored(components(links), "components")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
-    out = rows.join(counts, "uid", "left").join(group.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    of = classes.select("uid", "digest", "vec_id", "m").join(counts, "uid", "left").join(group.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    of = of.select("digest", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "vec_id").alias("component"))
+    mine = rows.select("vec_id", "uid", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = hot_join(mine, of, "digest", "left", classes.select("digest", "m"))
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

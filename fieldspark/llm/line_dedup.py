@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled, n_parts, stored
+from .common import cut, discard, filled, hot_join, n_parts, stored
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: 2 ** 16 bits a block, so that positions fit 16 bits; 16 bits a line and 4 hash functions.
@@ -247,7 +247,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_bytes: int = 64
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep)
     named = docs.select("doc_id", "text").where("doc_id is not null")
     found = stored(suspects(named, min_chars, broadcast_bytes), "suspects")
-    true = found.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.first("fp").alias("fp")).where("keeper < last").select("fp", "keeper")
-    lost = cut(found.select("doc_id", "fp").join(true, "fp").where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")))
+    true = found.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.first("fp").alias("fp"), F.count("*").alias("m")).where("keeper < last")
+    true = stored(true.select("fp", "keeper", "m"), "repeats")
+    lost = cut(hot_join(found.select("doc_id", "fp"), true.select("fp", "keeper"), "fp", counts=true).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")))
+    discard(found), discard(true)
     out = docs.join(lost, "doc_id", "left").withColumn("__new", _rebuild(min_chars)("text", "__fps"))
     return out.select("doc_id", F.col("__new.text").alias("text"), F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"), *keep)

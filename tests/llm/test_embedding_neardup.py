@@ -42,6 +42,26 @@ def test_hot_group_and_chains(spark):
     check(spark, rows)
 
 
+def test_many_equal_vectors(spark):
+    """Copies are one class; scaled ones may be others, and ids may repeat with other vectors."""
+    rng = np.random.default_rng(8)
+    base, far = rng.standard_normal((2, 16))
+    rows = [(5000 - i, base.tolist()) for i in range(1500)] + [(6000 + i, (base * 3).tolist()) for i in range(300)] + [(i, far.tolist()) for i in range(20)]
+    rows += [(100 + i, (base + rng.standard_normal(16) * 0.02).tolist()) for i in range(40)]
+    check(spark, rows)
+
+
+def test_lengths_do_not_meet(spark):
+    """Vectors of two lengths, with copies: their links are found beside each other."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for dims, first in ((8, 0), (12, 1000)):
+        base = rng.standard_normal(dims)
+        rows += [(first + i, (base + rng.standard_normal(dims) * 0.01).tolist()) for i in range(60)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (59, i // 1000 * 1000) for i, _ in rows}
+
+
 def test_bridges_inside_a_unit(spark, monkeypatch):
     """A path whose middle link is neither end's smallest."""
     angle = [0.0, 0.25, 0.5, 0.75]
