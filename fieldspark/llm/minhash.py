@@ -6,7 +6,8 @@ scatters shingles over a universe of 2^20 places, the second is a table whose k-
 coordinate k. The shifts of one place are neighbours in the doubled table, so a shingle adds one
 contiguous slice, and the signature is the minimum over slices.
 
-1. Equal sets are one class, represented by its smallest ``doc_id``; only representatives go on.
+1. Equal sets are one class, represented by its smallest ``doc_id``; only representatives go on. Rows take
+   their class by its digest; the rows of a very large class, bucket or pivot are dealt to parts.
 2. Bands of the signature give buckets. Each member is checked against the smallest and the largest id of
    its bucket, on full sets: 100 * intersection >= percent * union, so pairs grow with members only.
 3. Components of the confirmed links are formed. Buckets that still hold several components are searched
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled, n_parts, release, stored
+from .common import CHUNK_BYTES, discard, filled, hot_join, n_parts, release, stored
 from .components import components
 from .words import buffers, chunks, mix, rolling, words
 
@@ -163,8 +164,9 @@ def _confirm(percent: int):
 
 def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (member, pivot) those whose full sets are similar enough; a hot pivot is split into parts."""
-    of = pairs.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    dealt = pairs.join(of, "pivot").select("pivot", F.pmod(F.hash("member"), F.col("parts")).alias("part"), F.col("member").alias("doc_id"), F.lit(True).alias("is_member"))
+    counts = pairs.groupBy("pivot").agg(F.count("*").alias("m"))
+    of = counts.select("pivot", F.ceil(F.col("m") / GROUP).cast("int").alias("parts"))
+    dealt = hot_join(pairs, of, "pivot", counts=counts).select("pivot", F.pmod(F.hash("member"), F.col("parts")).alias("part"), F.col("member").alias("doc_id"), F.lit(True).alias("is_member"))
     # the pivot itself goes to every part, also to such that the hash leaves empty
     heads = of.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("doc_id"), F.lit(False).alias("is_member"))
     meets = stored(dealt.unionByName(heads).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part", "is_member")).alias("meets")), "meets")
@@ -233,13 +235,18 @@ def _bounded(percent: int, best: bool):
 def across(shared: DataFrame, cells_of: DataFrame, found: DataFrame, tested: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs that share a bucket but no component yet and may be similar enough.
 
-    In a bucket, members outside its largest component meet all members, in blocks of GROUP by GROUP.
+    In a bucket, members outside its largest component meet all members, in blocks of GROUP by GROUP: a bucket
+    of m members, c of them in its largest component, costs m * (m - c) comparisons of counts (no rows), in as
+    many units of work as it has pairs of blocks. Members are different sets that agree on six coordinates, so
+    a bucket with many and hardly any link between them is a chance that falls with the sixth power of their
+    similarity.
     """
     now = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     by = now.groupBy("key", "c").agg(F.count("*").alias("m"))
     of = by.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    of = of.select("key", "main", F.ceil(F.col("m") / GROUP).cast("int").alias("ys"), F.ceil((F.col("m") - F.col("most")) / GROUP).cast("int").alias("xs"))
-    open_ = now.join(of, "key")
+    of = of.select("key", "main", "m", F.ceil(F.col("m") / GROUP).cast("int").alias("ys"), F.ceil((F.col("m") - F.col("most")) / GROUP).cast("int").alias("xs"))
+    of = stored(of, "open")
+    open_ = hot_join(now, of.drop("m"), "key", counts=of.select("key", "m"))
     hit = lambda m: F.pmod(F.xxhash64("rep"), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     x = open_.where("c <> main").select("key", hit("xs").alias("i"), every("ys").alias("j"), F.lit(True).alias("minor"), "rep", "n", "c")
@@ -256,8 +263,10 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     real = signed.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     entries = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("m")).where("m > 1").select("key", "low", "high")
-    shared = stored(entries.join(buckets, "key").select("key", "rep", "n", "low", "high"), "shared")
+    buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("m")).where("m > 1")
+    buckets = stored(buckets, "buckets")
+    shared = stored(hot_join(entries, buckets.drop("m"), "key", counts=buckets.select("key", "m")).select("key", "rep", "n", "low", "high"), "shared")
+    discard(buckets)
     star = [shared.where(f"rep <> {p}.rep and {_fits(percent, 'n', f'{p}.n')}").select(F.greatest("rep", f"{p}.rep").alias("member"), F.least("rep", f"{p}.rep").alias("pivot")) for p in ("low", "high")]
     tested = stored(star[0].union(star[1]).distinct(), "tested")
     links = stored(confirmed(docs, tested, n, percent), "links")
@@ -273,6 +282,6 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
             links = links.unionByName(new)
             found = stored(components(links), "components")
     classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    out = hot_join(signed.select("doc_id", "n_shingles", "digest"), classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
