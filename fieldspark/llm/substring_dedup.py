@@ -3,14 +3,17 @@
 Words are ``[^\\x20\\x09-\\x0D]+``. A phrase is ``n`` consecutive words of one document. Each phrase belongs to
 the reference block that the smallest of its hashed 5-word seeds (its minimiser) names, so the block
 that could hold a copy of a phrase is known, and parsing against it equals parsing against every block.
-Neighbouring phrases mostly share the minimiser and travel as one run.
+Neighbouring phrases mostly share the minimiser and travel as one run. Seeds that are frequent in a sample of
+documents (2000, or one in a thousand; at most ``MAX_FREQUENT`` seeds) rank behind all others, so that a phrase
+is rarely named by them; this deals the work evenly and changes no result.
 
 1. Every task parses some MB of its documents against themselves: a phrase that starts in a smaller
-   document of the chunk is covered at once; of phrases that repeat in the chunk only the first goes on,
-   which bounds what a hot passage sends to its block by the number of chunks.
+   document of the chunk is covered at once; of phrases that repeat in the chunk only the first goes on. A task
+   also remembers the repeated phrases of its earlier chunks with their smallest document. So a hot passage
+   sends its blocks about one run of some 50 bytes for each task, not one for each copy.
 2. A block indexes the phrases it got (sorted by hash, the smallest document first) and factors the runs
    greedily: a factor starts at a phrase that an earlier document holds and grows while the next phrase
-   continues at the next word of the same source.
+   continues at the next word of the same source. Rows come sorted by block, and a worker holds one block.
 3. Factors have ``n`` words at least. Where one ends inside a phrase of the next, across sources or
    blocks, the spans are checked at that boundary and merge; documents are joined with their spans.
 
@@ -35,14 +38,25 @@ from .words import buffers, chunks, firsts, mix, rolling, words
 
 OUT = ("doc_id", "text", "n_words", "n_removed")
 SEED_WORDS = 5
+#: Documents whose seeds are counted, occurrences that make one frequent there, and seeds that are sent to tasks.
+SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 2000, 10, 100_000
+#: Repeated phrases that a task remembers from its earlier chunks.
+REMEMBERED = 1 << 20
 #: Bytes of text that one task parses against themselves at a time.
 LOCAL_BYTES = 4 << 20
 ROW = "block int, doc_id array<long>, print array<long>, doc binary, start binary, size binary, seed binary, phrase binary"
 
 
-def minimisers(h: np.ndarray, n: int) -> np.ndarray:
-    """For every phrase of ``n`` words the smallest hash among its seeds."""
-    x = rolling(h, SEED_WORDS, seed=5)
+def seeds_of(h: np.ndarray) -> np.ndarray:
+    return rolling(h, SEED_WORDS, seed=5) >> np.uint64(1)
+
+
+def minimisers(h: np.ndarray, n: int, frequent: np.ndarray) -> np.ndarray:
+    """For every phrase of ``n`` words the smallest hash among its seeds; ``frequent`` ones (sorted) come last."""
+    x = seeds_of(h)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+        x = x | late.astype(np.uint64) << np.uint64(63)
     width, have = n - SEED_WORDS + 1, 1
     m = x
     while have < width:
@@ -78,11 +92,34 @@ def runs(*same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new]) if len(same[0]) else np.zeros(0, np.int64)
 
 
-def _parse(n: int, blocks: int):
+class Known:
+    """Repeated phrases of a task's earlier chunks, sorted by their hash, each with the smallest document."""
+
+    def __init__(self):
+        self.key, self.seed, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def covers(self, key: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[i] == key) & (self.seed[i] == seed) & (self.doc[i] < doc)
+
+    def add(self, key: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.key) + len(key) > REMEMBERED:
+            self.__init__()
+        key, seed, doc = (np.concatenate(p) for p in ((self.key, key), (self.seed, seed), (self.doc, doc)))
+        order = np.lexsort((doc, seed, key))
+        key, seed, doc = key[order], seed[order], doc[order]
+        new = np.r_[True, (key[1:] != key[:-1])] if len(key) else np.zeros(0, bool)  # of keys with several seeds one stays
+        self.key, self.seed, self.doc = key[new], seed[new], doc[new]
+
+
+def _parse(n: int, blocks: int, frequent):
     """Rows of runs for the reference blocks, and rows of spans found at once (block -1 - …)."""
     schema = pa.schema([("block", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("print", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("doc", "start", "size", "seed", "phrase")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -90,17 +127,21 @@ def _parse(n: int, blocks: int):
             for a, b in chunks(offsets, LOCAL_BYTES):
                 h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if len(h) >= n:
-                    yield pa.RecordBatch.from_pylist(list(_chunk(h, first, ids[a:b], prints[a:b], n, blocks)), schema=schema)
+                    yield pa.RecordBatch.from_pylist(list(_chunk(h, first, ids[a:b], prints[a:b], n, blocks, frequent.value, known)), schema=schema)
 
     return run
 
 
-def _chunk(h: np.ndarray, first: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int, blocks: int) -> Iterator[dict]:
+def _chunk(h: np.ndarray, first: np.ndarray, ids: np.ndarray, prints: np.ndarray, n: int, blocks: int, frequent: np.ndarray, known: Known) -> Iterator[dict]:
     at = np.flatnonzero(firsts(first, n))
-    seed = minimisers(h, n)[at]
+    seed = minimisers(h, n, frequent)[at]
     word = rolling(h, n, seed=13)[at]
     doc = np.searchsorted(first, at, "right") - 1
-    source, covered = first_in_group(word ^ seed, seed, ids[doc])
+    key = word ^ seed
+    source, covered = first_in_group(key, seed, ids[doc])
+    again = np.unique(source[covered])
+    covered |= known.covers(key, seed, ids[doc])
+    known.add(key[again], seed[again], ids[doc[again]])
     start = at - first[doc]
     # what is covered here, as spans of words
     c = np.flatnonzero(covered)
@@ -141,31 +182,52 @@ def _factor(n: int, groups: int):
     """Rows of spans, one for each group of documents, of what this partition's blocks cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("id", "print", "start", "size", "seed", "phrase")}
-        ready: list[tuple[np.ndarray, ...]] = []
+        at, parts, ready, held = None, _empty(), [], 0
         for batch in batches:
             for row in batch.to_pylist():
+                if row["block"] != at:
+                    if parts["id"]:
+                        ready.append(_parsed({k: np.concatenate(v) for k, v in parts.items()}, n))
+                        held += len(ready[-1][0])
+                        parts = _empty()
+                    if held > SPANS:
+                        yield from _spread(ready, groups)
+                        ready, held = [], 0
+                    at = row["block"]
                 doc = np.frombuffer(row["doc"], np.uint32)
                 ids, prints = np.array(row["doc_id"], np.int64)[doc], np.array(row["print"], np.int64)[doc]
                 start = np.frombuffer(row["start"], np.uint32)
                 if row["block"] < 0:
                     ready.append((ids, prints, start.astype(np.int64), np.frombuffer(row["size"], np.uint32).astype(np.int64)))
+                    held += len(ids)
                     continue
                 for k, v in (("id", ids), ("print", prints), ("start", start), ("size", np.frombuffer(row["size"], np.uint16)), ("seed", np.frombuffer(row["seed"], np.uint64)), ("phrase", np.frombuffer(row["phrase"], np.uint32))):
                     parts[k].append(v)
         if parts["id"]:
             ready.append(_parsed({k: np.concatenate(v) for k, v in parts.items()}, n))
         if ready:
-            found = [np.concatenate(c) for c in zip(*ready, strict=True)]
-            part = (mix(found[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order])) + 1
-            for own in np.split(order, cuts) if len(order) else ():
-                yield pa.RecordBatch.from_arrays([pa.array([part[own[0]]], pa.int32()), *[pa.array([c[own].tobytes()], pa.binary()) for c in found]], schema=GROUPED)
+            yield from _spread(ready, groups)
 
     return run
 
 
+#: Spans that a task holds before it sends them on.
+SPANS = 1 << 20
+
+
+def _empty() -> dict[str, list[np.ndarray]]:
+    return {k: [] for k in ("id", "print", "start", "size", "seed", "phrase")}
+
+
+def _spread(ready: list[tuple[np.ndarray, ...]], groups: int) -> Iterator[pa.RecordBatch]:
+    found = [np.concatenate(c) for c in zip(*ready, strict=True)]
+    part = (mix(found[0].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    for own in np.split(order, cuts) if len(order) else ():
+        yield pa.RecordBatch.from_arrays([pa.array([part[own[0]]], pa.int32()), *[pa.array([c[own].tobytes()], pa.binary()) for c in found]], schema=GROUPED)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row with all spans (start, end as 32-bit word numbers) for each document of this partition."""
     parts = [[], [], [], []]
@@ -218,12 +280,34 @@ def _kept(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["text", "n_words", "n_removed"])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of sampled documents, once for each document."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(0))
+        for a, b in chunks(offsets, LOCAL_BYTES):
+            h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found = [np.unique(seeds_of(h[first[k] : first[k + 1]])) for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["seed"])
+
+
+def frequent_seeds(docs: DataFrame) -> np.ndarray:
+    """The commonest seeds of a sample, sorted; at most MAX_FREQUENT."""
+    n = docs.count()
+    share = min(1.0, max(SAMPLE_DOCS, n // 1000) / max(n, 1))
+    counted = docs.select("text").sample(share, seed=3).mapInArrow(_sampled, "seed long").groupBy("seed").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT)
+    rows = counted.orderBy(F.desc("m"), "seed").limit(MAX_FREQUENT).toArrow()
+    return np.sort(rows["seed"].to_numpy().astype(np.int64)).view(np.uint64)
+
+
 def factors(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, print, spans) for documents (doc_id, print, text): spans of words that earlier documents hold."""
-    parts = n_parts(docs, 2 << 20)  # a partition's index holds some 30 bytes for each byte that it receives
-    parsed = docs.mapInArrow(_parse(n, 2 * parts), ROW)
+    parts = n_parts(docs, 2 << 20)  # a block's index holds some 30 bytes for each byte that it receives
+    blocks = max(2 * parts, min(n_parts(docs, 1 << 20), 64 * parts))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_seeds(docs))
+    parsed = docs.mapInArrow(_parse(n, blocks, frequent), ROW)
     groups = n_parts(docs)
-    factored = parsed.repartition(parts, "block").mapInArrow(_factor(n, 4 * groups), "part int, id binary, print binary, start binary, size binary")
+    dealt = parsed.repartition(parts, "block").sortWithinPartitions("block")
+    factored = dealt.mapInArrow(_factor(n, 4 * groups), "part int, id binary, print binary, start binary, size binary")
     return factored.repartition(groups, "part").mapInArrow(_gather, "doc_id long, print long, spans binary")
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from fieldspark.llm import substring_dedup
@@ -53,6 +55,35 @@ def test_against_brute_force(spark, monkeypatch):
         assert sum(v[1] > 0 for v in got.values()) > 30
 
 
+def test_frequent_seeds_and_hot_passage(spark, monkeypatch):
+    """A passage in most documents, in many chunks of a task; with and without frequent seeds the result is the same."""
+    rng = random.Random(6)
+    passage = " ".join(f"P{i}" for i in range(30))
+    own = lambda: " ".join(f"W{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 20)))
+    docs = [(i, f"{own()} {passage} {own()}" if i % 3 else f"{own()} P3 P4 P5 P6 P7 {own()}") for i in range(400)]
+    docs = docs[200:] + docs[:200]
+    monkeypatch.setattr(substring_dedup, "LOCAL_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "SPANS", 50)
+    frame_ = frame(spark, docs).repartition(2)
+    assert len(substring_dedup.frequent_seeds(frame_)) >= 26
+    for least in (10, 10**9):
+        monkeypatch.setattr(substring_dedup, "FREQUENT", least)
+        got = dedup_substrings(frame_)
+        assert {r[0]: tuple(r[1:]) for r in got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()} == brute(docs)
+
+
+def test_a_task_sends_a_hot_passage_about_once():
+    """Of a passage in every chunk of a task only the first chunk sends phrases, whatever the number of chunks."""
+    rng = np.random.default_rng(1)
+    passage, known, sent = rng.integers(0, 1 << 63, 40, dtype=np.uint64), substring_dedup.Known(), []
+    for chunk in range(20):
+        h = np.concatenate([np.r_[passage, rng.integers(0, 1 << 63, 3, dtype=np.uint64)] for _ in range(10)])
+        ids = np.arange(10) + 10 * chunk
+        rows_ = list(substring_dedup._chunk(h, np.arange(0, len(h) + 1, 43), ids, ids, 13, 4, np.zeros(0, np.uint64), known))
+        sent.append(sum(len(r["phrase"]) // 4 for r in rows_ if r["block"] >= 0))
+    assert sent[0] >= 28 + 30 and max(sent[1:]) == 30
+
+
 def test_odd_tables(spark):
     text = " ".join(map(str, range(20)))
     docs = frame(spark, [(None, text), (5, text), (5, "a " + text), (6, text), (7, None)]).withColumn("n_words", F.lit(1)).withColumn("spans", F.lit(1))
