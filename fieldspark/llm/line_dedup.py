@@ -7,10 +7,12 @@ but in the smallest ``doc_id``.
 1. *Filters.* Every task hashes the keys of its documents (once per document) and sends set bits,
    grouped by filter block. A block's owner merges them: ``once`` collects bits seen, ``twice``
    those that two tasks, or two documents of one task, have set. Only bit positions travel.
-2. *Suspects.* A line is suspected if all its bits stand in ``twice``. Filters up to
-   ``broadcast_bytes`` go to all tasks. Beyond that, line hashes go to the owner of their block.
-3. *Confirmation.* Only suspects shuffle with their full keys: smallest and largest ``doc_id`` by
-   key, combined before the shuffle; a key whose two differ is a true repeat.
+2. *Suspects.* A line is suspected if all its bits stand in ``twice``. Line hashes with their documents, grouped
+   by block, go to the owner of the block, who reads its filter once and then the hashes, and lets suspects
+   pass. Lines that repeat inside one batch are suspects at once and do not ask, so a hot line sends one hash
+   a batch to its block. No filter is sent to all tasks: the way is the same at every size.
+3. *Confirmation.* Only suspects shuffle: smallest and largest ``doc_id`` by key (known by 128 bits of BLAKE2b),
+   combined before the shuffle; a key whose two differ is a true repeat. Documents of a hot key are dealt to parts.
 4. Documents are joined with the keys they lose and rebuilt.
 
 Defined results: null text counts as one empty line; a null ``doc_id`` neither loses lines nor makes
@@ -59,16 +61,15 @@ def _places(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, ((h[:, 1][:, None] >> shifts) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _digests(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[list[int], list[list[bytes]], list[list[bytes]]]]:
-    """doc_ids with the distinct keys of each and their digests."""
+def _digests(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """doc_ids and digests (two words each) of the distinct keys of each document of a batch."""
     for batch in batches:
-        ids, keys, prints = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = list(dict.fromkeys(k for k in line_keys(text.as_buffer().to_pybytes(), min_chars) if k))
-            ids.append(doc)
-            keys.append(own)
-            prints.append([digest(k) for k in own])
-        yield ids, keys, prints
+        prints, n = [], []
+        for text in batch.column(1):
+            own = {k for k in line_keys(text.as_buffer().to_pybytes(), min_chars) if k}
+            prints += [digest(k) for k in own]
+            n.append(len(own))
+        yield np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), n), np.frombuffer(b"".join(prints), np.uint64).reshape(-1, 2)
 
 
 def _grouped(block: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -85,10 +86,9 @@ def _insert(min_chars: int, n_blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
-        for _, _, prints in _digests(batches, min_chars):
-            flat = b"".join(b"".join(p) for p in prints)
-            seen.append(np.frombuffer(flat, np.uint64).reshape(-1, 2))
-            held += len(flat)
+        for _, h in _digests(batches, min_chars):
+            seen.append(h)
+            held += h.nbytes
             if held > 32 << 20:
                 yield from _bits(seen, n_blocks)
                 seen, held = [], 0
@@ -138,87 +138,67 @@ def _hit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
 
 
-SUSPECT = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("key", pa.binary())])
-
-
-def _suspects_here(min_chars: int, n_blocks: int, filters):
-    """Rows (doc_id, fp, key) of suspected lines; ``filters`` holds all blocks in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(filters.value, np.uint8)
-        for ids, keys, prints in _digests(batches, min_chars):
-            flat = [x for p in prints for x in p]
-            if not flat:
-                continue
-            h = np.frombuffer(b"".join(flat), np.uint64).reshape(-1, 2)
-            block, at = _places(h, n_blocks)
-            ok = _hit(bits, block[:, None] * BLOCK_BITS + at)
-            docs = np.repeat(np.array(ids, np.int64), [len(p) for p in prints])
-            every = [k for own in keys for k in own]
-            some = np.flatnonzero(ok)
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(docs[part]), pa.array([flat[i] for i in part], pa.binary()), pa.array([every[i] for i in part], pa.binary())], schema=SUSPECT)
-
-    return run
+QUESTION = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())])
+SUSPECT = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
 
 
 def _questions(min_chars: int, n_blocks: int):
-    """Rows (block, doc_id, fp) of all lines, for filters too large to send to every task."""
+    """Rows of documents and line hashes: for each block those to be asked (kind 1), and those that repeat here (block < 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, prints in _digests(batches, min_chars):
-            flat = [x for p in prints for x in p]
-            if flat:
-                h = np.frombuffer(b"".join(flat), np.uint64).reshape(-1, 2)
-                docs = np.repeat(np.array(ids, np.int64), [len(p) for p in prints])
-                yield pa.RecordBatch.from_arrays([pa.array(_places(h, n_blocks)[0], pa.int32()), pa.array(docs), pa.array(flat, pa.binary())], names=["block", "doc_id", "fp"])
+        for docs, h in _digests(batches, min_chars):
+            if not len(h):
+                continue
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            h, docs = h[order], docs[order]
+            at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]).any(1)])
+            again = np.repeat(np.diff(np.r_[at, len(h)]) > 1, np.diff(np.r_[at, len(h)]))
+            rows = [(-1 - int(h[0, 0] % np.uint64(1_000_003)), 1, docs[again].tobytes(), h[again].tobytes())] if again.any() else []
+            h, docs = h[~again], docs[~again]
+            rows += [(b, 1, d.tobytes(), x.tobytes()) for b, (d, x) in _grouped(_places(h, n_blocks)[0], docs, h)] if len(h) else []
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), QUESTION, strict=True)], schema=QUESTION)
 
     return run
 
 
-def _in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (fp, bits, doc_id) those whose bits are all set."""
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suspects among rows sorted by block and kind: a block's filter (kind 0) comes before its line hashes."""
+    at, bits = None, np.zeros(0, np.uint8)
     for batch in batches:
-        doc, fp, bits = batch.columns
-        h = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, 2)
-        at = _places(h, 1)[1]
-        ok = np.array([_hit(np.frombuffer(b.as_buffer(), np.uint8), a[None].astype(np.int64))[0] for b, a in zip(bits, at, strict=True)], bool)
-        yield pa.RecordBatch.from_arrays([doc, fp], names=["doc_id", "fp"]).filter(pa.array(ok))
-
-
-def _keys_of(min_chars: int):
-    """Rows (doc_id, fp, key) for documents joined with their suspected fingerprints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, fps, keys = [], [], []
-            for doc, text, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                wanted = set(want)
-                for k in dict.fromkeys(k for k in line_keys(text.as_buffer().to_pybytes(), min_chars) if k):
-                    if (d := digest(k)) in wanted:
-                        docs.append(doc), fps.append(d), keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.binary())], schema=SUSPECT)
-
-    return run
-
-
-def suspects(docs: DataFrame, min_chars: int, broadcast_bytes: int) -> DataFrame:
-    """(doc_id, fp, key) of every line whose key the filters take for repeated; few others are among them."""
-    spark = docs.sparkSession
+        ids, prints, held = [], [], 0
+        for block, kind, docs, data in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), batch.column(3), strict=True):
+            if kind == 0:
+                at, bits = block, np.frombuffer(data.as_py(), np.uint8)
+                continue
+            own, h = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(data.as_buffer(), np.uint64).reshape(-1, 2)
+            if block >= 0:
+                if at != block:
+                    continue  # no bit of this block is set twice
+                ok = _hit(bits, _places(h, 1)[1].astype(np.int64))
+                own, h = own[ok], h[ok]
+            ids.append(own), prints.append(h)
+            held += h.nbytes
+            if held > 8 << 20:
+                yield _suspected(ids, prints)
+                ids, prints, held = [], [], 0
+        if ids:
+            yield _suspected(ids, prints)
+
+
+def _suspected(ids: list[np.ndarray], prints: list[np.ndarray]) -> pa.RecordBatch:
+    raw = np.concatenate(prints).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array([raw[k : k + 16] for k in range(0, len(raw), 16)], pa.binary())], schema=SUSPECT)
+
+
+def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, fp) of every line whose key the filters take for repeated; few others are among them."""
     n_lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     n_blocks = max(8, -(-n_lines * BITS_A_LINE // BLOCK_BITS))
     parts = n_parts(docs, 64 << 20)
     filters = docs.mapInArrow(_insert(min_chars, n_blocks), "block int, once binary, twice binary").repartition(parts, "block").mapInArrow(_merge, "block int, bits binary")
-    if n_blocks * BLOCK_BITS // 8 <= broadcast_bytes:
-        bits = bytearray(n_blocks * BLOCK_BITS // 8)
-        for row in filters.toLocalIterator():
-            bits[row.block * (BLOCK_BITS // 8) : (row.block + 1) * (BLOCK_BITS // 8)] = row.bits
-        sent = spark.sparkContext.broadcast(bytes(bits))
-        return docs.mapInArrow(_suspects_here(min_chars, n_blocks, sent), "doc_id long, fp binary, key binary")
-    asked = docs.mapInArrow(_questions(min_chars, n_blocks), "block int, doc_id long, fp binary")
-    own = asked.join(filters, "block").select("doc_id", "fp", "bits").mapInArrow(_in_block, "doc_id long, fp binary").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    return docs.join(own, "doc_id").select("doc_id", "text", "fps").mapInArrow(_keys_of(min_chars), "doc_id long, fp binary, key binary")
+    asked = docs.mapInArrow(_questions(min_chars, n_blocks), "block int, kind int, docs binary, data binary")
+    both = asked.union(filters.select("block", F.lit(0).alias("kind"), F.lit(b"").alias("docs"), F.col("bits").alias("data")))
+    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(_answer, "doc_id long, fp binary")
 
 
 def _rebuild(min_chars: int):
@@ -238,18 +218,15 @@ def _rebuild(min_chars: int):
     return rebuild
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, broadcast_bytes: int = 64 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents without their repeated lines: doc_id, text, n_lines (before), n_dropped and ``keep``.
-
-    broadcast_bytes: filters up to this size are sent to all tasks; larger ones stay where they are built.
-    """
+def dedup_lines(docs: DataFrame, min_chars: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents without their repeated lines: doc_id, text, n_lines (before), n_dropped and ``keep``."""
     keep = tuple(c for c in keep if c not in OUT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep)
     named = docs.select("doc_id", "text").where("doc_id is not null")
-    found = stored(suspects(named, min_chars, broadcast_bytes), "suspects")
-    true = found.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.first("fp").alias("fp"), F.count("*").alias("m")).where("keeper < last")
+    found = stored(suspects(named, min_chars), "suspects")
+    true = found.groupBy("fp").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("keeper < last")
     true = stored(true.select("fp", "keeper", "m"), "repeats")
-    lost = cut(hot_join(found.select("doc_id", "fp"), true.select("fp", "keeper"), "fp", counts=true).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")))
+    lost = cut(hot_join(found, true.select("fp", "keeper"), "fp", counts=true).where("doc_id > keeper").groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")))
     discard(found), discard(true)
     out = docs.join(lost, "doc_id", "left").withColumn("__new", _rebuild(min_chars)("text", "__fps"))
     return out.select("doc_id", F.col("__new.text").alias("text"), F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"), *keep)

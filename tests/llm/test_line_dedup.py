@@ -26,15 +26,25 @@ def brute(docs, least=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_against_brute_force(spark, limit):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_against_brute_force(spark, batch):
+    """With small batches repeats are found by the filters, not inside a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     docs = [(r[0], r[1]) for r in rows(spark)] + [(1000 + i, t) for i, t in enumerate(edge_texts())]
-    got = dedup_lines(frame(spark, docs).repartition(5), broadcast_bytes=limit)
+    got = dedup_lines(frame(spark, docs).repartition(5))
     got = {r[0]: tuple(r[1:]) for r in got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute(docs)
     assert sum(v[1] for v in got.values()) > 20
 
 
+def test_hot_line(spark):
+    """A line that most documents hold, dealt to parts, beside their own lines."""
+    docs = [(i, f"the very common line\nline of document {i}\n" + "a rarer line\n" * (i % 100 == 0)) for i in range(3000)]
+    got = dedup_lines(frame(spark, docs).repartition(6))
+    assert {r[0]: tuple(r[1:]) for r in got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()} == brute(docs)
+
+
 def test_odd_tables(spark):
     line = "a line that repeats"
     docs = frame(spark, [(None, line), (1, line), (1, line), (2, line)]).withColumn("n_dropped", F.lit(9)).withColumn("__fps", F.lit(1))
