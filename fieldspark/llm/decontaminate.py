@@ -8,24 +8,27 @@ the Burrows-Wheeler transform, held as a wavelet matrix with rank counts. All ph
 backwards together, one word a step; the rows found are followed to the nearest sampled suffix
 position; the occurrences merge into spans of words to remove.
 
-Phrases come from the benchmark, whose size is checked: it is sent to the tasks in blocks of at most
-``block_bytes`` of text, and every block is searched in every shard. Nothing is shuffled.
+The benchmark's size is taken first. One of up to ``block_bytes`` of text goes to the tasks as one block and
+nothing is shuffled. A larger one is dealt to blocks of about that size by a hash, and each block makes a pass of
+its own over the documents: driver and workers hold one block at a time. The spans that the passes find are
+stored, gathered by document and merged.
 
 Defined results: null texts and texts without words have no words and no hits; items without words
-give no phrase; rows with one id are each treated alone; empty tables give no rows or no hits; of
+give no phrase; an item with a null id has phrases that hit, but is not among the items found; rows with one id are each treated alone; empty tables give no rows or no hits; of
 clashing columns in ``keep`` the operator's own win.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled, release
+from .common import CHUNK_BYTES, filled, release, stored
 from .words import LOWER, NOT_ALNUM, buffers, chunks, hashes, spans
 
 OUT = ("doc_id", "text", "n_words", "n_hit", "items", "spans")
@@ -35,7 +38,7 @@ SAMPLE = 8
 class Phrases:
     """Distinct phrases of some items as words of the alphabet 2..: 1 is the separator, 0 the end."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         column = pa.array([t for _, t in items], pa.large_string())
         data, offsets = buffers(column)
         data = LOWER[data]
@@ -46,7 +49,9 @@ class Phrases:
         for k, (item, _) in enumerate(items):
             w = word[first[k] : first[k + 1]].tolist()
             for p in {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} - {()}:
-                own.setdefault(p, []).append(item)
+                own.setdefault(p, [])
+                if item is not None:
+                    own[p].append(item)
         self.phrases = [np.array(p) for p in own]
         self.items = [sorted(v) for v in own.values()]
         self.shortest = min((len(p) for p in own), default=0)
@@ -224,10 +229,10 @@ def _shard(column: pa.Array, blocks: list[Phrases]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.diff(first).astype(np.int64)), pa.array(n_hit.astype(np.int64)), lists, pa.array(out_spans, RESULT.field("spans").type), texts.cast(pa.string())], fields=list(RESULT))
 
 
-def _search(blocks, n: int):
+def _search(block, n: int):
     @F.arrow_udf(DDL)
     def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        packed = [Phrases(b.value, n) for b in blocks]
+        packed = [Phrases(block.value, n)]
         for column in texts:
             if not len(column):
                 yield pa.array([], RESULT)
@@ -240,17 +245,40 @@ def _search(blocks, n: int):
     return search
 
 
-def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of a bounded size."""
-    out: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if size and size + len(row[1]) > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
-        size += len(row[1])
-    return out
+def _merged(text: pa.Array, found: pa.Array, names: pa.Array) -> pa.Array:
+    """The result for texts with the byte spans that several passes found (null: none) and their items."""
+    out = []
+    for t, spans_, own in zip(text, found.to_pylist(), names.to_pylist(), strict=True):
+        raw = t.as_buffer().to_pybytes()
+        starts, ends, _ = spans(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_ALNUM)
+        hit = np.zeros(len(starts) + 1, np.int64)
+        if spans_:
+            np.add.at(hit, np.searchsorted(starts, [s["start"] for s in spans_]), 1)
+            np.add.at(hit, np.searchsorted(ends, [s["end"] for s in spans_]) + 1, -1)
+        inside = np.r_[False, np.cumsum(hit)[:-1] > 0, False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+        cut = [(int(starts[x]), int(ends[y - 1])) for x, y in edges]
+        places = [0, *(p for pair in cut for p in pair), len(raw)]
+        parts = [raw[places[k] : places[k + 1]] for k in range(0, len(places), 2)]
+        out.append({"n_words": len(starts), "n_hit": int(inside.sum()), "items": sorted(set(own or ())), "spans": [{"start": x, "end": y} for x, y in cut], "text": b"\n".join(parts).decode("utf-8", "replace")})
+    return pa.array(out, RESULT)
+
+
+def _in_passes(docs: DataFrame, items: DataFrame, blocks: int, n: int) -> DataFrame:
+    """As one search, a block of items at a time."""
+    spark = docs.sparkSession
+    docs = docs.withColumn("__print", F.xxhash64("text"))
+    found = []
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # about a block
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own])
+        got = docs.select("doc_id", "__print", _search(sent, n)("text").alias("g")).where("g.n_hit > 0")
+        found.append(stored(got.select("doc_id", "__print", "g.spans", "g.items"), "hits"))
+        sent.destroy()
+    every = reduce(DataFrame.union, found).groupBy("doc_id", "__print").agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
+    merge = F.arrow_udf(_merged, DDL)
+    joined = docs.join(every, docs.doc_id.eqNullSafe(every.doc_id) & (docs["__print"] == every["__print"]), "left")
+    return joined.select(*[docs[c] for c in docs.columns], merge(docs.text, "__spans", "__items").alias("__got"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -260,8 +288,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_byte
     text before removal, end exclusive.
     """
     keep = tuple(c for c in keep if c not in OUT)
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, block_bytes)]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep)
-    out = docs.withColumn("__got", _search(blocks, n)("text"))
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    if blocks > 1:
+        out = _in_passes(docs, items, blocks, n)
+    else:
+        block = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # block_bytes at most
+        out = docs.withColumn("__got", _search(block, n)("text"))
     return out.select("doc_id", *[F.col(f"__got.{c}").alias(c) for c in OUT[1:]], *keep)

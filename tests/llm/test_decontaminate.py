@@ -69,5 +69,18 @@ def test_odd_tables(spark):
     docs = frame(spark, [(None, "q X, y z"), (1, None), (1, "x")]).withColumn("items", F.lit(3))
     got = {(r.doc_id, r.text, r.n_hit) for r in decontaminate(docs, bench, keep=("items", "lang")).collect()}
     assert got == {(None, "q \n z", 2), (1, "", 0), (1, "x", 0)}
+    assert {(r.doc_id, r.text, r.n_hit) for r in decontaminate(docs, bench, block_bytes=1, keep=("items",)).collect()} == got
     assert decontaminate(docs.limit(0), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_passes_give_the_same(spark):
+    """Many small blocks, overlapping spans of several, repeated rows and an item without an id."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcdexyz") + rng.choice(" .,") for _ in range(rng.randint(0, 60)))) for i in range(40)] * 2
+    items = [(None if i == 3 else i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 8)))) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate(frame(spark, docs), bench, n=3, block_bytes=size).collect())) for size in (1 << 20, 15))
+    assert one == many and any("n_hit=0" not in r for r in one)
+    lone = decontaminate(frame(spark, ["x a b c y"]), spark.createDataFrame([(None, "a b c")], "item_id long, text string"), n=3).first()
+    assert (lone.n_hit, lone["items"]) == (3, [])
