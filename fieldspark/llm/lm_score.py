@@ -4,8 +4,9 @@ Texts are lowered (A-Z) and split at ``[\\x20\\x09-\\x0D]``; one end token follo
 documents whose crc32 of the id, as text, is not 1 modulo 5.
 
 1. *Counting.* Every task counts the bigrams of some MB of text and sends them to a shard, one entry for each
-   distinct bigram of the chunk. A word's successors are spread over a sixteenth of all shards, by their own
-   hash, so that the most frequent first word fills no shard far beyond the others, at any size. A shard adds
+   distinct bigram of the chunk: to that of its first word, or, where that is one of the ``HOT_WORDS`` commonest
+   of a sample (2000 documents, or one in a thousand), to that of the pair, so that no frequent first word fills
+   a shard, at any size. A shard adds
    its bigrams up, writes them and sends on, to the shards of the words: of first words, its part of their
    counts as context, which are added there; of second words, how many contexts each has.
 2. *Storage.* A shard's files hold hashes in sorted order: bigrams as 16 leading bits (an offset table), 32
@@ -40,6 +41,7 @@ from .words import buffers, chunks, mix, words
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 COUNT_BYTES, SCORE_BYTES = 12 << 20, 4 << 20
+SAMPLE_DOCS, HOT_WORDS = 2000, 1000
 ROW = "shard int, kind int, a binary, b binary, c binary, d binary"
 SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcd"]])
 STATS = "n1 long, n2 long, n3 long, n4 long, types long, tokens long, shard long"
@@ -69,11 +71,27 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (mix(h) % np.uint64(shards)).astype(np.int64)
 
 
-def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a bigram: one of a sixteenth of the shards, evenly spaced from that of its first word."""
-    spread = max(1, shards // 16)
-    step = mix(w ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(spread) * np.uint64(shards // spread)
-    return ((mix(v) % np.uint64(shards) + step) % np.uint64(shards)).astype(np.int64)
+def pair_shard(v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    """The shard of a bigram: that of its first word, or of the pair where the word is ``hot`` (sorted)."""
+    common = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+    return (mix(np.where(common, bigram(v, w), v)) % np.uint64(shards)).astype(np.int64)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = buffers(batch.column(0))
+        for a, b in chunks(offsets, SCORE_BYTES):
+            h, n = np.unique(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the commonest words of a sample, and of the begin, sorted. They settle where counts lie, nothing else."""
+    n = docs.count()
+    share = min(1.0, max(SAMPLE_DOCS, n // 1000) / max(n, 1))
+    counted = docs.select("text").sample(share, seed=5).mapInArrow(_sampled, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()["word"].to_numpy().astype(np.int64).view(np.uint64)
+    return np.unique(np.r_[found, BEGIN])
 
 
 def by_shard(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,7 +101,7 @@ def by_shard(s: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s[own[0]]), own
 
 
-def _count(shards: int):
+def _count(shards: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(0))
@@ -100,7 +118,7 @@ def _count(shards: int):
                     v, w, rest = np.repeat(v, times), np.repeat(w, times), n - (times - 1) * 255
                     n = np.full(len(v), 255)
                     n[last] = rest
-                s = pair_shard(v, w, shards)
+                s = pair_shard(v, w, shards, hot.value)
                 order = np.lexsort((v, s))
                 v, w, n, s = v[order], w[order], n[order].astype(np.uint8), s[order]
                 at = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (s[1:] != s[:-1])])
@@ -203,9 +221,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """Sorted hash arrays of all shards, mapped into memory."""
 
-    def __init__(self, folder: str, shards: int, d2: list[float], d1: list[float], contexts: int, types: int, total: int, rest: float, pairs: frozenset[int], words: frozenset[int]):
+    def __init__(self, folder: str, shards: int, d2: list[float], d1: list[float], contexts: int, types: int, total: int, rest: float, pairs: frozenset[int], words: frozenset[int], hot: np.ndarray):
         self.written = {"words": words, **dict.fromkeys(("offsets", "rest", "count", "large"), pairs)}
-        self.folder, self.shards, self.d2, self.d1 = folder, shards, np.array(d2), np.array(d1)
+        self.folder, self.shards, self.d2, self.d1, self.hot = folder, shards, np.array(d2), np.array(d1), hot
         self.contexts, self.types, self.total, self.rest = contexts, types, total, rest
         self.open: dict[str, np.ndarray] = {}
 
@@ -260,7 +278,7 @@ class Model:
         iv, iw = at[: len(v)], at[len(v) :]
         pair, where = np.unique(iv * len(known) + iw, return_inverse=True)
         pv, pw = pair // len(known), pair % len(known)
-        c = self.counts(pair_shard(known[pv], known[pw], self.shards), bigram(known[pv], known[pw]))
+        c = self.counts(pair_shard(known[pv], known[pw], self.shards, self.hot), bigram(known[pv], known[pw]))
         gamma = n1 * self.d2[1] + n2 * self.d2[2] + n3 * self.d2[3]
         all_ = np.maximum(context[pv], 1)
         p = np.where(context[pv] > 0, np.maximum(c - self.d2[np.minimum(c, 3)], 0) / all_ + gamma[pv] / all_ * lower[pw], lower[pw])
@@ -275,8 +293,8 @@ def train(docs: DataFrame) -> Model:
         raise ValueError("spark.checkpoint.dir must be a mounted folder (file:), for workers to map the model into memory")
     folder = at.path
     os.makedirs(folder, exist_ok=True)
-    shards = n_parts(docs)
-    counted = docs.select("text").mapInArrow(_count(shards), ROW).repartition(shards, "shard").mapInArrow(_bigrams(folder, shards), ROW)
+    shards, hot = n_parts(docs), hot_words(docs)
+    counted = docs.select("text").mapInArrow(_count(shards, spark.sparkContext.broadcast(hot)), ROW).repartition(shards, "shard").mapInArrow(_bigrams(folder, shards), ROW)
     counted = stored(counted, "counted")
     sums, pairs = np.zeros(5, np.int64), set()
     for r in counted.where("kind = 3").select("shard", "a").collect():  # five numbers a shard
@@ -287,7 +305,7 @@ def train(docs: DataFrame) -> Model:
     d1 = discounts(t.n1, t.n2, t.n3, t.n4)
     contexts = int(sums[4])
     left = (d1[1] * t.n1 + d1[2] * t.n2 + d1[3] * (t.types - t.n1 - t.n2)) / contexts if contexts else 1.0
-    return Model(folder, shards, discounts(*map(int, sums[:4])), d1, contexts, t.types, t.tokens, left, frozenset(pairs), frozenset(t.shards))
+    return Model(folder, shards, discounts(*map(int, sums[:4])), d1, contexts, t.types, t.tokens, left, frozenset(pairs), frozenset(t.shards), hot)
 
 
 RESULT = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -64,6 +64,30 @@ def test_against_brute_force(spark):
         assert math.isclose(r.base_score, want[2], rel_tol=1e-9) and math.isclose(r.score, want[3], rel_tol=1e-9)
 
 
+def test_missing_files_raise(spark):
+    import os
+
+    import pytest
+
+    docs = frame(spark, ["a b a c", "a b", "c c d"])
+    model = lm_score.train(docs.select("text"))
+    want = [r.score for r in lm_score.score(docs, model).orderBy("doc_id").collect()]
+    some = next(f for f in os.listdir(model.folder) if f.startswith("rest-"))
+    os.remove(f"{model.folder}/{some}")
+    with pytest.raises(Exception, match="No such file"):
+        lm_score.score(docs, model).collect()
+    assert all(x < 0 for x in want)
+
+
+def test_hot_words_spread_over_shards():
+    import numpy as np
+
+    v, w = np.full(4000, 7, np.uint64), np.arange(4000, dtype=np.uint64)
+    spread = np.bincount(lm_score.pair_shard(v, w, 40, np.array([7], np.uint64)), minlength=40)
+    assert spread.max() < 2 * spread.mean() and spread.min() > 0
+    assert len(set(lm_score.pair_shard(v, w, 40, np.array([8], np.uint64)))) == 1
+
+
 def test_probabilities_sum_to_one(spark):
     texts = ["a b a c", "a b", "c c d", "b a b a b"]
     brute = Brute(texts)
