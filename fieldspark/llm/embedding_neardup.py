@@ -38,6 +38,8 @@ from .components import components
 WIDTH, MISS, CHUNK = 2.0, 1e-5, 512
 #: Tables that are looked at before all of them.
 EARLY = 8
+#: Members up to which a unit is multiplied before any table is looked at.
+SMALL = 64
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -143,16 +145,24 @@ def _compare(cosine: float, k: int, tables: int):
 
     def same_length(key: int, i: int, j: int, uid: np.ndarray, vec: np.ndarray, m: np.ndarray, chunk: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
         hashes = tables_for(x.shape[1], k, tables)
-        here = hashes.keys(x[:1]).view(np.int64)[0] == key
-        before = int(here.argmax()) if here.any() else tables
-        early = hashes.keys(x, min(EARLY, before)).view(np.int64) if before else np.zeros((len(x), 0), np.int64)
-        if (early == early[:1]).all(0).any():
+
+        def earlier() -> np.ndarray:
+            """Keys of the members in the first tables before this one."""
+            here = hashes.keys(x[:1]).view(np.int64)[0] == key
+            before = int(here.argmax()) if here.any() else tables
+            return hashes.keys(x, min(EARLY, before)).view(np.int64) if before else np.zeros((len(x), 0), np.int64)
+
+        early = earlier() if len(x) > SMALL else None
+        if early is not None and (early == early[:1]).all(0).any():
             return None
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         a, b = np.nonzero(x[left] @ x[right].T >= cosine)
         a, b = left[a], right[b]
         if i == j:
             a, b = a[a < b], b[a < b]
+        if not len(a):
+            return None
+        early = earlier() if early is None else early
         new = ~(early[a] == early[b]).any(1)
         a, b = a[new], b[new]
         if not len(a):
