@@ -5,7 +5,8 @@ non-overlapping for each kind. The method adds spans of kind ``entropy``: in can
 ``WINDOW`` characters a window slides along; symbol counts and the sum of c * log2(c) are updated by the
 symbol that leaves and the one that enters, and give the window's Shannon entropy. Windows whose
 entropy reaches the threshold of the candidate's character class mark a span, from the first to the end of
-the last such window. Candidates that match an allow-list pattern mark none; base spans are never suppressed.
+the last such window. Digits alone never do; letters alone do where a run of 16 or more of them looks random
+(shorter runs, also joined ones, pass for words). Candidates that match an allow-list pattern mark none; base spans are never suppressed.
 
 A match's place is found without positions from the regex engine: the text is split at the matches, so
 a match starts after the parts before it and the matches between them, in code points.
@@ -29,17 +30,19 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+#: Matches that are gathered in one array before it joins the others.
+SOME = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes in the order they are tried, and the bits a character that a window needs.
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z]+$", 4.2), (r"^[A-Za-z0-9]+$", 3.7), (r"^.+$", 4.0))
+CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9a-fA-F]+$", 3.0), (r"^[A-Za-z]+$", 3.9), (r"^[A-Za-z0-9]+$", 3.7), (r"^.+$", 4.0))
 #: Strings that look random but are known to be harmless.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret)",
     r"(?i)0123456789|abcdefghijkl|(?:deadbeef){2}",
     r"^(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
-    r"^[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*$",
+    r"^[A-Za-z]{1,15}(?:[-_/=+]+[A-Za-z]{1,15})*[-_/=+]*$",
 )
 
 
@@ -53,23 +56,28 @@ def found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     p, none = F.lit(pattern), F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     parts = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), (F.regexp_extract_all(text, p, F.lit(group)) if group else F.expr("cast(null as array<string>)")).alias("inner"))
 
+    def step(x: Column):
+        def one(acc: Column, i: Column) -> Column:
+            def ended(start: Column, end: Column) -> Column:
+                more = F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+                kept = F.when(F.char_length(F.element_at(x["inner"], i)) < least, acc["out"]).otherwise(more) if group else more
+                return F.struct(end.alias("at"), kept.alias("out"))
+
+            begin = acc["at"] + F.char_length(F.element_at(x["parts"], i))
+            return let(begin, lambda start: let(start + F.char_length(F.element_at(x["whole"], i)), lambda end: ended(start, end)))
+
+        return one
+
     def places(x: Column) -> Column:
-        step = F.aggregate(
-            F.sequence(F.lit(1), F.size(x["whole"])),
-            F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda acc, i: let(
-                acc["at"] + F.char_length(F.element_at(x["parts"], i)),
-                lambda start: let(
-                    start + F.char_length(F.element_at(x["whole"], i)),
-                    lambda end: F.struct(
-                        end.alias("at"),
-                        (F.when(F.char_length(F.element_at(x["inner"], i)) < least, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))) if group else F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))).alias("out"),
-                    ),
-                ),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(x["whole"]) > 0, step).otherwise(none)
+        # matches are gathered some at a time, so that no long array is copied for each of them
+        def block(acc: Column, b: Column) -> Column:
+            own = F.sequence(b * SOME + 1, F.least(F.size(x["whole"]), b * SOME + SOME))
+            inner = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), step(x))
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x["whole"]) - 1) / SOME).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start: int, kind: int, end: int>>>)").alias("out"))
+        return F.when(F.size(x["whole"]) > 0, F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["out"]))).otherwise(none)
 
     return F.when(text.rlike(pattern), let(parts, places)).otherwise(none)
 
