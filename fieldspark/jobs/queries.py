@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import calendar
 from ..functions.numeric import draw
 from ..operators import ensemble, lim, linalg, sampling, scale, spatial, state, temporal, verify
-from ..sources import fields
+from ..sources import experiments, fields, store
 from . import verification
 
 N = fields.MONTHS
@@ -33,6 +35,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
 
 
+def to_cents(df: DataFrame, c: str = "value") -> DataFrame:
+    """Eight decimals: sums of cents in millions hold no more, so that a rebuilt value rounds to the one it was."""
+    return df.withColumn(c, F.round(c, 8) + 0.0)
+
+
 def r(x: str, name: str = "value") -> str:
     """The same in DuckDB, where undefined results are NaN."""
     return f"CASE WHEN isnan({x}) OR isinf({x}) THEN NULL ELSE round({x}, 6) + 0.0 END AS {name}"
@@ -78,6 +85,32 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.detrend(temporal.anomaly(temporal.by_cell(fields.orders_region(spark, sf_dir)), 12))
 
 
+def modes_sql(src: str, k: int, tag: str = "") -> str:
+    """Leading modes of a CTE (t, cell, value): for mode q the matrix p (projector), its eigenvalue l and its vector v.
+
+    A Gram matrix squared again and again, divided by its trace, becomes the projector on its first eigenvector, which
+    is then taken out. A vector's largest entry is positive. Needs WITH RECURSIVE.
+    """
+    n = "range(1, len(m) + 1)"
+    out = [f"g{tag}0 AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS row FROM (SELECT a.cell AS i, b.cell AS j, sum(a.value * b.value) AS s FROM {src} a JOIN {src} b USING (t) GROUP BY ALL) GROUP BY i))"]
+    for q in range(k):
+        g, p, sq, lam = f"g{tag}{q}", f"p{tag}{q}", f"s{tag}{q}", f"l{tag}{q}"
+        out += [
+            f"{sq}(n, m) AS (SELECT 0, m FROM {g} UNION ALL SELECT n + 1, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / d)) FROM (SELECT n, m, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS d FROM {sq} WHERE n < 45))",
+            f"{p} AS (SELECT m FROM {sq} WHERE n = 45)",
+            f"{lam} AS (SELECT list_sum(list_transform({n}, lambda i: list_dot_product(m[i], gm[i]))) AS l FROM (SELECT {p}.m AS m, {g}.m AS gm FROM {p}, {g}))",
+            f"g{tag}{q + 1} AS (SELECT list_transform({n}, lambda i: list_transform({n}, lambda j: gm[i][j] - l * m[i][j])) AS m FROM (SELECT {p}.m AS m, {g}.m AS gm, l FROM {p}, {g}, {lam}))",
+            f"v{tag}{q} AS (SELECT list_transform(m[k], lambda x: x / sqrt(m[k][k])) AS v FROM (SELECT m, list_position(d, list_max(d)) AS k FROM (SELECT m, list_transform({n}, lambda i: m[i][i]) AS d FROM {p})))",
+        ]
+    return ", ".join(out)
+
+
+def _rebuilt(src: str, k: int) -> str:
+    """CTE rc (t, cell, value): a field rebuilt from k modes of modes_sql."""
+    parts = " + ".join(f"list_dot_product(p{q}.m[i], x)" for q in range(k))
+    return f"rc AS (SELECT t, cell, {parts} AS value FROM (SELECT t, list(value ORDER BY cell) AS x FROM {src} GROUP BY t), (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM {src})), {', '.join(f'p{q}' for q in range(k))})"
+
+
 # ---- the flagship --------------------------------------------------------------------------------------------
 @query(f"""WITH {ANOM}, p AS (SELECT t, cell, value AS f, lead(value) OVER w AS o FROM d WINDOW w AS (PARTITION BY cell ORDER BY t)),
 s AS (SELECT cell, corr(f, o) AS lac, count(*) AS n FROM p WHERE o IS NOT NULL GROUP BY cell)
@@ -128,6 +161,81 @@ def ens_stats_file(spark, sf_dir):
     return rounded(ensemble.member_stats(fields.orders_members(spark, sf_dir)), "mean", "std")
 
 
+_STAMPS = "SELECT DISTINCT o_orderdate::DATE AS d FROM orders"
+
+
+def _cf(calendar_: str, n: str) -> str:
+    """Year, month and day of a day number since 0001-01-01 in DuckDB, by other arithmetic than the library's."""
+    if calendar_ == "standard":
+        d = f"(DATE '0001-01-01' + ({n})::INT)"
+        return f"year({d})::BIGINT AS year, month({d})::BIGINT AS month, day({d})::BIGINT AS day"
+    if calendar_ == "360_day":
+        return f"(({n}) // 360 + 1)::BIGINT AS year, (({n}) % 360 // 30 + 1)::BIGINT AS month, (({n}) % 30 + 1)::BIGINT AS day"
+    at = f"(({n}) % 365)"
+    ends = "[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]"
+    k = f"len(list_filter({ends}, lambda b: b <= {at}))"
+    return f"(({n}) // 365 + 1)::BIGINT AS year, {k}::BIGINT AS month, ({at} - {ends}[{k}] + 1)::BIGINT AS day"
+
+
+@query(f"WITH n AS (SELECT date_diff('day', DATE '0001-01-01', d) AS n FROM ({_STAMPS})) " + " UNION ALL ".join(f"SELECT '{c}' AS calendar, n * 24.0::DOUBLE + 6 AS number, {_cf(c, 'n')}, 21600::BIGINT AS second FROM n" for c in ("standard", "noleap", "360_day")))
+def time_cf(spark, sf_dir):
+    """Hours since year 1 in three calendars, from the dates of the orders."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("0001-01-01").cast("date"))
+    n = fields.table(spark, sf_dir, "orders").select((days * 24 + 6).cast("double").alias("number")).distinct()
+    parts = []
+    for c in ("standard", "noleap", "360_day"):
+        year, month, day, second = calendar.decode(F.col("number"), "hours since 0001-01-01 00:00:00", c)
+        parts.append(n.select(F.lit(c).alias("calendar"), "number", year.cast("long").alias("year"), month.cast("long").alias("month"), day.cast("long").alias("day"), second.cast("long").alias("second")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _variables(spark, sf_dir) -> dict[str, experiments.Variable]:
+    """Two variables with coordinates; times are days since 1995-01-01 in a calendar of 360 days, one row is a fill value."""
+    out = {}
+    for name, field in (("orders", fields.orders_nation(spark, sf_dir)), ("revenue", fields.lineitem_snation(spark, sf_dir))):
+        placed = field.join(fields.nation_grid(spark, sf_dir), "cell")
+        value = F.when((F.col("t") == 3) & (F.col("cell") == 4), 1e20).otherwise(F.col("value"))
+        out[name] = experiments.Variable(placed.select((F.col("t") * 30).alias("time"), "lat", "lon", value.alias("value")), "days since 1995-01-01", "360_day", 1995, 1e20)
+    return out
+
+
+_LOADED = " UNION ALL ".join(f"SELECT '{n}' AS var, t, dense_rank() OVER (ORDER BY lat, lon) - 1 AS cell, lat, lon, CASE WHEN t = 3 AND cell = 4 THEN NULL ELSE round(value, 6) + 0.0 END AS value FROM {f} JOIN grid USING (cell)" for n, f in (("orders", "f4"), ("revenue", "f5")))
+
+
+def _with_places(loaded: dict) -> DataFrame:
+    parts = [f.join(g, "cell").select(F.lit(n).alias("var"), "t", "cell", "lat", "lon", "value") for n, (f, g) in loaded.items()]
+    return rounded(parts[0].union(parts[1]), "value")
+
+
+@query(f"WITH {F4}, {F5}, {GRID} {_LOADED}")
+def exp_load(spark, sf_dir):
+    """Variables of an experiment with their coordinates, decoded times and fill values."""
+    return _with_places(experiments.load_all(_variables(spark, sf_dir)))
+
+
+@query(f"WITH {F4}, {F5}, {GRID} {_LOADED}")
+def conv_fields(spark, sf_dir):
+    """The same, converted to a folder once and read back."""
+    folder = f"{store.shared_dir(spark)}/experiment-{uuid.uuid4().hex}"
+    experiments.convert(_variables(spark, sf_dir), folder)
+    return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
+
+
+@query(f"WITH {F6} SELECT cell, (cell * 2 - 60)::DOUBLE AS lat, (cell * 5)::DOUBLE AS lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f6 GROUP BY cell")
+def src_posterior_ncf(spark, sf_dir):
+    """Stations: one array of values a time, and arrays of each station's coordinates."""
+    e = fields.table(spark, sf_dir, "embeddings").withColumn("lat", F.transform("embedding", lambda _, i: i * 2 - 60)).withColumn("lon", F.transform("embedding", lambda _, i: i * 5))
+    f, grid = experiments.flat_arrays(e, "vec_id", "embedding", "lat", "lon")
+    return rounded(f.groupBy("cell").agg(F.count("value").alias("n"), F.avg("value").alias("value")).join(grid, "cell").select("cell", "lat", "lon", "n", "value"), "value")
+
+
+@query(f"WITH {F6} SELECT cell, (cell // 8 * 10 - 35)::DOUBLE AS lat, (cell % 8 * 45)::DOUBLE AS lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f6 GROUP BY cell")
+def src_posterior_npz(spark, sf_dir):
+    """A grid of 8 by 8: one array of values a time, latitudes and longitudes once."""
+    f, grid = experiments.gridded_arrays(fields.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [10 * k - 35 for k in range(8)], [45 * k for k in range(8)])
+    return rounded(f.groupBy("cell").agg(F.count("value").alias("n"), F.avg("value").alias("value")).join(grid, "cell").select("cell", "lat", "lon", "n", "value"), "value")
+
+
 # ---- masks and grids -----------------------------------------------------------------------------------------
 #: F5 with holes: cells 3, 10 and 17 miss one time each, as NaN, infinity and a fill value.
 HOLES = f"{F5}, h AS (SELECT t, cell, CASE WHEN cell = 3 AND t = 5 THEN 'nan'::DOUBLE WHEN cell = 10 AND t = 0 THEN 'inf'::DOUBLE WHEN cell = 17 AND t = 71 THEN -999 ELSE value END AS value FROM f5), ok AS (SELECT cell, bool_and(isfinite(value) AND value <> -999) AS valid FROM h GROUP BY cell)"
@@ -338,6 +446,14 @@ def prep_chain(spark, sf_dir):
     return rounded(_prepared(spark, sf_dir), "value")
 
 
+@query(f"WITH {PREP} SELECT 'anomaly' AS stage, t, cell, {r('value')} FROM a UNION ALL SELECT 'detrended', t, cell, {r('value')} FROM d")
+def reset_key(spark, sf_dir):
+    """Stages of a prepared field, gone back to by name."""
+    stages = scale.prepare_stages(fields.orders_nation(spark, sf_dir), fields.nation_grid(spark, sf_dir))
+    parts = [stages.reset(n).select(F.lit(n).alias("stage"), "t", "cell", "value") for n in ("anomaly", "detrended")]
+    return rounded(parts[0].union(parts[1]), "value")
+
+
 # ---- linear algebra ------------------------------------------------------------------------------------------
 @query(f"WITH {PREP} SELECT a.cell AS i, b.cell AS j, {r('sum(a.value * b.value)', 's')} FROM w a JOIN w b USING (t) GROUP BY ALL")
 def gram(spark, sf_dir):
@@ -365,22 +481,56 @@ def eof_stats(spark, sf_dir):
     return rounded(out.join(F.broadcast(loadings.agg(F.sum(F.pow("loading", 2)).alias("basis_sq")))), "sum_sq", "eigvals", "basis_sq")
 
 
-@query(f"WITH {PREP} SELECT t, {r('sum(value * value)')} FROM d GROUP BY t")
+@query(f"WITH RECURSIVE {PREP}, {modes_sql('w', 3)}, x AS (SELECT t, list(value ORDER BY cell) AS x FROM d GROUP BY t) " + " UNION ALL ".join(f"SELECT t, {q} AS mode, {r('list_dot_product(x, v)')} FROM x, v{q}" for q in range(3)))
 def eof_project(spark, sf_dir):
-    """The weighted field's full basis applied to the unweighted one keeps the squares of each time."""
+    """The weighted field's leading modes applied to the unweighted one."""
     f = temporal.detrend(temporal.anomaly(fields.orders_nation(spark, sf_dir), 12))
-    pcs = linalg.project_checked(f, linalg.eof(_prepared(spark, sf_dir), 25)[0])
-    return rounded(pcs.groupBy("t").agg(F.sum(F.pow("value", 2)).alias("value")), "value")
+    return rounded(linalg.project_checked(f, linalg.eof(_prepared(spark, sf_dir), 3)[0]), "value")
 
 
-@query(f"WITH {F6} SELECT {r('sum(value * value)', 'total')}, true AS leading FROM f6")
+def _prep_of(f: str, n: str) -> str:
+    return f"a{n} AS ({_climo(f)}), d{n} AS ({_detrend(f'a{n}')}), w{n} AS (SELECT t, cell, value * sqrt(abs(cos(radians(lat)))) AS value FROM d{n} JOIN grid USING (cell)), x{n} AS (SELECT t, list(value ORDER BY cell) AS x FROM d{n} GROUP BY t)"
+
+
+@query(f"WITH RECURSIVE {F4}, {F5}, {GRID}, {_prep_of('f4', '_o')}, {_prep_of('f5', '_r')}, {modes_sql('w_o', 2, 'o')}, {modes_sql('w_r', 2, 'r')} " + " UNION ALL ".join(f"SELECT '{name}' AS basis, t, {q} AS mode, {r('list_dot_product(x, v)')} FROM x_r, v{tag}{q}" for name, tag in (("own", "r"), ("foreign", "o")) for q in (0, 1)))
+def eof_bulk(spark, sf_dir):
+    """Revenue by nation in its own two modes, and in those of the orders (another experiment's basis)."""
+    grid = fields.nation_grid(spark, sf_dir)
+    orders, revenue = (scale.prepare_stages(f, grid) for f in (fields.orders_nation(spark, sf_dir), fields.lineitem_snation(spark, sf_dir)))
+    weighted, plain = {"revenue": revenue.current}, {"revenue": revenue.reset("detrended")}
+    own = linalg.eof_bulk(weighted, plain, 2)["revenue"][1]
+    foreign = linalg.eof_bulk(weighted, plain, 2, {"revenue": linalg.eof(orders.current, 2)[0]})["revenue"][1]
+    return rounded(own.select(F.lit("own").alias("basis"), "t", "mode", "value").union(foreign.select(F.lit("foreign"), "t", "mode", "value")), "value")
+
+
+@query(f"WITH RECURSIVE {F6}, {modes_sql('f6', 3)} " + " UNION ALL ".join(f"SELECT {q} AS mode, {r('sqrt(l)', 'sval')} FROM l{q}" for q in range(3)))
 def eof_ooc(spark, sf_dir):
-    """Randomised modes of the vectors: their variance is that of the exact leading modes."""
+    """Leading modes of a field with many cells (the vectors) and few times, by a subspace."""
     f = fields.embeddings(spark, sf_dir)
-    some = linalg.eof_randomized(f.select(F.col("cell").alias("t"), F.col("t").alias("cell"), "value"), 3, rounds=6)[1].agg(F.sum(F.pow("sval", 2)).alias("a"))
-    exact = linalg.eof(f, 64)[1].agg(F.sum(F.pow("sval", 2)).alias("total"), F.sum(F.when(F.col("mode") < 3, F.pow("sval", 2))).alias("b"))
-    both = exact.join(F.broadcast(some))
-    return rounded(both.select("total", (F.abs(F.col("a") / F.col("b") - 1) < 0.05).alias("leading")), "total")
+    return rounded(linalg.eof(f.select(F.col("cell").alias("t"), F.col("t").alias("cell"), "value"), 3, exact=0)[1].select("mode", "sval"), "sval")
+
+
+TRUNCATED = f"{PREP}, {modes_sql('w', 3)}"
+
+
+@query(f"WITH RECURSIVE {TRUNCATED}, c AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM w)), x AS (SELECT t, list(value ORDER BY cell) AS x FROM w GROUP BY t) SELECT t, cell, {r('list_dot_product(p0.m[i], x) + list_dot_product(p1.m[i], x) + list_dot_product(p2.m[i], x)')} FROM x, c, p0, p1, p2")
+def eof_truncated(spark, sf_dir):
+    """The field rebuilt from its three leading modes."""
+    w = _prepared(spark, sf_dir)
+    loadings, _ = linalg.eof(w, 3)
+    return rounded(linalg.reconstruct(linalg.project(w, loadings), loadings), "value")
+
+
+@query(f"WITH RECURSIVE {TRUNCATED}, k AS (SELECT sum(v) AS total FROM (SELECT var_samp(value) AS v FROM w GROUP BY cell)), n AS (SELECT count(DISTINCT t) AS nt FROM w) " + " UNION ALL ".join(f"SELECT {q} AS mode, {r('sqrt(l)', 'sval')}, {r('l / nt', 'eigval')}, {r('l / nt / total', 'var_expl')} FROM l{q}, k, n" for q in range(3)))
+def eof_leading(spark, sf_dir):
+    """Statistics of the three leading modes."""
+    return rounded(linalg.eof(_prepared(spark, sf_dir), 3)[1], "sval", "eigval", "var_expl")
+
+
+@query(f"WITH RECURSIVE {TRUNCATED} " + " UNION ALL ".join(f"SELECT cell, {q} AS mode, {r('v[i]', 'loading')} FROM v{q}, (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM w))" for q in range(3)))
+def eof_loadings(spark, sf_dir):
+    """The three leading modes themselves."""
+    return rounded(linalg.eof(_prepared(spark, sf_dir), 3)[0], "loading")
 
 
 STATE = f"{F3}, {F4}, s AS (SELECT t, cell AS feature, value FROM f3 UNION ALL SELECT t, cell + 5, value FROM f4)"
@@ -405,22 +555,22 @@ def state_build(spark, sf_dir):
     return rounded(state.concat({"region": scale.standardize_field(fields.orders_region(spark, sf_dir)), "nation": scale.standardize_field(fields.orders_nation(spark, sf_dir))})[0], "value")
 
 
-@query(f"WITH {STATE} SELECT t, feature, {r('value')} FROM s")
+@query(f"WITH {STATE} SELECT t, feature, round(value, 8) + 0.0 AS value FROM s")
 def state_back(spark, sf_dir):
     """A state through all of its modes and back."""
     s, _ = _state(spark, sf_dir)
     loadings, _ = state.state_eofs(s, 30)
-    return rounded(state.to_features(state.to_modes(s, loadings), loadings), "value")
+    return to_cents(state.to_features(state.to_modes(s, loadings), loadings))
 
 
-@query(f"WITH {F4} SELECT t, cell, {r('value')} FROM f4")
+@query(f"WITH {F4} SELECT t, cell, round(value, 8) + 0.0 AS value FROM f4")
 def basis_chain(spark, sf_dir):
     """A basis of the modes of a basis, as one basis: complete ones rebuild the field."""
     f = fields.orders_nation(spark, sf_dir)
     outer, _ = linalg.eof(f, 25)
     inner, _ = linalg.eof(linalg.project(f, outer).withColumnRenamed("mode", "cell"), 25)
     both = linalg.chain(outer, inner)
-    return rounded(linalg.reconstruct(linalg.project(f, both), both), "value")
+    return to_cents(linalg.reconstruct(linalg.project(f, both), both))
 
 
 #: Leading modes of the state of all cells.
@@ -429,41 +579,68 @@ LEADING = 10
 MEMBERS_RUN = 100
 
 # ---- the model -----------------------------------------------------------------------------------------------
-TWO = f"{F5}, x AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM f5 WHERE cell IN (3, 8)), y AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS v FROM x WHERE t BETWEEN 2 AND {N - 3}), z AS (SELECT t, max(v) FILTER (cell = 3) AS a, max(v) FILTER (cell = 8) AS b FROM y GROUP BY t)"
-TWO_G = f"""{TWO}, p AS (SELECT t, a, b, lead(a) OVER (ORDER BY t) AS a1, lead(b) OVER (ORDER BY t) AS b1 FROM z), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a1 * a) AS ka, sum(a1 * b) AS kb, sum(b1 * a) AS la, sum(b1 * b) AS lb FROM p WHERE a1 IS NOT NULL),
+SMOOTH = "sm AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM {f}), y0 AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS value FROM sm WHERE t BETWEEN 2 AND {last})"
+STATES = "xs AS (SELECT t, list(value ORDER BY cell) AS x FROM y GROUP BY t), z AS (SELECT t, list_dot_product(x, v0.v) AS a, list_dot_product(x, v1.v) AS b FROM xs, v0, v1)"
+TWO = f"{F5}, {SMOOTH.format(f='f5', last=N - 3)}, y AS (SELECT * FROM y0), {modes_sql('y', 2)}, {STATES}"
+FIT = """p AS (SELECT t, a, b, lead(a) OVER (ORDER BY t) AS a1, lead(b) OVER (ORDER BY t) AS b1 FROM z), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a1 * a) AS ka, sum(a1 * b) AS kb, sum(b1 * a) AS la, sum(b1 * b) AS lb, count(*) AS n FROM p WHERE a1 IS NOT NULL),
 g AS (SELECT (ka * bb - kb * ab) / (aa * bb - ab * ab) AS g00, (kb * aa - ka * ab) / (aa * bb - ab * ab) AS g01, (la * bb - lb * ab) / (aa * bb - ab * ab) AS g10, (lb * aa - la * ab) / (aa * bb - ab * ab) AS g11 FROM c)"""
+TWO_G = f"{TWO}, {FIT}"
+
+
+def _smoothed(field: DataFrame) -> DataFrame:
+    f = temporal.run_mean_trim(field, 5, N)
+    return f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
+
+
+def _states(f: DataFrame, k: int):
+    """A field as a state of its leading modes, and their loadings."""
+    loadings, _ = linalg.eof(f, k)
+    return linalg.project(f, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value"), loadings
 
 
 def _two(spark, sf_dir):
-    """Two smoothed and centred cells as a state with modes 0 and 1."""
-    f = temporal.run_mean_trim(fields.lineitem_snation(spark, sf_dir).where("cell in (3, 8)"), 5, N)
-    f = f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
-    return f.select("t", F.when(F.col("cell") == 3, 0).otherwise(1).cast("long").alias("mode"), "value")
+    """All cells of the smoothed, centred field in its two leading modes."""
+    return _states(_smoothed(fields.lineitem_snation(spark, sf_dir)), 2)[0]
 
 
-@query(f"WITH {TWO_G} SELECT 0 AS i, 0 AS j, {r('g00', 're')} FROM g UNION ALL SELECT 0, 1, {r('g01', 're')} FROM g UNION ALL SELECT 1, 0, {r('g10', 're')} FROM g UNION ALL SELECT 1, 1, {r('g11', 're')} FROM g")
+@query(f"WITH RECURSIVE {TWO_G} SELECT 0 AS i, 0 AS j, {r('g00', 're')} FROM g UNION ALL SELECT 0, 1, {r('g01', 're')} FROM g UNION ALL SELECT 1, 0, {r('g10', 're')} FROM g UNION ALL SELECT 1, 1, {r('g11', 're')} FROM g")
 def lim_fit_G(spark, sf_dir):
     return rounded(lim.fit(_two(spark, sf_dir)).to_df(spark).select("i", "j", "re"), "re")
 
 
-@query(f"WITH {TWO_G} SELECT 2 AS lead, t, 0::BIGINT AS mode, {r('(g00 * g00 + g01 * g10) * a + (g00 * g01 + g01 * g11) * b')} FROM z, g UNION ALL SELECT 2, t, 1, {r('(g10 * g00 + g11 * g10) * a + (g10 * g01 + g11 * g11) * b')} FROM z, g")
+@query(f"WITH RECURSIVE {TWO_G} SELECT 2 AS lead, t, 0::BIGINT AS mode, {r('(g00 * g00 + g01 * g10) * a + (g00 * g01 + g01 * g11) * b')} FROM z, g UNION ALL SELECT 2, t, 1, {r('(g10 * g00 + g11 * g10) * a + (g10 * g01 + g11 * g11) * b')} FROM z, g")
 def lim_forecast(spark, sf_dir):
     s = _two(spark, sf_dir)
     return rounded(lim.forecast(s, lim.fit(s).g, [2]), "value")
 
 
-@query(f"""WITH {TWO_G}, m AS (SELECT *, g00 + g11 AS tr, g00 * g11 - g01 * g10 AS det FROM g), e AS (SELECT unnest([(tr + sqrt(greatest(tr * tr / 4 - det, 0) * 4)) / 2, (tr - sqrt(greatest(tr * tr / 4 - det, 0) * 4)) / 2]) AS l, det, tr FROM m)
+@query(f"""WITH RECURSIVE {TWO_G}, m AS (SELECT *, g00 + g11 AS tr, g00 * g11 - g01 * g10 AS det FROM g), e AS (SELECT unnest([(tr + sqrt(greatest(tr * tr / 4 - det, 0) * 4)) / 2, (tr - sqrt(greatest(tr * tr / 4 - det, 0) * 4)) / 2]) AS l, det, tr FROM m)
 SELECT (row_number() OVER (ORDER BY l DESC) - 1)::INT AS mode, CASE WHEN tr * tr / 4 >= det THEN round(ln(l), 6) + 0.0 ELSE round(ln(det) / 2, 6) + 0.0 END AS re, CASE WHEN tr * tr / 4 >= det THEN round(-1 / ln(l), 6) + 0.0 ELSE round(-2 / ln(det), 6) + 0.0 END AS efold FROM e""")
 def lim_modes(spark, sf_dir):
     return rounded(lim.eigen_modes(spark, lim.fit(_two(spark, sf_dir))).select("mode", "re", "efold"), "re", "efold")
 
 
+@query(f"WITH RECURSIVE {TWO}, {FIT.replace('lead(a)', 'lead(a, 3)').replace('lead(b)', 'lead(b, 3)')} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'g{i}{j}', 're')} FROM g" for i in (0, 1) for j in (0, 1)))
+def lim_fit_tau1(spark, sf_dir):
+    """G from states and, given apart, those that follow them three months later."""
+    s = store.stored(_two(spark, sf_dir), "states")
+    later = s.withColumn("t", F.col("t") - 3).join(s.select("t").distinct(), "t", "left_semi")
+    return rounded(lim.fit(s.join(later.select("t").distinct(), "t", "left_semi"), 3, tau1=later).to_df(spark).select("i", "j", "re"), "re")
+
+
+@query(f"WITH RECURSIVE {TWO_G} " + " UNION ALL ".join(f"SELECT 1 AS lead, t, {i}::BIGINT AS mode, {r(f'g{i}0 * a + g{i}1 * b')} FROM z, g UNION ALL SELECT 2, t, {i}, {r(f'(g{i}0 * g00 + g{i}1 * g10) * a + (g{i}0 * g01 + g{i}1 * g11) * b')} FROM z, g" for i in (0, 1)))
+def fcast_by_lead(spark, sf_dir):
+    """Forecasts kept as a folder for each lead, two of three read back."""
+    s = _two(spark, sf_dir)
+    path = f"{store.shared_dir(spark)}/forecast-{uuid.uuid4().hex}"
+    lim.save_by_lead(lim.forecast(s, lim.fit(s).g, [1, 2, 3]), path)
+    return rounded(spark.read.parquet(path).where("lead < 3").select("lead", "t", "mode", "value"), "value")
+
+
 def _whole(spark, sf_dir):
     """All cells of the smoothed, centred field as a state of its leading modes, and their loadings."""
-    f = temporal.run_mean_trim(fields.lineitem_snation(spark, sf_dir), 5, N)
-    f = f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
-    loadings, _ = linalg.eof(f, LEADING)
-    return linalg.project(f, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value"), loadings, f
+    f = _smoothed(fields.lineitem_snation(spark, sf_dir))
+    return *_states(f, LEADING), f
 
 
 @query()
@@ -492,67 +669,117 @@ def xfcast_state(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    """A model with noise on three modes of the smoothed, centred, standardised nation field, and its state."""
-    f = temporal.run_mean_trim(fields.orders_nation(spark, sf_dir), 5, N)
-    f = f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
-    f = scale.standardize_field(f)
-    loadings, _ = linalg.eof(f, 3)
-    s = linalg.project(f, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value")
+    """A model with noise on two modes of the smoothed, centred, standardised nation field, and its state."""
+    s, loadings = _states(scale.standardize_field(_smoothed(fields.orders_nation(spark, sf_dir))), 2)
     return lim.fit(s, noise=True), s, loadings
 
 
-@query()
+#: The same in SQL. The logarithm of a matrix of two by two is a multiple of it plus one of the identity.
+MODEL = f"""{F4}, {SMOOTH.format(f='f4', last=N - 3)}, k AS (SELECT 1 / sqrt(sum(v)) AS factor FROM (SELECT var_samp(value) AS v FROM y0 GROUP BY cell)), y AS (SELECT t, cell, value * factor AS value FROM y0, k), {modes_sql('y', 2)}, {STATES}, {FIT},
+e0 AS (SELECT *, g00 + g11 AS tr, g00 * g11 - g01 * g10 AS det, aa / (n - 1) AS c00, ab / (n - 1) AS c01, bb / (n - 1) AS c11 FROM g, c), e1 AS (SELECT *, sqrt(abs(tr * tr / 4 - det)) AS w, tr * tr / 4 > det AS two FROM e0),
+e2 AS (SELECT *, CASE WHEN two THEN (ln(tr / 2 + w) - ln(tr / 2 - w)) / (2 * w) ELSE atan2(w, tr / 2) / w END AS kg FROM e1), e3 AS (SELECT *, CASE WHEN two THEN ln(tr / 2 + w) - kg * (tr / 2 + w) ELSE ln(det) / 2 - kg * tr / 2 END AS ki FROM e2),
+l AS (SELECT *, ki + kg * g00 AS l00, kg * g01 AS l01, kg * g10 AS l10, ki + kg * g11 AS l11 FROM e3), q AS (SELECT *, -2 * (l00 * c00 + l01 * c01) AS qa, -(l00 * c01 + l01 * c11 + c00 * l10 + c01 * l11) AS qb, -2 * (l10 * c01 + l11 * c11) AS qd FROM l),
+q2 AS (SELECT *, (qa + qd) / 2 + sqrt(pow((qa - qd) / 2, 2) + qb * qb) AS q0, (qa + qd) / 2 - sqrt(pow((qa - qd) / 2, 2) + qb * qb) AS q1 FROM q), q3 AS (SELECT *, sqrt(qb * qb + pow(q0 - qa, 2)) * CASE WHEN abs(qb) >= abs(q0 - qa) THEN sign(qb) ELSE sign(q0 - qa) END AS n0, sqrt(qb * qb + pow(q1 - qa, 2)) * CASE WHEN abs(qb) >= abs(q1 - qa) THEN sign(qb) ELSE sign(q1 - qa) END AS n1 FROM q2),
+md AS (SELECT *, qb / n0 AS v00, (q0 - qa) / n0 AS v10, qb / n1 AS v01, (q1 - qa) / n1 AS v11 FROM q3)"""
+
+
+@query(f"WITH RECURSIVE {MODEL} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'l{i}{j}', 're')}, 0.0::DOUBLE AS im, {r(f'q{i}', 'q')} FROM md" for i in (0, 1) for j in (0, 1)))
 def lim_fit_Q(spark, sf_dir):
-    """L and the eigenvalues of the noise covariance."""
+    """L, and the eigenvalues of the noise covariance beside its rows."""
     m = _model(spark, sf_dir)[0]
     values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(m.q_values)], "i int, q double")
-    return linalg.to_coo(spark, m.lin).join(values, "i", "left")
+    return rounded(linalg.to_coo(spark, m.lin).join(values, "i", "left"), "re", "im", "q")
 
 
-@query()
+STEPS = 1440
+
+
+def _scrambled(table: str, *columns: str) -> str:
+    """Columns of a table through the 32-bit finaliser of the noise."""
+    mask = "4294967295::UBIGINT"
+    for shift, by in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        table = f"(SELECT * REPLACE ({', '.join(f'(xor({c}, {c} >> {shift}) * {by}::UBIGINT) & {mask} AS {c}' for c in columns)}) FROM {table})"
+    return f"(SELECT * REPLACE ({', '.join(f'xor({c}, {c} >> 16) AS {c}' for c in columns)}) FROM {table})"
+
+
+def ensemble_sql(units: int, starts: str) -> str:
+    """CTE ``runs`` (member, sample, unit, a, b, ma, mb): last midpoints and means of each unit, from starts (sample, a, b).
+
+    The scheme is linear: a unit's states are powers of I + L dt times its start, plus powers times the noise, so no
+    step is taken one by one.
+    """
+    mask = "4294967295::UBIGINT"
+    add = lambda column, by: f"({column} + {by}::UBIGINT) & {mask}"
+    one = _scrambled(f"(SELECT member, ({add('h', 'member')}) AS h FROM {_scrambled('(SELECT (2654435769)::UBIGINT AS h)', 'h')}, (SELECT range::UBIGINT AS member FROM range({MEMBERS_RUN})))", "h")
+    two = _scrambled(f"(SELECT unit, sample, ({add('h', 'sample')}) AS h FROM {_scrambled('(SELECT unit, (unit + 2246822507::UBIGINT) & 4294967295::UBIGINT AS h FROM (SELECT range::UBIGINT AS unit FROM range(' + str(units) + ')))', 'h')}, (SELECT sample::UBIGINT AS sample FROM starts))", "h")
+    parts = [f"x{c}" for c in range(4)]
+    first = _scrambled(f"(SELECT member, unit, sample, stream.h AS h1, place.h AS h2, i, {', '.join(f'(4 * i + {c} + stream.h) & {mask} AS x{c}' for c in range(4))} FROM stream, place, (SELECT range::UBIGINT AS i FROM range({STEPS})))", *parts)
+    second = _scrambled(f"(SELECT * REPLACE ({', '.join(f'xor({c}, h2) AS {c}' for c in parts)}) FROM {first})", *parts)
+    u = lambda c: f"(({c}::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+    sums = {"e": "pw.i = left_ - 1", "f": "pw.i = left_ - 2"}
+    return f"""st AS MATERIALIZED (SELECT 1 + l00 / {STEPS} AS a00, l01 / {STEPS} AS a01, l10 / {STEPS} AS a10, 1 + l11 / {STEPS} AS a11, v00 * sqrt(q0 / {STEPS}) AS b00, v01 * sqrt(q1 / {STEPS}) AS b01, v10 * sqrt(q0 / {STEPS}) AS b10, v11 * sqrt(q1 / {STEPS}) AS b11 FROM md),
+starts AS ({starts}), stream AS {one}, place AS {two},
+pw(i, p00, p01, p10, p11, c00, c01, c10, c11) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, n00, n01, n10, n11, c00 + n00, c01 + n01, c10 + n10, c11 + n11 FROM (SELECT *, a00 * p00 + a01 * p10 AS n00, a00 * p01 + a01 * p11 AS n01, a10 * p00 + a11 * p10 AS n10, a10 * p01 + a11 * p11 AS n11 FROM pw, st WHERE i < {STEPS})),
+ns AS (SELECT member, unit, sample, i, sqrt(-2 * ln({u('x0')})) * cos(2 * pi() * {u('x1')}) AS n0, sqrt(-2 * ln({u('x2')})) * cos(2 * pi() * {u('x3')}) AS n1 FROM {second}),
+ws AS (SELECT member, unit, sample, i, b00 * n0 + b01 * n1 AS w0, b10 * n0 + b11 * n1 AS w1 FROM ns, st),
+kicks AS MATERIALIZED (SELECT member, unit, sample, sum(e.p00 * w0 + e.p01 * w1) AS e0, sum(e.p10 * w0 + e.p11 * w1) AS e1, sum(f.p00 * w0 + f.p01 * w1) AS f0, sum(f.p10 * w0 + f.p11 * w1) AS f1, sum(f.c00 * w0 + f.c01 * w1) AS d0, sum(f.c10 * w0 + f.c11 * w1) AS d1
+ FROM ws JOIN pw e ON e.i = {STEPS - 1} - ws.i::BIGINT LEFT JOIN pw f ON f.i = {STEPS - 2} - ws.i::BIGINT GROUP BY ALL),
+ends AS MATERIALIZED (SELECT s.p00 AS s00, s.p01 AS s01, s.p10 AS s10, s.p11 AS s11, t.p00 AS t00, t.p01 AS t01, t.p10 AS t10, t.p11 AS t11, t.c00 AS u00, t.c01 AS u01, t.c10 AS u10, t.c11 AS u11 FROM pw s, pw t WHERE s.i = {STEPS} AND t.i = {STEPS - 1}),
+runs(member, sample, unit, xa, xb, a, b, ma, mb) AS (SELECT member, starts.sample::UBIGINT, 0::BIGINT, a, b, a, b, 0.0::DOUBLE, 0.0::DOUBLE FROM starts, stream UNION ALL
+ SELECT member, sample, unit + 1, ya, yb, (za + ya) / 2, (zb + yb) / 2, (a + (2 * ka - xa + ya) / 2) / {STEPS + 1}, (b + (2 * kb - xb + yb) / 2) / {STEPS + 1} FROM (SELECT runs.*, s00 * xa + s01 * xb + e0 AS ya, s10 * xa + s11 * xb + e1 AS yb, t00 * xa + t01 * xb + f0 AS za, t10 * xa + t11 * xb + f1 AS zb, u00 * xa + u01 * xb + d0 AS ka, u10 * xa + u11 * xb + d1 AS kb
+ FROM runs, ends, kicks WHERE runs.unit < {units} AND kicks.member = runs.member AND kicks.sample = runs.sample AND kicks.unit = runs.unit))"""
+
+
+MODES = "(SELECT member, sample, unit, 0 AS mode, a AS last, ma AS mean FROM runs WHERE unit > 0 UNION ALL SELECT member, sample, unit, 1, b, mb FROM runs WHERE unit > 0)"
+FROM_FIRST = "SELECT 0 AS sample, a, b FROM z WHERE t = 2"
+
+
+@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(2, FROM_FIRST)} SELECT member::INT AS member, unit::INT AS unit, sample::INT AS sample, mode, {r('last', 'last')}, {r('mean', 'mean')} FROM {MODES}")
 def lim_noise(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
-    return lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=2)
+    return rounded(lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=2), "last", "mean")
 
 
-@query()
+@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(1, f'SELECT row_number() OVER (ORDER BY t) - 1 AS sample, a, b FROM z WHERE t >= {N - 14}')} SELECT sample::INT AS sample, mode, {r('avg(last)', 'mean')}, {r('stddev_samp(last)', 'std')}, count(*)::BIGINT AS members FROM {MODES} GROUP BY sample, mode")
 def ens_1yr(spark, sf_dir):
     """Ensemble mean and spread after one unit, from every sample of the last year."""
     m, s, _ = _model(spark, sf_dir)
     rows = s.where(f"t >= {N - 14}").orderBy("t", "mode").collect()
-    x0 = np.array([x.value for x in rows]).reshape(-1, 3)
+    x0 = np.array([x.value for x in rows]).reshape(-1, 2)
     e = lim.ensemble(spark, m, x0, members=MEMBERS_RUN)
-    return e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members"))
+    return rounded(e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members")), "mean", "std")
 
 
-@query()
+@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(20, FROM_FIRST)} SELECT unit::INT AS unit, mode, {r('avg(mean)', 'mean')}, {r('stddev_samp(last)', 'std')} FROM {MODES} GROUP BY unit, mode")
 def ens_long(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
-    return lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=20).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std"))
+    return rounded(lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=20).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std")), "mean", "std")
 
 
-@query()
+CELLS = "cs AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM y))"
+
+
+@query(f"WITH RECURSIVE {MODEL}, {CELLS} " + " UNION ALL ".join(f"SELECT cell, {j} AS mode, {r(f'(v0.v[i] * v0{j} + v1.v[i] * v1{j}) * q{j}', 'loading')} FROM cs, v0, v1, md" for j in (0, 1)))
 def noise_modes(spark, sf_dir):
     m, _, loadings = _model(spark, sf_dir)
-    return lim.noise_modes(spark, m, loadings)
+    return rounded(lim.noise_modes(spark, m, loadings), "loading")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MODEL}, o AS (SELECT g01 AS ra, CASE WHEN two THEN tr / 2 + w - g00 ELSE tr / 2 - g00 END AS rb, g01 AS sa, CASE WHEN two THEN tr / 2 - w - g00 END AS sb, w, two FROM e1),
+h AS (SELECT two, CASE WHEN two THEN (ra * sa + rb * sb) / sqrt((ra * ra + rb * rb) * (sa * sa + sb * sb)) ELSE ra * 0 END AS c, ra * ra + rb * rb AS x, w * w AS yy, rb * w AS xy FROM o),
+f AS (SELECT CASE WHEN two THEN (1 + abs(c)) / (1 - abs(c)) ELSE ((x + yy) / 2 + sqrt(pow((x - yy) / 2, 2) + xy * xy)) / ((x + yy) / 2 - sqrt(pow((x - yy) / 2, 2) + xy * xy)) END AS bb FROM h)
+SELECT k AS mode, 1.0::DOUBLE AS aa, 0.0::DOUBLE AS ab, {r('bb', 'bb')} FROM f, (SELECT unnest([0, 1]) AS k)""")
 def mode_ortho(spark, sf_dir):
     """Rows (mode, aa, ab, bb): products of the parts of the turned complex eigenvectors, and of pairs of real ones."""
-    m = _model(spark, sf_dir)[0]
-    _, vectors = np.linalg.eig(m.g)
-    made = [lim.orthogonal(vectors[:, k] + (0 if np.iscomplexobj(vectors) else 1j * vectors[:, (k + 1) % vectors.shape[1]])) for k in range(vectors.shape[1]) if not np.iscomplexobj(vectors) or np.abs(vectors[:, k].imag).max() > 1e-12]
-    return spark.createDataFrame([(k, float(v.real @ v.real), float(v.real @ v.imag), float(v.imag @ v.imag)) for k, v in enumerate(made)], "mode int, aa double, ab double, bb double")
+    return rounded(lim.orthogonal_modes(spark, _model(spark, sf_dir)[0]), "aa", "ab", "bb")
 
 
-@query(f"WITH {TWO_G}, p2 AS (SELECT t, 0::BIGINT AS feature, g00 * a + g01 * b AS value FROM z, g UNION ALL SELECT t, 1, g10 * a + g11 * b FROM z, g) SELECT t, feature, {r('value')} FROM p2")
+@query(f"WITH RECURSIVE {TWO_G}, cs AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM y)), ah AS (SELECT t, g00 * a + g01 * b AS a1, g10 * a + g11 * b AS b1 FROM z, g) SELECT t, cell AS feature, {r('v0.v[i] * a1 + v1.v[i] * b1')} FROM ah, cs, v0, v1")
 def xfcast(spark, sf_dir):
-    """A state of two features forecast in a complete basis of its own and taken back."""
-    s = _two(spark, sf_dir)
-    features = s.withColumnRenamed("mode", "feature")
+    """Every cell a feature, forecast in two leading modes and taken back."""
+    features = _smoothed(fields.lineitem_snation(spark, sf_dir)).withColumnRenamed("cell", "feature")
     loadings, _ = state.state_eofs(features, 2)
     modes = state.to_modes(features, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value")
     return rounded(lim.cross_forecast(lim.fit(modes), ["x"], ["x"], features, loadings), "value")
@@ -606,11 +833,11 @@ def trial_obs(spark, sf_dir):
     return rounded(verify.trial_obs(_anomalies(spark, sf_dir), _starts(spark), TAU, LEN), "value")
 
 
-@query(f"WITH {ANOM}, {FC} SELECT t, cell, {r('value')} FROM fc")
+@query(f"WITH RECURSIVE {ANOM}, {modes_sql('d', 3)}, {_rebuilt('d', 3)}, {FC.replace(', d WHERE d.t', ', rc d WHERE d.t')} SELECT t, cell, {r('value')} FROM fc")
 def trial_fcast(spark, sf_dir):
-    """Trials of modes taken back to cells; with all modes this gives the trial's own field."""
+    """Trials of three of five modes taken back to cells."""
     d = _anomalies(spark, sf_dir)
-    loadings, _ = linalg.eof(d, 5)
+    loadings, _ = linalg.eof(d, 3)
     pcs = linalg.project(d, loadings)
     want = _starts(spark).select("trial", F.explode(F.sequence(F.lit(0), F.lit(LEN - 1))).alias("s"), "start")
     trials = pcs.join(want, pcs.t == want.start + want.s).select("trial", "s", "mode", "value")
@@ -641,56 +868,92 @@ def _random(seed: int, *parts: str) -> str:
 
 
 ITER, PAIRED = 300, N - 12
+#: Bootstrap draws of the reports at their full size.
+DRAWS = 10_000
+#: Truth o a year ahead; forecasts f: the present value, and g: that of the month before the truth.
+BOOTED = f"{ANOM}, q0 AS (SELECT * FROM (SELECT t, cell, value AS f, lead(value, 12) OVER w AS o, lead(value, 11) OVER w AS g FROM d WINDOW w AS (PARTITION BY cell ORDER BY t)) WHERE t < {PAIRED})"
 
 
-def _boot(metric: str, f: str, o: str, tag: str = "b") -> str:
-    of = {"r": "corr(f, o)", "ce": CE}[metric]
-    return f"{tag} AS (SELECT {of} AS m FROM (SELECT i, {f} AS f, {o} AS o FROM (SELECT i, {_random(7, 'i', 'k')} % {PAIRED} AS t FROM (SELECT range AS i FROM range({ITER})), (SELECT range AS k FROM range({PAIRED}))) JOIN q0 USING (t)) GROUP BY i)"
+def _skill_sql(f: str) -> dict[str, str]:
+    return {"r": f"corr({f}, o)", "ce": CE.replace("(o - f)", f"(o - {f})")}
 
 
-BOUNDS = f"{r('avg(m)', 'mean')}, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')}"
+def _draws(iterations: int, n: int = PAIRED) -> str:
+    return f"(SELECT i, {_random(7, 'i', 'k')} % {n} AS t FROM (SELECT range AS i FROM range({iterations})), (SELECT range AS k FROM range({n})))"
 
 
-@query(f"WITH {PAIRS}, q0 AS (SELECT t, f, o FROM q WHERE cell = 2), {_boot('r', 'f', 'o')}, {_boot('ce', 'f', 'o', 'c')} SELECT 'r' AS metric, {BOUNDS} FROM b UNION ALL SELECT 'ce', {BOUNDS} FROM c")
-def boot_ci(spark, sf_dir):
-    p = _pairs(spark, sf_dir).where("cell = 2").select("t", "f", "o")
-    parts = [verify.bootstrap(p, PAIRED, m, ITER).select(F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
-    return rounded(parts[0].union(parts[1]), "mean", "low", "high")
+def _booted(iterations: int, by: str = "cell", n: int = PAIRED) -> str:
+    """CTE b: r and ce of both forecasts in each draw."""
+    cols = ", ".join(f"{x} AS {p}{m}" for p, f in (("", "f"), ("auto1_", "g")) for m, x in _skill_sql(f).items())
+    return f"b AS (SELECT {by}, i, {cols} FROM {_draws(iterations, n)} JOIN q0 USING (t) GROUP BY {by}, i)"
 
 
-@query(f"WITH {PAIRS}, q0 AS (SELECT t, f, o, avg(o) OVER () + 0 * f AS unused FROM q WHERE cell = 2), {_boot('r', 'f', 'o', 'br')}, {_boot('ce', 'f', 'o', 'bc')} SELECT 'region' AS variable, 'none' AS average, 'cell2' AS scalar, "
-       + ", ".join(f"(SELECT {r(x, '')[:-4]} FROM {t}) AS {n}" for p in ("", "auto1_") for m, t in (("r", "br"), ("ce", "bc")) for x, n in (("avg(m)", f"{p}{m}"), ("quantile_cont(m, 0.025)", f"{p}{m}_low"), ("quantile_cont(m, 0.975)", f"{p}{m}_high"))))
-def verif_table(spark, sf_dir):
-    p = _pairs(spark, sf_dir).where("cell = 2").select("t", "f", "o")
-    t = verify.verification_table(p, p, PAIRED, ITER, ("region", "none", "cell2"))
-    return rounded(t, *[c for c in t.columns if c not in ("variable", "average", "scalar")])
+def _bounds(m: str) -> str:
+    return f"{r(f'avg({m})', 'mean')}, {r(f'quantile_cont({m}, 0.025)', 'low')}, {r(f'quantile_cont({m}, 0.975)', 'high')}"
 
 
-#: Bootstrap draws of the reports without SQL.
-DRAWS = 10_000
+TABLE = ", ".join(f"{r(x, n)}" for p in ("", "auto1_") for m in ("r", "ce") for x, n in ((f"avg({p}{m})", f"{p}{m}"), (f"quantile_cont({p}{m}, 0.025)", f"{p}{m}_low"), (f"quantile_cont({p}{m}, 0.975)", f"{p}{m}_high")))
 
 
-@query()
-def boot_ci_cells(spark, sf_dir):
-    """Bounds of every cell."""
+def _bootstraps(spark, sf_dir, iterations: int) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    parts = [verify.bootstrap(p, PAIRED, m, DRAWS, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
+    parts = [verify.bootstrap(p, PAIRED, m, iterations, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
     return rounded(parts[0].union(parts[1]), "mean", "low", "high")
 
 
-@query()
-def verif_table_cells(spark, sf_dir):
-    """The table's row for every cell."""
-    p = _pairs(spark, sf_dir)
-    t = verify.verification_table(p, p, PAIRED, DRAWS, ("region", "none", "cell"), by=("cell",))
+def _table(spark, sf_dir, iterations: int) -> DataFrame:
+    """A year ahead by the present value, and persistence of the month before."""
+    month = temporal.lag_pair(_anomalies(spark, sf_dir), 1).where("t >= 11").select((F.col("t") - 11).alias("t"), "cell", F.col("x0").alias("f"), F.col("x1").alias("o"))
+    t = verify.verification_table(_pairs(spark, sf_dir), month, PAIRED, iterations, ("region", "none", "cell"), by=("cell",))
     return rounded(t.withColumn("scalar", F.concat("scalar", F.col("cell").cast("string"))), *[c for c in t.columns if c not in ("cell", "variable", "average", "scalar")])
 
 
-@query(f"WITH {F4}, {GRID} SELECT t, {r('sum(value * cell_area) / sum(cell_area)')} FROM f4 JOIN grid USING (cell) GROUP BY t")
+def _boot_sql(iterations: int) -> str:
+    return f"WITH {BOOTED}, {_booted(iterations)} SELECT cell, 'r' AS metric, {_bounds('r')} FROM b GROUP BY cell UNION ALL SELECT cell, 'ce', {_bounds('ce')} FROM b GROUP BY cell"
+
+
+def _table_sql(iterations: int) -> str:
+    return f"WITH {BOOTED}, {_booted(iterations)} SELECT cell, 'region' AS variable, 'none' AS average, 'cell' || cell AS scalar, {TABLE} FROM b GROUP BY cell"
+
+
+@query(_boot_sql(ITER))
+def boot_ci(spark, sf_dir):
+    return _bootstraps(spark, sf_dir, ITER)
+
+
+@query(_table_sql(ITER))
+def verif_table(spark, sf_dir):
+    return _table(spark, sf_dir, ITER)
+
+
+@query(_boot_sql(DRAWS))
+def boot_ci_cells(spark, sf_dir):
+    """The same at full size."""
+    return _bootstraps(spark, sf_dir, DRAWS)
+
+
+@query(_table_sql(DRAWS))
+def verif_table_cells(spark, sf_dir):
+    """The same at full size."""
+    return _table(spark, sf_dir, DRAWS)
+
+
+@query(_table_sql(ITER))
+def sink_table(spark, sf_dir):
+    """The verification table, written and read back."""
+    path = f"{store.shared_dir(spark)}/verification-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, ITER).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+THREE = f"{F4}, {GRID}, {modes_sql('f4', 3)}, {_rebuilt('f4', 3)}"
+
+
+@query(f"WITH RECURSIVE {THREE} SELECT t, {r('sum(value * cell_area) / sum(cell_area)')} FROM rc JOIN grid USING (cell) GROUP BY t")
 def glob_mean(spark, sf_dir):
-    """Through all modes: the index is a short sum over them, and equals the mean over cells."""
+    """Through three modes: the index is a short sum over them."""
     f = fields.orders_nation(spark, sf_dir)
-    loadings, _ = linalg.eof(f, 25)
+    loadings, _ = linalg.eof(f, 3)
     factor = linalg.scalar_factor(loadings, fields.nation_grid(spark, sf_dir).select("cell", F.col("cell_area").alias("w")))
     return rounded(linalg.scalar_index(linalg.project(f, loadings), factor), "value")
 
@@ -700,14 +963,14 @@ def enso(spark, sf_dir):
     return rounded(spatial.box_mean(fields.orders_nation(spark, sf_dir), fields.nation_grid(spark, sf_dir)), "value")
 
 
-@query()
+@query(f"WITH RECURSIVE {PREP}, wb AS (SELECT t, cell, value FROM w JOIN grid USING (cell) WHERE lat BETWEEN 20 AND 70 AND lon BETWEEN 110 AND 250), {modes_sql('wb', 1)}, ix AS (SELECT t, list_dot_product(x, v) AS value FROM (SELECT t, list(value ORDER BY cell) AS x FROM wb GROUP BY t), v0) SELECT t, {r('(value - (SELECT avg(value) FROM ix)) / (SELECT stddev_samp(value) FROM ix)')} FROM ix")
 def pdo(spark, sf_dir):
     """Leading mode of the weighted anomalies of a box, its index standardised."""
     grid = spatial.box(fields.nation_grid(spark, sf_dir), spatial.PDO_BOX)
     f = spatial.apply_mask(_prepared(spark, sf_dir), grid)
     loadings, _ = linalg.eof(f, 1)
     pcs = linalg.project(f, loadings).select("t", F.lit(0).cast("long").alias("cell"), "value")
-    return scale.standardize_series(pcs).select("t", "value")
+    return rounded(scale.standardize_series(pcs).select("t", "value"), "value")
 
 
 @query(f"WITH {F4}, {GRID}, a AS ({_climo('f4')}), q AS (SELECT t, cell, value AS f, lead(value) OVER (PARTITION BY cell ORDER BY t) AS o FROM a), s AS (SELECT cell, corr(f, o) AS lac, {CE} AS ce FROM q WHERE t < {N - 1} GROUP BY cell) SELECT {r('sum(lac * cell_area) / sum(cell_area)', 'lac')}, {r('sum(ce * cell_area) / sum(cell_area)', 'ce')} FROM s JOIN grid USING (cell)")
@@ -720,17 +983,18 @@ def spatial_gm(spark, sf_dir):
 
 
 # ---- ensembles -----------------------------------------------------------------------------------------------
-#: Members: five priorities' totals of region 1, standardised over all; reference: region 2's total, standardised.
-ENS = f"{MEMBERS}, {F3}, e0 AS (SELECT member, t, value FROM em WHERE cell = 1), e AS (SELECT member, t, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS value FROM e0), ref AS (SELECT t, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS o FROM f3 WHERE cell = 2)"
+#: Members: five priorities' totals of a region, standardised over all; reference: the next region's total, standardised.
+#: The samples of the regions stand one after the other.
+ENS = f"{MEMBERS}, {F3}, e AS (SELECT member, cell * {N} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM em WINDOW w AS (PARTITION BY cell)), ref AS (SELECT (cell + 4) % 5 * {N} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS o FROM f3 WINDOW w AS (PARTITION BY cell))"
+SAMPLES = 5 * N
 
 
 def _ens(spark, sf_dir):
-    one = F.lit(0).cast("long").alias("cell")
-    e = fields.orders_members(spark, sf_dir).where("cell = 1")
     over = temporal.Window.partitionBy("cell")
     z = (F.col("value") - F.avg("value").over(over)) / F.stddev_samp("value").over(over)
-    ref = scale.standardize_series(fields.orders_region(spark, sf_dir).where("cell = 2").select("t", one, "value")).select("t", "value")
-    return e.withColumn("value", z).select("member", "t", "value"), ref
+    e = fields.orders_members(spark, sf_dir).withColumn("value", z).select("member", (F.col("cell") * N + F.col("t")).alias("t"), "value")
+    ref = scale.standardize_series(fields.orders_region(spark, sf_dir)).select(((F.col("cell") + 4) % 5 * N + F.col("t")).alias("t"), "value")
+    return e, ref
 
 
 @query(f"WITH {ENS}, g AS (SELECT t, avg(value) AS m, var_samp(value) AS v FROM e GROUP BY t) SELECT {r('avg((m - o) * (m - o)) / avg(v)', 'ratio')} FROM g JOIN ref USING (t)")
@@ -749,7 +1013,11 @@ def rank_hist(spark, sf_dir):
     return ensemble.rank_histogram(*_ens(spark, sf_dir))
 
 
-PROB = f"{ENS}, pr AS (SELECT t, avg(CASE WHEN value >= 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS p FROM e GROUP BY t), pb AS (SELECT t, p, o >= 0.5 AS occurred FROM pr JOIN ref USING (t))"
+def _prob(of: str = ">= 0.5", tag: str = "") -> str:
+    return f"pr{tag} AS (SELECT t, avg(CASE WHEN value {of} THEN 1.0 ELSE 0.0 END)::DOUBLE AS p FROM e GROUP BY t), pb{tag} AS (SELECT t, p, o {of} AS occurred FROM pr{tag} JOIN ref USING (t))"
+
+
+PROB = f"{ENS}, {_prob()}"
 BIN = " + ".join(f"(p >= {x!r}::DOUBLE)::INT" for x in ensemble.EDGES) + " - 1"
 
 
@@ -758,16 +1026,24 @@ def event_prob(spark, sf_dir):
     return rounded(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), "p")
 
 
-@query(f"WITH {PROB}, g AS (SELECT {BIN} AS bin, avg(occurred::INT) AS h, avg(p) AS mp, count(*) AS n FROM pb GROUP BY 1) SELECT b.bin, {r('h', 'hit_rate')}, {r('mp', 'mean_p')}, coalesce(n, 0)::BIGINT AS n FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN g USING (bin)")
+def _reliability(tag: str = "") -> str:
+    return f"rg{tag} AS (SELECT {BIN} AS bin, avg(occurred::INT) AS h, avg(p) AS mp, count(*) AS n FROM pb{tag} GROUP BY 1), rl{tag} AS (SELECT b.bin, {r('h', 'hit_rate')}, {r('mp', 'mean_p')}, coalesce(n, 0)::BIGINT AS n FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN rg{tag} USING (bin))"
+
+
+def _consistency(iterations: int, tag: str = "") -> str:
+    return f"""dr{tag} AS (SELECT i, {_random(11, 'i', 'k')} % {SAMPLES} AS t, {_random(12, 'i', 'k')} / 4294967296.0::DOUBLE AS u FROM (SELECT range AS i FROM range({iterations})), (SELECT range AS k FROM range({SAMPLES}))),
+h{tag} AS (SELECT i, {BIN} AS bin, avg(CASE WHEN u < p THEN 1.0 ELSE 0.0 END)::DOUBLE AS h FROM dr{tag} JOIN pb{tag} USING (t) GROUP BY ALL), cg{tag} AS (SELECT bin, avg(h) AS m, quantile_cont(h, 0.025) AS q0, quantile_cont(h, 0.975) AS q1 FROM h{tag} GROUP BY bin HAVING count(*) = {iterations}),
+mc{tag} AS (SELECT b.bin, {r('m - q0', 'lower')}, {r('q1 - m', 'upper')} FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN cg{tag} USING (bin))"""
+
+
+@query(f"WITH {PROB}, {_reliability()} SELECT * FROM rl")
 def reliability(spark, sf_dir):
     return rounded(ensemble.reliability(ensemble.event_probability(*_ens(spark, sf_dir), "upper")), "hit_rate", "mean_p")
 
 
-@query(f"""WITH {PROB}, dr AS (SELECT i, {_random(11, 'i', 'k')} % {N} AS t, {_random(12, 'i', 'k')} / 4294967296.0::DOUBLE AS u FROM (SELECT range AS i FROM range({ITER})), (SELECT range AS k FROM range({N}))),
-h AS (SELECT i, {BIN} AS bin, avg(CASE WHEN u < p THEN 1.0 ELSE 0.0 END)::DOUBLE AS h FROM dr JOIN pb USING (t) GROUP BY ALL), g AS (SELECT bin, avg(h) AS m, quantile_cont(h, 0.025) AS q0, quantile_cont(h, 0.975) AS q1 FROM h GROUP BY bin HAVING count(*) = {ITER})
-SELECT b.bin, {r('m - q0', 'lower')}, {r('q1 - m', 'upper')} FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN g USING (bin)""")
+@query(f"WITH {PROB}, {_consistency(ITER)} SELECT * FROM mc")
 def reliability_mc(spark, sf_dir):
-    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), N, ITER), "lower", "upper")
+    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), SAMPLES, ITER), "lower", "upper")
 
 
 # ---- sampling ------------------------------------------------------------------------------------------------
@@ -783,42 +1059,60 @@ def train_test(spark, sf_dir):
     return out.union(train.select(F.lit("train"), F.lit(0), "t", F.col("t"))).union(pairs.select(F.lit("pair"), "lag", "t", "t1"))
 
 
-@query(f"SELECT range AS member, {_random(5, 'range')} AS seed FROM range(100)")
+@query(f"WITH {F3}, ms AS (SELECT DISTINCT cell * {N} + t AS member FROM f3) SELECT member, {_random(5, 'member')} AS seed FROM ms")
 def seeds(spark, sf_dir):
-    return spark.range(100).select(F.col("id").alias("member"), draw(5, F.col("id")).alias("seed"))
+    """A seed for each sample of a field."""
+    members = fields.orders_region(spark, sf_dir).select((F.col("cell") * N + F.col("t")).alias("member")).distinct()
+    return members.select("member", draw(5, F.col("member")).alias("seed"))
 
 
 # ---- composed jobs -------------------------------------------------------------------------------------------
-@query(f"""WITH {F4}, {GRID}, b AS (SELECT t, sum(value * cell_area) / sum(cell_area) AS glob_mean, avg(value) FILTER (lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290) AS enso FROM f4 JOIN grid USING (cell) GROUP BY t)
+@query(f"""WITH RECURSIVE {THREE}, b AS (SELECT t, sum(value * cell_area) / sum(cell_area) AS glob_mean, avg(value) FILTER (lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290) AS enso FROM rc JOIN grid USING (cell) GROUP BY t)
 SELECT t, 'glob_mean' AS name, {r('glob_mean')} FROM b UNION ALL SELECT t, 'enso', {r('enso')} FROM b""")
 def scalar_outputs(spark, sf_dir):
-    """Index series of a field through its modes."""
+    """Index series of a field through three modes."""
     f, grid = fields.orders_nation(spark, sf_dir), fields.nation_grid(spark, sf_dir)
-    loadings, _ = linalg.eof(f, 25)
+    loadings, _ = linalg.eof(f, 3)
     pcs = linalg.project(f, loadings)
     parts = [verification.modes_index(pcs, loadings, verification.weights(grid, i), i).select("t", F.lit(i).alias("name"), "value") for i in ("glob_mean", "enso")]
     return rounded(parts[0].union(parts[1]), "value")
 
 
-@query()
+#: Index factors of the two modes, and series of forecast f, persistence g and truth o; the mode of the box comes from the rebuilt field.
+PERFECT = f"""{MODEL}, {GRID}, {CELLS}, yb AS (SELECT t, cell, v0.v[i] * a + v1.v[i] * b AS value FROM z, cs, v0, v1), bx AS (SELECT yb.* FROM yb JOIN grid USING (cell) WHERE lat BETWEEN 20 AND 70 AND lon BETWEEN 110 AND 250), {modes_sql('bx', 1, 'x')},
+ix AS (SELECT 'glob_mean' AS scalar, sum(v0.v[i] * cell_area) / sum(cell_area) AS fa, sum(v1.v[i] * cell_area) / sum(cell_area) AS fb FROM cs JOIN grid USING (cell), v0, v1
+ UNION ALL SELECT 'enso', avg(v0.v[i]), avg(v1.v[i]) FROM cs JOIN grid USING (cell), v0, v1 WHERE lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290
+ UNION ALL SELECT 'pdo', sum(v0.v[i] * vx0.v[j]), sum(v1.v[i] * vx0.v[j]) FROM (SELECT cs.cell, i, row_number() OVER (ORDER BY cs.cell) AS j FROM cs JOIN grid USING (cell) WHERE lat BETWEEN 20 AND 70 AND lon BETWEEN 110 AND 250), v0, v1, vx0),
+sr AS (SELECT scalar, t - 2 AS t, fa * (g00 * a + g01 * b) + fb * (g10 * a + g11 * b) AS f, fa * a + fb * b AS g, lead(fa * a + fb * b) OVER (PARTITION BY scalar ORDER BY t) AS o FROM z, g, ix), q0 AS (SELECT * FROM sr WHERE o IS NOT NULL), {_booted(DRAWS, 'scalar', N - 5)},
+fl AS (SELECT t, cell, v0.v[i] * (g00 * a + g01 * b) + v1.v[i] * (g10 * a + g11 * b) AS f, v0.v[i] * a + v1.v[i] * b AS g FROM z, g, cs, v0, v1), fo AS (SELECT *, lead(g) OVER (PARTITION BY cell ORDER BY t) AS o FROM fl),
+sk AS (SELECT cell, {', '.join(f'{x} AS {p}{m}' for p, f in (('', 'f'), ('auto1_', 'g')) for m, x in _skill_sql(f).items())} FROM fo WHERE o IS NOT NULL GROUP BY cell)"""
+_NONE = ", ".join(f"NULL::DOUBLE AS {p}{m}_{e}" for p in ("", "auto1_") for m in ("r", "ce") for e in ("low", "high"))
+_COLUMNS = ", ".join(f"{p}{m}{e}" for p in ("", "auto1_") for m in ("r", "ce") for e in ("", "_low", "_high"))
+
+
+@query(f"""WITH RECURSIVE {PERFECT}, every AS (SELECT scalar, {TABLE} FROM b GROUP BY scalar), mean AS (SELECT 'spatial_gm' AS scalar, {', '.join(r(f'sum({m} * cell_area) / sum(cell_area)', m) for m in ('r', 'ce', 'auto1_r', 'auto1_ce'))}, {_NONE} FROM sk JOIN grid USING (cell))
+SELECT 'field' AS variable, 'none' AS average, scalar, {_COLUMNS} FROM every UNION ALL SELECT 'field', 'none', scalar, {_COLUMNS} FROM mean""")
 def verif_perfect(spark, sf_dir):
     """The whole report of a lead-1 forecast of the smoothed nation field by its own model."""
     model, s, loadings = _model(spark, sf_dir)
+    s = store.stored(s, "states")
     pcs = s.select("t", F.col("mode").cast("int").alias("mode"), "value")
     ahead = lim.forecast(s, model.g, [1]).select("t", F.col("mode").cast("int").alias("mode"), "value")
     grid = fields.nation_grid(spark, sf_dir)
-    return verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, DRAWS)
+    t = verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, DRAWS)
+    return rounded(t, *[c for c in t.columns if c not in ("variable", "average", "scalar")])
 
 
-@query()
+@query(f"WITH {ENS}, {_prob('>= 0.5', '_u')}, {_prob('<= -0.5', '_l')}, {_reliability('_u')}, {_reliability('_l')}, {_consistency(1000, '_u')}, {_consistency(1000, '_l')} " + " UNION ALL ".join(f"SELECT '{k}' AS event, rl_{k[0]}.*, lower, upper FROM rl_{k[0]} JOIN mc_{k[0]} USING (bin)" for k in ("upper", "lower")))
 def verif_ens(spark, sf_dir):
     """Reliability with bounds of both events of an ensemble index."""
-    report = verification.ensemble_report(*_ens(spark, sf_dir), N)
+    report = verification.ensemble_report(*_ens(spark, sf_dir), SAMPLES)
     parts = [report[f"reliability_{k}"].select(F.lit(k).alias("event"), "bin", "hit_rate", "mean_p", "n", "lower", "upper") for k in ("upper", "lower")]
-    return parts[0].union(parts[1])
+    return rounded(parts[0].union(parts[1]), "hit_rate", "mean_p", "lower", "upper")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MODEL}, {GRID}, {CELLS}, {ensemble_sql(15, FROM_FIRST)}, fc AS (SELECT sum(v0.v[i] * cell_area) / sum(cell_area) AS fa, sum(v1.v[i] * cell_area) / sum(cell_area) AS fb FROM cs JOIN grid USING (cell), v0, v1), sd AS (SELECT stddev_samp(fa * a + fb * b) AS s FROM z, fc)
+SELECT member::INT AS member, unit::INT AS t, {r('(fa * ma + fb * mb) / s')} FROM runs, fc, sd WHERE unit > 0""")
 def long_scalar(spark, sf_dir):
     """The global mean of long integrations, in units of the source's deviation."""
     model, s, loadings = _model(spark, sf_dir)
@@ -826,4 +1120,4 @@ def long_scalar(spark, sf_dir):
     w = verification.weights(fields.nation_grid(spark, sf_dir), "glob_mean")
     truth = verification.modes_index(s.select("t", F.col("mode").cast("int").alias("mode"), "value"), loadings, w, "glob_mean")
     series = verification.long_index(lim.ensemble(spark, model, x0, members=MEMBERS_RUN, length=15), loadings, w, "glob_mean")
-    return verification.standardized_by(series, truth)
+    return rounded(verification.standardized_by(series, truth), "value")

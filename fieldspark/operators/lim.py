@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linalg import canonical, lag_covariance, matrix, to_coo
+from .linalg import MOST, block_sum, canonical, collected, matrix_of, paired, rows_of, to_coo
 
 
 @dataclass
@@ -47,19 +47,37 @@ class Model:
         return cls(lag=d["lag"], negative=d["negative"], rescale=d["rescale"], **back)
 
 
-def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int = 5) -> Model:
-    """G from x(t + lag) and x(t); with ``noise`` also L and the noise covariance's eigenpairs."""
-    state = state.withColumnRenamed("mode", "cell")
-    ct = matrix(lag_covariance(state, lag))
-    early = state.join(state.select((F.col("t") - lag).alias("t")).distinct(), "t", "left_semi")
-    c0 = matrix(lag_covariance(early, 0))
+def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int = 5, tau1: DataFrame | None = None) -> Model:
+    """G from x(t + lag) and x(t); with ``noise`` also L and the noise covariance's eigenpairs.
+
+    tau1: states that follow those of ``state`` with the same t after ``lag``, where they come from elsewhere; other
+    modes or another number of samples raise ValueError. Both covariances come from one pass over the pairs.
+    """
+    x = rows_of(state, "t", "mode")
+    m = len(x.names)
+    if m > MOST:
+        raise ValueError(f"{m} modes are too many for the driver; reduce the state first")
+    if tau1 is None:
+        pairs = paired(x, lag)
+    else:
+        y = rows_of(tau1, "t", "mode")
+        if (x.n, x.names.tolist()) != (y.n, y.names.tolist()):
+            raise ValueError("the two states have different shapes")
+        pairs = x.table.join(y.table.select("key", F.col("x").alias("y")), "key").select("key", "x", "y")
+
+    def products(batch):
+        a, b = matrix_of(batch.column(1)), matrix_of(batch.column(2))
+        return np.concatenate([b.T @ a, a.T @ a, np.full((1, m), float(len(a)))])
+
+    sums = collected(block_sum(pairs, products, (2 * m + 1, m)), (2 * m + 1, m))
+    ct, c0, n = sums[:m], sums[m : 2 * m], sums[-1, 0]
     g = ct @ np.linalg.pinv(c0)
     with np.errstate(divide="ignore", invalid="ignore"):
         rate = np.log(np.linalg.eigvals(g)) / lag
     if (np.real(rate) >= 0).any():
         raise ValueError("the model is not stable: some mode does not decay")
     model = Model(g, lag)
-    return fit_noise(model, c0 / (early.select("t").distinct().count() - 1), max_negative) if noise else model
+    return fit_noise(model, c0 / (n - 1), max_negative) if noise else model
 
 
 def fit_noise(model: Model, c0: np.ndarray, max_negative: int = 5) -> Model:
@@ -67,11 +85,15 @@ def fit_noise(model: Model, c0: np.ndarray, max_negative: int = 5) -> Model:
     if np.isrealobj(values) and (values <= 0).any():
         raise ValueError("an eigenvalue is real and not positive: its logarithm does not exist")
     lin = vectors @ np.diag(np.log(values) / model.lag) @ np.linalg.pinv(vectors)
+    if np.abs(np.imag(lin)).max() <= 1e-12 * np.abs(lin).max():
+        lin = np.real(lin)
     q = -(lin @ c0 + c0 @ lin.conj().T)
     if np.abs(q - q.conj().T).max() > 1e-10 * np.abs(q).max():
         raise ValueError("the noise covariance is not Hermitian")
     q_values, q_vectors = np.linalg.eigh((q + q.conj().T) / 2)
     q_values, q_vectors = q_values[::-1], q_vectors[:, ::-1]
+    if np.isrealobj(q_vectors):
+        q_vectors = canonical(q_vectors)
     negative = int((q_values < 0).sum())
     if negative > max_negative:
         raise ValueError("too many negative eigenvalues of the noise covariance")
@@ -100,6 +122,11 @@ def forecast(state: DataFrame, g: np.ndarray, leads: list[int]) -> DataFrame:
     return joined.groupBy("lead", "t", F.col("i").alias("mode")).agg(F.sum(F.col("g") * F.col("value")).alias("value"))
 
 
+def save_by_lead(forecasts: DataFrame, path: str) -> None:
+    """A folder for each lead; existing ones are replaced."""
+    forecasts.write.mode("overwrite").partitionBy("lead").parquet(path)
+
+
 def eigen_modes(spark: SparkSession, model: Model) -> DataFrame:
     """(mode, re, im, efold, period) of the decay rates, slowest first."""
     rate = np.log(np.linalg.eigvals(model.g).astype(complex)) / model.lag
@@ -117,6 +144,14 @@ def orthogonal(v: np.ndarray) -> np.ndarray:
     return best / np.linalg.norm(best.real)
 
 
+def orthogonal_modes(spark: SparkSession, model: Model) -> DataFrame:
+    """(mode, aa, ab, bb): products of the parts of the turned eigenvectors of G, real ones taken with the next; modes by modes."""
+    values, vectors = np.linalg.eig(model.g)
+    real = np.isrealobj(vectors)
+    made = [orthogonal(vectors[:, k] + (1j * vectors[:, (k + 1) % vectors.shape[1]] if real else 0)) for k in range(vectors.shape[1]) if real or np.abs(vectors[:, k].imag).max() > 1e-12]
+    return spark.createDataFrame([(k, float(v.real @ v.real), float(v.real @ v.imag), float(v.imag @ v.imag)) for k, v in enumerate(made)], "mode int, aa double, ab double, bb double")
+
+
 def noise_modes(spark: SparkSession, model: Model, loadings: DataFrame) -> DataFrame:
     """Noise patterns on cells: basis times the scaled eigenvectors of the noise covariance."""
     m = np.real(model.q_vectors * model.q_values)
@@ -126,19 +161,44 @@ def noise_modes(spark: SparkSession, model: Model, loadings: DataFrame) -> DataF
     return chain(loadings, own)
 
 
-def integrate(model: Model, x0: np.ndarray, length: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser: two multiplications that leave no visible pattern in counters."""
+    x = (x ^ x >> np.uint32(16)) * np.uint32(0x7FEB352D)
+    x = (x ^ x >> np.uint32(15)) * np.uint32(0x846CA68B)
+    return x ^ x >> np.uint32(16)
+
+
+def normals(seed: int, member: int, unit: int, samples: int, first: int, steps: int, k: int) -> np.ndarray:
+    """Standard normal numbers (steps x samples x k) by counters: the same for any split of the work, and in SQL.
+
+    Two 32-bit words name the stream of a member, a unit of time and a sample; a counter of step, mode and part
+    runs through it; Box and Muller's formula makes a normal number of two parts.
+    """
+    word = lambda x: np.atleast_1d(np.asarray(x)).astype(np.uint64).astype(np.uint32)
+    one = scrambled(scrambled(word(seed) + np.uint32(0x9E3779B9)) + word(member))
+    two = scrambled(scrambled(word(unit) + np.uint32(0x85EBCA6B)) + word(np.arange(samples)))
+    counter = word(np.arange(first * k * 2, (first + steps) * k * 2)).reshape(steps, 1, k, 2)
+    x = scrambled(scrambled(counter + one) ^ two[:, None, None])
+    u = (x.astype(np.float64) + 0.5) / 4294967296.0
+    return np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+
+
+def integrate(model: Model, x0: np.ndarray, length: int, steps: int, seed: int, member: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """End states and means of each unit of time, and the last midpoint; x0 is samples by modes.
 
     A step goes from x to x + L x dt + E sqrt(Q dt) n; the reported state is the midpoint.
     """
-    rng, dt = np.random.default_rng(seed), 1.0 / steps
+    dt = 1.0 / steps
     push = model.q_vectors * np.sqrt(model.q_values * dt)
-    x = mid = x0.astype(complex)
+    x = mid = x0.astype(complex if np.iscomplexobj(model.lin) or np.iscomplexobj(push) else float)
+    some = max(1, 1_000_000 // max(1, x.shape[0] * push.shape[1]))
     ends, means = [], []
-    for _ in range(length):
+    for unit in range(length):
         total = np.real(mid).copy()
-        for _ in range(steps):
-            new = x + x @ model.lin.T * dt + rng.standard_normal((len(x), push.shape[1])) @ push.T
+        for step in range(steps):
+            if step % some == 0:
+                kicks = normals(seed, member, unit, len(x), step, min(some, steps - step), push.shape[1]) @ push.T
+            new = x + x @ model.lin.T * dt + kicks[step % some]
             mid = (x + new) / 2
             x = new
             total += np.real(mid)
@@ -148,13 +208,13 @@ def integrate(model: Model, x0: np.ndarray, length: int, steps: int, seed: int)
 
 
 def ensemble(spark: SparkSession, model: Model, x0: np.ndarray, members: int, length: int = 1, steps: int = 1440, seed: int = 0) -> DataFrame:
-    """(member, unit, sample, mode, last, mean) of integrations from x0, a member to a row, each with its own seed."""
+    """(member, unit, sample, mode, last, mean) of integrations from x0, a member to a row, each with its own stream of noise."""
     x0 = np.atleast_2d(x0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for member in frame["id"]:
-                last, mean, _ = integrate(model, x0, length, steps, seed + int(member))
+                last, mean, _ = integrate(model, x0, length, steps, seed, int(member))
                 unit, sample, mode = np.indices(last.shape)
                 yield pd.DataFrame({"member": int(member), "unit": unit.ravel() + 1, "sample": sample.ravel(), "mode": mode.ravel(), "last": last.ravel(), "mean": mean.ravel()})
 

@@ -1,66 +1,133 @@
 """Covariances, empirical orthogonal functions and projections.
 
-Sums of products over samples run in tasks, as blocks of a matrix product, or as a join and an aggregate;
-the driver sees matrices of features by features only, whose size is checked.
+A field becomes rows of numbers along its shorter side, placed by the order of that side's keys and checked: every
+row must have a value for every key, each once, or ValueError says so (``spatial.compress`` or ``densify`` first).
+Sums of products run in tasks, block by block, and are added up in stripes; the driver sees matrices of the shorter
+side by the number of modes, whose size is bounded, and cells and times beyond it stay distributed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest matrix side that comes to the driver.
-MOST = 4000
+from ..sources.store import stored
 
+#: Largest side of a square matrix that comes to the driver, and most numbers of any (8 bytes each).
+MOST, MOST_NUMBERS = 4000, 1 << 26
+#: Rows of a matrix that travel together.
+STRIPE = 512
+#: Shorter sides up to this are solved by their whole Gram matrix.
+EXACT = 1500
 
-def vectors(field: DataFrame, sample: str = "t", feature: str = "cell") -> DataFrame:
-    """(sample, x): values of a sample as an array in the order of the features."""
-    pairs = F.sort_array(F.collect_list(F.struct(feature, "value")))
-    return field.groupBy(sample).agg(F.transform(pairs, lambda p: p["value"]).alias("x"))
 
+@dataclass
+class Rows:
+    """A field as a table (key, x): ``x`` holds a value for each of ``names``, in their order."""
+
+    table: DataFrame
+    names: np.ndarray
+    n: int
+
+
+def rows_of(field: DataFrame, key: str = "t", name: str = "cell") -> Rows:
+    """Rows by ``key`` along the values of ``name``."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(name).alias("k"), F.col("value").cast("double").alias("v"))))
+    made = field.groupBy(key).agg(pairs.alias("p")).select(F.col(key).alias("key"), F.transform("p", lambda p: p["v"]).alias("x"), F.xxhash64(F.transform("p", lambda p: p["k"])).alias("h"), F.transform("p", lambda p: p["k"]).alias("k"), F.size("p").alias("n"), (F.exists("p", lambda p: p["v"].isNull() | F.isnan(p["v"])) | (F.size(F.array_distinct(F.transform("p", lambda p: p["k"]))) < F.size("p"))).alias("bad"))
+    made = stored(made, "rows")
+    got = made.agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("bad").alias("bad"), F.max("n").alias("m"), F.count("*").alias("n")).first()
+    if not got.n:
+        return Rows(made.select("key", "x"), np.zeros(0, np.int64), 0)
+    if got.a != got.b or got.bad:
+        raise ValueError(f"every {key} needs one value for every {name}: compress or fill the field first")
+    if got.m > MOST_NUMBERS:
+        raise ValueError(f"{got.m} values of {name} are too many for a row")
+    names = made.select("k").first().k  # those of any row
+    return Rows(made.select("key", "x"), np.array(names, np.int64), got.n)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """List rows of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def gram(field: DataFrame, sample: str = "t", feature: str = "cell") -> DataFrame:
-    """(i, j, s): sum over samples of x_i * x_j for features i, j, numbered in their order.
 
-    Samples become vectors with one shuffle; each task multiplies its block and sends one small matrix.
+def block_sum(table: DataFrame, product, shape: tuple[int, int]) -> DataFrame:
+    """(stripe, block): the sum over batches of a matrix product, in stripes of rows as bytes.
+
+    product: makes a matrix of ``shape`` of a batch. Each task adds up its own and sends its stripes.
     """
+    if shape[0] * shape[1] > MOST_NUMBERS:
+        raise ValueError(f"a matrix of {shape[0]} by {shape[1]} is too large for a task")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(0)])
-                total = x.T @ x if total is None else total + x.T @ x
+                own = product(batch)
+                total = own if total is None else np.add(total, own, out=total)
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
+            for k in range(0, len(total), STRIPE):
+                yield pa.RecordBatch.from_arrays([pa.array([k // STRIPE], pa.int32()), pa.array([np.ascontiguousarray(total[k : k + STRIPE]).tobytes()], pa.binary())], names=["stripe", "block"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(block.as_buffer(), np.float64)
+                sums[stripe] = own.copy() if stripe not in sums else np.add(sums[stripe], own, out=sums[stripe])
+        for stripe, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["stripe", "block"])
+
+    ddl, stripes = "stripe int, block binary", -(-shape[0] // STRIPE)
+    return table.mapInArrow(part, ddl).repartition(stripes, "stripe").mapInArrow(add, ddl)
+
+
+def collected(blocks: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Driver copy of a block sum, whose size ``block_sum`` has checked."""
+    out = np.zeros(shape)
+    for r in blocks.toLocalIterator():
+        own = np.frombuffer(r.block, np.float64).reshape(-1, shape[1])
+        out[r.stripe * STRIPE : r.stripe * STRIPE + len(own)] = own
+    return out
+
 
-    return vectors(field, sample, feature).select("x").mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+def _entries(blocks: DataFrame, width: int, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> DataFrame:
+    """(i, j, s) of a block sum, with the numbers or the names of rows and columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stripe, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(block.as_buffer(), np.float64)
+                i, j = np.divmod(np.arange(len(own)), width)
+                i = i + stripe * STRIPE
+                yield pa.RecordBatch.from_arrays([pa.array(i if rows is None else rows[i]), pa.array(j if columns is None else columns[j]), pa.array(own)], names=["i", "j", "s"])
+
+    return blocks.mapInArrow(run, "i long, j long, s double")
+
+
+def gram(field: DataFrame, sample: str = "t", feature: str = "cell") -> DataFrame:
+    """(i, j, s): sum over samples of x_i * x_j for features i, j, numbered in their order."""
+    r = rows_of(field, sample, feature)
+    m = len(r.names)
+    return _entries(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), max(m, 1))
+
+
+def paired(r: Rows, lag: int) -> DataFrame:
+    """(key, x, y): rows t with those at t + lag, where both are."""
+    later = r.table.select((F.col("key") - lag).alias("key"), F.col("x").alias("y"))
+    return r.table.join(later, "key").select("key", "x", "y")
 
 
 def lag_covariance(field: DataFrame, lag: int, feature: str = "cell") -> DataFrame:
     """(i, j, s): sum over t of x_i(t + lag) * x_j(t), for samples that have both."""
-    a = field.select(F.col("t").alias("__t"), F.col(feature).alias("i"), F.col("value").alias("a"))
-    b = field.select((F.col("t") + lag).alias("__t"), F.col(feature).alias("j"), F.col("value").alias("b"))
-    return a.join(b, "__t").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-
-
-def matrix(coo: DataFrame, names: list[int] | None = None) -> np.ndarray:
-    """Driver copy of a checked size of (i, j, s)."""
-    side = coo.agg(F.countDistinct("i")).first()[0]
-    if side > MOST:
-        raise ValueError(f"{side} features are too many for the driver; reduce them first")
-    rows = coo.collect()
-    names = sorted({r.i for r in rows}) if names is None else names
-    at = {n: k for k, n in enumerate(names)}
-    out = np.zeros((len(names), len(names)))
-    for r in rows:
-        out[at[r.i], at[r.j]] = r.s
-    return out
+    r = rows_of(field, "t", feature)
+    m = len(r.names)
+    return _entries(block_sum(paired(r, lag), lambda b: matrix_of(b.column(2)).T @ matrix_of(b.column(1)), (m, m)), max(m, 1), r.names, r.names)
 
 
 def to_coo(spark: SparkSession, m: np.ndarray) -> DataFrame:
@@ -75,55 +142,109 @@ def canonical(vectors_: np.ndarray) -> np.ndarray:
     return vectors_ * np.where(vectors_[big, np.arange(vectors_.shape[1])] < 0, -1, 1)
 
 
-def eof(field: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _leading(r: Rows, k: int, exact: int = EXACT, over: int = 30, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of the Gram matrix along the row, and their vectors as columns.
+
+    Up to ``exact`` names the matrix itself is solved. Beyond that a subspace of k + ``over`` columns is multiplied by
+    it in the tasks, a batch of rows at a time, until no residual of the k pairs exceeds 1e-8 of the largest value
+    (or for ``rounds`` rounds).
+    """
+    m = len(r.names)
+    k = min(k, m)
+    if m <= exact:
+        values, vectors = np.linalg.eigh(collected(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), (m, m)))
+        return np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
+    width = min(k + over, m)
+    spark, q = r.table.sparkSession, np.random.default_rng(seed).standard_normal((m, width))
+    for _ in range(rounds):
+        q = np.linalg.qr(q)[0]
+        sent = spark.sparkContext.broadcast(q)  # block_sum checks its size
+        z = collected(block_sum(r.table, lambda b, sent=sent: (x := matrix_of(b.column(1))).T @ (x @ sent.value), (m, width)), (m, width))
+        sent.destroy()
+        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        values, turn = np.maximum(values[::-1], 0), turn[:, ::-1]
+        basis = q @ turn[:, :k]
+        if np.linalg.norm(z @ turn[:, :k] - basis * values[:k], axis=0).max() <= 1e-8 * max(values[0], 1e-300):
+            break
+        q = z
+    return values[:k], basis
+
+
+def _of_names(spark: SparkSession, names: np.ndarray, m: np.ndarray, key: str) -> DataFrame:
+    """(key, mode, loading) of a driver matrix whose rows are ``names``; the tasks make the rows."""
+    sent = spark.sparkContext.broadcast((names, m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, m = sent.value
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for a in range(0, len(own), max(1, 100_000 // max(m.shape[1], 1))):
+                at = own[a : a + max(1, 100_000 // max(m.shape[1], 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at], m.shape[1])), pa.array(np.tile(np.arange(m.shape[1], dtype=np.int32), len(at))), pa.array(m[at].ravel())], names=[key, "mode", "loading"])
+
+    return spark.range(0, len(names), 1, max(1, m.size // 1_000_000)).mapInArrow(run, f"{key} long, mode int, loading double")
+
+
+def _times(r: Rows, m: np.ndarray, key: str) -> DataFrame:
+    """(key, mode, loading): each row times a driver matrix."""
+    sent = r.table.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y = matrix_of(batch.column(1)) @ sent.value
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), y.shape[1])), pa.array(np.tile(np.arange(y.shape[1], dtype=np.int32), len(y))), pa.array(y.ravel())], names=[key, "mode", "loading"])
+
+    return r.table.mapInArrow(run, f"{key} long, mode int, loading double")
+
+
+def total_variance(r: Rows, key_is_sample: bool) -> float:
+    """Sum over cells of their sample variance, in one pass over the rows."""
+    if key_is_sample:
+        got = block_sum(r.table, lambda b: np.stack([(x := matrix_of(b.column(1))).sum(0), (x * x).sum(0), np.full(x.shape[1], float(len(x)))]), (3, len(r.names)))
+        s, q, n = collected(got, (3, len(r.names)))
+        return float(np.sum(np.maximum(q - s * s / n, 0) / np.maximum(n - 1, 1)))
+    if len(r.names) < 2:
+        return 0.0
+    got = block_sum(r.table, lambda b: np.array([[matrix_of(b.column(1)).var(axis=1, ddof=1).sum()]]), (1, 1))
+    return float(collected(got, (1, 1))[0, 0])
+
+
+def eof(field: DataFrame, k: int, exact: int = EXACT) -> tuple[DataFrame, DataFrame]:
     """Basis (cell, mode, loading) and statistics (mode, sval, eigval, var_expl) of an uncentred field.
 
-    The Gram matrix over cells comes from the tasks; its eigenvectors are the left singular vectors.
+    The shorter of times and cells is solved for; the loadings of a field with more cells than times are products
+    of its rows with the solution and stay distributed. Modes without variance (beyond the rank) have loadings of
+    an arbitrary orthonormal completion where cells are the shorter side, and are left out otherwise.
     """
     spark = field.sparkSession
-    cells = [r.cell for r in field.select("cell").distinct().orderBy("cell").limit(MOST + 1).collect()]
-    if len(cells) > MOST:
-        raise ValueError("too many cells for a Gram matrix on the driver; use eof_randomized or reduce the field")
-    nt = field.select("t").distinct().count()
-    g = matrix(gram(field), list(range(len(cells))))
-    values, basis = np.linalg.eigh(g)
-    order = np.argsort(values)[::-1][:k]
-    values, basis = np.maximum(values[order], 0), canonical(basis[:, order])
-    total = field.groupBy("cell").agg(F.var_samp("value").alias("v")).agg(F.sum("v")).first()[0]
-    loadings = spark.createDataFrame([(cells[c], m, float(basis[c, m])) for c in range(len(cells)) for m in range(len(order))], "cell long, mode int, loading double")
+    field = stored(field.select(F.col("t").cast("long").alias("t"), F.col("cell").cast("long").alias("cell"), F.col("value").cast("double").alias("value")), "field")
+    size = field.agg(F.countDistinct("t").alias("nt"), F.countDistinct("cell").alias("nc")).first()
+    wide = size.nc > size.nt
+    r = rows_of(field, "cell", "t") if wide else rows_of(field, "t", "cell")
+    values, basis = _leading(r, k, exact)
+    total = total_variance(r, not wide)
+    if wide:
+        some = values > (values[:1] * 1e-14 if len(values) else 0)
+        values = values[some]
+        loadings = _signed(_times(r, basis[:, some] / np.sqrt(values), "cell"))
+    else:
+        loadings = _of_names(spark, r.names, canonical(basis), "cell")
+    nt = size.nt
     stats = spark.createDataFrame([(m, float(np.sqrt(v)), float(v / nt), float(v / nt / total) if total else None) for m, v in enumerate(values)], "mode int, sval double, eigval double, var_expl double")
     return loadings, stats
 
 
-def eof_randomized(field: DataFrame, k: int, over: int = 10, rounds: int = 2, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """As eof, for many cells: a random sketch of the samples, sharpened by power rounds.
+def _signed(loadings: DataFrame) -> DataFrame:
+    """The sign that makes the largest loading of each mode (of the first cell on ties) positive."""
+    loadings = stored(loadings, "loadings")
+    big = loadings.groupBy("mode").agg(F.max_by(F.signum("loading"), F.struct(F.abs("loading").alias("a"), (-F.col("cell")).alias("c"))).alias("__s"))
+    return loadings.join(F.broadcast(big), "mode").select("cell", "mode", F.when(F.col("__s") < 0, -F.col("loading")).otherwise(F.col("loading")).alias("loading"))  # a row a mode
 
-    Only matrices of samples by sketch columns and of sketch by sketch are collected; cells stay distributed.
-    """
-    spark, rng = field.sparkSession, np.random.default_rng(seed)
-    times = [r.t for r in field.select("t").distinct().orderBy("t").limit(MOST + 1).collect()]
-    if len(times) > MOST:
-        raise ValueError("too many times for the driver")
-    q = rng.standard_normal((len(times), k + over))
-    for _ in range(rounds + 1):
-        q, _ = np.linalg.qr(q)
-        frame = spark.createDataFrame([(t, c, float(q[i, c])) for i, t in enumerate(times) for c in range(q.shape[1])], "t long, mode int, q double")
-        image = field.join(frame, "t").groupBy("cell", "mode").agg(F.sum(F.col("value") * F.col("q")).alias("y"))
-        back = field.join(image, "cell").groupBy("t", "mode").agg(F.sum(F.col("value") * F.col("y")).alias("z"))
-        at = {t: i for i, t in enumerate(times)}
-        z = np.zeros_like(q)
-        for r in back.collect():
-            z[at[r.t], r.mode] = r.z
-        small, q_old, q = q.T @ z, q, z
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][:k]
-    s = np.sqrt(np.maximum(values[order], 0))
-    right = q_old @ turn[:, order]
-    frame = spark.createDataFrame([(t, m, float(right[i, m] / s[m])) for i, t in enumerate(times) for m in range(k) if s[m] > 0], "t long, mode int, q double")
-    loadings = field.join(frame, "t").groupBy("cell", "mode").agg(F.sum(F.col("value") * F.col("q")).alias("loading"))
-    nt, total = len(times), field.groupBy("cell").agg(F.var_samp("value").alias("v")).agg(F.sum("v")).first()[0]
-    stats = spark.createDataFrame([(m, float(v), float(v * v / nt), float(v * v / nt / total) if total else None) for m, v in enumerate(s)], "mode int, sval double, eigval double, var_expl double")
-    return loadings, stats
+
+def eof_randomized(field: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """As eof, by a subspace also where the whole Gram matrix would be small."""
+    return eof(field, k, exact=0)
 
 
 def project(field: DataFrame, loadings: DataFrame) -> DataFrame:
@@ -158,3 +279,15 @@ def scalar_factor(loadings: DataFrame, weights: DataFrame) -> DataFrame:
 
 def scalar_index(pcs: DataFrame, factor: DataFrame) -> DataFrame:
     return pcs.join(factor, "mode").groupBy("t").agg(F.sum(F.col("value") * F.col("factor")).alias("value"))
+
+
+def eof_bulk(weighted: dict[str, DataFrame], plain: dict[str, DataFrame], k: int, bases: dict[str, DataFrame] | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """For each variable its basis and the principal components of its plain field in it.
+
+    The basis is that of the weighted field, or the one in ``bases`` (another experiment's), whose cells must be the same.
+    """
+    out = {}
+    for name, field in weighted.items():
+        loadings = bases[name] if bases else eof(field, k)[0]
+        out[name] = (loadings, project_checked(plain[name], loadings))
+    return out

@@ -40,3 +40,34 @@ def prepare(field: DataFrame, grid: DataFrame, year_len: int = 12, done: tuple[s
         if name not in done:
             field, done = step(field), (*done, name)
     return field, done
+
+
+class Stages:
+    """Named stages of a field (all lazy); the last one is current, and any can be gone back to."""
+
+    def __init__(self, field: DataFrame, name: str = "orig"):
+        self.kept, self.at = {name: field}, name
+
+    def put(self, name: str, field: DataFrame) -> DataFrame:
+        self.kept[name], self.at = field, name
+        return field
+
+    @property
+    def current(self) -> DataFrame:
+        return self.kept[self.at]
+
+    def reset(self, name: str) -> DataFrame:
+        """Makes a stage current again; an unknown one raises KeyError."""
+        if name not in self.kept:
+            raise KeyError(name)
+        self.at = name
+        return self.current
+
+
+def prepare_stages(field: DataFrame, grid: DataFrame, year_len: int = 12) -> Stages:
+    """As ``prepare``, with every stage kept by name."""
+    stages = Stages(by_cell(field))
+    stages.put("anomaly", anomaly(stages.current, year_len))
+    stages.put("detrended", detrend(stages.current))
+    stages.put("area_weighted", area_weight_lat(stages.current, grid))
+    return stages

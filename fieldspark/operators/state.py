@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import numbered
 from .linalg import eof, project, reconstruct
 
 
@@ -16,12 +17,12 @@ def concat(fields: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     spark = next(iter(fields.values())).sparkSession
     start, states, spans, times = 0, [], [], set()
     for var, field in fields.items():
-        cells = [r.cell for r in field.select("cell").distinct().orderBy("cell").collect()]  # features of a state are few
-        times.add(field.select("t").distinct().count())
-        ids = spark.createDataFrame([(c, start + k) for k, c in enumerate(cells)], "cell long, feature long")
-        states.append(field.join(F.broadcast(ids), "cell").select("t", "feature", "value"))
-        spans.append((var, start, start + len(cells)))
-        start += len(cells)
+        ids = numbered(field, "cell", "feature", start)
+        size = field.agg(F.countDistinct("t").alias("t"), F.countDistinct("cell").alias("cell")).first()
+        times.add(size.t)
+        states.append(field.join(ids, "cell").select("t", "feature", "value"))
+        spans.append((var, start, start + size.cell))
+        start += size.cell
     if len(times) > 1:
         raise ValueError("the fields have different numbers of times")
     state = states[0]

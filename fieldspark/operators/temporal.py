@@ -34,11 +34,10 @@ def resample_named(field: DataFrame, name: str, n: int) -> DataFrame:
 def run_mean(field: DataFrame, w: int, n: int) -> DataFrame:
     """Centred mean of w samples with the edges reflected (edge sample repeated); an even w leans forward."""
     half = w // 2
-    mirrored = field.where((F.col("t") < half) | (F.col("t") >= n - half))
-    low = mirrored.where(F.col("t") < half).select((-1 - F.col("t")).alias("t"), "cell", "value")
-    high = mirrored.where(F.col("t") >= n - half).select((2 * n - 1 - F.col("t")).alias("t"), "cell", "value")
+    places = F.array(F.col("t"), F.when(F.col("t") < half, -1 - F.col("t")), F.when(F.col("t") >= n - half, 2 * n - 1 - F.col("t")))
+    whole = field.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("t"), "cell", "value")
     over = Window.partitionBy("cell").orderBy("t").rowsBetween(-((w - 1) // 2), half)
-    return field.select("t", "cell", "value").union(low).union(high).withColumn("value", F.avg("value").over(over)).where(F.col("t").between(0, n - 1))
+    return whole.withColumn("value", F.avg("value").over(over)).where(F.col("t").between(0, n - 1))
 
 
 def run_mean_trim(field: DataFrame, w: int, n: int, year_len: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean
+from .store import numbered
 
 #: Months of the order and shipping fields: six whole years from 1995-01.
 MONTHS = 72
@@ -44,10 +45,7 @@ def events_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_cells(df: DataFrame, name: str) -> DataFrame:
     """Numbers the few values of a name column by their order."""
-    names = df.select(name).distinct()
-    below = names.select(F.col(name).alias("__n"))
-    numbered = names.join(F.broadcast(below), F.col("__n") < F.col(name), "left").groupBy(name).agg(F.count("__n").alias("cell"))
-    return df.join(numbered, name).select("t", F.col("cell").cast("long").alias("cell"), "value")
+    return df.join(numbered(df, name, "cell"), name).select("t", "cell", "value")
 
 
 def orders_by(spark: SparkSession, sf_dir: str, cell: str) -> DataFrame:
