@@ -20,7 +20,7 @@ def test_registered_sizes(spark, monkeypatch):
         called = inspect.signature(whole).bind(*a, **k)
         called.apply_defaults()
         seen.append((called.arguments["members"], called.arguments["steps"]))
-        return whole(*a[:2], np.zeros(3), members=2, steps=2)
+        return whole(*a[:2], np.zeros(2), members=2, steps=2)
 
     monkeypatch.setattr(lim, "ensemble", small)
     for f in (jobs.lim_noise, jobs.ens_1yr, jobs.ens_long, jobs.long_scalar):

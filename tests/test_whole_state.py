@@ -46,16 +46,17 @@ def test_bounds_of_all_cells(spark):
     assert draws == 10_000
     at = np.array([int(hashlib.md5(f"7:{i}:{k}".encode()).hexdigest()[:8], 16) % n for i in range(draws) for k in range(n)]).reshape(draws, n)
     pairs = {(r.cell, r.t): (r.f, r.o) for r in jobs._pairs(spark, SF).collect()}
+    value = {(r.cell, r.t): r.value for r in jobs._anomalies(spark, SF).collect()}
     got = {(r.cell, r.metric): r for r in jobs.boot_ci_cells(spark, SF).collect()}
     rows = {r.cell: r for r in jobs.verif_table_cells(spark, SF).collect()}
     assert set(got) == {(c, m) for c in range(5) for m in ("r", "ce")} and set(rows) == set(range(5))
     for c in range(5):
-        f, o = np.array([pairs[c, t] for t in range(n)]).T
-        f, o = f[at], o[at]
-        a, b = f - f.mean(1, keepdims=True), o - o.mean(1, keepdims=True)
-        for m, v in (("r", (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))), ("ce", 1 - ((o - f) ** 2).sum(1) / (b * b).sum(1))):
-            want = [v.mean(), *np.quantile(v, [0.025, 0.975])]
-            assert np.allclose([got[c, m].mean, got[c, m].low, got[c, m].high], want, atol=2e-6)
-            for p in ("", "auto1_"):
+        f, o = np.array([pairs[c, t] for t in range(n)]).T[:, at]
+        month = np.array([value[c, t + 11] for t in range(n)])[at]
+        for p, x in (("", f), ("auto1_", month)):
+            a, b = x - x.mean(1, keepdims=True), o - o.mean(1, keepdims=True)
+            for m, v in (("r", (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))), ("ce", 1 - ((o - x) ** 2).sum(1) / (b * b).sum(1))):
+                want = [v.mean(), *np.quantile(v, [0.025, 0.975])]
+                assert p or np.allclose([got[c, m].mean, got[c, m].low, got[c, m].high], want, atol=2e-6)
                 assert np.allclose([rows[c][f"{p}{m}{e}"] for e in ("", "_low", "_high")], want, atol=2e-6)
         assert rows[c].scalar == f"cell{c}"
