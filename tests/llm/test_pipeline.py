@@ -45,3 +45,39 @@ def test_stages_take_effect(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_recall_of_near_copies(spark):
+    """Of pairs of edited copies at five-word similarities around the threshold, those at 0.8 or more lose one document."""
+    import random
+
+    from .data import frame
+    from .test_minhash import sets
+
+    rng = random.Random(12)
+    docs = []
+    for k in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 300))]
+        new = list(base)
+        for _ in range(rng.randint(0, len(base) // 30)):
+            new[rng.randrange(len(new))] = f"x{rng.randint(0, 5000)}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(new))]
+    own = sets(docs, 5)
+    alike = {k for k in range(60) if 100 * len(own[2 * k] & own[2 * k + 1]) >= 80 * len(own[2 * k] | own[2 * k + 1])}
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash"](spark, frame(spark, docs), SF).collect()}
+    assert 15 < len(alike) < 55
+    assert {k for k in range(60) if 2 * k + 1 not in left} == alike and all(2 * k in left for k in range(60))
+
+
+def test_odd_documents(spark):
+    """Null, empty and repeated texts, a null id and an extra column pass through all stages."""
+    from pyspark.sql import functions as F
+
+    from .data import frame
+
+    docs = frame(spark, [(1, None), (2, ""), (2, ""), (None, "some words of a text here"), (3, "plain clean text, nothing else"), (4, "  \n ")]).withColumn("extra", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "packing" or out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert out.count() >= 4
+        assert stage(spark, docs.limit(0), SF).count() == 0
