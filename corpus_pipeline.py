@@ -24,8 +24,13 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def _lean(spark: SparkSession) -> None:
-    """Rows of texts go to workers in small batches, for workers and executors serve all stages in turn."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Rows of texts go to workers in small batches, for workers and executors serve all stages in turn.
+
+    The plans are lazy, so the option stays with the session; one that the session has set itself is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
 
 
 def _columns(df: DataFrame) -> DataFrame:
