@@ -221,6 +221,15 @@ def conv_fields(spark, sf_dir):
     return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
 
 
+@query(f"WITH {F4} SELECT t, cell, {r('value')}, 'anomaly,detrended' AS ops FROM f4 WHERE cell < 5")
+def field_saved(spark, sf_dir):
+    """A field with its history, written in a folder for each cell and read back in part."""
+    path = f"{store.shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    fields.save_field(fields.orders_nation(spark, sf_dir), path, fields.nation_grid(spark, sf_dir), ("anomaly", "detrended"), by="cell")
+    f, ops = fields.load_field(spark, path)
+    return rounded(f.where("cell < 5").select("t", F.col("cell").cast("long").alias("cell"), "value", F.lit(",".join(ops)).alias("ops")), "value")
+
+
 @query(f"WITH {F6} SELECT cell, (cell * 2 - 60)::DOUBLE AS lat, (cell * 5)::DOUBLE AS lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f6 GROUP BY cell")
 def src_posterior_ncf(spark, sf_dir):
     """Stations: one array of values a time, and arrays of each station's coordinates."""
@@ -545,6 +554,15 @@ def state_concat(spark, sf_dir):
     return rounded(_state(spark, sf_dir)[0], "value")
 
 
+@query(f"WITH RECURSIVE {F3}, {F4}, s AS (SELECT t, cell, value FROM f3 UNION ALL SELECT t, cell + 5, value FROM f4), {modes_sql('s', 2)}, fi AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM s)) " + " UNION ALL ".join(f"SELECT CASE WHEN cell < 5 THEN 'region' ELSE 'nation' END AS var, CASE WHEN cell < 5 THEN cell ELSE cell - 5 END AS cell, {q} AS mode, {r('v[i]', 'loading')} FROM fi, v{q}" for q in (0, 1)))
+def state_eofs(spark, sf_dir):
+    """Leading modes of a state of two variables, each variable's rows of the basis."""
+    s, spans = _state(spark, sf_dir)
+    loadings = state.state_eofs(s, 2)[0].withColumnRenamed("cell", "feature")
+    parts = [state.select_var(loadings, spans, v).select(F.lit(v).alias("var"), "cell", "mode", "loading") for v in ("region", "nation")]
+    return rounded(parts[0].union(parts[1]), "loading")
+
+
 @query(f"WITH {STATE} SELECT t, feature - 5 AS cell, {r('value')} FROM s WHERE feature >= 5")
 def select_var(spark, sf_dir):
     return rounded(state.select_var(*_state(spark, sf_dir), "nation"), "value").select("t", "cell", "value")
@@ -628,6 +646,14 @@ def lim_fit_tau1(spark, sf_dir):
     return rounded(lim.fit(s.join(later.select("t").distinct(), "t", "left_semi"), 3, tau1=later).to_df(spark).select("i", "j", "re"), "re")
 
 
+@query(f"WITH RECURSIVE {TWO_G} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'g{i}{j}', 're')} FROM g" for i in (0, 1) for j in (0, 1)))
+def lim_saved(spark, sf_dir):
+    """A fitted model, written and read back."""
+    path = f"{store.shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    lim.fit(_two(spark, sf_dir), noise=True).save(spark, path)
+    return rounded(lim.Model.load(spark, path).to_df(spark).select("i", "j", "re"), "re")
+
+
 @query(f"WITH RECURSIVE {TWO_G} " + " UNION ALL ".join(f"SELECT 1 AS lead, t, {i}::BIGINT AS mode, {r(f'g{i}0 * a + g{i}1 * b')} FROM z, g UNION ALL SELECT 2, t, {i}, {r(f'(g{i}0 * g00 + g{i}1 * g10) * a + (g{i}0 * g01 + g{i}1 * g11) * b')} FROM z, g" for i in (0, 1)))
 def fcast_by_lead(spark, sf_dir):
     """Forecasts kept as a folder for each lead, two of three read back."""

@@ -69,7 +69,7 @@ def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int =
         a, b = matrix_of(batch.column(1)), matrix_of(batch.column(2))
         return np.concatenate([b.T @ a, a.T @ a, np.full((1, m), float(len(a)))])
 
-    sums = collected(block_sum(pairs, products, (2 * m + 1, m)), (2 * m + 1, m))
+    sums = collected(block_sum(pairs, products, (2 * m + 1, m)), (2 * m + 1, m), 2 * m)
     ct, c0, n = sums[:m], sums[m : 2 * m], sums[-1, 0]
     g = ct @ np.linalg.pinv(c0)
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -9,6 +9,7 @@ side by the number of modes, whose size is bounded, and cells and times beyond i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,19 @@ def rows_of(field: DataFrame, key: str = "t", name: str = "cell") -> Rows:
     return Rows(made.select("key", "x"), np.array(names, np.int64), got.n)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, width: int):
+    """For the actions inside, Arrow batches of at most some 32 MB where a row has ``width`` numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    most = max(1, (32 << 20) // (8 * max(width, 1)))
+    spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     """List rows of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -87,12 +101,13 @@ def block_sum(table: DataFrame, product, shape: tuple[int, int]) -> DataFrame:
     return table.mapInArrow(part, ddl).repartition(stripes, "stripe").mapInArrow(add, ddl)
 
 
-def collected(blocks: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Driver copy of a block sum, whose size ``block_sum`` has checked."""
+def collected(blocks: DataFrame, shape: tuple[int, int], width: int | None = None) -> np.ndarray:
+    """Driver copy of a block sum, whose size ``block_sum`` has checked. width: numbers in a row of what was multiplied."""
     out = np.zeros(shape)
-    for r in blocks.toLocalIterator():
-        own = np.frombuffer(r.block, np.float64).reshape(-1, shape[1])
-        out[r.stripe * STRIPE : r.stripe * STRIPE + len(own)] = own
+    with small_batches(blocks.sparkSession, shape[1] if width is None else width):
+        for r in blocks.collect():
+            own = np.frombuffer(r.block, np.float64).reshape(-1, shape[1])
+            out[r.stripe * STRIPE : r.stripe * STRIPE + len(own)] = own
     return out
 
 
@@ -114,7 +129,9 @@ def gram(field: DataFrame, sample: str = "t", feature: str = "cell") -> DataFram
     """(i, j, s): sum over samples of x_i * x_j for features i, j, numbered in their order."""
     r = rows_of(field, sample, feature)
     m = len(r.names)
-    return _entries(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), max(m, 1))
+    with small_batches(field.sparkSession, m):
+        blocks = stored(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), "gram")
+    return _entries(blocks, max(m, 1))
 
 
 def paired(r: Rows, lag: int) -> DataFrame:
@@ -127,7 +144,9 @@ def lag_covariance(field: DataFrame, lag: int, feature: str = "cell") -> DataFra
     """(i, j, s): sum over t of x_i(t + lag) * x_j(t), for samples that have both."""
     r = rows_of(field, "t", feature)
     m = len(r.names)
-    return _entries(block_sum(paired(r, lag), lambda b: matrix_of(b.column(2)).T @ matrix_of(b.column(1)), (m, m)), max(m, 1), r.names, r.names)
+    with small_batches(field.sparkSession, 2 * m):
+        blocks = stored(block_sum(paired(r, lag), lambda b: matrix_of(b.column(2)).T @ matrix_of(b.column(1)), (m, m)), "covariance")
+    return _entries(blocks, max(m, 1), r.names, r.names)
 
 
 def to_coo(spark: SparkSession, m: np.ndarray) -> DataFrame:
@@ -159,7 +178,7 @@ def _leading(r: Rows, k: int, exact: int = EXACT, over: int = 30, rounds: int =
     for _ in range(rounds):
         q = np.linalg.qr(q)[0]
         sent = spark.sparkContext.broadcast(q)  # block_sum checks its size
-        z = collected(block_sum(r.table, lambda b, sent=sent: (x := matrix_of(b.column(1))).T @ (x @ sent.value), (m, width)), (m, width))
+        z = collected(block_sum(r.table, lambda b, sent=sent: (x := matrix_of(b.column(1))).T @ (x @ sent.value), (m, width)), (m, width), m)
         sent.destroy()
         values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
         values, turn = np.maximum(values[::-1], 0), turn[:, ::-1]
@@ -207,7 +226,7 @@ def total_variance(r: Rows, key_is_sample: bool) -> float:
     if len(r.names) < 2:
         return 0.0
     got = block_sum(r.table, lambda b: np.array([[matrix_of(b.column(1)).var(axis=1, ddof=1).sum()]]), (1, 1))
-    return float(collected(got, (1, 1))[0, 0])
+    return float(collected(got, (1, 1), len(r.names))[0, 0])
 
 
 def eof(field: DataFrame, k: int, exact: int = EXACT) -> tuple[DataFrame, DataFrame]:
@@ -227,7 +246,9 @@ def eof(field: DataFrame, k: int, exact: int = EXACT) -> tuple[DataFrame, DataFr
     if wide:
         some = values > (values[:1] * 1e-14 if len(values) else 0)
         values = values[some]
-        loadings = _signed(_times(r, basis[:, some] / np.sqrt(values), "cell"))
+        with small_batches(spark, len(r.names)):
+            loadings = stored(_times(r, basis[:, some] / np.sqrt(values), "cell"), "loadings")
+        loadings = _signed(loadings)
     else:
         loadings = _of_names(spark, r.names, canonical(basis), "cell")
     nt = size.nt
@@ -237,7 +258,6 @@ def eof(field: DataFrame, k: int, exact: int = EXACT) -> tuple[DataFrame, DataFr
 
 def _signed(loadings: DataFrame) -> DataFrame:
     """The sign that makes the largest loading of each mode (of the first cell on ties) positive."""
-    loadings = stored(loadings, "loadings")
     big = loadings.groupBy("mode").agg(F.max_by(F.signum("loading"), F.struct(F.abs("loading").alias("a"), (-F.col("cell")).alias("c"))).alias("__s"))
     return loadings.join(F.broadcast(big), "mode").select("cell", "mode", F.when(F.col("__s") < 0, -F.col("loading")).otherwise(F.col("loading")).alias("loading"))  # a row a mode
 
