@@ -171,10 +171,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
     heads = of.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("doc_id"), F.lit(False).alias("is_member"))
     meets = stored(dealt.unionByName(heads).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part", "is_member")).alias("meets")), "meets")
     # few documents meet others: up to a bounded size their list goes to the texts, beyond it both are shuffled
-    if (meets.agg(F.sum(F.lit(16) + F.size("meets") * 40)).first()[0] or 0) <= SENT_BYTES:
-        meets = F.broadcast(meets)
-    sets = docs.join(meets, "doc_id").select("doc_id", "text", "meets").mapInArrow(_sets(n), "pivot long, part int, member long, is_member boolean, own binary")
-    return sets.repartition(n_parts(docs), "pivot", "part").sortWithinPartitions("pivot", "part", "is_member").mapInArrow(_confirm(percent), "a long, b long")
+    small = (meets.agg(F.sum(F.lit(16) + F.size("meets") * 40)).first()[0] or 0) <= SENT_BYTES
+    sets = docs.join(F.broadcast(meets) if small else meets, "doc_id").select("doc_id", "text", "meets").mapInArrow(_sets(n), "pivot long, part int, member long, is_member boolean, own binary")
+    sets = sets.repartition(n_parts(docs), "pivot", "part").sortWithinPartitions("pivot", "part", "is_member")
+    links = stored(sets.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    discard(meets)
+    return links
 
 
 def _fits(percent: int, x: str, y: str) -> str:
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
     discard(buckets)
     star = [shared.where(f"rep <> {p}.rep and {_fits(percent, 'n', f'{p}.n')}").select(F.greatest("rep", f"{p}.rep").alias("member"), F.least("rep", f"{p}.rep").alias("pivot")) for p in ("low", "high")]
     tested = stored(star[0].union(star[1]).distinct(), "tested")
-    links = stored(confirmed(docs, tested, n, percent), "links")
+    links, spent = confirmed(docs, tested, n, percent), [shared, tested]
     found = stored(components(links), "components")
     cells_of = real.groupBy("doc_id").agg(F.first("cells").alias("cells")).withColumnRenamed("doc_id", "rep")
     for best in (True, False):
@@ -277,10 +279,13 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
-        new = stored(confirmed(docs, more, n, percent), "links")
+        spent.append(more)
+        new = confirmed(docs, more, n, percent)
         if not new.isEmpty():
             links = links.unionByName(new)
             found = stored(components(links), "components")
+    for table in spent:
+        discard(table)
     classes = reps.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("component_id"))
     out = hot_join(signed.select("doc_id", "n_shingles", "digest"), classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
