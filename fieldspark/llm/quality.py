@@ -41,11 +41,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, filled, release, stored
+from .common import filled, release, stored
 from .words import buffers, chunks, hashes, rolling
 
 OUT = ("doc_id", "log_weight", "gumbel_key", "kept")
 BUCKETS, PRIOR, SCALE, SEED = 1 << 16, 20, 200.0, 17
+#: Bytes of text whose features are made at a time.
+FEATURE_BYTES = 1 << 20
 EVIDENCE, STRONG, MAX_MARKS = 12.0, 10.0, 1 << 20
 #: 0: blank, 1: letter, digit or not ASCII, 2: ASCII punctuation or control.
 KINDS = np.ones(256, np.uint8)
@@ -58,7 +60,7 @@ def features(column: pa.Array, bits: int = 16) -> Iterator[np.ndarray]:
     """Feature numbers of each text, with repeats: the leading bits of their hashes."""
     shift = np.uint64(64 - bits)
     data, offsets = buffers(column)
-    for a, b in chunks(offsets, CHUNK_BYTES):
+    for a, b in chunks(offsets, FEATURE_BYTES):
         part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         kind = KINDS[part]
         new = np.ones(len(part), bool)
@@ -113,14 +115,6 @@ def log_ratio(docs: DataFrame, labels: DataFrame, max_labelled: int) -> np.ndarr
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def _weight(ratio):
-    def weight(text: pa.Array) -> pa.Array:
-        r = ratio.value
-        return pa.array([SCALE * float(r[f].sum()) / (len(f) + PRIOR) for f in features(text)], pa.float64())
-
-    return weight
-
-
 def _found(f: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the sorted ``known`` (not empty), and whether they match."""
     at = np.minimum(np.searchsorted(known, f), len(known) - 1)
@@ -183,16 +177,27 @@ def marks(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[np.nda
     return f[strong], weight[strong]
 
 
-def _toxic_weight(model):
-    def weight(text: pa.Array) -> pa.Array:
-        known, w = model.value
-        out = []
-        for f in _words(text):
-            at, same = _found(f, known)
-            out.append(float(w[np.unique(at[same])].sum()))
-        return pa.array(out, pa.float64())
+RESULT = pa.struct([("weight", pa.float64()), ("toxic", pa.float64())])
+
+
+def _weights(ratio, model):
+    """The log weight and the toxic weight of each text, in one pass; ``model`` is None where toxicity is not judged."""
+
+    @F.arrow_udf("struct<weight: double, toxic: double>")
+    def weights(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            r = ratio.value
+            weight = [SCALE * float(r[f].sum()) / (len(f) + PRIOR) for f in features(text)]
+            toxic = [0.0] * len(weight)
+            if model is not None:
+                known, w = model.value
+                for k, f in enumerate(_words(text)):
+                    at, same = _found(f, known)
+                    toxic[k] = float(w[np.unique(at[same])].sum())
+            yield pa.StructArray.from_arrays([pa.array(weight, pa.float64()), pa.array(toxic, pa.float64())], fields=list(RESULT))
+        release()
 
-    return weight
+    return weights
 
 
 def gumbel(column: str, seed: int = SEED) -> Column:
@@ -221,10 +226,10 @@ def weigh(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000, keep:
     """doc_id, log_weight, the toxic weight as __toxic and ``keep``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *[F.col(c).alias(f"__{c}") for c in keep])
     share = docs.sparkSession.sparkContext.broadcast
-    weight = F.arrow_udf(_weight(share(log_ratio(docs, labels, max_labelled))), "double")  # BUCKETS numbers
+    ratio = share(log_ratio(docs, labels, max_labelled))  # BUCKETS numbers
     model = marks(docs, labels, max_labelled) if reject_toxic else ((), ())
-    toxic = F.arrow_udf(_toxic_weight(share(model)), "double")("text") if len(model[0]) else F.lit(0.0)
-    return docs.select("doc_id", weight("text").alias("log_weight"), toxic.alias("__toxic"), *[F.col(f"__{c}").alias(c) for c in keep])
+    got = docs.withColumn("__got", _weights(ratio, share(model) if len(model[0]) else None)("text"))
+    return got.select("doc_id", F.col("__got.weight").alias("log_weight"), F.col("__got.toxic").alias("__toxic"), *[F.col(f"__{c}").alias(c) for c in keep])
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_share: float = 0.999, max_labelled: int = 50_000, keep: tuple[str, ...] = (), reject_toxic: bool = False, clean_share: float = 0.999) -> DataFrame:

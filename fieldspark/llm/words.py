@@ -21,7 +21,8 @@ NOT_ALNUM[:0x80] = True
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-SEGMENT = 2 << 20
+#: Bytes hashed at a time; a pass takes some 40 bytes of memory for each.
+SEGMENT = 512 << 10
 
 _RNG = np.random.default_rng(20240229)
 _CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
