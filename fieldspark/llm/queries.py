@@ -84,6 +84,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
