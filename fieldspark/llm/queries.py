@@ -84,6 +84,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where("doc_id is not null").where(~held_out()))
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=("doc_id", "held_out"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_whitening import whiten
 
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_language_id": op11_language_id,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
