@@ -2,9 +2,11 @@
 
 Words are maximal runs without ``[\\x20\\x09-\\x0D]``. Tasks parse whole texts into shards of compressed sparse
 rows (CSR): for each document the codes of its different words and their counts, with a vocabulary for each shard
-of some megabytes of text. The shards' vocabularies, not the documents' words, travel to number all different words
-densely; each shard then gets its codes' numbers and holds global ones. Row sums are the words of a document and
-the entries of a row its different words. Words stand for themselves throughout, not by hashes.
+of some megabytes of text. The shards' vocabularies, not the documents' words, travel: dealt into buckets by their
+hash, words of a bucket meet in one task, which numbers the different ones; each shard then gets the numbers of its
+codes and holds global ones. Row sums are the words of a document and the entries of a row its different words.
+Words stand for themselves throughout: a hash only deals them. Buckets grow in number with the input, so what a task
+knows of words does not.
 
 Failure conditions: A: under 200 words; B: 100 * different words < 50 * words; C: 100 * ``[A-Z]`` characters >
 3 * code points; D: any of ``[#$%&*|]``; E: a document with a smaller doc_id has the same text (256 bits of SHA-2
@@ -31,12 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, hot_join, release, stored
-from .vocabulary import coded
+from .common import filled, hot_join, n_parts, release, stored
+from .vocabulary import Coded, coded
+from .words import buffers, hashes
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[[ord(c) for c in "#$%&*|"]] = True
+MEASURES = [pa.field("c", pa.bool_()), pa.field("d", pa.bool_())]
+BLOBS = pa.list_(pa.struct([("bucket", pa.int64()), ("first", pa.int32()), ("words", pa.binary())]))
 
 
 def _lists(values: pa.Array) -> pa.Array:
@@ -44,68 +50,122 @@ def _lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(x: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
+
+
+def _dealt(part: Coded, buckets: int) -> tuple[list[dict], np.ndarray]:
+    """The vocabulary in buckets of the words' hashes, as blobs of words with a line end between, and new codes.
+
+    The new codes follow the buckets, so a bucket's words have codes from ``first`` on.
+    """
+    _, offsets, data = part.words.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(part.words) + 1) if len(part.words) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if len(part.words) else np.zeros(0, np.uint8)
+    bucket = (hashes(data, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    code = np.empty(len(order), np.int64)
+    code[order] = np.arange(len(order))
+    words = part.words.take(pa.array(order)).to_pylist()
+    some, first = np.unique(bucket[order], return_index=True)
+    return [{"bucket": b, "first": a, "words": b"\n".join(words[a:e])} for b, a, e in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(words)])], code
+
+
+def _parsed(buckets: int, measure):
     """Rows (text, doc) as shards with codes of their own."""
-    number = TaskContext.get().partitionId() << 33
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in coded(batch.column(0)):
+                rows = slice(part.a, part.b)
+                doc = batch.column(1)[rows]
+                if measure:
+                    doc = pa.StructArray.from_arrays([*doc.flatten(), *measure(batch.column(0)[rows])], fields=[*doc.type, *MEASURES])
+                blobs, new = _dealt(part, buckets)
+                starts, codes, counts = part.counts(new)
+                arrays = [pa.array([number]), _lists(doc), _packed(starts, np.int64), _packed(codes, np.int32), _packed(counts, np.int32), pa.array([blobs], BLOBS)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "docs", "starts", "codes", "counts", "blobs"])
+                number += 1
+        release()
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of each blob's words: within a bucket, in the order in which they are met. Rows come by bucket."""
+    at, known = None, {}
+    for batch in batches:
+        found = []
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if bucket != at:
+                at, known = bucket, {}
+            found.append(np.array([known.setdefault(w, len(known)) for w in blob.split(b"\n")], np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["shard", "bucket", "first", "ranks"])
+
+
+def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards with the global numbers of their codes."""
     for batch in batches:
-        for part in coded(batch.column(0)):
-            starts, codes, counts = part.counts()
-            arrays = [pa.array([number]), _lists(batch.column(1).slice(part.a, part.b - part.a)), _lists(pa.array(starts.astype(np.int64))), _lists(pa.array(codes)), _lists(pa.array(counts.astype(np.int64))), _lists(part.words.cast(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["shard", "docs", "starts", "codes", "counts", "words"])
-            number += 1
+        out = []
+        for codes, pieces in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            pieces = sorted(pieces or (), key=lambda p: p["first"])
+            number = [np.frombuffer(p["ranks"], np.int32).astype(np.int64) + (p["bucket"] << 32) for p in pieces]
+            out.append(np.concatenate([np.empty(0, np.int64), *number])[np.frombuffer(codes, np.int32)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary()), batch.column(4)], names=["shard", "docs", "starts", "indices", "counts"])
     release()
 
 
-def term_matrix(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def term_matrix(docs: DataFrame, keep: tuple[str, ...], measure=None) -> DataFrame:
     """Shards (shard, docs, starts, indices, counts) of the document-term matrix of the column ``text``.
 
-    docs: ``keep`` of each row, in the order of the rows; entries starts[k] to starts[k + 1] of ``indices`` (global
-    word numbers from 0, dense) and ``counts`` are those of row k.
+    docs: ``keep`` of each row, in the order of the rows (and ``MEASURES`` of their texts, made by ``measure``).
+    starts, indices, counts: 8, 8 and 4-byte integers; entries starts[k] to starts[k + 1] are those of row k, and
+    an index is a word's number in the whole corpus (its bucket in the upper half, its place there in the lower).
     """
+    parts = n_parts(docs)
     wanted = docs.select(filled("text").alias("text"), F.struct(*keep).alias("doc"))
     doc = wanted.schema["doc"].dataType.simpleString()
-    local = stored(wanted.mapInArrow(_parsed, f"shard long, docs array<{doc}>, starts array<long>, codes array<int>, counts array<long>, words array<binary>"), "shards")
-    used = local.select("shard", F.posexplode("words").alias("code", "word"))
-    own = used.groupBy("word").agg(F.count("*").alias("m"))
-    own = stored(own.select("word", "m", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "words")
-    before = own.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("base"))  # a row for each partition
-    numbers = own.join(F.broadcast(before), "p").select("word", (F.col("base") + F.col("k")).alias("number"))
-    named = hot_join(used, numbers, "word", counts=own.select("word", "m"))
-    named = named.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "number"))), lambda x: x["number"]).alias("numbers"))  # a shard's own words
-    both = local.drop("words").join(named, "shard", "left")
-    return both.select("shard", "docs", "starts", F.transform("codes", lambda c: F.get("numbers", c)).alias("indices"), "counts")
+    if measure:
+        doc = doc[:-1] + "".join(f",{f.name}:boolean" for f in MEASURES) + ">"
+    ddl = f"shard long, docs array<{doc}>, starts binary, codes binary, counts binary, blobs array<struct<bucket: long, first: int, words: binary>>"
+    local = stored(wanted.mapInArrow(_parsed(4 * parts, measure), ddl), "shards")
+    words = local.select("shard", F.inline("blobs")).select("bucket", "shard", "first", "words")
+    named = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_numbered, "shard long, bucket long, first int, ranks binary")
+    named = named.groupBy("shard").agg(F.collect_list(F.struct("bucket", "first", "ranks")).alias("pieces"))  # a shard's own words
+    both = local.drop("blobs").join(named, "shard", "left")
+    return both.mapInArrow(_global, f"shard long, docs array<{doc}>, starts binary, indices binary, counts binary")
 
 
 def row_stats(matrix: DataFrame) -> DataFrame:
-    """The rows' documents with n_words (row sums) and n_distinct (entries)."""
-    names = matrix.schema["docs"].dataType.elementType.names
+    """The rows' documents with n_words (row sums) and n_distinct (different indices)."""
+    doc = matrix.schema["docs"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, starts, counts in zip(*(batch.column(k) for k in range(3)), strict=True):
-                starts = starts.values.to_numpy()
-                sums = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])[starts]
+            for docs, starts, counts in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                starts = np.frombuffer(starts, np.int64)
+                sums = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)])[starts]
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(np.diff(sums)), pa.array(np.diff(starts))], names=["doc", "n_words", "n_distinct"])
         release()
 
-    doc = matrix.schema["docs"].dataType.elementType.simpleString()
-    entries = F.when(F.size("indices") == F.size("counts"), F.col("counts"))  # each entry has its number
-    got = matrix.select("docs", "starts", entries.alias("counts")).mapInArrow(run, f"doc {doc}, n_words long, n_distinct long")
-    return got.select(*[F.col("doc")[n].alias(n) for n in names], "n_words", "n_distinct")
+    got = matrix.select("docs", "starts", "counts").mapInArrow(run, f"doc {doc.simpleString()}, n_words long, n_distinct long")
+    return got.select(*[F.col("doc")[n].alias(n) for n in doc.names], "n_words", "n_distinct")
+
+
+def characters(texts: pa.Array) -> list[pa.Array]:
+    """MEASURES of texts: conditions C and D."""
+    data, offsets = buffers(texts)
+    total = lambda w: np.diff(np.concatenate([[0], np.cumsum(w, dtype=np.int64)])[offsets])
+    points = total((data & 0xC0) != 0x80)
+    return [pa.array(100 * total((data >= 0x41) & (data <= 0x5A)) > 3 * points), pa.array(total(SYMBOLS[data]) > 0)]
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """doc_id, part, text_id and fails: the letters among ABCD whose conditions the document meets."""
     text = filled("text")
-    marked = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        filled("lang").alias("part"),
-        F.unhex(F.sha2(text, 256)).alias("text_id"),
-        (100 * (F.length(text) - F.length(F.translate(text, UPPER, ""))) > 3 * F.length(text)).alias("c"),
-        text.rlike("[#$%&*|]").alias("d"),
-        text.alias("text"),
-    )
-    got = row_stats(term_matrix(marked, ("doc_id", "part", "text_id", "c", "d")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("lang").alias("part"), F.unhex(F.sha2(text, 256)).alias("text_id"), text.alias("text"))
+    got = row_stats(term_matrix(own, ("doc_id", "part", "text_id"), characters))
     tests = {"A": F.col("n_words") < 200, "B": 100 * F.col("n_distinct") < 50 * F.col("n_words"), "C": F.col("c"), "D": F.col("d")}
     return got.select("doc_id", "part", "text_id", F.concat(*[F.when(t, k).otherwise("") for k, t in tests.items()]).alias("fails"))
 

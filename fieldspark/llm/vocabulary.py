@@ -22,10 +22,14 @@ class Coded:
     codes: np.ndarray
     first: np.ndarray
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sparse rows: where each text's entries start, the codes of its different words, and how often it holds them."""
+    def counts(self, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse rows: where each text's entries start, the codes of its different words, and how often it holds them.
+
+        new: another code for each word of the vocabulary.
+        """
+        codes = self.codes if new is None else new[self.codes]
         row = np.repeat(np.arange(self.b - self.a), np.diff(self.first))
-        cells, n = np.unique(row * max(len(self.words), 1) + self.codes, return_counts=True)
+        cells, n = np.unique(row * max(len(self.words), 1) + codes, return_counts=True)
         row, code = np.divmod(cells, max(len(self.words), 1))
         return np.searchsorted(row, np.arange(self.b - self.a + 1)), code.astype(np.int32), n
 

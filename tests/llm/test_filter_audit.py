@@ -4,9 +4,9 @@ from collections import Counter
 from itertools import permutations
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 
-from fieldspark.llm import filter_audit
 from fieldspark.llm.filter_audit import ORACLE, audit, row_stats, term_matrix
 from fieldspark.llm.vocabulary import coded
 
@@ -81,29 +81,33 @@ def test_provided_tables_and_sql(spark):
     assert len(mine) == 600 * docs.select("lang").distinct().count()
 
 
-def test_matrix(spark, monkeypatch):
-    """Global numbers are dense and mean one word in all shards, whatever the shards."""
-    monkeypatch.setattr(filter_audit, "coded", lambda c: coded(c, most=400))
+def test_matrix(spark):
+    """An index means one word in all shards, whatever the shards, and every word has one."""
     docs = [(i, t, None) for i, t in enumerate(edge_texts())] + [(i, r[1], None) for i, r in enumerate(rows(spark)[:40], 100)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
     matrix = term_matrix(df, ("doc_id",)).collect()
+    assert len(matrix) == 3
     meaning = {}
     text = {i: t for i, t, _ in docs}
     for shard in matrix:
+        starts, indices, counts = np.frombuffer(shard.starts, np.int64), np.frombuffer(shard.indices, np.int64).tolist(), np.frombuffer(shard.counts, np.int32).tolist()
         for k, doc in enumerate(shard.docs):
-            a, b = shard.starts[k], shard.starts[k + 1]
+            a, b = starts[k : k + 2]
             own = Counter(words(text[doc.doc_id]))
-            assert sorted(shard.counts[a:b]) == sorted(own.values()) and len(set(shard.indices[a:b])) == b - a
-            for n in shard.indices[a:b]:
-                meaning[n] = meaning[n] & set(own) if n in meaning else set(own)
+            assert sorted(counts[a:b]) == sorted(own.values()) and len(set(indices[a:b])) == b - a
+            for n, c in zip(indices[a:b], counts[a:b]):
+                same = {w for w in own if own[w] == c}
+                meaning[n] = meaning[n] & same if n in meaning else same
     every = {w for t in text.values() for w in words(t)}
-    assert sorted(meaning) == list(range(len(every))) and all(meaning.values())
+    assert len(meaning) == len(every) and all(meaning.values())
     stats = {r.doc_id: (r.n_words, r.n_distinct) for r in row_stats(term_matrix(df, ("doc_id",))).collect()}
     assert stats == {i: (len(words(t)), len(set(words(t)))) for i, t in text.items()}
 
 
 def test_codes_are_exact():
     texts = ["b a b", None, "", "a  c", "\n", "cc c"]
+    parts = list(coded(pa.array(texts), most=2))
+    assert len(parts) > 3 and [w for p in parts for w in (p.words[c].as_py().decode() for c in p.codes.tolist())] == [w for t in texts for w in words(t)]
     for part in coded(pa.array(texts)):
         assert [part.words[c].as_py().decode() for c in part.codes.tolist()] == [w for t in texts for w in words(t)]
         assert part.first.tolist() == [0, 3, 3, 3, 5, 5, 7]
