@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.numeric import draw
-from ..operators import ensemble, lim, linalg, sampling, scale, spatial, state, temporal, verify
+from ..operators import ensemble, lim, linalg, sampling, scale, spatial, spectral, state, temporal, verify
 from ..sources import experiments, fields, store
 from . import verification
 
-N = fields.MONTHS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -54,20 +53,31 @@ F2 = """f2 AS (WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_t
  SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, g.value AS value FROM (SELECT range AS t FROM range(120)) a CROSS JOIN k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
 
 
+def _month(table: str) -> str:
+    """Months of a table's dates since January of its first year."""
+    date = fields.DATES[table]
+    return f"(year({date}) - (SELECT min(year({date})) FROM {table})) * 12 + month({date}) - 1"
+
+
+def _n(f: str, less: int = 0) -> str:
+    """The number of times of a field that starts at 0, less some."""
+    return f"(SELECT max(t) + 1 - {less} FROM {f})"
+
+
 def _orders(name: str, cell: str) -> str:
-    return f"""{name} AS (WITH g AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t, {cell} AS cell, sum(o_totalprice) / 1e6 AS value
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY ALL)
- SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT range AS t FROM range({N})) a CROSS JOIN (SELECT DISTINCT cell FROM g) k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
+    return f"""{name} AS (WITH g AS (SELECT {_month('orders')} AS t, {cell} AS cell, sum(o_totalprice) / 1e6 AS value
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+ SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT unnest(range({_n('g')})) AS t) a CROSS JOIN (SELECT DISTINCT cell FROM g) k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
 
 
 F3, F4 = _orders("f3", "n_regionkey"), _orders("f4", "n_nationkey")
-F5 = f"""f5 AS (WITH g AS (SELECT (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t, s_nationkey AS cell, sum(l_extendedprice * (1 - l_discount)) / 1e6 AS value
- FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate < TIMESTAMP '2001-01-01' GROUP BY ALL)
- SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT range AS t FROM range({N})) a CROSS JOIN (SELECT DISTINCT cell FROM g) k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
+F5 = f"""f5 AS (WITH g AS (SELECT {_month('lineitem')} AS t, s_nationkey AS cell, sum(l_extendedprice * (1 - l_discount)) / 1e6 AS value
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+ SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT unnest(range({_n('g')})) AS t) a CROSS JOIN (SELECT DISTINCT cell FROM g) k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
 F6 = "f6 AS (SELECT vec_id AS t, unnest(range(len(embedding)))::BIGINT AS cell, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 GRID = "grid AS (SELECT n_nationkey::BIGINT AS cell, (n_nationkey * 5 - 60)::DOUBLE AS lat, ((420 - 15 * n_nationkey) % 360)::DOUBLE AS lon, (1 + n_nationkey % 7)::DOUBLE AS cell_area FROM nation)"
-MEMBERS = """em AS (SELECT substr(o_orderpriority, 1, 1)::INT AS member, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1)::BIGINT AS t, n_regionkey::BIGINT AS cell, sum(o_totalprice) / 1e6 AS value
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate < TIMESTAMP '2001-01-01' GROUP BY ALL)"""
+MEMBERS = f"""em AS (SELECT substr(o_orderpriority, 1, 1)::INT AS member, ({_month('orders')})::BIGINT AS t, n_regionkey::BIGINT AS cell, sum(o_totalprice) / 1e6 AS value
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
 def _climo(f: str, year: int = 12) -> str:
@@ -190,12 +200,13 @@ def time_cf(spark, sf_dir):
 
 
 def _variables(spark, sf_dir) -> dict[str, experiments.Variable]:
-    """Two variables with coordinates; times are days since 1995-01-01 in a calendar of 360 days, one row is a fill value."""
+    """Two variables with coordinates; times are days since their first year in a calendar of 360 days, one row is a fill value."""
     out = {}
-    for name, field in (("orders", fields.orders_nation(spark, sf_dir)), ("revenue", fields.lineitem_snation(spark, sf_dir))):
+    for name, field, table in (("orders", fields.orders_nation(spark, sf_dir), "orders"), ("revenue", fields.lineitem_snation(spark, sf_dir), "lineitem")):
+        year = fields.span(spark, sf_dir, table)[0]
         placed = field.join(fields.nation_grid(spark, sf_dir), "cell")
         value = F.when((F.col("t") == 3) & (F.col("cell") == 4), 1e20).otherwise(F.col("value"))
-        out[name] = experiments.Variable(placed.select((F.col("t") * 30).alias("time"), "lat", "lon", value.alias("value")), "days since 1995-01-01", "360_day", 1995, 1e20)
+        out[name] = experiments.Variable(placed.select((F.col("t") * 30).alias("time"), "lat", "lon", value.alias("value")), f"days since {year}-01-01", "360_day", year, 1e20)
     return out
 
 
@@ -221,13 +232,13 @@ def conv_fields(spark, sf_dir):
     return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
 
 
-@query(f"WITH {F4} SELECT t, cell, {r('value')}, 'anomaly,detrended' AS ops FROM f4 WHERE cell < 5")
+@query(f"WITH {F4} SELECT t, cell, {r('value')}, 'anomaly,detrended' AS ops FROM f4")
 def field_saved(spark, sf_dir):
-    """A field with its history, written in a folder for each cell and read back in part."""
+    """A field with its history, written in a folder for each cell and read back."""
     path = f"{store.shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     fields.save_field(fields.orders_nation(spark, sf_dir), path, fields.nation_grid(spark, sf_dir), ("anomaly", "detrended"), by="cell")
     f, ops = fields.load_field(spark, path)
-    return rounded(f.where("cell < 5").select("t", F.col("cell").cast("long").alias("cell"), "value", F.lit(",".join(ops)).alias("ops")), "value")
+    return rounded(f.select("t", F.col("cell").cast("long").alias("cell"), "value", F.lit(",".join(ops)).alias("ops")), "value")
 
 
 @query(f"WITH {F6} SELECT cell, (cell * 2 - 60)::DOUBLE AS lat, (cell * 5)::DOUBLE AS lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f6 GROUP BY cell")
@@ -327,44 +338,89 @@ def regrid(spark, sf_dir):
     return rounded(spatial.regrid(fields.orders_nation(spark, sf_dir), w), "value")
 
 
+#: The embeddings as a field on 8 latitudes by 8 longitudes of a globe, in real harmonics to degree 3, and places to put it on.
+TOP, NEW_LATS, NEW_LONS = 3, tuple(75.0 - 30 * k for k in range(6)), tuple(10.0 + 30 * k for k in range(12))
+_HARMONICS = {(0, 0): "sqrt(1 / (4 * pi()))", (1, 0): "sqrt(3 / (4 * pi())) * x", (1, 1): "sqrt(3 / (8 * pi())) * s", (2, 0): "sqrt(5 / (16 * pi())) * (3 * x * x - 1)", (2, 1): "sqrt(15 / (8 * pi())) * x * s", (2, 2): "sqrt(15 / (32 * pi())) * s * s",
+ (3, 0): "sqrt(7 / (16 * pi())) * (5 * x * x * x - 3 * x)", (3, 1): "sqrt(21 / (64 * pi())) * s * (5 * x * x - 1)", (3, 2): "sqrt(105 / (32 * pi())) * x * s * s", (3, 3): "sqrt(35 / (64 * pi())) * s * s * s"}
+
+
+def _basis(places: str) -> str:
+    """Rows (cell, n, m, c, e): cosine and sine parts of the harmonics at places (cell, lat, lon)."""
+    at = f"(SELECT cell, sin(radians(lat)) AS x, cos(radians(lat)) AS s, radians(lon) AS o FROM {places})"
+    return " UNION ALL ".join(f"SELECT cell, {n} AS n, {m} AS m, {p} * cos({m} * o) AS c, -({p}) * sin({m} * o) AS e FROM {at}" for (n, m), p in _HARMONICS.items())
+
+
+#: Weights of the mid-points of equal steps in colatitude: Fejer's rule.
+GLOBE = f"""{F6}, old AS (SELECT range AS cell, 78.75 - 22.5 * (range // 8) AS lat, 45.0 * (range % 8) AS lon FROM range(64)), wl AS (SELECT i, (2.0 / 8) * (1 - 2 * sum(cos(2 * k * (i + 0.5) * pi() / 8) / (4 * k * k - 1))) AS w FROM (SELECT range AS i FROM range(8)), (SELECT range + 1 AS k FROM range(4)) GROUP BY i),
+ob AS ({_basis('old')}), ce AS (SELECT t, n, m, sum(value * c * w * 2 * pi() / 8) AS re, sum(value * e * w * 2 * pi() / 8) AS im FROM f6 JOIN ob USING (cell) JOIN wl ON wl.i = cell // 8 GROUP BY t, n, m)"""
+
+
+def _globe(spark, sf_dir):
+    at = [(k, 78.75 - 22.5 * (k // 8), 45.0 * (k % 8)) for k in range(64)]
+    return fields.embeddings(spark, sf_dir), spark.createDataFrame(at, "cell long, lat double, lon double")
+
+
+@query(f"WITH {GLOBE}, nw AS (SELECT range AS cell, 75.0 - 30 * (range // 12) AS lat, 10.0 + 30 * (range % 12) AS lon FROM range(72)), nb AS ({_basis('nw')}) SELECT t, nb.cell, {r('sum(CASE WHEN nb.m > 0 THEN 2 ELSE 1 END * (re * c + im * e))')} FROM ce JOIN nb USING (n, m) GROUP BY t, nb.cell")
+def regrid_spectral(spark, sf_dir):
+    """Truncated at degree 3 and put on another grid."""
+    return rounded(spectral.regrid(*_globe(spark, sf_dir), NEW_LATS, NEW_LONS, TOP), "value")
+
+
+@query(f"WITH {GLOBE} SELECT t, n, m, {r('re', 're')}, {r('im', 'im')} FROM ce")
+def spectral_analysis(spark, sf_dir):
+    return rounded(spectral.analyse(*_globe(spark, sf_dir), TOP), "re", "im")
+
+
+@query(f"WITH {GLOBE} SELECT t, ob.cell, {r('sum(CASE WHEN ob.m > 0 THEN 2 ELSE 1 END * (re * c + im * e))')} FROM ce JOIN ob USING (n, m) WHERE n > 0 GROUP BY t, ob.cell")
+def spectral_synthesis(spark, sf_dir):
+    """Back on the same grid without the global mean."""
+    c = spectral.analyse(*_globe(spark, sf_dir), TOP).where("n > 0")
+    return rounded(spectral.synthesise(c, [78.75 - 22.5 * k for k in range(8)], [45.0 * k for k in range(8)]), "value")
+
+
+@query(f"WITH {GLOBE} SELECT n, {r('avg(p)', 'power')} FROM (SELECT t, n, sum(CASE WHEN m > 0 THEN 2 ELSE 1 END * (re * re + im * im)) AS p FROM ce GROUP BY t, n) GROUP BY n")
+def spectral_power(spark, sf_dir):
+    return rounded(spectral.power(spectral.analyse(*_globe(spark, sf_dir), TOP)), "power")
+
+
 # ---- time ----------------------------------------------------------------------------------------------------
 def _resample(f: str, shift: int, tag: str = "") -> str:
-    return f"SELECT {tag}((t - {shift}) // 12)::BIGINT AS block, cell, min(t) AS first_t, {r('avg(value)')} FROM {f} WHERE t >= {shift} AND t < {shift + 12 * ((N - shift) // 12)} GROUP BY ALL"
+    return f"SELECT {tag}((t - {shift}) // 12)::BIGINT AS block, cell, min(t) AS first_t, {r('avg(value)')} FROM {f} WHERE t >= {shift} AND t < {shift} + 12 * (({_n(f)} - {shift}) // 12) GROUP BY ALL"
 
 
 @query(f"WITH {F3} {_resample('f3', 4)}")
 def resample_avg(spark, sf_dir):
-    return rounded(temporal.resample_avg(fields.orders_region(spark, sf_dir), 12, N, 4), "value")
+    return rounded(temporal.resample_avg(fields.orders_region(spark, sf_dir), 12, fields.months(spark, sf_dir), 4), "value")
 
 
 @query(f"WITH {F3} " + " UNION ALL ".join(_resample("f3", s, f"'{n}' AS name, ") for n, s in temporal.SHIFTS.items()))
 def resample_named(spark, sf_dir):
-    f = fields.orders_region(spark, sf_dir)
-    parts = [temporal.resample_named(f, n, N).select(F.lit(n).alias("name"), "block", "cell", "first_t", "value") for n in temporal.SHIFTS]
+    f, months = fields.orders_region(spark, sf_dir), fields.months(spark, sf_dir)
+    parts = [temporal.resample_named(f, n, months).select(F.lit(n).alias("name"), "block", "cell", "first_t", "value") for n in temporal.SHIFTS]
     return rounded(parts[0].union(parts[1]).union(parts[2]), "value")
 
 
 def _mirror(half: int) -> str:
-    return f"m AS (SELECT t, cell, value FROM f3 UNION ALL SELECT -1 - t, cell, value FROM f3 WHERE t < {half} UNION ALL SELECT {2 * N} - 1 - t, cell, value FROM f3 WHERE t >= {N - half})"
+    return f"m AS (SELECT t, cell, value FROM f3 UNION ALL SELECT -1 - t, cell, value FROM f3 WHERE t < {half} UNION ALL SELECT 2 * {_n('f3')} - 1 - t, cell, value FROM f3 WHERE t >= {_n('f3', half)})"
 
 
 def _mean(f: str, before: int, after: int) -> str:
     return f"SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING) AS v FROM {f}"
 
 
-@query(f"WITH {F3}, {_mirror(2)}, w AS ({_mean('m', 2, 2)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 0 AND {N - 1}")
+@query(f"WITH {F3}, {_mirror(2)}, w AS ({_mean('m', 2, 2)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 0 AND {_n('f3', 1)}")
 def run_mean(spark, sf_dir):
-    return rounded(temporal.run_mean(fields.orders_region(spark, sf_dir), 5, N), "value")
+    return rounded(temporal.run_mean(fields.orders_region(spark, sf_dir), 5, fields.months(spark, sf_dir)), "value")
 
 
-@query(f"WITH {F3}, {_mirror(2)}, w AS ({_mean('m', 1, 2)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 0 AND {N - 1}")
+@query(f"WITH {F3}, {_mirror(2)}, w AS ({_mean('m', 1, 2)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 0 AND {_n('f3', 1)}")
 def run_mean_even(spark, sf_dir):
-    return rounded(temporal.run_mean(fields.orders_region(spark, sf_dir), 4, N), "value")
+    return rounded(temporal.run_mean(fields.orders_region(spark, sf_dir), 4, fields.months(spark, sf_dir)), "value")
 
 
-@query(f"WITH {F3}, w AS ({_mean('f3', 5, 6)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 12 AND {N - 13}")
+@query(f"WITH {F3}, w AS ({_mean('f3', 5, 6)}) SELECT t, cell, {r('v')} FROM w WHERE t BETWEEN 12 AND {_n('f3', 13)}")
 def run_mean_trim(spark, sf_dir):
-    return rounded(temporal.run_mean_trim(fields.orders_region(spark, sf_dir), 12, N, 12), "value")
+    return rounded(temporal.run_mean_trim(fields.orders_region(spark, sf_dir), 12, fields.months(spark, sf_dir), 12), "value")
 
 
 @query(f"WITH {F3}, a AS ({_climo('f3')}) SELECT t, cell, {r('value')} FROM a")
@@ -389,13 +445,13 @@ def detrend(spark, sf_dir):
     return rounded(temporal.detrend(fields.orders_region(spark, sf_dir)), "value")
 
 
-@query(f"WITH {F3}, p AS (SELECT t, cell, value AS x0, lead(value, 3) OVER (PARTITION BY cell ORDER BY t) AS x1 FROM f3) SELECT t, cell, {r('x0', 'x0')}, {r('x1', 'x1')} FROM p WHERE t < {N - 3}")
+@query(f"WITH {F3}, p AS (SELECT t, cell, value AS x0, lead(value, 3) OVER (PARTITION BY cell ORDER BY t) AS x1 FROM f3) SELECT t, cell, {r('x0', 'x0')}, {r('x1', 'x1')} FROM p WHERE t < {_n('f3', 3)}")
 def lag_pair(spark, sf_dir):
     return rounded(temporal.lag_pair(fields.orders_region(spark, sf_dir), 3), "x0", "x1")
 
 
 CE = "1 - sum((o - f) * (o - f)) / (var_pop(o) * count(o))"
-PAIRS = f"{ANOM}, p AS (SELECT t, cell, value AS f, lead(value, 12) OVER (PARTITION BY cell ORDER BY t) AS o FROM d), q AS (SELECT * FROM p WHERE t < {N - 12})"
+PAIRS = f"{ANOM}, p AS (SELECT t, cell, value AS f, lead(value, 12) OVER (PARTITION BY cell ORDER BY t) AS o FROM d), q AS (SELECT * FROM p WHERE t < {_n('f3', 12)})"
 
 
 @query(f"WITH {PAIRS} SELECT cell, {r('corr(f, o)', 'r')}, {r(CE, 'ce')} FROM q GROUP BY cell")
@@ -403,9 +459,9 @@ def persist_fcast(spark, sf_dir):
     return rounded(temporal.persistence(_anomalies(spark, sf_dir), 12), "r", "ce")
 
 
-@query(f"WITH {F3} SELECT DISTINCT t, (1995 + t // 12)::BIGINT AS year FROM f3 WHERE t >= 12")
+@query(f"WITH {F3} SELECT DISTINCT t, ((SELECT min(year(o_orderdate)) FROM orders) + t // 12)::BIGINT AS year FROM f3 WHERE t >= 12")
 def years_of(spark, sf_dir):
-    return temporal.years_of(fields.orders_region(spark, sf_dir), 1995, 12)
+    return temporal.years_of(fields.orders_region(spark, sf_dir), fields.span(spark, sf_dir, "orders")[0], 12)
 
 
 # ---- weights and scales --------------------------------------------------------------------------------------
@@ -482,7 +538,7 @@ def eof(spark, sf_dir):
     return rounded(linalg.reconstruct(linalg.project(w, loadings), loadings), "value")
 
 
-@query(f"WITH {PREP} SELECT count(DISTINCT cell)::BIGINT AS modes, {r('sum(value * value)', 'sum_sq')}, {r('sum(value * value) / 72', 'eigvals')}, 25.0::DOUBLE AS basis_sq FROM w")
+@query(f"WITH {PREP} SELECT count(DISTINCT cell)::BIGINT AS modes, {r('sum(value * value)', 'sum_sq')}, {r('sum(value * value) / ' + _n('f4'), 'eigvals')}, 25.0::DOUBLE AS basis_sq FROM w")
 def eof_stats(spark, sf_dir):
     """Squared singular values add up to the squares of the field; loadings have norm 1."""
     loadings, stats = linalg.eof(_prepared(spark, sf_dir), 25)
@@ -599,17 +655,22 @@ MEMBERS_RUN = 100
 # ---- the model -----------------------------------------------------------------------------------------------
 SMOOTH = "sm AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM {f}), y0 AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS value FROM sm WHERE t BETWEEN 2 AND {last})"
 STATES = "xs AS (SELECT t, list(value ORDER BY cell) AS x FROM y GROUP BY t), z AS (SELECT t, list_dot_product(x, v0.v) AS a, list_dot_product(x, v1.v) AS b FROM xs, v0, v1)"
-TWO = f"{F5}, {SMOOTH.format(f='f5', last=N - 3)}, y AS (SELECT * FROM y0), {modes_sql('y', 2)}, {STATES}"
+TWO = f"{F5}, {SMOOTH.format(f='f5', last=_n('f5', 3))}, y AS (SELECT * FROM y0), {modes_sql('y', 2)}, {STATES}"
 FIT = """p AS (SELECT t, a, b, lead(a) OVER (ORDER BY t) AS a1, lead(b) OVER (ORDER BY t) AS b1 FROM z), c AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a1 * a) AS ka, sum(a1 * b) AS kb, sum(b1 * a) AS la, sum(b1 * b) AS lb, count(*) AS n FROM p WHERE a1 IS NOT NULL),
 g AS (SELECT (ka * bb - kb * ab) / (aa * bb - ab * ab) AS g00, (kb * aa - ka * ab) / (aa * bb - ab * ab) AS g01, (la * bb - lb * ab) / (aa * bb - ab * ab) AS g10, (lb * aa - la * ab) / (aa * bb - ab * ab) AS g11 FROM c)"""
 TWO_G = f"{TWO}, {FIT}"
 
 
-def _smoothed(field: DataFrame) -> DataFrame:
-    f = temporal.run_mean_trim(field, 5, N)
+def _smoothed(field: DataFrame, n: int) -> DataFrame:
+    f = temporal.run_mean_trim(field, 5, n)
     return f.withColumn("value", F.col("value") - F.avg("value").over(temporal.Window.partitionBy("cell")))
 
 
+def _revenue(spark, sf_dir) -> DataFrame:
+    """Revenue by nation, smoothed and centred."""
+    return _smoothed(fields.lineitem_snation(spark, sf_dir), fields.months(spark, sf_dir, "lineitem"))
+
+
 def _states(f: DataFrame, k: int):
     """A field as a state of its leading modes, and their loadings."""
     loadings, _ = linalg.eof(f, k)
@@ -618,7 +679,7 @@ def _states(f: DataFrame, k: int):
 
 def _two(spark, sf_dir):
     """All cells of the smoothed, centred field in its two leading modes."""
-    return _states(_smoothed(fields.lineitem_snation(spark, sf_dir)), 2)[0]
+    return _states(_revenue(spark, sf_dir), 2)[0]
 
 
 @query(f"WITH RECURSIVE {TWO_G} SELECT 0 AS i, 0 AS j, {r('g00', 're')} FROM g UNION ALL SELECT 0, 1, {r('g01', 're')} FROM g UNION ALL SELECT 1, 0, {r('g10', 're')} FROM g UNION ALL SELECT 1, 1, {r('g11', 're')} FROM g")
@@ -665,7 +726,7 @@ def fcast_by_lead(spark, sf_dir):
 
 def _whole(spark, sf_dir):
     """All cells of the smoothed, centred field as a state of its leading modes, and their loadings."""
-    f = _smoothed(fields.lineitem_snation(spark, sf_dir))
+    f = _revenue(spark, sf_dir)
     return *_states(f, LEADING), f
 
 
@@ -696,12 +757,12 @@ def xfcast_state(spark, sf_dir):
 
 def _model(spark, sf_dir):
     """A model with noise on two modes of the smoothed, centred, standardised nation field, and its state."""
-    s, loadings = _states(scale.standardize_field(_smoothed(fields.orders_nation(spark, sf_dir))), 2)
+    s, loadings = _states(scale.standardize_field(_smoothed(fields.orders_nation(spark, sf_dir), fields.months(spark, sf_dir))), 2)
     return lim.fit(s, noise=True), s, loadings
 
 
 #: The same in SQL. The logarithm of a matrix of two by two is a multiple of it plus one of the identity.
-MODEL = f"""{F4}, {SMOOTH.format(f='f4', last=N - 3)}, k AS (SELECT 1 / sqrt(sum(v)) AS factor FROM (SELECT var_samp(value) AS v FROM y0 GROUP BY cell)), y AS (SELECT t, cell, value * factor AS value FROM y0, k), {modes_sql('y', 2)}, {STATES}, {FIT},
+MODEL = f"""{F4}, {SMOOTH.format(f='f4', last=_n('f4', 3))}, k AS (SELECT 1 / sqrt(sum(v)) AS factor FROM (SELECT var_samp(value) AS v FROM y0 GROUP BY cell)), y AS (SELECT t, cell, value * factor AS value FROM y0, k), {modes_sql('y', 2)}, {STATES}, {FIT},
 e0 AS (SELECT *, g00 + g11 AS tr, g00 * g11 - g01 * g10 AS det, aa / (n - 1) AS c00, ab / (n - 1) AS c01, bb / (n - 1) AS c11 FROM g, c), e1 AS (SELECT *, sqrt(abs(tr * tr / 4 - det)) AS w, tr * tr / 4 > det AS two FROM e0),
 e2 AS (SELECT *, CASE WHEN two THEN (ln(tr / 2 + w) - ln(tr / 2 - w)) / (2 * w) ELSE atan2(w, tr / 2) / w END AS kg FROM e1), e3 AS (SELECT *, CASE WHEN two THEN ln(tr / 2 + w) - kg * (tr / 2 + w) ELSE ln(det) / 2 - kg * tr / 2 END AS ki FROM e2),
 l AS (SELECT *, ki + kg * g00 AS l00, kg * g01 AS l01, kg * g10 AS l10, ki + kg * g11 AS l11 FROM e3), q AS (SELECT *, -2 * (l00 * c00 + l01 * c01) AS qa, -(l00 * c01 + l01 * c11 + c00 * l10 + c01 * l11) AS qb, -2 * (l10 * c01 + l11 * c11) AS qd FROM l),
@@ -767,11 +828,11 @@ def lim_noise(spark, sf_dir):
     return rounded(lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=2), "last", "mean")
 
 
-@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(1, f'SELECT row_number() OVER (ORDER BY t) - 1 AS sample, a, b FROM z WHERE t >= {N - 14}')} SELECT sample::INT AS sample, mode, {r('avg(last)', 'mean')}, {r('stddev_samp(last)', 'std')}, count(*)::BIGINT AS members FROM {MODES} GROUP BY sample, mode")
+@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(1, f'SELECT row_number() OVER (ORDER BY t) - 1 AS sample, a, b FROM z WHERE t > (SELECT max(t) - 12 FROM z)')} SELECT sample::INT AS sample, mode, {r('avg(last)', 'mean')}, {r('stddev_samp(last)', 'std')}, count(*)::BIGINT AS members FROM {MODES} GROUP BY sample, mode")
 def ens_1yr(spark, sf_dir):
     """Ensemble mean and spread after one unit, from every sample of the last year."""
     m, s, _ = _model(spark, sf_dir)
-    rows = s.where(f"t >= {N - 14}").orderBy("t", "mode").collect()
+    rows = s.where(f"t >= {fields.months(spark, sf_dir) - 14}").orderBy("t", "mode").collect()
     x0 = np.array([x.value for x in rows]).reshape(-1, 2)
     e = lim.ensemble(spark, m, x0, members=MEMBERS_RUN)
     return rounded(e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members")), "mean", "std")
@@ -805,7 +866,7 @@ def mode_ortho(spark, sf_dir):
 @query(f"WITH RECURSIVE {TWO_G}, cs AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM y)), ah AS (SELECT t, g00 * a + g01 * b AS a1, g10 * a + g11 * b AS b1 FROM z, g) SELECT t, cell AS feature, {r('v0.v[i] * a1 + v1.v[i] * b1')} FROM ah, cs, v0, v1")
 def xfcast(spark, sf_dir):
     """Every cell a feature, forecast in two leading modes and taken back."""
-    features = _smoothed(fields.lineitem_snation(spark, sf_dir)).withColumnRenamed("cell", "feature")
+    features = _revenue(spark, sf_dir).withColumnRenamed("cell", "feature")
     loadings, _ = state.state_eofs(features, 2)
     modes = state.to_modes(features, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value")
     return rounded(lim.cross_forecast(lim.fit(modes), ["x"], ["x"], features, loadings), "value")
@@ -893,7 +954,7 @@ def _random(seed: int, *parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
-ITER, PAIRED = 300, N - 12
+ITER, PAIRED = 300, _n('f3', 12)
 #: Bootstrap draws of the reports at their full size.
 DRAWS = 10_000
 #: Truth o a year ahead; forecasts f: the present value, and g: that of the month before the truth.
@@ -904,11 +965,11 @@ def _skill_sql(f: str) -> dict[str, str]:
     return {"r": f"corr({f}, o)", "ce": CE.replace("(o - f)", f"(o - {f})")}
 
 
-def _draws(iterations: int, n: int = PAIRED) -> str:
-    return f"(SELECT i, {_random(7, 'i', 'k')} % {n} AS t FROM (SELECT range AS i FROM range({iterations})), (SELECT range AS k FROM range({n})))"
+def _draws(iterations: int, n: str = PAIRED) -> str:
+    return f"(SELECT i, {_random(7, 'i', 'k')} % {n} AS t FROM (SELECT range AS i FROM range({iterations})), (SELECT unnest(range({n})) AS k))"
 
 
-def _booted(iterations: int, by: str = "cell", n: int = PAIRED) -> str:
+def _booted(iterations: int, by: str = "cell", n: str = PAIRED) -> str:
     """CTE b: r and ce of both forecasts in each draw."""
     cols = ", ".join(f"{x} AS {p}{m}" for p, f in (("", "f"), ("auto1_", "g")) for m, x in _skill_sql(f).items())
     return f"b AS (SELECT {by}, i, {cols} FROM {_draws(iterations, n)} JOIN q0 USING (t) GROUP BY {by}, i)"
@@ -923,14 +984,14 @@ TABLE = ", ".join(f"{r(x, n)}" for p in ("", "auto1_") for m in ("r", "ce") for
 
 def _bootstraps(spark, sf_dir, iterations: int) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    parts = [verify.bootstrap(p, PAIRED, m, iterations, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
+    parts = [verify.bootstrap(p, fields.months(spark, sf_dir) - 12, m, iterations, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
     return rounded(parts[0].union(parts[1]), "mean", "low", "high")
 
 
 def _table(spark, sf_dir, iterations: int) -> DataFrame:
     """A year ahead by the present value, and persistence of the month before."""
     month = temporal.lag_pair(_anomalies(spark, sf_dir), 1).where("t >= 11").select((F.col("t") - 11).alias("t"), "cell", F.col("x0").alias("f"), F.col("x1").alias("o"))
-    t = verify.verification_table(_pairs(spark, sf_dir), month, PAIRED, iterations, ("region", "none", "cell"), by=("cell",))
+    t = verify.verification_table(_pairs(spark, sf_dir), month, fields.months(spark, sf_dir) - 12, iterations, ("region", "none", "cell"), by=("cell",))
     return rounded(t.withColumn("scalar", F.concat("scalar", F.col("cell").cast("string"))), *[c for c in t.columns if c not in ("cell", "variable", "average", "scalar")])
 
 
@@ -999,7 +1060,7 @@ def pdo(spark, sf_dir):
     return rounded(scale.standardize_series(pcs).select("t", "value"), "value")
 
 
-@query(f"WITH {F4}, {GRID}, a AS ({_climo('f4')}), q AS (SELECT t, cell, value AS f, lead(value) OVER (PARTITION BY cell ORDER BY t) AS o FROM a), s AS (SELECT cell, corr(f, o) AS lac, {CE} AS ce FROM q WHERE t < {N - 1} GROUP BY cell) SELECT {r('sum(lac * cell_area) / sum(cell_area)', 'lac')}, {r('sum(ce * cell_area) / sum(cell_area)', 'ce')} FROM s JOIN grid USING (cell)")
+@query(f"WITH {F4}, {GRID}, a AS ({_climo('f4')}), q AS (SELECT t, cell, value AS f, lead(value) OVER (PARTITION BY cell ORDER BY t) AS o FROM a), s AS (SELECT cell, corr(f, o) AS lac, {CE} AS ce FROM q WHERE t < {_n('f4', 1)} GROUP BY cell) SELECT {r('sum(lac * cell_area) / sum(cell_area)', 'lac')}, {r('sum(ce * cell_area) / sum(cell_area)', 'ce')} FROM s JOIN grid USING (cell)")
 def spatial_gm(spark, sf_dir):
     """Area-weighted means of the field skill: the summary row of a full verification."""
     a = temporal.anomaly(fields.orders_nation(spark, sf_dir), 12)
@@ -1011,15 +1072,16 @@ def spatial_gm(spark, sf_dir):
 # ---- ensembles -----------------------------------------------------------------------------------------------
 #: Members: five priorities' totals of a region, standardised over all; reference: the next region's total, standardised.
 #: The samples of the regions stand one after the other.
-ENS = f"{MEMBERS}, {F3}, e AS (SELECT member, cell * {N} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM em WINDOW w AS (PARTITION BY cell)), ref AS (SELECT (cell + 4) % 5 * {N} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS o FROM f3 WINDOW w AS (PARTITION BY cell))"
-SAMPLES = 5 * N
+ENS = f"{MEMBERS}, {F3}, e AS (SELECT member, cell * {_n('f3')} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS value FROM em WINDOW w AS (PARTITION BY cell)), ref AS (SELECT (cell + 4) % 5 * {_n('f3')} + t AS t, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS o FROM f3 WINDOW w AS (PARTITION BY cell))"
+SAMPLES = "(SELECT count(*) FROM ref)"
 
 
 def _ens(spark, sf_dir):
     over = temporal.Window.partitionBy("cell")
     z = (F.col("value") - F.avg("value").over(over)) / F.stddev_samp("value").over(over)
-    e = fields.orders_members(spark, sf_dir).withColumn("value", z).select("member", (F.col("cell") * N + F.col("t")).alias("t"), "value")
-    ref = scale.standardize_series(fields.orders_region(spark, sf_dir)).select(((F.col("cell") + 4) % 5 * N + F.col("t")).alias("t"), "value")
+    n = fields.months(spark, sf_dir)
+    e = fields.orders_members(spark, sf_dir).withColumn("value", z).select("member", (F.col("cell") * n + F.col("t")).alias("t"), "value")
+    ref = scale.standardize_series(fields.orders_region(spark, sf_dir)).select(((F.col("cell") + 4) % 5 * n + F.col("t")).alias("t"), "value")
     return e, ref
 
 
@@ -1057,7 +1119,7 @@ def _reliability(tag: str = "") -> str:
 
 
 def _consistency(iterations: int, tag: str = "") -> str:
-    return f"""dr{tag} AS (SELECT i, {_random(11, 'i', 'k')} % {SAMPLES} AS t, {_random(12, 'i', 'k')} / 4294967296.0::DOUBLE AS u FROM (SELECT range AS i FROM range({iterations})), (SELECT range AS k FROM range({SAMPLES}))),
+    return f"""dr{tag} AS (SELECT i, {_random(11, 'i', 'k')} % {SAMPLES} AS t, {_random(12, 'i', 'k')} / 4294967296.0::DOUBLE AS u FROM (SELECT range AS i FROM range({iterations})), (SELECT unnest(range({SAMPLES})) AS k)),
 h{tag} AS (SELECT i, {BIN} AS bin, avg(CASE WHEN u < p THEN 1.0 ELSE 0.0 END)::DOUBLE AS h FROM dr{tag} JOIN pb{tag} USING (t) GROUP BY ALL), cg{tag} AS (SELECT bin, avg(h) AS m, quantile_cont(h, 0.025) AS q0, quantile_cont(h, 0.975) AS q1 FROM h{tag} GROUP BY bin HAVING count(*) = {iterations}),
 mc{tag} AS (SELECT b.bin, {r('m - q0', 'lower')}, {r('q1 - m', 'upper')} FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN cg{tag} USING (bin))"""
 
@@ -1069,26 +1131,26 @@ def reliability(spark, sf_dir):
 
 @query(f"WITH {PROB}, {_consistency(ITER)} SELECT * FROM mc")
 def reliability_mc(spark, sf_dir):
-    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), SAMPLES, ITER), "lower", "upper")
+    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), 5 * fields.months(spark, sf_dir), ITER), "lower", "upper")
 
 
 # ---- sampling ------------------------------------------------------------------------------------------------
-SPLIT = f"""{F3}, ts AS (SELECT t AS start FROM (SELECT DISTINCT t FROM f3 WHERE t < {N - 3}) ORDER BY {_random(1, 't')}, t LIMIT 14),
+SPLIT = f"""{F3}, ts AS (SELECT t AS start FROM (SELECT DISTINCT t FROM f3 WHERE t < {_n('f3', 3)}) ORDER BY {_random(1, 't')}, t LIMIT (SELECT ceil({_n('f3', 3)} * 0.2)::BIGINT)),
 te AS (SELECT start, lag, start + lag AS t FROM ts, (SELECT unnest([0, 1, 3]) AS lag)), us AS (SELECT DISTINCT t FROM te),
 tr AS (SELECT DISTINCT t FROM f3 WHERE t NOT IN (SELECT t FROM us UNION SELECT t - 1 FROM us UNION SELECT t - 3 FROM us))"""
 
 
 @query(f"WITH {SPLIT} SELECT 'test' AS part, lag, t, start AS other FROM te UNION ALL SELECT 'train', 0, t, t FROM tr UNION ALL SELECT 'pair', l.lag, a.t, b.t FROM tr a CROSS JOIN (SELECT unnest([1, 3]) AS lag) l JOIN tr b ON b.t = a.t + l.lag")
 def train_test(spark, sf_dir):
-    test, train, pairs = sampling.split(fields.orders_region(spark, sf_dir), N, 0.2, [1, 3])
+    test, train, pairs = sampling.split(fields.orders_region(spark, sf_dir), fields.months(spark, sf_dir), 0.2, [1, 3])
     out = test.select(F.lit("test").alias("part"), "lag", "t", F.col("start").alias("other"))
     return out.union(train.select(F.lit("train"), F.lit(0), "t", F.col("t"))).union(pairs.select(F.lit("pair"), "lag", "t", "t1"))
 
 
-@query(f"WITH {F3}, ms AS (SELECT DISTINCT cell * {N} + t AS member FROM f3) SELECT member, {_random(5, 'member')} AS seed FROM ms")
+@query(f"WITH {F3}, ms AS (SELECT DISTINCT cell * {_n('f3')} + t AS member FROM f3) SELECT member, {_random(5, 'member')} AS seed FROM ms")
 def seeds(spark, sf_dir):
     """A seed for each sample of a field."""
-    members = fields.orders_region(spark, sf_dir).select((F.col("cell") * N + F.col("t")).alias("member")).distinct()
+    members = fields.orders_region(spark, sf_dir).select((F.col("cell") * fields.months(spark, sf_dir) + F.col("t")).alias("member")).distinct()
     return members.select("member", draw(5, F.col("member")).alias("seed"))
 
 
@@ -1109,7 +1171,7 @@ PERFECT = f"""{MODEL}, {GRID}, {CELLS}, yb AS (SELECT t, cell, v0.v[i] * a + v1.
 ix AS (SELECT 'glob_mean' AS scalar, sum(v0.v[i] * cell_area) / sum(cell_area) AS fa, sum(v1.v[i] * cell_area) / sum(cell_area) AS fb FROM cs JOIN grid USING (cell), v0, v1
  UNION ALL SELECT 'enso', avg(v0.v[i]), avg(v1.v[i]) FROM cs JOIN grid USING (cell), v0, v1 WHERE lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290
  UNION ALL SELECT 'pdo', sum(v0.v[i] * vx0.v[j]), sum(v1.v[i] * vx0.v[j]) FROM (SELECT cs.cell, i, row_number() OVER (ORDER BY cs.cell) AS j FROM cs JOIN grid USING (cell) WHERE lat BETWEEN 20 AND 70 AND lon BETWEEN 110 AND 250), v0, v1, vx0),
-sr AS (SELECT scalar, t - 2 AS t, fa * (g00 * a + g01 * b) + fb * (g10 * a + g11 * b) AS f, fa * a + fb * b AS g, lead(fa * a + fb * b) OVER (PARTITION BY scalar ORDER BY t) AS o FROM z, g, ix), q0 AS (SELECT * FROM sr WHERE o IS NOT NULL), {_booted(DRAWS, 'scalar', N - 5)},
+sr AS (SELECT scalar, t - 2 AS t, fa * (g00 * a + g01 * b) + fb * (g10 * a + g11 * b) AS f, fa * a + fb * b AS g, lead(fa * a + fb * b) OVER (PARTITION BY scalar ORDER BY t) AS o FROM z, g, ix), q0 AS (SELECT * FROM sr WHERE o IS NOT NULL), {_booted(DRAWS, 'scalar', _n('f4', 5))},
 fl AS (SELECT t, cell, v0.v[i] * (g00 * a + g01 * b) + v1.v[i] * (g10 * a + g11 * b) AS f, v0.v[i] * a + v1.v[i] * b AS g FROM z, g, cs, v0, v1), fo AS (SELECT *, lead(g) OVER (PARTITION BY cell ORDER BY t) AS o FROM fl),
 sk AS (SELECT cell, {', '.join(f'{x} AS {p}{m}' for p, f in (('', 'f'), ('auto1_', 'g')) for m, x in _skill_sql(f).items())} FROM fo WHERE o IS NOT NULL GROUP BY cell)"""
 _NONE = ", ".join(f"NULL::DOUBLE AS {p}{m}_{e}" for p in ("", "auto1_") for m in ("r", "ce") for e in ("low", "high"))
@@ -1125,14 +1187,14 @@ def verif_perfect(spark, sf_dir):
     pcs = s.select("t", F.col("mode").cast("int").alias("mode"), "value")
     ahead = lim.forecast(s, model.g, [1]).select("t", F.col("mode").cast("int").alias("mode"), "value")
     grid = fields.nation_grid(spark, sf_dir)
-    t = verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, N - 5, 2, DRAWS)
+    t = verification.perfect_forecast(pcs, ahead, loadings, grid, linalg.reconstruct(pcs, loadings), 1, fields.months(spark, sf_dir) - 5, 2, DRAWS)
     return rounded(t, *[c for c in t.columns if c not in ("variable", "average", "scalar")])
 
 
 @query(f"WITH {ENS}, {_prob('>= 0.5', '_u')}, {_prob('<= -0.5', '_l')}, {_reliability('_u')}, {_reliability('_l')}, {_consistency(1000, '_u')}, {_consistency(1000, '_l')} " + " UNION ALL ".join(f"SELECT '{k}' AS event, rl_{k[0]}.*, lower, upper FROM rl_{k[0]} JOIN mc_{k[0]} USING (bin)" for k in ("upper", "lower")))
 def verif_ens(spark, sf_dir):
     """Reliability with bounds of both events of an ensemble index."""
-    report = verification.ensemble_report(*_ens(spark, sf_dir), SAMPLES)
+    report = verification.ensemble_report(*_ens(spark, sf_dir), 5 * fields.months(spark, sf_dir))
     parts = [report[f"reliability_{k}"].select(F.lit(k).alias("event"), "bin", "hit_rate", "mean_p", "n", "lower", "upper") for k in ("upper", "lower")]
     return rounded(parts[0].union(parts[1]), "hit_rate", "mean_p", "lower", "upper")
 

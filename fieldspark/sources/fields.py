@@ -10,20 +10,34 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clean
 from .store import numbered
 
-#: Months of the order and shipping fields: six whole years from 1995-01.
-MONTHS = 72
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def month_index(date: Column, base_year: int = 1995) -> Column:
+#: The date column of each table that monthly fields come from.
+DATES = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+
+def month_index(date: Column, base_year: int) -> Column:
     return ((F.year(date) - base_year) * 12 + F.month(date) - 1).cast("long")
 
 
+def span(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
+    """First year of a table's dates, and the months from its January to the last date: what monthly fields cover."""
+    date = F.col(DATES[name])
+    got = table(spark, sf_dir, name).agg(F.min(F.year(date)).alias("y"), F.max(F.year(date) * 12 + F.month(date)).alias("m")).first()
+    return (got.y, got.m - got.y * 12) if got.y is not None else (1, 0)
+
+
+def months(spark: SparkSession, sf_dir: str, name: str = "orders") -> int:
+    return span(spark, sf_dir, name)[1]
+
+
 def densify(field: DataFrame, steps: int, fill: float | None = 0.0) -> DataFrame:
     """All (t, cell) for t in 0 .. steps - 1 and the field's cells: each cell brings its own sequence of steps."""
+    if steps < 1:
+        return field.limit(0)
     cells = field.select("cell").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))).alias("t"), "cell")
     out = cells.join(field, ["t", "cell"], "left")
     return out.select("t", "cell", F.coalesce("value", F.lit(fill)).alias("value") if fill is not None else "value")
@@ -50,12 +64,13 @@ def with_cells(df: DataFrame, name: str) -> DataFrame:
 
 def orders_by(spark: SparkSession, sf_dir: str, cell: str) -> DataFrame:
     """F3 (cell='n_regionkey') and F4 (cell='n_nationkey'): monthly order totals in millions."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '2001-01-01'").select("o_custkey", month_index(F.col("o_orderdate")).alias("t"), "o_totalprice")
+    year, steps = span(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").select("o_custkey", month_index(F.col("o_orderdate"), year).alias("t"), "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     summed = joined.groupBy("t", F.col(cell).cast("long").alias("cell")).agg((F.sum("o_totalprice") / 1e6).alias("value"))
-    return densify(summed, MONTHS)
+    return densify(summed, steps)
 
 
 def orders_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +83,7 @@ def orders_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(member, t, cell, value): monthly order totals by region, one member for each order priority (its first digit)."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '2001-01-01'").select("o_custkey", month_index(F.col("o_orderdate")).alias("t"), "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("int").alias("member"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", month_index(F.col("o_orderdate"), span(spark, sf_dir, "orders")[0]).alias("t"), "o_totalprice", F.substring("o_orderpriority", 1, 1).cast("int").alias("member"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
@@ -77,10 +92,11 @@ def orders_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_snation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """monthly revenue in millions by the supplier's nation."""
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp_ntz '2001-01-01'").select("l_suppkey", month_index(F.col("l_shipdate")).alias("t"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    year, steps = span(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", month_index(F.col("l_shipdate"), year).alias("t"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     summed = li.join(s, li.l_suppkey == s.s_suppkey).groupBy("t", F.col("s_nationkey").cast("long").alias("cell")).agg((F.sum("v") / 1e6).alias("value"))
-    return densify(summed, MONTHS)
+    return densify(summed, steps)
 
 
 def from_arrays(df: DataFrame, t: str, values: str) -> DataFrame:
