@@ -9,7 +9,6 @@ side by the number of modes, whose size is bounded, and cells and times beyond i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import stored
+from ..sources.store import small_batches, stored
 
 #: Largest side of a square matrix that comes to the driver, and most numbers of any (8 bytes each).
 MOST, MOST_NUMBERS = 4000, 1 << 26
@@ -52,19 +51,6 @@ def rows_of(field: DataFrame, key: str = "t", name: str = "cell") -> Rows:
     return Rows(made.select("key", "x"), np.array(names, np.int64), got.n)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, width: int):
-    """For the actions inside, Arrow batches of at most some 32 MB where a row has ``width`` numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    most = max(1, (32 << 20) // (8 * max(width, 1)))
-    spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def matrix_of(column: pa.Array) -> np.ndarray:
     """List rows of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,3 +38,16 @@ def numbered(df: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
     ranges = own.groupBy("__p").agg(F.count("*").alias("__n"))  # one row for each partition
     before = ranges.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n") + first).alias("__base"))
     return own.join(F.broadcast(before), "__p").select(key, (F.col("__base") + F.col("__k")).cast("long").alias(name))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, width: int):
+    """For the actions inside, Arrow batches of at most some 32 MB where a row has ``width`` numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    most = max(1, (32 << 20) // (8 * max(width, 1)))
+    spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
