@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.numeric import draw
 from ..operators import ensemble, lim, linalg, sampling, scale, spatial, spectral, state, temporal, verify
-from ..sources import experiments, fields, netcdf, store
+from ..sources import experiments, fields, hdf5, netcdf, store
 from . import verification
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,41 +234,71 @@ def conv_fields(spark, sf_dir):
     return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
 
 
-def _as_netcdf(spark, sf_dir) -> dict[str, experiments.Variable]:
-    """The two variables written as NetCDF files of two years each, to be read from there."""
-    folder, out = f"{store.shared_dir(spark)}/netcdf-{uuid.uuid4().hex}", {}
-    for name, v in _variables(spark, sf_dir).items():
-        paths = netcdf.write(v.rows, folder, name, v.units, v.calendar, 24, v.fill)
-        out[name] = netcdf.variable(spark, paths, name, v.base_year)
+def _as_files(kind, variables: dict[str, experiments.Variable], spark) -> dict[str, experiments.Variable]:
+    """The variables written as files of two years each, to be read from there. kind: ``netcdf`` or ``hdf5``."""
+    folder, out = f"{store.shared_dir(spark)}/files-{uuid.uuid4().hex}", {}
+    for name, v in variables.items():
+        paths = kind.write(v.rows, folder, name, v.units, v.calendar, 24, v.fill)
+        out[name] = kind.variable(spark, paths, name, v.base_year)
     return out
 
 
-@query(f"WITH {F4}, {F5}, {GRID} {_LOADED}")
-def conv_netcdf(spark, sf_dir):
-    """Written as NetCDF, loaded from there, converted to a folder of Parquet once and read back."""
-    folder = f"{store.shared_dir(spark)}/experiment-{uuid.uuid4().hex}"
-    experiments.convert(_as_netcdf(spark, sf_dir), folder)
-    return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
-
-
-@query(f"WITH {F4}, {F5}, {GRID} " + " UNION ALL ".join(f"SELECT '{n}' AS var, t * 30.0::DOUBLE AS time, lat, lon, CASE WHEN t = 3 AND cell = 4 THEN NULL ELSE round(value, 6) + 0.0 END AS value FROM {f} JOIN grid USING (cell)" for n, f in (("orders", "f4"), ("revenue", "f5"))))
-def src_netcdf(spark, sf_dir):
-    """Rows of NetCDF files as they are: numbers of days, places and values without the fill value."""
-    parts = [v.rows.select(F.lit(n).alias("var"), "time", "lat", "lon", "value") for n, v in _as_netcdf(spark, sf_dir).items()]
+def _file_rows(variables: dict[str, experiments.Variable]) -> DataFrame:
+    parts = [v.rows.select(F.lit(n).alias("var"), "time", "lat", "lon", "value") for n, v in variables.items()]
     return rounded(parts[0].union(parts[1]), "value")
 
 
-@query(f"WITH {F5}, {GRID} SELECT t // 24 AS years, lat, lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f5 JOIN grid USING (cell) GROUP BY ALL")
-def src_netcdf_ooc(spark, sf_dir):
+def _by_two_years(kind, spark, sf_dir) -> DataFrame:
     """Means of a variable by two years, a few records of a file to each task; each mean reads only its own times' bytes."""
-    folder = f"{store.shared_dir(spark)}/netcdf-{uuid.uuid4().hex}"
+    folder = f"{store.shared_dir(spark)}/files-{uuid.uuid4().hex}"
     placed = fields.lineitem_snation(spark, sf_dir).join(fields.nation_grid(spark, sf_dir), "cell").select((F.col("t") * 30).alias("time"), "lat", "lon", "value")
-    paths = netcdf.write(placed, folder, "revenue", "days since 0001-01-01", "360_day", 40)
+    paths = kind.write(placed, folder, "revenue", "days since 0001-01-01", "360_day", 40)
     n = -(-fields.months(spark, sf_dir, "lineitem") // 24)
-    parts = [netcdf.read(spark, paths, "revenue", 720 * k, 720 * k + 719, 2000).groupBy("lat", "lon").agg(F.count("value").alias("n"), F.avg("value").alias("value")).withColumn("years", F.lit(k).cast("long")) for k in range(n)]
+    parts = [kind.read(spark, paths, "revenue", 720 * k, 720 * k + 719, 2000).groupBy("lat", "lon").agg(F.count("value").alias("n"), F.avg("value").alias("value")).withColumn("years", F.lit(k).cast("long")) for k in range(n)]
     return rounded(reduce(DataFrame.union, parts), "value")
 
 
+_FILE_ROWS = f"WITH {F4}, {F5}, {GRID} " + " UNION ALL ".join(f"SELECT '{n}' AS var, t * 30.0::DOUBLE AS time, lat, lon, CASE WHEN t = 3 AND cell = 4 THEN NULL ELSE round(value, 6) + 0.0 END AS value FROM {f} JOIN grid USING (cell)" for n, f in (("orders", "f4"), ("revenue", "f5")))
+_TWO_YEARS = f"WITH {F5}, {GRID} SELECT t // 24 AS years, lat, lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f5 JOIN grid USING (cell) GROUP BY ALL"
+
+
+@query(_FILE_ROWS)
+def src_netcdf(spark, sf_dir):
+    """Rows of NetCDF files as they are: numbers of days, places and values without the fill value."""
+    return _file_rows(_as_files(netcdf, _variables(spark, sf_dir), spark))
+
+
+@query(_TWO_YEARS)
+def src_netcdf_ooc(spark, sf_dir):
+    return _by_two_years(netcdf, spark, sf_dir)
+
+
+@query(_FILE_ROWS)
+def src_hdf5(spark, sf_dir):
+    """The same from chunked HDF5 files."""
+    return _file_rows(_as_files(hdf5, _variables(spark, sf_dir), spark))
+
+
+@query(_TWO_YEARS)
+def src_hdf5_ooc(spark, sf_dir):
+    return _by_two_years(hdf5, spark, sf_dir)
+
+
+@query(f"WITH {F4}, {F5}, {GRID} {_LOADED}")
+def conv_netcdf(spark, sf_dir):
+    """Written as NetCDF, loaded from there, converted to a folder of Parquet once and read back."""
+    folder = f"{store.shared_dir(spark)}/experiment-{uuid.uuid4().hex}"
+    experiments.convert(_as_files(netcdf, _variables(spark, sf_dir), spark), folder)
+    return _with_places(experiments.reload(spark, folder, ["orders", "revenue"]))
+
+
+@query(f"WITH {F4}, {F5}, {GRID} {_LOADED}")
+def conv_netcdf_hdf5(spark, sf_dir):
+    """NetCDF files converted to HDF5 files, and loaded from those."""
+    filled = {n: replace(v, rows=v.rows.select("time", "lat", "lon", "value"), fill=1e20) for n, v in _as_files(netcdf, _variables(spark, sf_dir), spark).items()}
+    return _with_places(experiments.load_all(_as_files(hdf5, filled, spark)))
+
+
 @query(f"WITH {F4} SELECT t, cell, {r('value')}, 'anomaly,detrended' AS ops FROM f4")
 def field_saved(spark, sf_dir):
     """A field with its history, written in a folder for each cell and read back."""

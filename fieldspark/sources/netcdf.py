@@ -1,42 +1,29 @@
-"""Gridded variables in NetCDF's classic file format (with 32 or 64-bit offsets, or 64-bit data), read and written by Spark.
-
-``spark.read.format("netcdf_classic")`` gives rows (time, cell, lat, lon, value) of one variable whose first dimension is
-time: raw numbers of the time variable, cells counted row by row over the other dimensions, and coordinates of each
-cell, whether ``lat`` and ``lon`` have a dimension each (a regular grid) or hold a value for each cell (an irregular
-grid, stations). The driver reads headers and time variables only. A partition is a run of times of one file, some
-megabytes of it, and seeks to its bytes; times outside the options ``first`` and ``last`` are skipped before any of
-their bytes is read. (Options, since Spark keeps what it pushes into a Python source with the table and not with the
-plan: two filters on one table in one query would both get the later one's rows.) Packed values are unpacked (scale_factor, add_offset) and fill values are NULL.
-
-Format: big-endian, from the public specification of the classic format; it needs no library. Files are opened by
-path, or by any URI that Arrow's file systems know, so they may lie wherever all executors can read.
+"""NetCDF's classic file format (32 or 64-bit offsets, or 64-bit data) as a Spark source and sink.
+
+Big-endian, from the public specification of the format; it needs no library. The variable's first dimension is time;
+``lat`` and ``lon`` have a dimension each (a regular grid) or hold a value for each cell (an irregular grid, stations).
+Records of a variable lie a stride apart, so a run of times is one range of bytes or, where much else lies between,
+one for each record. Packed values are unpacked (scale_factor, add_offset) and fill values are NULL. See ``gridfiles``
+for partitions and files.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
-from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import gridfiles
 from .experiments import Variable
-from .store import numbered, small_batches, stored
+from .gridfiles import Layout, Opened, Source, opened, spread
 
 # Fixed values of the format: types by number, tags of lists, the length of a file that is still being written.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 DIMENSION, VARIABLE, ATTRIBUTE, STREAMING = 10, 11, 12, 0xFFFFFFFF
 #: Values that stand for nothing where a variable names none, by type.
 FILLS = {4: -2147483647, 5: 9.969209968386869e36, 6: 9.969209968386869e36}
-SCHEMA = "time double, cell long, lat double, lon double, value double"
-#: Bytes of a partition, and values made into rows at a time.
-PARTITION_BYTES, ROWS = 32 << 20, 1 << 18
 
 
 @dataclass
@@ -71,18 +58,6 @@ class Header:
         return sum(v.size for v in own)
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
-def opened(path: str) -> pa.NativeFile:
-    where, inner = located(path)
-    return where.open_input_file(inner)
-
-
 class _Cursor:
     """Reads a header piece by piece, fetching more of the file as it goes on."""
 
@@ -183,106 +158,49 @@ def values(file, h: Header, v: Var, first: int = 0, count: int | None = None) ->
     return out
 
 
-@dataclass
-class Run(InputPartition):
-    """Times first .. first + count - 1 of a file."""
-
-    path: str
-    first: int
-    count: int
-
-
-class Reader(DataSourceReader):
-    def __init__(self, paths: list[str], name: str, first: float, last: float, size: int):
-        self.paths, self.name, self.first, self.last, self.size = paths, name, first, last, size
-
-    def partitions(self) -> Sequence[Run]:
-        out = []
-        for path in self.paths:
-            h, v = described(path, self.name)
-            with opened(path) as file:
-                t = values(file, h, h.variables["time"]).ravel()
-            row = max(1, int(np.prod(h.shape(v)[1:], dtype=np.int64)) * np.dtype(TYPES[v.kind]).itemsize)
-            most = max(1, self.size // row)
-            at = np.flatnonzero((t >= self.first) & (t <= self.last))
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
-                out += [Run(path, int(k), min(most, int(run[-1]) + 1 - int(k))) for k in range(int(run[0]), int(run[-1]) + 1, most)]
-        return out or [Run("", 0, 0)]
-
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
-        if not partition.count:
-            return
-        h, v = described(partition.path, self.name)
-        with opened(partition.path) as file:
-            lat, lon = places(file, h, v)
-            cells = len(lat)
-            step = max(1, ROWS // max(cells, 1))
-            t = values(file, h, h.variables["time"], partition.first, partition.count).ravel()
-            for k in range(0, partition.count, step):
-                n = min(step, partition.count - k)
-                x = values(file, h, v, partition.first + k, n).ravel()
-                cell = np.arange(cells)
-                for a in range(0, len(x), 1 << 20):  # a time of very many cells
-                    at = np.arange(a, min(len(x), a + (1 << 20)))
-                    c = cell[at % cells]
-                    yield pa.RecordBatch.from_arrays([pa.array(t[k + at // cells]), pa.array(c), pa.array(lat[c]), pa.array(lon[c]), pa.array(x[at], mask=np.isnan(x[at]))], names=["time", "cell", "lat", "lon", "value"])
-
-
-def described(path: str, name: str) -> tuple[Header, Var]:
-    """Header and variable; ValueError unless its first dimension is that of ``time``, before lat and lon."""
-    h = header(path)
-    if missing := [n for n in (name, "time", "lat", "lon") if n not in h.variables]:
-        raise ValueError(f"{path} has no variable {missing[0]}")
-    v, t = h.variables[name], h.variables["time"]
-    if len(t.dims) != 1 or v.dims[:1] != t.dims:
-        raise ValueError(f"time is not the first dimension of {name}")
-    return h, v
-
-
-def places(file, h: Header, v: Var) -> tuple[np.ndarray, np.ndarray]:
-    """Latitude and longitude of every cell."""
-    shape, out = h.shape(v)[1:], []
-    for n in ("lat", "lon"):
-        c = h.variables[n]
-        if any(d not in v.dims[1:] for d in c.dims):
-            raise ValueError(f"{n} has a dimension that {v.name} has not")
-        axes = [v.dims[1:].index(d) for d in c.dims]
-        x = values(file, h, c).reshape(h.shape(c))
-        own = np.ones(len(shape), int)
-        own[axes] = [shape[a] for a in axes]
-        out.append(np.broadcast_to(np.transpose(x, np.argsort(axes)).reshape(own), shape).ravel())
-    return out[0], out[1]
-
-
-class NetcdfSource(DataSource):
-    """Options: path (several are separated by commas), variable, and first, last, partitionBytes."""
+class NetcdfFile(Opened):
+    def __init__(self, path: str, name: str):
+        super().__init__(path, name)
+        h = self.header = header(path)
+        if missing := [n for n in (name, "time", "lat", "lon") if n not in h.variables]:
+            raise ValueError(f"{path} has no variable {missing[0]}")
+        v, t = h.variables[name], h.variables["time"]
+        if len(t.dims) != 1 or v.dims[:1] != t.dims:
+            raise ValueError(f"time is not the first dimension of {name}")
+        self.variable, self.row_bytes = v, int(np.prod(h.shape(v)[1:], dtype=np.int64)) * np.dtype(TYPES[v.kind]).itemsize
+        self.units, self.calendar = t.attributes.get("units"), t.attributes.get("calendar", "standard")
+
+    def times(self) -> np.ndarray:
+        return values(self.file, self.header, self.header.variables["time"]).ravel()
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        h, v, parts = self.header, self.variable, []
+        for n in ("lat", "lon"):
+            c = h.variables[n]
+            if any(d not in v.dims[1:] for d in c.dims):
+                raise ValueError(f"{n} has a dimension that {v.name} has not")
+            parts += [values(self.file, h, c).reshape(h.shape(c)), [v.dims[1:].index(d) for d in c.dims]]
+        return spread(*parts, h.shape(v)[1:])
+
+    def values(self, first: int, count: int) -> np.ndarray:
+        return values(self.file, self.header, self.variable, first, count)
+
+
+class NetcdfSource(Source):
+    kind = NetcdfFile
 
     @classmethod
     def name(cls) -> str:
         return "netcdf_classic"
 
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> Reader:
-        o = self.options
-        return Reader([p for p in o["path"].split(",") if p], o["variable"], float(o.get("first", "-inf")), float(o.get("last", "inf")), int(o.get("partitionBytes", PARTITION_BYTES)))
-
 
-def read(spark: SparkSession, paths: list[str], name: str, first: float | None = None, last: float | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Rows (time, cell, lat, lon, value) of a variable in files that each hold some of its times, from ``first`` to ``last``."""
-    spark.dataSource.register(NetcdfSource)
-    ends = {k: str(v) for k, v in (("first", first), ("last", last)) if v is not None}
-    return spark.read.format("netcdf_classic").options(variable=name, partitionBytes=partition_bytes, **ends).load(",".join(paths))
+def read(spark: SparkSession, paths: list[str], name: str, first: float | None = None, last: float | None = None, partition_bytes: int = gridfiles.PARTITION_BYTES) -> DataFrame:
+    """Rows (time, cell, lat, lon, value) of a variable, for times from ``first`` to ``last``."""
+    return gridfiles.read(spark, NetcdfSource, paths, name, first, last, partition_bytes)
 
 
 def variable(spark: SparkSession, paths: list[str], name: str, base_year: int = 1) -> Variable:
-    """A variable with its units and calendar for ``experiments.load`` and ``convert``; files must agree on them."""
-    found = {(h.variables["time"].attributes.get("units"), h.variables["time"].attributes.get("calendar", "standard")) for h in (described(p, name)[0] for p in paths)}
-    if len(found) != 1:
-        raise ValueError("the files count time in different units")
-    units, calendar = found.pop()
-    return Variable(read(spark, paths, name), units, calendar, base_year)
+    return gridfiles.variable(spark, NetcdfSource, paths, name, base_year)
 
 
 # ---- writing -------------------------------------------------------------------------------------------------
@@ -303,8 +221,8 @@ def _attributes(a: dict) -> bytes:
     return _list(ATTRIBUTE, parts)
 
 
-def head(dims: list[tuple[str, int]], variables: list[tuple[str, list[int], dict, bool]], records: int) -> tuple[bytes, list[int]]:
-    """A header with 64-bit offsets for variables of doubles (name, dims, attributes, by record), and where each begins."""
+def head(dims: list[tuple[str, int]], variables: list[tuple[str, list[int], dict, bool]], records: int) -> bytes:
+    """A header with 64-bit offsets for variables of doubles (name, dims, attributes, by record)."""
     sizes = [8 * int(np.prod([dims[d][1] for d in own if dims[d][1]], dtype=np.int64)) for _, own, _, _ in variables]
 
     def made(begins: list[int]) -> bytes:
@@ -317,61 +235,20 @@ def head(dims: list[tuple[str, int]], variables: list[tuple[str, list[int], dict
         for k, v in enumerate(variables):
             if v[3] == by_record:
                 begins[k], at = at, at + sizes[k]
-    return made(begins), begins
+    return made(begins)
+
+
+class NetcdfLayout(Layout):
+    suffix = "nc"
+
+    def head(self) -> bytes:
+        variables = [("lat", [1], {"units": "degrees_north"}, False), ("lon", [1], {"units": "degrees_east"}, False), ("time", [0], {"units": self.units, "calendar": self.calendar}, True), (self.name, [0, 1], {"_FillValue": self.fill}, True)]
+        return head([("time", 0), ("cell", len(self.lat))], variables, self.times) + self.lat.astype(">f8").tobytes() + self.lon.astype(">f8").tobytes()
+
+    def record(self, time: float, values: np.ndarray) -> bytes:
+        return np.concatenate([[time], values]).astype(">f8").tobytes()
 
 
 def write(rows: DataFrame, folder: str, name: str, units: str, calendar: str = "standard", times_a_file: int = 120, fill: float = 1e20) -> list[str]:
-    """Writes rows (time, lat, lon, value) as files of a run of times each, stations along ``cell``; gives their paths.
-
-    Times and places are numbered in their order; a task writes whole files, each under another name until it is
-    complete, so that a task that is run again leaves no half file under the file's name. Every file holds all places;
-    gaps and NULL become the fill value. A time and place twice raises ValueError.
-    """
-    spark = rows.sparkSession
-    placed = stored(rows.select(F.col("time").cast("double").alias("time"), F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("place"), F.col("value").cast("double").alias("value")), "rows")
-    if placed.groupBy("time", "place").count().where("count > 1").limit(1).count():
-        raise ValueError("a time and place comes twice")
-    cells, times = (stored(numbered(placed, key, name_), name_) for key, name_ in (("place", "cell"), ("time", "k")))
-    n, n_times = cells.count(), times.count()
-    if n > 1 << 26:
-        raise ValueError("too many places for a record")
-    at = cells.orderBy("cell").select("place.lat", "place.lon").toArrow()
-    sent = spark.sparkContext.broadcast((at.column(0).to_numpy(), at.column(1).to_numpy()))  # of checked size
-    by_time = placed.join(cells, "place").groupBy("time").agg(F.collect_list("cell").alias("cells"), F.collect_list(F.coalesce("value", F.lit(fill))).alias("values"))  # a record each
-    by_file = by_time.join(times, "time").select(F.floor(F.col("k") / times_a_file).alias("file"), "k", "time", "cells", "values")
-    dims = [("time", 0), ("cell", n)]
-    variables = [("lat", [1], {"units": "degrees_north"}, False), ("lon", [1], {"units": "degrees_east"}, False), ("time", [0], {"units": units, "calendar": calendar}, True), (name, [0, 1], {"_FillValue": fill}, True)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, inner = located(folder)
-        out, path, file = None, None, None
-
-        def closed() -> pa.RecordBatch:
-            out.close()
-            where.move(half, path)
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}-{file:06d}.nc"])], names=["path"])
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                if batch.column(0)[k].as_py() != file:
-                    if out:
-                        yield closed()
-                    file = batch.column(0)[k].as_py()
-                    path = f"{inner}/{name}-{file:06d}.nc"
-                    half = f"{path}.{uuid.uuid4().hex}"
-                    out = where.open_output_stream(half)
-                    out.write(head(dims, variables, min(times_a_file, n_times - file * times_a_file))[0])
-                    for x in sent.value:
-                        out.write(x.astype(">f8").tobytes())
-                record = np.full(n + 1, fill, ">f8")
-                record[0] = batch.column(2)[k].as_py()
-                record[1 + batch.column(3)[k].values.to_numpy()] = batch.column(4)[k].values.to_numpy()
-                out.write(record.tobytes())
-        if out:
-            yield closed()
-
-    where, inner = located(folder)
-    where.create_dir(inner)
-    made = by_file.repartition(max(1, -(-n_times // times_a_file)), "file").sortWithinPartitions("file", "k").mapInArrow(run, "path string")
-    with small_batches(spark, 2 * n):
-        return sorted(r.path for r in made.collect())  # a name for each file
+    """Writes rows (time, lat, lon, value) as files of a run of times each, places along ``cell``; gives their paths."""
+    return gridfiles.write(rows, NetcdfLayout, folder, name, units, calendar, times_a_file, fill)

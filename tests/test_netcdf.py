@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from fieldspark.sources import experiments, netcdf
+from fieldspark.sources import experiments, gridfiles, netcdf
 
 
 def made(path, dims, variables, records=0, magic=2):
@@ -84,7 +84,7 @@ def test_ends_skip_bytes(spark, tmp_path):
     assert sorted(r.value for r in few.where("value > 91").collect()) == [*map(float, range(92, 104))]
     assert few.rdd.getNumPartitions() == 2
     assert few.where("time < 47").union(few.where("time > 50")).count() == 6
-    assert [(p.path[-4:], p.first, p.count) for p in netcdf.Reader(paths, "v", 45, 51, 160).partitions()] == [("0.nc", 45, 5), ("1.nc", 0, 2)]
+    assert [(p.path[-4:], p.first, p.count) for p in gridfiles.Reader(netcdf.NetcdfFile, paths, "v", 45, 51, 160).partitions()] == [("0.nc", 45, 5), ("1.nc", 0, 2)]
     (tmp_path / "2.nc").write_bytes((tmp_path / "2.nc").read_bytes()[:-700])  # the last values of the third file, whose times lie before them
     assert netcdf.read(spark, paths, "v", 99, 100).count() == 4
     with pytest.raises(Exception, match="ends within"):
@@ -120,6 +120,6 @@ def test_what_is_no_variable(spark, tmp_path):
         netcdf.variable(spark, [path], "w")
     late = made(tmp_path / "late.nc", [("time", 1), ("cell", 2)], [*good[:3], ("v", [1, 0], [], 6, [[1.0], [2.0]])])
     with pytest.raises(ValueError, match="first dimension"):
-        netcdf.described(late, "v")
+        netcdf.NetcdfFile(late, "v")
     none = made(tmp_path / "none.nc", [("time", 0), ("cell", 2)], [*good[:2], ("time", [0], UNITS, 6, np.empty(0)), ("v", [0, 1], [], 6, np.empty((0, 2)))])
     assert netcdf.read(spark, [none], "v").count() == 0
