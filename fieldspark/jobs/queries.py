@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions.numeric import draw
-from ..operators import ensemble, lim, linalg, sampling, scale, spatial, spectral, state, temporal, verify
+from ..operators import ensemble, lim, linalg, resample, sampling, scale, spatial, spectral, state, temporal, verify
 from ..sources import experiments, fields, hdf5, netcdf, store
 from . import verification
 
@@ -1021,6 +1021,48 @@ def _random(seed: int, *parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
+#: Models of the two modes fitted without a tenth of the blocks of six months, as many as the trials of the reference job.
+HELD, SIZE, LEAD_HELD = 20, 6, 2
+HOLD = f"""bl AS (SELECT count(*) AS n, ceil(count(*) * 0.1)::BIGINT AS m FROM (SELECT DISTINCT (t - 2) // {SIZE} AS block FROM z)), hs AS (SELECT trial, {_random(3, 'trial')} % (n - m + 1) AS first, m FROM (SELECT range AS trial FROM range({HELD})), bl), hb AS (SELECT trial, first, first + unnest(range(m)) AS block FROM hs),
+pz AS (SELECT t, (t - 2) // {SIZE} AS ba, (t - 1) // {SIZE} AS bb, a, b, lead(a) OVER (ORDER BY t) AS a1, lead(b) OVER (ORDER BY t) AS b1 FROM z), tz AS (SELECT trial, pz.* FROM pz, hs WHERE a1 IS NOT NULL AND (ba < first OR ba >= first + m) AND (bb < first OR bb >= first + m)),
+c AS (SELECT trial, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a1 * a) AS ka, sum(a1 * b) AS kb, sum(b1 * a) AS la, sum(b1 * b) AS lb FROM tz GROUP BY trial),
+g AS (SELECT trial, n, (ka * bb - kb * ab) / (aa * bb - ab * ab) AS g00, (kb * aa - ka * ab) / (aa * bb - ab * ab) AS g01, (la * bb - lb * ab) / (aa * bb - ab * ab) AS g10, (lb * aa - la * ab) / (aa * bb - ab * ab) AS g11 FROM c)"""
+
+
+def _held_out(spark, sf_dir):
+    """The state, its loadings, the blocks that each trial holds out and the trials' models."""
+    field = _revenue(spark, sf_dir)
+    s, loadings = _states(field, 2)
+    s = store.stored(s, "states")
+    blocks = -(-(fields.months(spark, sf_dir, "lineitem") - 4) // SIZE)
+    held = resample.held_blocks(spark, blocks, 0.1, HELD)
+    return field, s, loadings, held, store.stored(resample.refits(resample.block_sums(s, 1, SIZE, 2), held), "models")
+
+
+@query(f"WITH RECURSIVE {TWO}, {HOLD} " + " UNION ALL ".join(f"SELECT trial, n, {i} AS i, {j} AS j, {r(f'g{i}{j}', 'g')} FROM g" for i in (0, 1) for j in (0, 1)))
+def resample_trials(spark, sf_dir):
+    """A model for each trial, from sums without the blocks that it holds out."""
+    models = _held_out(spark, sf_dir)[4]
+    return rounded(resample.entries(models).join(models.select("trial", "n"), "trial"), "g")
+
+
+@query(f"""WITH RECURSIVE {TWO}, {HOLD}, cs AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM y)), hz AS (SELECT trial, t, t - 2 - first * {SIZE} AS s, m * {SIZE} - {LEAD_HELD} AS samples, a, b FROM z JOIN hb ON (t - 2) // {SIZE} = block JOIN bl ON true),
+f1 AS (SELECT trial, t, g00 * a + g01 * b AS a, g10 * a + g11 * b AS b FROM hz JOIN g USING (trial) WHERE s < samples), f2 AS (SELECT trial, t, g00 * a + g01 * b AS a, g10 * a + g11 * b AS b FROM f1 JOIN g USING (trial)),
+tr AS (SELECT trial AS k, y.cell, v0.v[i] * a + v1.v[i] * b AS f, y.value AS o FROM f2 JOIN y ON y.t = f2.t + {LEAD_HELD} JOIN cs USING (cell), v0, v1), each AS (SELECT cell, k, corr(f, o) AS r, {CE} AS ce FROM tr GROUP BY ALL)
+SELECT cell, {r('avg(r)', 'lac')}, {r('avg(ce)', 'ce')}, {r('avg(r) * sqrt(count(r)) / stddev_samp(r)', 't_stat')}, abs(avg(r) * sqrt(count(r)) / stddev_samp(r)) >= 2.093024054408263 AS signif FROM each GROUP BY cell""")
+def resample_skill(spark, sf_dir):
+    """Skill by cell of the trials' forecasts of what they held out, through the operators of trials."""
+    field, s, loadings, held, models = _held_out(spark, sf_dir)
+    m = held.where("trial = 0").count()
+    samples = m * SIZE - LEAD_HELD
+    ahead = resample.held_forecasts(s, models, held, SIZE, [LEAD_HELD], 2).where(F.col("s") < samples)
+    f = verify.trial_forecast(ahead.select("trial", "s", F.col("mode").cast("int").alias("mode"), "value"), loadings, samples)
+    starts = held.select("trial", (F.col("first") * SIZE + 2).alias("start")).distinct()
+    o = verify.trial_obs(field, starts, LEAD_HELD, samples)
+    pairs = f.withColumnRenamed("value", "f").join(o.withColumnRenamed("value", "o"), ["t", "cell"])
+    return rounded(verify.trial_skill(pairs, samples, HELD), "lac", "ce", "t_stat")
+
+
 ITER, PAIRED = 300, _n('f3', 12)
 #: Bootstrap draws of the reports at their full size.
 DRAWS = 10_000
