@@ -2,8 +2,9 @@
 
 A field becomes rows of numbers along its shorter side, placed by the order of that side's keys and checked: every
 row must have a value for every key, each once, or ValueError says so (``spatial.compress`` or ``densify`` first).
-Sums of products run in tasks, block by block, and are added up in stripes; the driver sees matrices of the shorter
-side by the number of modes, whose size is bounded, and cells and times beyond it stay distributed.
+Sums of products run in tasks, block by block, and are added up in stripes, or tile by tile where a whole matrix is too
+much for a task; the driver sees matrices of the shorter side by the number of modes, whose size is bounded, and cells
+and times beyond it stay distributed.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MOST, MOST_NUMBERS = 4000, 1 << 26
 STRIPE = 512
 #: Shorter sides up to this are solved by their whole Gram matrix.
 EXACT = 1500
+#: Features up to which a task holds a whole matrix of products, and the side of a tile beyond.
+WHOLE, SIDE = 2048, 1024
 
 
 @dataclass
@@ -111,10 +114,60 @@ def _entries(blocks: DataFrame, width: int, rows: np.ndarray | None = None, colu
     return blocks.mapInArrow(run, "i long, j long, s double")
 
 
-def gram(field: DataFrame, sample: str = "t", feature: str = "cell") -> DataFrame:
-    """(i, j, s): sum over samples of x_i * x_j for features i, j, numbered in their order."""
+def _tiles(table: DataFrame, m: int, symmetric: bool, side: int) -> DataFrame:
+    """(i, j, s) of sums of products of two list columns (x, y) of m numbers: s = sum over rows of x_i y_j, tile by tile.
+
+    A task cuts its rows into stripes of ``side`` numbers and sends those of a tile together, some rows at a time; a
+    tile's task adds up its products. No task holds more than a tile and a batch. With ``symmetric`` (y is x) the
+    tiles under the diagonal are those above it.
+    """
+    n = -(-m // side)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = matrix_of(batch.column(0)), matrix_of(batch.column(1))
+                left = [np.ascontiguousarray(x[:, k * side : (k + 1) * side]).tobytes() for k in range(n)]
+                right = [np.ascontiguousarray(y[:, k * side : (k + 1) * side]).tobytes() for k in range(n)]
+                for i in range(n):
+                    js = range(i if symmetric else 0, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(js), pa.int32()), pa.array(js, pa.int32()), pa.array([len(x)] * len(js), pa.int32()), pa.array([left[i]] * len(js), pa.binary()), pa.array([right[j] for j in js], pa.binary())], names=["i", "j", "rows", "x", "y"])
+
+    def rows(i: int, j: int, tile: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b, own in ((i, j, tile), (j, i, tile.T))[: 1 + (symmetric and i != j)]:
+            for k in range(0, len(own), 256):
+                part = own[k : k + 256]
+                p, q = np.divmod(np.arange(part.size), part.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(p + a * side + k), pa.array(q + b * side), pa.array(part.ravel())], names=["i", "j", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, j, count = (batch.column(c)[k].as_py() for c in range(3))
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64).reshape(count, -1) for c in (3, 4))
+                if (i, j) != at:
+                    if at:
+                        yield from rows(*at, tile)
+                    at, tile = (i, j), np.zeros((x.shape[1], y.shape[1]))
+                tile += x.T @ y
+        if at:
+            yield from rows(*at, tile)
+
+    with small_batches(table.sparkSession, 2 * m):
+        sent = table.mapInArrow(cut, "i int, j int, rows int, x binary, y binary")
+        return stored(sent.repartition(n * (n + 1) // 2 if symmetric else n * n, "i", "j").sortWithinPartitions("i", "j").mapInArrow(add, "i long, j long, s double"), "tiles")
+
+
+def gram(field: DataFrame, sample: str = "t", feature: str = "cell", whole: int = WHOLE, side: int = SIDE) -> DataFrame:
+    """(i, j, s): sum over samples of x_i * x_j for features i, j, numbered in their order.
+
+    Up to ``whole`` features a task adds up the matrix itself; beyond that it goes by tiles of ``side``.
+    """
     r = rows_of(field, sample, feature)
     m = len(r.names)
+    if m > whole:
+        return _tiles(r.table.select("x", F.col("x").alias("y")), m, True, side)
     with small_batches(field.sparkSession, m):
         blocks = stored(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), "gram")
     return _entries(blocks, max(m, 1))
@@ -126,10 +179,19 @@ def paired(r: Rows, lag: int) -> DataFrame:
     return r.table.join(later, "key").select("key", "x", "y")
 
 
-def lag_covariance(field: DataFrame, lag: int, feature: str = "cell") -> DataFrame:
-    """(i, j, s): sum over t of x_i(t + lag) * x_j(t), for samples that have both."""
+def lag_covariance(field: DataFrame, lag: int, feature: str = "cell", whole: int = WHOLE, side: int = SIDE) -> DataFrame:
+    """(i, j, s): sum over t of x_i(t + lag) * x_j(t), for samples that have both; by tiles as ``gram``."""
     r = rows_of(field, "t", feature)
     m = len(r.names)
+    if m > whole:
+        own = _tiles(paired(r, lag).select("y", "x"), m, False, side)
+        names = field.sparkSession.sparkContext.broadcast(r.names)  # one row of the field
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(names.value[b.column(0).to_numpy()]), pa.array(names.value[b.column(1).to_numpy()]), b.column(2)], names=["i", "j", "s"])
+
+        return own.mapInArrow(named, "i long, j long, s double")
     with small_batches(field.sparkSession, 2 * m):
         blocks = stored(block_sum(paired(r, lag), lambda b: matrix_of(b.column(2)).T @ matrix_of(b.column(1)), (m, m)), "covariance")
     return _entries(blocks, max(m, 1), r.names, r.names)
@@ -147,32 +209,50 @@ def canonical(vectors_: np.ndarray) -> np.ndarray:
     return vectors_ * np.where(vectors_[big, np.arange(vectors_.shape[1])] < 0, -1, 1)
 
 
-def _leading(r: Rows, k: int, exact: int = EXACT, over: int = 30, rounds: int = 200, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def _leading(r: Rows, k: int, exact: int = EXACT, over: int = 30, passes: int = 300, tolerance: float = 1e-8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenvalues of the Gram matrix along the row, and their vectors as columns.
 
-    Up to ``exact`` names the matrix itself is solved. Beyond that a subspace of k + ``over`` columns is multiplied by
-    it in the tasks, a batch of rows at a time, until no residual of the k pairs exceeds 1e-8 of the largest value
-    (or for ``rounds`` rounds).
+    Up to ``exact`` names the matrix itself is solved. Beyond that a basis grows by blocks of residuals, each multiplied
+    by the matrix in the tasks, a batch of rows at a time, and starts again from its best k + ``over`` directions
+    where it is full (block Krylov with thick restarts). It ends when no residual of the k pairs exceeds ``tolerance``
+    of the largest value; ValueError where ``passes`` over the rows do not get there.
     """
     m = len(r.names)
     k = min(k, m)
     if m <= exact:
         values, vectors = np.linalg.eigh(collected(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ x, (m, m)), (m, m)))
         return np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
-    width = min(k + over, m)
-    spark, q = r.table.sparkSession, np.random.default_rng(seed).standard_normal((m, width))
-    for _ in range(rounds):
-        q = np.linalg.qr(q)[0]
-        sent = spark.sparkContext.broadcast(q)  # block_sum checks its size
-        z = collected(block_sum(r.table, lambda b, sent=sent: (x := matrix_of(b.column(1))).T @ (x @ sent.value), (m, width)), (m, width), m)
+    keep = min(k + over, m)
+    most = min(m, max(2 * keep, keep + 200))
+    if m * most > MOST_NUMBERS:
+        raise ValueError(f"{k} modes of {m} values are too many for the driver")
+
+    def times(q: np.ndarray) -> np.ndarray:
+        sent = r.table.sparkSession.sparkContext.broadcast(q)  # of checked size
+        z = collected(block_sum(r.table, lambda b: (x := matrix_of(b.column(1))).T @ (x @ sent.value), (m, q.shape[1])), (m, q.shape[1]), m)
         sent.destroy()
-        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        return z
+
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, keep)))[0]
+    image = times(basis)
+    for _ in range(passes):
+        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
         values, turn = np.maximum(values[::-1], 0), turn[:, ::-1]
-        basis = q @ turn[:, :k]
-        if np.linalg.norm(z @ turn[:, :k] - basis * values[:k], axis=0).max() <= 1e-8 * max(values[0], 1e-300):
-            break
-        q = z
-    return values[:k], basis
+        ahead = turn[:, :keep]
+        rest = image @ ahead - (basis @ ahead) * values[:keep]
+        size = np.linalg.norm(rest, axis=0)
+        if size[:k].max() <= tolerance * max(values[0], 1e-300) or basis.shape[1] == m:
+            return values[:k], basis @ turn[:, :k]
+        open_ = np.flatnonzero(size > tolerance * values[0])
+        if basis.shape[1] + len(open_) > most:
+            basis, image = basis @ ahead, image @ ahead
+        new = rest[:, open_][:, : most - basis.shape[1]] / size[open_][: most - basis.shape[1]]
+        for _ in range(2):
+            new = new - basis @ (basis.T @ new)
+            new, scale = np.linalg.qr(new)
+            new = new[:, np.abs(np.diag(scale)) > 1e-10 * max(1e-300, np.abs(np.diag(scale)).max())]
+        basis, image = np.c_[basis, new], np.c_[image, times(new)]
+    raise ValueError(f"{passes} passes do not settle {k} modes: the largest residual is {size[:k].max() / values[0]:.1e} of the first value")
 
 
 def _of_names(spark: SparkSession, names: np.ndarray, m: np.ndarray, key: str) -> DataFrame:
