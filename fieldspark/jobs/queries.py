@@ -716,8 +716,8 @@ def basis_chain(spark, sf_dir):
 
 #: Leading modes of the state of all cells.
 LEADING = 10
-#: Members of integrations with noise, of 1440 steps a unit.
-MEMBERS_RUN = 100
+#: Members of integrations with noise, of 1440 steps a unit, and units of the long ones.
+MEMBERS_RUN, UNITS = 100, 500
 
 # ---- the model -----------------------------------------------------------------------------------------------
 SMOOTH = "sm AS (SELECT t, cell, avg(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM {f}), y0 AS (SELECT t, cell, v - avg(v) OVER (PARTITION BY cell) AS value FROM sm WHERE t BETWEEN 2 AND {last})"
@@ -905,11 +905,11 @@ def ens_1yr(spark, sf_dir):
     return rounded(e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members")), "mean", "std")
 
 
-@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(20, FROM_FIRST)} SELECT unit::INT AS unit, mode, {r('avg(mean)', 'mean')}, {r('stddev_samp(last)', 'std')} FROM {MODES} GROUP BY unit, mode")
+@query(f"WITH RECURSIVE {MODEL}, {ensemble_sql(UNITS, FROM_FIRST)} SELECT unit::INT AS unit, mode, {r('avg(mean)', 'mean')}, {r('stddev_samp(last)', 'std')} FROM {MODES} GROUP BY unit, mode")
 def ens_long(spark, sf_dir):
     m, s, _ = _model(spark, sf_dir)
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
-    return rounded(lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=20).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std")), "mean", "std")
+    return rounded(lim.ensemble(spark, m, x0, members=MEMBERS_RUN, length=UNITS).groupBy("unit", "mode").agg(F.avg("mean").alias("mean"), F.stddev_samp("last").alias("std")), "mean", "std")
 
 
 CELLS = "cs AS (SELECT cell, row_number() OVER (ORDER BY cell) AS i FROM (SELECT DISTINCT cell FROM y))"
@@ -1063,9 +1063,8 @@ def resample_skill(spark, sf_dir):
     return rounded(verify.trial_skill(pairs, samples, HELD), "lac", "ce", "t_stat")
 
 
-ITER, PAIRED = 300, _n('f3', 12)
-#: Bootstrap draws of the reports at their full size.
-DRAWS = 10_000
+#: Draws of bootstraps and of consistency bounds.
+DRAWS, CONSISTENT, PAIRED = 10_000, 1000, _n('f3', 12)
 #: Truth o a year ahead; forecasts f: the present value, and g: that of the month before the truth.
 BOOTED = f"{ANOM}, q0 AS (SELECT * FROM (SELECT t, cell, value AS f, lead(value, 12) OVER w AS o, lead(value, 11) OVER w AS g FROM d WINDOW w AS (PARTITION BY cell ORDER BY t)) WHERE t < {PAIRED})"
 
@@ -1091,54 +1090,63 @@ def _bounds(m: str) -> str:
 TABLE = ", ".join(f"{r(x, n)}" for p in ("", "auto1_") for m in ("r", "ce") for x, n in ((f"avg({p}{m})", f"{p}{m}"), (f"quantile_cont({p}{m}, 0.025)", f"{p}{m}_low"), (f"quantile_cont({p}{m}, 0.975)", f"{p}{m}_high")))
 
 
-def _bootstraps(spark, sf_dir, iterations: int) -> DataFrame:
-    p = _pairs(spark, sf_dir)
-    parts = [verify.bootstrap(p, fields.months(spark, sf_dir) - 12, m, iterations, by=("cell",)).select("cell", F.lit(m).alias("metric"), "mean", "low", "high") for m in verify.METRICS]
+def _boot_sql(booted: str) -> str:
+    return f"WITH {booted}, {_booted(DRAWS)} SELECT cell, 'r' AS metric, {_bounds('r')} FROM b GROUP BY cell UNION ALL SELECT cell, 'ce', {_bounds('ce')} FROM b GROUP BY cell"
+
+
+def _table_sql(booted: str) -> str:
+    return f"WITH {booted}, {_booted(DRAWS)} SELECT cell, 'orders' AS variable, 'none' AS average, 'cell' || cell AS scalar, {TABLE} FROM b GROUP BY cell"
+
+
+#: The same of all nations.
+BOOTED_NATIONS = BOOTED.replace(ANOM, f"{F3}, {F4}, a AS ({_climo('f4')}), d AS ({_detrend('a')})")
+
+
+def _bootstraps(spark, sf_dir, d: DataFrame) -> DataFrame:
+    b = verify.bootstraps(temporal.lag_pair(d, 12).withColumnsRenamed({"x0": "f", "x1": "o"}), fields.months(spark, sf_dir) - 12, DRAWS, by=("cell",))
+    parts = [b.select("cell", F.lit(m).alias("metric"), *[F.col(f"{m}_{c}").alias(c) for c in ("mean", "low", "high")]) for m in verify.METRICS]
     return rounded(parts[0].union(parts[1]), "mean", "low", "high")
 
 
-def _table(spark, sf_dir, iterations: int) -> DataFrame:
+def _table(spark, sf_dir, d: DataFrame) -> DataFrame:
     """A year ahead by the present value, and persistence of the month before."""
-    month = temporal.lag_pair(_anomalies(spark, sf_dir), 1).where("t >= 11").select((F.col("t") - 11).alias("t"), "cell", F.col("x0").alias("f"), F.col("x1").alias("o"))
-    t = verify.verification_table(_pairs(spark, sf_dir), month, fields.months(spark, sf_dir) - 12, iterations, ("region", "none", "cell"), by=("cell",))
+    year = temporal.lag_pair(d, 12).withColumnsRenamed({"x0": "f", "x1": "o"})
+    month = temporal.lag_pair(d, 1).where("t >= 11").select((F.col("t") - 11).alias("t"), "cell", F.col("x0").alias("f"), F.col("x1").alias("o"))
+    t = verify.verification_table(year, month, fields.months(spark, sf_dir) - 12, DRAWS, ("orders", "none", "cell"), by=("cell",))
     return rounded(t.withColumn("scalar", F.concat("scalar", F.col("cell").cast("string"))), *[c for c in t.columns if c not in ("cell", "variable", "average", "scalar")])
 
 
-def _boot_sql(iterations: int) -> str:
-    return f"WITH {BOOTED}, {_booted(iterations)} SELECT cell, 'r' AS metric, {_bounds('r')} FROM b GROUP BY cell UNION ALL SELECT cell, 'ce', {_bounds('ce')} FROM b GROUP BY cell"
-
-
-def _table_sql(iterations: int) -> str:
-    return f"WITH {BOOTED}, {_booted(iterations)} SELECT cell, 'region' AS variable, 'none' AS average, 'cell' || cell AS scalar, {TABLE} FROM b GROUP BY cell"
+def _nations(spark, sf_dir) -> DataFrame:
+    return temporal.detrend(temporal.anomaly(temporal.by_cell(fields.orders_nation(spark, sf_dir)), 12))
 
 
-@query(_boot_sql(ITER))
+@query(_boot_sql(BOOTED))
 def boot_ci(spark, sf_dir):
-    return _bootstraps(spark, sf_dir, ITER)
+    return _bootstraps(spark, sf_dir, _anomalies(spark, sf_dir))
 
 
-@query(_table_sql(ITER))
+@query(_table_sql(BOOTED))
 def verif_table(spark, sf_dir):
-    return _table(spark, sf_dir, ITER)
+    return _table(spark, sf_dir, _anomalies(spark, sf_dir))
 
 
-@query(_boot_sql(DRAWS))
+@query(_boot_sql(BOOTED_NATIONS))
 def boot_ci_cells(spark, sf_dir):
-    """The same at full size."""
-    return _bootstraps(spark, sf_dir, DRAWS)
+    """Of all nations, not regions."""
+    return _bootstraps(spark, sf_dir, _nations(spark, sf_dir))
 
 
-@query(_table_sql(DRAWS))
+@query(_table_sql(BOOTED_NATIONS))
 def verif_table_cells(spark, sf_dir):
-    """The same at full size."""
-    return _table(spark, sf_dir, DRAWS)
+    """Of all nations, not regions."""
+    return _table(spark, sf_dir, _nations(spark, sf_dir))
 
 
-@query(_table_sql(ITER))
+@query(_table_sql(BOOTED))
 def sink_table(spark, sf_dir):
     """The verification table, written and read back."""
     path = f"{store.shared_dir(spark)}/verification-{uuid.uuid4().hex}"
-    _table(spark, sf_dir, ITER).write.mode("overwrite").parquet(path)
+    _table(spark, sf_dir, _anomalies(spark, sf_dir)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -1229,7 +1237,7 @@ def _reliability(tag: str = "") -> str:
 
 def _consistency(iterations: int, tag: str = "") -> str:
     return f"""dr{tag} AS (SELECT i, {_random(11, 'i', 'k')} % {SAMPLES} AS t, {_random(12, 'i', 'k')} / 4294967296.0::DOUBLE AS u FROM (SELECT range AS i FROM range({iterations})), (SELECT unnest(range({SAMPLES})) AS k)),
-h{tag} AS (SELECT i, {BIN} AS bin, avg(CASE WHEN u < p THEN 1.0 ELSE 0.0 END)::DOUBLE AS h FROM dr{tag} JOIN pb{tag} USING (t) GROUP BY ALL), cg{tag} AS (SELECT bin, avg(h) AS m, quantile_cont(h, 0.025) AS q0, quantile_cont(h, 0.975) AS q1 FROM h{tag} GROUP BY bin HAVING count(*) = {iterations}),
+h{tag} AS (SELECT i, {BIN} AS bin, avg(CASE WHEN u < p THEN 1.0 ELSE 0.0 END)::DOUBLE AS h FROM dr{tag} JOIN (SELECT row_number() OVER (ORDER BY p, t) - 1 AS t, p FROM pb{tag}) USING (t) GROUP BY ALL), cg{tag} AS (SELECT bin, avg(h) AS m, quantile_cont(h, 0.025) AS q0, quantile_cont(h, 0.975) AS q1 FROM h{tag} GROUP BY bin HAVING count(*) = {iterations}),
 mc{tag} AS (SELECT b.bin, {r('m - q0', 'lower')}, {r('q1 - m', 'upper')} FROM (SELECT range::INT AS bin FROM range(10)) b LEFT JOIN cg{tag} USING (bin))"""
 
 
@@ -1238,9 +1246,9 @@ def reliability(spark, sf_dir):
     return rounded(ensemble.reliability(ensemble.event_probability(*_ens(spark, sf_dir), "upper")), "hit_rate", "mean_p")
 
 
-@query(f"WITH {PROB}, {_consistency(ITER)} SELECT * FROM mc")
+@query(f"WITH {PROB}, {_consistency(CONSISTENT)} SELECT * FROM mc")
 def reliability_mc(spark, sf_dir):
-    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), 5 * fields.months(spark, sf_dir), ITER), "lower", "upper")
+    return rounded(ensemble.reliability_bounds(ensemble.event_probability(*_ens(spark, sf_dir), "upper"), 5 * fields.months(spark, sf_dir), CONSISTENT), "lower", "upper")
 
 
 # ---- sampling ------------------------------------------------------------------------------------------------
@@ -1300,7 +1308,7 @@ def verif_perfect(spark, sf_dir):
     return rounded(t, *[c for c in t.columns if c not in ("variable", "average", "scalar")])
 
 
-@query(f"WITH {ENS}, {_prob('>= 0.5', '_u')}, {_prob('<= -0.5', '_l')}, {_reliability('_u')}, {_reliability('_l')}, {_consistency(1000, '_u')}, {_consistency(1000, '_l')} " + " UNION ALL ".join(f"SELECT '{k}' AS event, rl_{k[0]}.*, lower, upper FROM rl_{k[0]} JOIN mc_{k[0]} USING (bin)" for k in ("upper", "lower")))
+@query(f"WITH {ENS}, {_prob('>= 0.5', '_u')}, {_prob('<= -0.5', '_l')}, {_reliability('_u')}, {_reliability('_l')}, {_consistency(CONSISTENT, '_u')}, {_consistency(CONSISTENT, '_l')} " + " UNION ALL ".join(f"SELECT '{k}' AS event, rl_{k[0]}.*, lower, upper FROM rl_{k[0]} JOIN mc_{k[0]} USING (bin)" for k in ("upper", "lower")))
 def verif_ens(spark, sf_dir):
     """Reliability with bounds of both events of an ensemble index."""
     report = verification.ensemble_report(*_ens(spark, sf_dir), 5 * fields.months(spark, sf_dir))
@@ -1308,7 +1316,7 @@ def verif_ens(spark, sf_dir):
     return rounded(parts[0].union(parts[1]), "hit_rate", "mean_p", "lower", "upper")
 
 
-@query(f"""WITH RECURSIVE {MODEL}, {GRID}, {CELLS}, {ensemble_sql(15, FROM_FIRST)}, fc AS (SELECT sum(v0.v[i] * cell_area) / sum(cell_area) AS fa, sum(v1.v[i] * cell_area) / sum(cell_area) AS fb FROM cs JOIN grid USING (cell), v0, v1), sd AS (SELECT stddev_samp(fa * a + fb * b) AS s FROM z, fc)
+@query(f"""WITH RECURSIVE {MODEL}, {GRID}, {CELLS}, {ensemble_sql(UNITS, FROM_FIRST)}, fc AS (SELECT sum(v0.v[i] * cell_area) / sum(cell_area) AS fa, sum(v1.v[i] * cell_area) / sum(cell_area) AS fb FROM cs JOIN grid USING (cell), v0, v1), sd AS (SELECT stddev_samp(fa * a + fb * b) AS s FROM z, fc)
 SELECT member::INT AS member, unit::INT AS t, {r('(fa * ma + fb * mb) / s')} FROM runs, fc, sd WHERE unit > 0""")
 def long_scalar(spark, sf_dir):
     """The global mean of long integrations, in units of the source's deviation."""
@@ -1316,5 +1324,5 @@ def long_scalar(spark, sf_dir):
     x0 = np.array([x.value for x in s.where("t = 2").orderBy("mode").collect()])
     w = verification.weights(fields.nation_grid(spark, sf_dir), "glob_mean")
     truth = verification.modes_index(s.select("t", F.col("mode").cast("int").alias("mode"), "value"), loadings, w, "glob_mean")
-    series = verification.long_index(lim.ensemble(spark, model, x0, members=MEMBERS_RUN, length=15), loadings, w, "glob_mean")
+    series = verification.long_index(lim.ensemble(spark, model, x0, members=MEMBERS_RUN, length=UNITS), loadings, w, "glob_mean")
     return rounded(verification.standardized_by(series, truth), "value")

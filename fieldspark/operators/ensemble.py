@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import draw, ratio, uniform
+from ..sources.store import small_batches, stored
+
+#: Different probabilities (members and one) that tasks may get.
+MOST_STEPS = 1 << 20
 
 # Lower edges of the ten probability bins, as doubles.
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
@@ -63,11 +71,31 @@ def reliability(probs: DataFrame) -> DataFrame:
 def reliability_bounds(probs: DataFrame, n: int, iterations: int = 1000, seed: int = 11) -> DataFrame:
     """(bin, lower, upper): consistency bounds around the mean of resampled hit rates; NULL if any draw leaves the bin empty.
 
-    Probabilities (t in 0 .. n - 1) are drawn with replacement, events from them.
+    n probabilities are drawn with replacement, events from them. All that a draw needs is the histogram of the
+    different probabilities, one more than members at most: samples are numbered in the order of their probability,
+    so a drawn number is looked up in its steps, and no row is made for a draw and sample.
     """
-    it = probs.sparkSession.range(iterations).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    drawn = it.select("iteration", (draw(seed, F.col("iteration"), F.col("k")) % n).alias("t"), uniform(seed + 1, F.col("iteration"), F.col("k")).alias("u"))
-    got = drawn.join(probs.select("t", "p"), "t").groupBy("iteration", bin_of(F.col("p")).alias("bin")).agg(F.avg(F.when(F.col("u") < F.col("p"), 1.0).otherwise(0.0)).alias("h"))
+    steps = probs.groupBy("p").agg(F.count("*").alias("m")).orderBy("p").limit(MOST_STEPS + 1).collect()
+    if len(steps) > MOST_STEPS:
+        raise ValueError(f"more than {MOST_STEPS} different probabilities")
+    p, ends = np.array([r.p for r in steps], float), np.cumsum([r.m for r in steps])
+    bins = np.searchsorted(EDGES, p, "right") - 1
+    k = F.sequence(F.lit(0), F.lit(n - 1))
+    drawn = probs.sparkSession.range(iterations).select(F.transform(k, lambda k: (draw(seed, F.col("id"), k) % n).cast("int")).alias("at"), F.transform(k, lambda k: uniform(seed + 1, F.col("id"), k)).alias("u"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, u in zip(batch.column(0), batch.column(1), strict=True):
+                own = np.searchsorted(ends, at.values.to_numpy(), "right")
+                fine = own < len(p)  # fewer probabilities than n: the rest are none
+                own, u = own[fine], u.values.to_numpy()[fine]
+                size = np.bincount(bins[own], minlength=10)
+                hits = np.bincount(bins[own], u < p[own], minlength=10)
+                some = np.flatnonzero(size)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(hits[some] / size[some])], names=["bin", "h"])
+
+    with small_batches(probs.sparkSession, 2 * n):
+        got = stored(drawn.mapInArrow(run, "bin int, h double"), "rates")
     q = F.percentile("h", F.array(F.lit(0.025), F.lit(0.975)))
     by = got.groupBy("bin").agg(F.avg("h").alias("m"), q.alias("q"), F.count("*").alias("n")).where(F.col("n") == iterations)
     every = probs.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))

@@ -1,7 +1,7 @@
 """The linear inverse model: calibration, forecasts, modes and integration with noise.
 
 States are (t, mode, value). Covariances are summed by the tasks, the algebra on modes by modes runs on the
-driver, forecasts are a join and an aggregate, and integrations run one member to a row in the tasks.
+driver, forecasts are a join and an aggregate, and integrations run some members to a task, segment by segment of time.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
 from .linalg import MOST, block_sum, canonical, collected, matrix_of, paired, rows_of, to_coo
 
 
@@ -168,57 +170,88 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint32(16)
 
 
-def normals(seed: int, member: int, unit: int, samples: int, first: int, steps: int, k: int) -> np.ndarray:
-    """Standard normal numbers (steps x samples x k) by counters: the same for any split of the work, and in SQL.
+def normals(seed: int, members: np.ndarray | int, unit: int, samples: int, first: int, steps: int, k: int) -> np.ndarray:
+    """Standard normal numbers (steps x members x samples x k, or for one member steps x samples x k) by counters: the
+    same for any split of the work, and in SQL.
 
     Two 32-bit words name the stream of a member, a unit of time and a sample; a counter of step, mode and part
     runs through it; Box and Muller's formula makes a normal number of two parts.
     """
     word = lambda x: np.atleast_1d(np.asarray(x)).astype(np.uint64).astype(np.uint32)
-    one = scrambled(scrambled(word(seed) + np.uint32(0x9E3779B9)) + word(member))
+    one = scrambled(scrambled(word(seed) + np.uint32(0x9E3779B9)) + word(members))
     two = scrambled(scrambled(word(unit) + np.uint32(0x85EBCA6B)) + word(np.arange(samples)))
-    counter = word(np.arange(first * k * 2, (first + steps) * k * 2)).reshape(steps, 1, k, 2)
-    x = scrambled(scrambled(counter + one) ^ two[:, None, None])
+    counter = word(np.arange(first * k * 2, (first + steps) * k * 2)).reshape(steps, 1, 1, k, 2)
+    x = scrambled(scrambled(counter + one[:, None, None, None]) ^ two[:, None, None])
     u = (x.astype(np.float64) + 0.5) / 4294967296.0
-    return np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+    out = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1])
+    return out if np.ndim(members) else out[:, 0]
 
 
-def integrate(model: Model, x0: np.ndarray, length: int, steps: int, seed: int, member: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """End states and means of each unit of time, and the last midpoint; x0 is samples by modes.
+def integrate(model: Model, x: np.ndarray, members: np.ndarray, first: int, length: int, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Last midpoints and means of units first .. first + length - 1, and state and midpoint after them.
 
-    A step goes from x to x + L x dt + E sqrt(Q dt) n; the reported state is the midpoint.
+    x: state and midpoint before (2 x members x samples x modes). A step goes from x to x + L x dt + E sqrt(Q dt) n;
+    the reported state is the midpoint, and a unit's mean takes the one before its first step along.
     """
     dt = 1.0 / steps
     push = model.q_vectors * np.sqrt(model.q_values * dt)
-    x = mid = x0.astype(complex if np.iscomplexobj(model.lin) or np.iscomplexobj(push) else float)
-    some = max(1, 1_000_000 // max(1, x.shape[0] * push.shape[1]))
+    kind = complex if np.iscomplexobj(model.lin) or np.iscomplexobj(push) else float
+    now, mid = (x if kind is complex else x.real).astype(kind)
+    drift = model.lin.T * dt
+    some = max(1, 1_000_000 // max(1, now.shape[0] * now.shape[1] * push.shape[1]))
     ends, means = [], []
-    for unit in range(length):
+    for unit in range(first, first + length):
         total = np.real(mid).copy()
         for step in range(steps):
             if step % some == 0:
-                kicks = normals(seed, member, unit, len(x), step, min(some, steps - step), push.shape[1]) @ push.T
-            new = x + x @ model.lin.T * dt + kicks[step % some]
-            mid = (x + new) / 2
-            x = new
+                kicks = normals(seed, members, unit, now.shape[1], step, min(some, steps - step), push.shape[1]) @ push.T
+            new = now + now @ drift + kicks[step % some]
+            mid = (now + new) / 2
+            now = new
             total += np.real(mid)
         ends.append(np.real(mid).copy())
         means.append(total / (steps + 1))
-    return np.array(ends), np.array(means), np.real(mid)
+    return np.array(ends), np.array(means), now, mid
 
 
-def ensemble(spark: SparkSession, model: Model, x0: np.ndarray, members: int, length: int = 1, steps: int = 1440, seed: int = 0) -> DataFrame:
-    """(member, unit, sample, mode, last, mean) of integrations from x0, a member to a row, each with its own stream of noise."""
-    x0 = np.atleast_2d(x0)
+#: Units of time after which states are written, so that a lost member goes on from there.
+SEGMENT = 100
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for member in frame["id"]:
-                last, mean, _ = integrate(model, x0, length, steps, seed, int(member))
-                unit, sample, mode = np.indices(last.shape)
-                yield pd.DataFrame({"member": int(member), "unit": unit.ravel() + 1, "sample": sample.ravel(), "mode": mode.ravel(), "last": last.ravel(), "mean": mean.ravel()})
+def ensemble(spark: SparkSession, model: Model, x0: np.ndarray, members: int, length: int = 1, steps: int = 1440, seed: int = 0, segment: int = SEGMENT) -> DataFrame:
+    """(member, unit, sample, mode, last, mean) of integrations from x0, each member with its own stream of noise.
 
-    return spark.range(members).repartition(min(members, 64)).mapInPandas(run, "member int, unit int, sample int, mode int, last double, mean double")
+    Members go through a segment of units together with those of their task and hand their states over in a stored
+    table, from which the next segment starts: a task that is lost repeats one segment of its members.
+    """
+    x0 = np.atleast_2d(x0)
+    start = np.stack([x0, x0]).astype(complex).tobytes()
+    state = spark.range(0, members, 1, max(1, min(64, members // 8))).select(F.col("id").alias("member"), F.lit(0).alias("unit"), F.lit(start).alias("state"))
+    parts = []
+    for first in range(0, length, segment):
+        units = min(segment, length - first)
+
+        def run(batches: Iterator[pa.RecordBatch], first=first, units=units) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own = batch.column(0).to_numpy()
+                    x = np.stack([np.frombuffer(b.as_buffer(), complex).reshape(2, *x0.shape) for b in batch.column(1)], axis=1)
+                    ends, means, now, mid = integrate(model, x, own, first, units, steps, seed)
+                    last = [np.stack([now[k], mid[k]]).astype(complex).tobytes() for k in range(len(own))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([first] * len(own), pa.int32()), pa.array(last, pa.binary()), pa.array([ends[:, k].tobytes() for k in range(len(own))], pa.binary()), pa.array([means[:, k].tobytes() for k in range(len(own))], pa.binary())], names=["member", "unit", "state", "ends", "means"])
+
+        done = stored(state.select("member", "state").mapInArrow(run, "member long, unit int, state binary, ends binary, means binary"), "segment")
+        parts.append(done)
+        state = done.select("member", "state")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ends, means = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64).reshape(-1, *x0.shape) for c in (2, 3))
+                unit, sample, mode = np.indices(ends.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(ends.size, batch.column(0)[k].as_py(), np.int32)), *[pa.array((a.ravel() + b).astype(np.int32)) for a, b in ((unit, batch.column(1)[k].as_py() + 1), (sample, 0), (mode, 0))], pa.array(ends.ravel()), pa.array(means.ravel())], names=["member", "unit", "sample", "mode", "last", "mean"])
+
+    return reduce(DataFrame.union, parts).select("member", "unit", "ends", "means").mapInArrow(opened, "member int, unit int, sample int, mode int, last double, mean double")
 
 
 def cross_forecast(model: Model, own: list[str], other: list[str], features: DataFrame, loadings: DataFrame) -> DataFrame:
