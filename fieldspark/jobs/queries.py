@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar
 from ..functions.numeric import draw
 from ..operators import ensemble, lim, linalg, resample, sampling, scale, spatial, spectral, state, temporal, verify
-from ..sources import experiments, fields, hdf5, netcdf, store
+from ..sources import experiments, fields, hdf5, netcdf, nodes, store
 from . import verification
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,6 +308,30 @@ def field_saved(spark, sf_dir):
     return rounded(f.select("t", F.col("cell").cast("long").alias("cell"), "value", F.lit(",".join(ops)).alias("ops")), "value")
 
 
+@query(f"WITH {F4}, a AS ({_climo('f4')}) SELECT t, cell, {r('value')} FROM a")
+def sink_carray(spark, sf_dir):
+    """A node that is overwritten by anomalies of what it holds, read while it is replaced."""
+    group = nodes.Group(spark, f"{store.shared_dir(spark)}/nodes-{uuid.uuid4().hex}")
+    field = group.write("orders", fields.orders_nation(spark, sf_dir))
+    out = group.write("orders", temporal.anomaly(field, 12))
+    group.clean("orders")
+    return rounded(out.select("t", "cell", "value"), "value")
+
+
+@query(f"WITH {F3}, {F5} SELECT 'lim/run' AS grp, 'orders' AS node, count(*)::BIGINT AS n, {r('sum(value)', 'total')} FROM f3 UNION ALL SELECT 'lim/run', 'revenue', count(*), {r('sum(value)', 'total')} FROM f5 UNION ALL SELECT 'lim', 'empty', 0, NULL")
+def sink_group(spark, sf_dir):
+    """Nodes in groups of groups, one of which takes the place of a node, as they are found again."""
+    top = nodes.Group(spark, f"{store.shared_dir(spark)}/nodes-{uuid.uuid4().hex}")
+    lim_ = top.group("lim")
+    lim_.write("run", fields.orders_region(spark, sf_dir))
+    lim_.empty("empty", "t long, cell long, value double")
+    run = lim_.group("run")
+    run.write("orders", fields.orders_region(spark, sf_dir))
+    run.write("revenue", fields.lineitem_snation(spark, sf_dir))
+    parts = [g.read(n).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(name).alias("grp"), F.lit(n).alias("node"), "n", "total") for name, g in (("lim/run", run), ("lim", lim_)) for n in g.nodes()]
+    return rounded(reduce(DataFrame.union, parts), "total")
+
+
 @query(f"WITH {F6} SELECT cell, (cell * 2 - 60)::DOUBLE AS lat, (cell * 5)::DOUBLE AS lon, count(*)::BIGINT AS n, {r('avg(value)')} FROM f6 GROUP BY cell")
 def src_posterior_ncf(spark, sf_dir):
     """Stations: one array of values a time, and arrays of each station's coordinates."""
@@ -368,7 +392,7 @@ def coord_grid(spark, sf_dir):
     return spatial.coordinate_grid(fields.nation_grid(spark, sf_dir), ["lat", "lon"], spatial.valid_cells(_holes(spark, sf_dir), -999.0).where("valid"))
 
 
-@query(f"WITH {GRID} SELECT DISTINCT lon AS coord FROM grid")
+@query(f"WITH {GRID} SELECT row_number() OVER (ORDER BY coord) - 1 AS index, coord FROM (SELECT DISTINCT lon AS coord FROM grid)")
 def dim_coords(spark, sf_dir):
     return spatial.dim_coords(fields.nation_grid(spark, sf_dir), "lon")
 
@@ -378,6 +402,12 @@ def subset_time(spark, sf_dir):
     return rounded(spatial.subset_time(fields.orders_region(spark, sf_dir), 12, 36), "value")
 
 
+@query(f"WITH {F3}, n AS (SELECT max(t) + 1 AS n FROM f3), w AS (SELECT unnest([n - 1, 0, 17, 17, 5]) AS t, unnest([0, 1, 2, 3, 4]) AS place FROM n) SELECT place::BIGINT AS t, cell, {r('value')} FROM f3 JOIN w USING (t)")
+def subset_list(spark, sf_dir):
+    """Samples of a list: the last one, the first, one twice."""
+    return rounded(spatial.subset_times(fields.orders_region(spark, sf_dir), [fields.months(spark, sf_dir) - 1, 0, 17, 17, 5]), "value")
+
+
 @query(f"WITH {GRID} SELECT cell, 'enso' AS box FROM grid WHERE lat BETWEEN -5 AND 5 AND lon BETWEEN 240 AND 290 UNION ALL SELECT cell, 'pdo' FROM grid WHERE lat BETWEEN 20 AND 70 AND lon BETWEEN 110 AND 250")
 def box_filter(spark, sf_dir):
     g = fields.nation_grid(spark, sf_dir)
@@ -399,6 +429,24 @@ def latlon_bounds(spark, sf_dir):
     return spatial.bounds(g.select(F.col("cell").alias("i"), F.col("lon").alias("x")))
 
 
+#: The nations as a lattice of five by five, whose longitudes cross the date line.
+LATTICE = "lt AS (SELECT n_nationkey // 5 AS i, n_nationkey % 5 AS j, (n_nationkey // 5 * 31 - 60 + n_nationkey % 5 * 0.5)::DOUBLE AS lat, ((335 + n_nationkey % 5 * 11 + n_nationkey // 5 * 3) % 360)::DOUBLE AS lon FROM nation)"
+
+
+def _lines(line: str, along: str, x: str, clamp: str) -> str:
+    """Edges (line, i, edge) of every line of the lattice."""
+    return f"""(SELECT line, CASE WHEN k = 0 THEN i ELSE i + 1 END AS i, CASE WHEN k = 0 THEN x - d / 2 ELSE x + p / 2 END AS edge FROM (SELECT *, lag(d) OVER w AS p FROM (SELECT *, {clamp.format(d='CASE WHEN raw > 300 THEN lead(raw) OVER w WHEN raw < -300 THEN lag(raw) OVER w ELSE raw END')} AS d
+ FROM (SELECT {line} AS line, {along} AS i, {x} AS x, lead({x}) OVER w - {x} AS raw FROM lt WINDOW w AS (PARTITION BY {line} ORDER BY {along})) WINDOW w AS (PARTITION BY line ORDER BY i)) WINDOW w AS (PARTITION BY line ORDER BY i)), (SELECT unnest([0, 1]) AS k) WHERE (k = 0 AND i < 4) OR (k = 1 AND i >= 3))"""
+
+
+@query(f"WITH {LATTICE}, la AS {_lines('j', 'i', 'lat', 'greatest(least({d}, 90), -90)')}, lo AS {_lines('i', 'j', 'lon', '{d}')} SELECT la.i::BIGINT AS i, lo.i::BIGINT AS j, la.edge AS lat_edge, lo.edge AS lon_edge FROM (SELECT line AS j, i, edge FROM la UNION ALL SELECT 5, i, edge FROM la WHERE line = 4) la JOIN (SELECT line, i, edge FROM lo UNION ALL SELECT 5, i, edge FROM lo WHERE line = 4) lo ON la.i = lo.line AND la.j = lo.i")
+def latlon_bounds_2d(spark, sf_dir):
+    """Edges of a lattice with coordinates of its own at every place."""
+    k = F.col("n_nationkey")
+    i, j = F.floor(k / 5), k % 5
+    return spatial.bounds_2d(fields.table(spark, sf_dir, "nation").select(i.alias("i"), j.cast("long").alias("j"), (i * 31 - 60 + j * 0.5).alias("lat"), ((335 + j * 11 + i * 3) % 360).cast("double").alias("lon")))
+
+
 @query(f"WITH {F4} SELECT t, cell // 5 AS cell, {r('avg(value)')} FROM f4 GROUP BY ALL")
 def regrid(spark, sf_dir):
     w = fields.nation_grid(spark, sf_dir).select("cell", F.floor(F.col("cell") / 5).alias("new_cell"), F.lit(0.2).alias("w"))
@@ -460,11 +508,11 @@ def resample_avg(spark, sf_dir):
     return rounded(temporal.resample_avg(fields.orders_region(spark, sf_dir), 12, fields.months(spark, sf_dir), 4), "value")
 
 
-@query(f"WITH {F3} " + " UNION ALL ".join(_resample("f3", s, f"'{n}' AS name, ") for n, s in temporal.SHIFTS.items()))
+@query(f"WITH {F3} " + " UNION ALL ".join(_resample("f3", s, f"'{n}' AS name, ") for n, s in temporal.SHIFTS.items()) + f" UNION ALL SELECT 'none', t, cell, t, {r('value')} FROM f3")
 def resample_named(spark, sf_dir):
     f, months = fields.orders_region(spark, sf_dir), fields.months(spark, sf_dir)
-    parts = [temporal.resample_named(f, n, months).select(F.lit(n).alias("name"), "block", "cell", "first_t", "value") for n in temporal.SHIFTS]
-    return rounded(parts[0].union(parts[1]).union(parts[2]), "value")
+    parts = [temporal.resample_named(f, n, months).select(F.lit(n).alias("name"), "block", "cell", "first_t", "value") for n in (*temporal.SHIFTS, "none")]
+    return rounded(reduce(DataFrame.union, parts), "value")
 
 
 def _mirror(half: int) -> str:
