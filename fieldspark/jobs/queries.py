@@ -893,6 +893,45 @@ def lim_fit_Q(spark, sf_dir):
     return rounded(linalg.to_coo(spark, m.lin).join(values, "i", "left"), "re", "im", "q")
 
 
+def _joint(spark, sf_dir):
+    """A model with noise on the leading modes of the joint state of orders and revenue by nation, its state and loadings.
+
+    Both fields are smoothed, centred and standardised; the state has the months that both have.
+    """
+    parts = {"orders": _smoothed(fields.orders_nation(spark, sf_dir), fields.months(spark, sf_dir)), "revenue": _revenue(spark, sf_dir)}
+    parts = {k: scale.standardize_field(f) for k, f in parts.items()}
+    common = parts["orders"].select("t").distinct().join(parts["revenue"].select("t").distinct(), "t")
+    joined = store.stored(state.concat({k: f.join(common, "t", "left_semi") for k, f in parts.items()})[0], "joint")
+    loadings, _ = state.state_eofs(joined, LEADING)
+    loadings = store.stored(loadings, "loadings")
+    s = store.stored(state.to_modes(joined, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value"), "states")
+    return lim.fit(s, noise=True), s, loadings
+
+
+@query()
+def lim_fit_Q_state(spark, sf_dir):
+    """L of the joint state and the eigenvalues of its noise covariance, those below zero dropped and the rest rescaled."""
+    m = _joint(spark, sf_dir)[0]
+    values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(m.q_values)], "i int, q double")
+    return rounded(linalg.to_coo(spark, m.lin).join(values, "i", "left"), "re", "im", "q")
+
+
+@query()
+def noise_modes_state(spark, sf_dir):
+    m, _, loadings = _joint(spark, sf_dir)
+    return rounded(lim.noise_modes(spark, m, loadings.withColumnRenamed("feature", "cell") if "feature" in loadings.columns else loadings), "loading")
+
+
+@query()
+def ens_1yr_state(spark, sf_dir):
+    """Ensemble mean and spread of all modes of the joint state after one unit, from every sample of the last year."""
+    m, s, _ = _joint(spark, sf_dir)
+    last = s.agg(F.max("t").alias("t")).first().t
+    x0 = np.array([x.value for x in s.where(F.col("t") > last - 12).orderBy("t", "mode").collect()]).reshape(-1, len(m.g))
+    e = lim.ensemble(spark, m, x0, members=MEMBERS_RUN)
+    return rounded(e.groupBy("sample", "mode").agg(F.avg("last").alias("mean"), F.stddev_samp("last").alias("std"), F.count("*").alias("members")), "mean", "std")
+
+
 STEPS = 1440
 
 

@@ -108,19 +108,22 @@ def fit_noise(model: Model, c0: np.ndarray, max_negative: int = 5) -> Model:
     return model
 
 
+#: Entries of the powers that every task may get.
+SENT_ENTRIES = 1 << 22
+
+
 def powers(spark: SparkSession, g: np.ndarray, leads: list[int]) -> DataFrame:
     """(lead, i, j, g) of integer powers of G."""
-    rows = []
-    for lead in leads:
-        p = np.linalg.matrix_power(g, lead)
-        rows += [(lead, i, j, float(p[i, j])) for i in range(len(g)) for j in range(len(g))]
-    return spark.createDataFrame(rows, "lead int, i long, j long, g double")
+    i, j = np.divmod(np.arange(g.size), max(len(g), 1))
+    parts = [pa.table({"lead": pa.array(np.full(g.size, lead, np.int32)), "i": pa.array(i), "j": pa.array(j), "g": pa.array(np.linalg.matrix_power(g, lead).ravel())}) for lead in leads]
+    return spark.createDataFrame(pa.concat_tables(parts)) if parts else spark.createDataFrame([], "lead int, i long, j long, g double")
 
 
 def forecast(state: DataFrame, g: np.ndarray, leads: list[int]) -> DataFrame:
     """(lead, t, mode, value): G^lead x(t)."""
     p = powers(state.sparkSession, g, leads)
-    joined = state.join(F.broadcast(p), state.mode == p.j)  # modes by modes by leads
+    small = g.size * len(leads) <= SENT_ENTRIES  # else both sides are dealt by mode
+    joined = state.join(F.broadcast(p) if small else p, state.mode == p.j)
     return joined.groupBy("lead", "t", F.col("i").alias("mode")).agg(F.sum(F.col("g") * F.col("value")).alias("value"))
 
 

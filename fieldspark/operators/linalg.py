@@ -200,7 +200,8 @@ def lag_covariance(field: DataFrame, lag: int, feature: str = "cell", whole: int
 def to_coo(spark: SparkSession, m: np.ndarray) -> DataFrame:
     """A driver matrix as (i, j, re, im)."""
     m = np.asarray(m)
-    return spark.createDataFrame([(i, j, float(np.real(m[i, j])), float(np.imag(m[i, j]))) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, re double, im double")
+    i, j = np.indices(m.shape, np.int32)
+    return spark.createDataFrame(pa.table({"i": i.ravel(), "j": j.ravel(), "re": np.real(m).ravel().astype(float), "im": np.imag(m).ravel().astype(float)})) if m.size else spark.createDataFrame([], "i int, j int, re double, im double")
 
 
 def canonical(vectors_: np.ndarray) -> np.ndarray:
