@@ -48,11 +48,11 @@ def r(x: str, name: str = "value") -> str:
 
 # ---- fields in SQL -------------------------------------------------------------------------------------------
 F1 = """f1 AS (WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS cell FROM (SELECT DISTINCT event_type FROM events)),
- g AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS t, cell, sum(value) AS value FROM events JOIN k USING (event_type) GROUP BY ALL)
- SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT range AS t FROM range(30)) a CROSS JOIN k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
+ g AS (SELECT date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS t, cell, sum(value) AS value FROM events JOIN k USING (event_type) GROUP BY ALL)
+ SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, coalesce(g.value, 0) AS value FROM (SELECT unnest(range((SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1 FROM events))) AS t) a CROSS JOIN k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
 F2 = """f2 AS (WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS cell FROM (SELECT DISTINCT event_type FROM events)),
- g AS (SELECT (date_diff('day', DATE '2024-01-01', ts::DATE) * 24 + hour(ts)) // 6 AS t, cell, avg(value) AS value FROM events JOIN k USING (event_type) GROUP BY ALL)
- SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, g.value AS value FROM (SELECT range AS t FROM range(120)) a CROSS JOIN k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
+ g AS (SELECT (date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) * 24 + hour(ts)) // 6 AS t, cell, avg(value) AS value FROM events JOIN k USING (event_type) GROUP BY ALL)
+ SELECT a.t::BIGINT AS t, k.cell::BIGINT AS cell, g.value AS value FROM (SELECT unnest(range((SELECT (date_diff('day', min(ts)::DATE, max(ts)::DATE) + 1) * 4 FROM events))) AS t) a CROSS JOIN k LEFT JOIN g ON g.t = a.t AND g.cell = k.cell)"""
 
 
 def _month(table: str) -> str:

@@ -43,18 +43,26 @@ def densify(field: DataFrame, steps: int, fill: float | None = 0.0) -> DataFrame
     return out.select("t", "cell", F.coalesce("value", F.lit(fill)).alias("value") if fill is not None else "value")
 
 
+def _days(spark: SparkSession, sf_dir: str):
+    """First day of the events, as a date, and the number of days to the last."""
+    got = table(spark, sf_dir, "events").agg(F.min(F.col("ts").cast("date")).alias("a"), F.max(F.col("ts").cast("date")).alias("b")).first()
+    return (got.a, (got.b - got.a).days + 1) if got.a else (None, 0)
+
+
 def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """daily sums of event values by type; the cell is the type's rank in alphabetical order."""
-    e = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit("2024-01-01").cast("date")).cast("long").alias("t"), "event_type", "value")
+    first, days = _days(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select(F.datediff("ts", F.lit(first).cast("date")).cast("long").alias("t"), "event_type", "value")
     summed = e.groupBy("t", "event_type").agg(F.sum("value").alias("value"))
-    return densify(with_cells(summed, "event_type"), 30)
+    return densify(with_cells(summed, "event_type"), days)
 
 
 def events_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """means of event values by six hours and type; gaps stay NULL."""
-    hours = (F.datediff("ts", F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("long")
+    first, days = _days(spark, sf_dir)
+    hours = (F.datediff("ts", F.lit(first).cast("date")) * 24 + F.hour("ts")).cast("long")
     e = table(spark, sf_dir, "events").select(F.floor(hours / 6).alias("t"), "event_type", "value")
-    return densify(with_cells(e.groupBy("t", "event_type").agg(F.avg("value").alias("value")), "event_type"), 120, None)
+    return densify(with_cells(e.groupBy("t", "event_type").agg(F.avg("value").alias("value")), "event_type"), 4 * days, None)
 
 
 def with_cells(df: DataFrame, name: str) -> DataFrame:

@@ -142,3 +142,20 @@ def test_noise_is_normal_and_independent_of_the_split():
     flat = np.concatenate([n.reshape(5000, -1), lim.normals(3, 6, 1, 4, 0, 5000, 3).reshape(5000, -1), lim.normals(3, 5, 2, 4, 0, 5000, 3).reshape(5000, -1)], axis=1)
     assert np.abs(np.corrcoef(flat.T) - np.eye(flat.shape[1])).max() < 0.07
     assert abs(np.corrcoef(n[:-1, 0, 0], n[1:, 0, 0])[0, 1]) < 0.05
+
+
+def test_fields_hold_every_row(spark):
+    """Sums over a field are those of its whole table."""
+    from fieldspark.sources import fields
+
+    sf = "/root/testdata/sf0.01"
+    o, li, e = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem", "events"))
+    total = lambda df: df.selectExpr("sum(value) s").first().s
+    orders = o.selectExpr("sum(o_totalprice) / 1e6 s").first().s
+    for f in (fields.orders_region, fields.orders_nation, fields.orders_members):
+        assert np.isclose(total(f(spark, sf)), orders)
+    assert np.isclose(total(fields.lineitem_snation(spark, sf)), li.selectExpr("sum(l_extendedprice * (1 - l_discount)) / 1e6 s").first().s)
+    assert np.isclose(total(fields.events_daily(spark, sf)), e.selectExpr("sum(value) s").first().s)
+    for name, f in (("orders", fields.orders_nation), ("lineitem", fields.lineitem_snation)):
+        n, got = fields.months(spark, sf, name), f(spark, sf)
+        assert got.count() == n * got.select("cell").distinct().count() and got.selectExpr("max(t) m").first().m == n - 1
