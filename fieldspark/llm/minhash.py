@@ -20,8 +20,8 @@ contiguous slice, and the signature is the minimum over slices.
 At Jaccard 0.8 a pair misses all buckets with probability (1 - 0.8^6)^48 = 5e-7.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a null ``doc_id``
-is returned with a null component and links with nothing; rows with one ``doc_id`` share a node
-(give them one text; of differing texts the links of either may be found); an empty table gives no rows.
+is returned with a null component and links with nothing; rows with one ``doc_id`` share a component, whatever their
+texts, and what links with any of these texts belongs to it; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -258,11 +258,39 @@ def across(shared: DataFrame, cells_of: DataFrame, found: DataFrame, tested: Dat
     return work.mapInArrow(_bounded(percent, best), "member long, pivot long").distinct().join(tested, ["member", "pivot"], "left_anti")
 
 
+def _of_several(docs: DataFrame, several: DataFrame, n: int, percent: int) -> DataFrame:
+    """Near duplicates where some ids have several sets: each such text gets a number of its own, beyond all ids.
+
+    Components then join where texts have one id, and take the smallest id of their texts.
+    """
+    docs = docs.withColumn("text_id", F.unhex(F.sha2("text", 256)))
+    top = docs.agg(F.max("doc_id")).first()[0]
+    own = docs.select("doc_id", "text_id").join(several, "doc_id", "left_semi").distinct()
+    own = stored(own.withColumn("number", F.lit(top) + 1 + F.monotonically_increasing_id()), "numbers")
+    plain = docs.join(several, "doc_id", "left_anti").select("doc_id", "text")
+    found = stored(near_duplicates(plain.union(docs.join(own, ["doc_id", "text_id"]).select(F.col("number").alias("doc_id"), "text")), n, percent), "found")
+    of_id = stored(found.where("n_shingles > 0").join(own, found.doc_id == own.number).select(own.doc_id.alias("id"), F.col("component_id").alias("node")).distinct(), "several")
+    edges = of_id.join(of_id.groupBy("id").agg(F.min("node").alias("low")), "id").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    joined = stored(components(edges), "joined")
+    nodes = of_id.join(joined, "node", "left").select("id", "node", F.coalesce("component", "node").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("id").alias("least"))
+    least = least.select("component", F.when(F.col("component") <= top, F.least("least", "component")).otherwise(F.col("least")).alias("least"))
+    final = nodes.select("node", "component").distinct().join(least, "component").select(F.col("node").alias("component_id"), "least")
+    out = hot_join(hot_join(found.drop("kept"), final, "component_id", "left"), own.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id", "left")
+    doc = F.coalesce("id", "doc_id")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "component_id")).otherwise(doc)
+    return out.select(doc.alias("doc_id"), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept, one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"))
     signed = stored(docs.mapInArrow(_signed(n), "doc_id long, n_shingles long, digest binary, bands array<long>, cells binary"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
+    several = stored(real.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id"), "several")
+    if not several.isEmpty():
+        discard(signed)
+        return _of_several(docs, several, n, percent)
     reps = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     entries = reps.select("rep", "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high"), F.count("*").alias("m")).where("m > 1")

@@ -93,3 +93,32 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
     assert got == [(0, 2, None, True), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True), (8, 0, 8, True)]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    """Links of every text of an id are kept, and its texts share a component."""
+    a, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "ac")
+    four = [(1, a), (1, c), (2, a + " x"), (3, c + " y")]
+    got = minhash.near_duplicates(frame(spark, four)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 59, 1, True), (1, 59, 1, True), (2, 60, 1, False), (3, 60, 1, False)]
+    rng = random.Random(6)
+    texts = variants(21, 8) + ["", None, "one"]
+    docs = [(None if rng.random() < 0.05 else rng.choice([k, k, rng.randrange(12)]), t) for k, t in enumerate(texts)]
+    docs += docs[:5]
+    alone = sets(enumerate(t for _, t in docs), 2)
+    root = {i: i for i, _ in docs if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, _) in enumerate(docs):
+        for m, (j, _) in enumerate(docs[:k]):
+            both = len(alone[k] & alone[m])
+            if i is not None and j is not None and both and 100 * both >= 80 * (len(alone[k]) + len(alone[m]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = sorted((i if i is not None else -1, len(alone[k]), -1 if i is None and alone[k] else i if not alone[k] and i is not None else -1 if i is None else find(i)) for k, (i, _) in enumerate(docs))
+    got = minhash.near_duplicates(frame(spark, docs).repartition(3)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
