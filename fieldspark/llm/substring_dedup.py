@@ -17,7 +17,9 @@ is rarely named by them; this deals the work evenly and changes no result.
 3. Factors have ``n`` words at least. Where one ends inside a phrase of the next, across sources or
    blocks, the spans are checked at that boundary and merge; documents are joined with their spans.
 
-A phrase is identified by 96 hash bits (64 of the minimiser, 32 of the words).
+A phrase is known by 64 hash bits of its words, compared only with phrases of its block whose minimisers agree in 16
+further bits: a million phrases of one minimiser meet by chance with probability 3e-8. Arrays travel by bytes of
+one rank (``planes``), so that the many zero bytes of small numbers cost nothing once compressed.
 
 Defined results: null text has no words; a null ``doc_id`` is no source and loses nothing; rows with one
 ``doc_id`` are no sources for each other; an empty table gives no rows; of clashing columns in ``keep``
@@ -44,7 +46,18 @@ SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 2000, 10, 100_000
 REMEMBERED = 1 << 20
 #: Bytes of text that one task parses against themselves at a time.
 LOCAL_BYTES = 4 << 20
-ROW = "block int, doc_id array<long>, print array<long>, doc binary, start binary, size binary, seed binary, phrase binary"
+COLUMNS = ("ids", "print", "doc", "start", "size", "seed", "phrase")
+ROW = "block int, " + ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, all lowest ones first."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
 def seeds_of(h: np.ndarray) -> np.ndarray:
@@ -116,13 +129,13 @@ class Known:
 
 def _parse(n: int, blocks: int, frequent):
     """Rows of runs for the reference blocks, and rows of spans found at once (block -1 - …)."""
-    schema = pa.schema([("block", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("print", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("doc", "start", "size", "seed", "phrase")]])
+    schema = pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in COLUMNS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
             data, offsets = buffers(batch.column(2))
             for a, b in chunks(offsets, LOCAL_BYTES):
                 h, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -148,7 +161,7 @@ def _chunk(h: np.ndarray, first: np.ndarray, ids: np.ndarray, prints: np.ndarray
     lead = runs(doc[c], start[c] - np.arange(len(c)))
     if len(c):
         size = np.diff(np.r_[lead, len(c)]) + n - 1
-        yield _row(-1, ids, prints, doc[c][lead], start[c][lead], size.astype(np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        yield _row(-1, ids, prints, doc[c][lead], start[c][lead], size.astype(np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     # first of equal phrases go on; a phrase of a document's own repeats needs its own answer
     go = np.flatnonzero(~covered)
     seed, word, doc, start = seed[go], word[go], doc[go], start[go]
@@ -164,17 +177,19 @@ def _chunk(h: np.ndarray, first: np.ndarray, ids: np.ndarray, prints: np.ndarray
     for own in np.split(order, cuts) if len(order) else ():
         k = np.repeat(lead[own] - np.r_[0, np.cumsum(size[own])[:-1]], size[own]) + np.arange(size[own].sum())
         r = lead[own]
-        yield _row(int(block[own[0]]), ids, prints, doc[r], start[r], size[own].astype(np.uint16), seed[r], (word[k] >> np.uint64(32)).astype(np.uint32))
+        yield _row(int(block[own[0]]), ids, prints, doc[r], start[r], size[own].astype(np.uint16), seed[r], word[k])
 
 
 def _row(block: int, ids: np.ndarray, prints: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, seed: np.ndarray, phrase: np.ndarray) -> dict:
     used, index = np.unique(doc, return_inverse=True)
     if block < 0:
         block = -1 - int(abs(int(prints[used[0]])) % 1_000_003)
-    return {"block": block, "doc_id": ids[used].tolist(), "print": prints[used].tolist(), "doc": index.astype(np.uint32).tobytes(), "start": start.astype(np.uint32).tobytes(), "size": size.tobytes(), "seed": seed.tobytes(), "phrase": phrase.tobytes()}
+    # of a block's runs documents come in order, so that mostly 0 or 1 lies between them
+    arrays = ids[used], prints[used], np.diff(index, prepend=0).astype(np.uint32), start.astype(np.uint32), size
+    return {"block": block, **dict(zip(COLUMNS, map(planes, arrays), strict=False)), "seed": seed.astype(np.uint16).tobytes(), "phrase": phrase.tobytes()}
 
 
-FACTOR = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("spans", pa.binary())])
+FACTOR = pa.schema([("doc_id", pa.int64()), ("print", pa.int32()), ("spans", pa.binary())])
 GROUPED = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("id", "print", "start", "size")]])
 
 
@@ -194,14 +209,13 @@ def _factor(n: int, groups: int):
                         yield from _spread(ready, groups)
                         ready, held = [], 0
                     at = row["block"]
-                doc = np.frombuffer(row["doc"], np.uint32)
-                ids, prints = np.array(row["doc_id"], np.int64)[doc], np.array(row["print"], np.int64)[doc]
-                start = np.frombuffer(row["start"], np.uint32)
+                doc = np.cumsum(unplaned(row["doc"], np.uint32))
+                ids, prints, start = unplaned(row["ids"], np.int64)[doc], unplaned(row["print"], np.int32)[doc], unplaned(row["start"], np.uint32)
                 if row["block"] < 0:
-                    ready.append((ids, prints, start.astype(np.int64), np.frombuffer(row["size"], np.uint32).astype(np.int64)))
+                    ready.append((ids, prints, start.astype(np.int64), unplaned(row["size"], np.uint32).astype(np.int64)))
                     held += len(ids)
                     continue
-                for k, v in (("id", ids), ("print", prints), ("start", start), ("size", np.frombuffer(row["size"], np.uint16)), ("seed", np.frombuffer(row["seed"], np.uint64)), ("phrase", np.frombuffer(row["phrase"], np.uint32))):
+                for k, v in (("id", ids), ("print", prints), ("start", start), ("size", unplaned(row["size"], np.uint16)), ("seed", np.frombuffer(row["seed"], np.uint16)), ("phrase", np.frombuffer(row["phrase"], np.uint64))):
                     parts[k].append(v)
         if parts["id"]:
             ready.append(_parsed({k: np.concatenate(v) for k, v in parts.items()}, n))
@@ -233,7 +247,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [[], [], [], []]
     for batch in batches:
         for k in range(4):
-            parts[k] += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(k + 1)]
+            parts[k] += [np.frombuffer(x.as_buffer(), np.int32 if k == 1 else np.int64) for x in batch.column(k + 1)]
     if parts[0]:
         yield from _spans(*(np.concatenate(p) for p in parts))
 
@@ -243,9 +257,8 @@ def _parsed(p: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
     size = p["size"].astype(np.int64)
     run = np.repeat(np.arange(len(size)), size)
     start = p["start"].astype(np.int64)[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    seed, doc = p["seed"][run], p["id"][run]
-    key = mix(seed ^ (p["phrase"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    source, covered = first_in_group(key, seed, doc)
+    doc = p["id"][run]
+    source, covered = first_in_group(p["phrase"], p["seed"][run], doc)
     c = np.flatnonzero(covered)
     src = source[c]
     lead = runs(run[c], start[c] - np.arange(len(c)), doc[src], start[src] - np.arange(len(c)))
@@ -308,7 +321,7 @@ def factors(docs: DataFrame, n: int) -> DataFrame:
     groups = n_parts(docs)
     dealt = parsed.repartition(parts, "block").sortWithinPartitions("block")
     factored = dealt.mapInArrow(_factor(n, 4 * groups), "part int, id binary, print binary, start binary, size binary")
-    return factored.repartition(groups, "part").mapInArrow(_gather, "doc_id long, print long, spans binary")
+    return factored.repartition(groups, "part").mapInArrow(_gather, "doc_id long, print int, spans binary")
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -317,7 +330,7 @@ def dedup_substrings(docs: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -
     A word goes if some phrase of ``n`` words that covers it also starts in a document with a smaller id.
     """
     keep = tuple(c for c in keep if c not in OUT)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep).withColumn("__print", F.xxhash64("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled("text").alias("text"), *keep).withColumn("__print", F.hash("text"))
     named = docs.where("doc_id is not null").select("doc_id", F.col("__print").alias("print"), "text")
     found = factors(named, n).select("doc_id", F.col("print").alias("__print"), F.col("spans").alias("__spans"))
     rebuilt = F.arrow_udf(_kept, "struct<text: string, n_words: long, n_removed: long>")

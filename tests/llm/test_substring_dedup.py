@@ -80,10 +80,22 @@ def test_a_task_sends_a_hot_passage_about_once():
         h = np.concatenate([np.r_[passage, rng.integers(0, 1 << 63, 3, dtype=np.uint64)] for _ in range(10)])
         ids = np.arange(10) + 10 * chunk
         rows_ = list(substring_dedup._chunk(h, np.arange(0, len(h) + 1, 43), ids, ids, 13, 4, np.zeros(0, np.uint64), known))
-        sent.append(sum(len(r["phrase"]) // 4 for r in rows_ if r["block"] >= 0))
+        sent.append(sum(len(r["phrase"]) // 8 for r in rows_ if r["block"] >= 0))
     assert sent[0] >= 28 + 30 and max(sent[1:]) == 30
 
 
+def test_no_false_factors_within_one_minimiser():
+    """A million different phrases of one minimiser, as block rows that come back from their packed form."""
+    n = 1_000_000
+    phrase = np.random.default_rng(2).integers(0, 1 << 64, n, dtype=np.uint64)
+    phrase[-3:] = phrase[:3]
+    some = {"id": np.arange(n), "print": np.zeros(n, np.int32), "start": np.zeros(n, np.uint32), "size": np.ones(n, np.uint16), "seed": np.full(n, 9, np.uint16), "phrase": phrase}
+    ids, _, start, size = substring_dedup._parsed(some, 13)
+    assert sorted(ids.tolist()) == [n - 3, n - 2, n - 1] and set(start.tolist()) == {0} and set(size.tolist()) == {13}
+    for x in (np.arange(300, dtype=np.uint32), np.array([-5, 1 << 40, 7], np.int64), np.zeros(0, np.uint16)):
+        assert (substring_dedup.unplaned(substring_dedup.planes(x), x.dtype) == x).all()
+
+
 def test_odd_tables(spark):
     text = " ".join(map(str, range(20)))
     docs = frame(spark, [(None, text), (5, text), (5, "a " + text), (6, text), (7, None)]).withColumn("n_words", F.lit(1)).withColumn("spans", F.lit(1))
