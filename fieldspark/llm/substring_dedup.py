@@ -319,9 +319,10 @@ def factors(docs: DataFrame, n: int) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_seeds(docs))
     parsed = docs.mapInArrow(_parse(n, blocks, frequent), ROW)
     groups = n_parts(docs)
-    dealt = parsed.repartition(parts, "block").sortWithinPartitions("block")
+    # by number: hashed, some partitions would get several times as many blocks as others
+    dealt = parsed.repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block")
     factored = dealt.mapInArrow(_factor(n, 4 * groups), "part int, id binary, print binary, start binary, size binary")
-    return factored.repartition(groups, "part").mapInArrow(_gather, "doc_id long, print int, spans binary")
+    return factored.repartitionById(groups, F.pmod("part", F.lit(groups))).mapInArrow(_gather, "doc_id long, print int, spans binary")
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
