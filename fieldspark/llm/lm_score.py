@@ -294,13 +294,15 @@ def train(docs: DataFrame) -> Model:
     folder = at.path
     os.makedirs(folder, exist_ok=True)
     shards, hot = n_parts(docs), hot_words(docs)
-    counted = docs.select("text").mapInArrow(_count(shards, spark.sparkContext.broadcast(hot)), ROW).repartition(shards, "shard").mapInArrow(_bigrams(folder, shards), ROW)
+    counted = docs.select("text").mapInArrow(_count(shards, spark.sparkContext.broadcast(hot)), ROW)
+    # by number, one shard a partition: hashed, one partition in several would hold three or more at a time
+    counted = counted.repartitionById(shards, "shard").mapInArrow(_bigrams(folder, shards), ROW)
     counted = stored(counted, "counted")
     sums, pairs = np.zeros(5, np.int64), set()
     for r in counted.where("kind = 3").select("shard", "a").collect():  # five numbers a shard
         sums += np.frombuffer(r.a, np.int64)
         pairs.add(r.shard)
-    made = counted.where("kind < 3").repartition(shards, "shard").mapInArrow(_words(folder), STATS)
+    made = counted.where("kind < 3").repartitionById(shards, "shard").mapInArrow(_words(folder), STATS)
     t = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS_SCHEMA.names[:-1]], F.collect_set("shard").alias("shards")).first()
     d1 = discounts(t.n1, t.n2, t.n3, t.n4)
     contexts = int(sums[4])
