@@ -131,7 +131,7 @@ def term_matrix(docs: DataFrame, keep: tuple[str, ...], measure=None) -> DataFra
     ddl = f"shard long, docs array<{doc}>, starts binary, codes binary, counts binary, blobs array<struct<bucket: long, first: int, words: binary>>"
     local = stored(wanted.mapInArrow(_parsed(4 * parts, measure), ddl), "shards")
     words = local.select("shard", F.inline("blobs")).select("bucket", "shard", "first", "words")
-    named = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_numbered, "shard long, bucket long, first int, ranks binary")
+    named = words.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_numbered, "shard long, bucket long, first int, ranks binary")
     named = named.groupBy("shard").agg(F.collect_list(F.struct("bucket", "first", "ranks")).alias("pieces"))  # a shard's own words
     both = local.drop("blobs").join(named, "shard", "left")
     return both.mapInArrow(_global, f"shard long, docs array<{doc}>, starts binary, indices binary, counts binary")
