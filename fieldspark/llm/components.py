@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from .common import discard, hot_join, stored
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, hint: str | None) -> DataFrame:
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     up = both.where("b > a")
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return hot_join(up, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hot_join(up, least.hint(hint) if hint else least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, hint: str | None) -> DataFrame:
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    return hot_join(e, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+    return hot_join(e, least.hint(hint) if hint else least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _are_stars(e: DataFrame) -> bool:
@@ -33,15 +33,18 @@ def _are_stars(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): for each node of ``links`` (columns a, b; long) the smallest node it is connected with."""
+def components(links: DataFrame, hint: str | None = None) -> DataFrame:
+    """(node, component): for each node of ``links`` (columns a, b; long) the smallest node it is connected with.
+
+    hint: how the rounds join. Stored links compress so well that the optimizer may take millions for small.
+    """
     e = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     last = None
     while True:
-        wide = stored(_large(e), "wide")
+        wide = stored(_large(e, hint), "wide")
         if last is not None:
             discard(last)
-        e = last = stored(_small(wide), "stars")
+        e = last = stored(_small(wide, hint), "stars")
         discard(wide)
         if _are_stars(e):
             break

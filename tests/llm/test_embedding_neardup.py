@@ -1,5 +1,6 @@
 import numpy as np
 
+from fieldspark.llm import components as C
 from fieldspark.llm import embedding_neardup as E
 
 from .data import SF
@@ -69,6 +70,27 @@ def test_bridges_inside_a_unit(spark, monkeypatch):
         check(spark, [(i, [float(np.cos(t)), float(np.sin(t)), 0.0]) for i, t in zip(ids, angle)])
 
 
+def test_passes_and_cut_buckets(spark, monkeypatch):
+    """One table a pass, and buckets cut into chunks of 16: every pair counts once."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3, 24))
+    rows = [(i, (base[i % 3] + rng.standard_normal(24) * rng.choice([0.02, 0.25])).tolist()) for i in range(260)]
+    rows += [(1000 + i, rng.standard_normal(24).tolist()) for i in range(60)]
+    for name, value in (("CHUNK", (16, 16)), ("TILE", 8), ("PAIRS", 50), ("PASS", 1), ("LEAST", 1), ("PART", 4096)):
+        monkeypatch.setattr(E, name, value)
+    vectors = spark.createDataFrame([(i, i, 1, v) for i, v in rows], "uid long, vec_id long, m long, vector array<float>")
+    assert E._to_cut(vectors, len(rows), *E.shape(len(rows), 0.95))
+    check(spark, rows)
+
+
+def test_tables_and_plans_do_not_grow(spark, tmp_path):
+    """0.6 GB are some 1.5 million vectors: few tables hold them, and the rounds of links broadcast nothing."""
+    assert E.shape(1_500_000, 0.95)[1] <= 50 and E.shape(1_000_000_000, 0.95)[1] <= 200
+    spark.range(1000).selectExpr("id + 1 as a", "id as b").write.parquet(str(tmp_path / "links"))
+    plans = [f(spark.read.parquet(str(tmp_path / "links")), "merge")._jdf.queryExecution().executedPlan().toString() for f in (C._large, C._small)]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
 def test_recall_at_the_threshold():
     k, tables = E.shape(5000, 0.95)
     t = E.Tables(16, k, tables)
