@@ -18,7 +18,7 @@ L follows from k so that a pair at the threshold misses all tables with probabil
    by the links counted there.
 5. Rows take the result of their class by its digest; a class with very many rows is dealt to parts.
 
-Nothing is broadcast or collected but keys of buckets that are cut. Links and counts, which compress so well that
+Nothing is broadcast or collected but keys of buckets that are cut and of hot classes and links. Links and counts, which compress so well that
 the optimizer would take them for small, are joined by sorting.
 
 Defined results: null vectors, and ones with null or non-finite components, of zero length or no norm,
