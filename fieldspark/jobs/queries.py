@@ -896,16 +896,18 @@ def lim_fit_Q(spark, sf_dir):
 def _joint(spark, sf_dir):
     """A model with noise on the leading modes of the joint state of orders and revenue by nation, its state and loadings.
 
-    Both fields are smoothed, centred and standardised; the state has the months that both have.
+    Both fields are smoothed, centred and standardised; the state has the months that both have. They are written once,
+    as their tables would be joined anew for each of their uses. Where one of the ten modes grows by least squares (some
+    larger tables), the covariance of starts and ends gives a model of as many modes that decay.
     """
     parts = {"orders": _smoothed(fields.orders_nation(spark, sf_dir), fields.months(spark, sf_dir)), "revenue": _revenue(spark, sf_dir)}
-    parts = {k: scale.standardize_field(f) for k, f in parts.items()}
+    parts = {k: store.stored(scale.standardize_field(store.stored(f, "smoothed")), "standard") for k, f in parts.items()}
     common = parts["orders"].select("t").distinct().join(parts["revenue"].select("t").distinct(), "t")
     joined = store.stored(state.concat({k: f.join(common, "t", "left_semi") for k, f in parts.items()})[0], "joint")
     loadings, _ = state.state_eofs(joined, LEADING)
     loadings = store.stored(loadings, "loadings")
     s = store.stored(state.to_modes(joined, loadings).select("t", F.col("mode").cast("long").alias("mode"), "value"), "states")
-    return lim.fit(s, noise=True), s, loadings
+    return lim.fit(s, noise=True, settle=True), s, loadings
 
 
 @query()

@@ -7,6 +7,7 @@ driver, forecasts are a join and an aggregate, and integrations run some members
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -49,11 +50,20 @@ class Model:
         return cls(lag=d["lag"], negative=d["negative"], rescale=d["rescale"], **back)
 
 
-def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int = 5, tau1: DataFrame | None = None) -> Model:
+def decays(g: np.ndarray, lag: int) -> bool:
+    """Whether no rate of a mode of G is zero or above."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return not (np.real(np.log(np.linalg.eigvals(g)) / lag) >= 0).any()
+
+
+def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int = 5, tau1: DataFrame | None = None, settle: bool = False) -> Model:
     """G from x(t + lag) and x(t); with ``noise`` also L and the noise covariance's eigenpairs.
 
     tau1: states that follow those of ``state`` with the same t after ``lag``, where they come from elsewhere; other
     modes or another number of samples raise ValueError. Both covariances come from one pass over the pairs.
+    settle: if a mode does not decay, C(0) is the mean of the covariances of starts and of ends, and a warning says so:
+    for a left eigenvector u of G its eigenvalue is u C(lag) u / u C(0) u, which is then 1 at most (Cauchy and Schwarz).
+    A model that does not decay raises ValueError.
     """
     x = rows_of(state, "t", "mode")
     m = len(x.names)
@@ -67,16 +77,20 @@ def fit(state: DataFrame, lag: int = 1, noise: bool = False, max_negative: int =
             raise ValueError("the two states have different shapes")
         pairs = x.table.join(y.table.select("key", F.col("x").alias("y")), "key").select("key", "x", "y")
 
+    parts = 2 + settle
+
     def products(batch):
         a, b = matrix_of(batch.column(1)), matrix_of(batch.column(2))
-        return np.concatenate([b.T @ a, a.T @ a, np.full((1, m), float(len(a)))])
+        return np.concatenate([b.T @ a, a.T @ a, *[b.T @ b] * settle, np.full((1, m), float(len(a)))])
 
-    sums = collected(block_sum(pairs, products, (2 * m + 1, m)), (2 * m + 1, m), 2 * m)
+    sums = collected(block_sum(pairs, products, (parts * m + 1, m)), (parts * m + 1, m), 2 * m)
     ct, c0, n = sums[:m], sums[m : 2 * m], sums[-1, 0]
     g = ct @ np.linalg.pinv(c0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.log(np.linalg.eigvals(g)) / lag
-    if (np.real(rate) >= 0).any():
+    if settle and not decays(g, lag):
+        warnings.warn(f"a mode grows by {np.abs(np.linalg.eigvals(g)).max():.4f}: C(0) is taken of starts and ends", stacklevel=2)
+        c0 = (c0 + sums[2 * m : 3 * m]) / 2
+        g = ct @ np.linalg.pinv(c0)
+    if not decays(g, lag):
         raise ValueError("the model is not stable: some mode does not decay")
     model = Model(g, lag)
     return fit_noise(model, c0 / (n - 1), max_negative) if noise else model
