@@ -84,3 +84,12 @@ def test_ensemble(spark, grown):
     for r in ends:
         assert abs(r.mean - ahead[r.sample, r.mode]) < 5 * std[r.mode] / np.sqrt(jobs.MEMBERS_RUN) + 1e-3 * std.max()
         assert 0.7 < r.std / std[r.mode] < 1.4
+
+
+def test_model_with_noise(spark, grown):
+    at, _, _, _, lin, q_values, _ = grown
+    got = jobs.lim_fit_Q_state(spark, at).collect()
+    assert len(got) == jobs.LEADING**2 and {(r.i, r.j) for r in got} == set(np.ndindex(jobs.LEADING, jobs.LEADING))
+    for r in got:
+        assert abs(lin[r.i, r.j] - complex(r.re, r.im)) < 1e-5 * np.abs(lin).max()
+        assert r.q is None and r.i >= len(q_values) or abs(r.q - q_values[r.i]) < 1e-5 * q_values[0]
