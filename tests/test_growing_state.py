@@ -25,9 +25,8 @@ def grown(spark, tmp_path_factory):
     parts = []
     for f, name in ((fields.orders_nation, "orders"), (fields.lineitem_snation, "lineitem")):
         n = fields.months(spark, str(at), name)
-        x = np.zeros((n, 25))
-        for row in f(spark, str(at)).collect():
-            x[row.t, row.cell] = row.value
+        got = {(r.t, r.cell): r.value for r in f(spark, str(at)).collect()}
+        x = np.array([[got[t, c] for c in sorted({c for _, c in got})] for t in range(n)])
         x = np.array([x[t - 2 : t + 3].mean(0) for t in range(2, n - 2)])
         x -= x.mean(0)
         parts.append(x / np.sqrt(x.var(0, ddof=1).sum()))
@@ -93,3 +92,12 @@ def test_model_with_noise(spark, grown):
     for r in got:
         assert abs(lin[r.i, r.j] - complex(r.re, r.im)) < 1e-5 * np.abs(lin).max()
         assert r.q is None and r.i >= len(q_values) or abs(r.q - q_values[r.i]) < 1e-5 * q_values[0]
+
+
+def test_noise_patterns(spark, grown):
+    at, load, _, _, _, q_values, q_vectors = grown
+    got = {(r.cell, r.mode): r.loading for r in jobs.noise_modes_state(spark, at).collect()}
+    want = np.real(load @ (q_vectors * q_values))
+    assert len(got) == want.size > 25 * len(q_values)  # the cells of both variables
+    pattern = np.array([[got[c, k] for k in range(len(q_values))] for c in range(len(load))])
+    assert np.allclose(np.abs(pattern), np.abs(want), atol=1e-6)  # six decimals
